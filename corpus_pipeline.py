@@ -1,8 +1,73 @@
-"""A corpus pipeline: five stages over documents, each reading all that the one before kept."""
+"""A corpus pipeline: five stages over documents, each reading all that the one before kept.
 
-STAGES: list = []
+Rows are told apart by doc_id.  A row with a null doc_id cannot be named by the stages that
+compare documents: it passes them, and is only judged by the classifier.  Null texts count as empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexloom.llm import decontaminate, exact_dedup, packing, quality, simhash
+from lexloom.llm.common import Workspace, benchmark, documents
+from lexloom.llm.queries import PACK_TOKENIZER, tokenizer_path
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the ids in gone; its size, which is known since it is a written table, decides how they meet."""
+    return docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier accepts: good quality, not toxic."""
+    model = quality.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = docs.withColumn("__score", quality.scorer(model)("text", "lang", "source", "n_chars"))
+    return scored.where(quality.accepted(F.col("__score"))).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts: the one with the largest doc_id."""
+    work = Workspace(spark, "stage-exact")
+    groups = work.table(exact_dedup.exact_groups(spark, docs).select("doc_id", "kept", "text_sha256"), "groups")
+    left = _without(docs, work.table(groups.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone"))
+    # Rows that repeat an id and a text are one document.
+    again = groups.where("kept and doc_id is not null").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id").distinct()
+    again = work.table(again, "again")
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return _without(left, again).unionByName(repeated)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of linked fingerprints: the one with the smallest doc_id."""
+    work = Workspace(spark, "stage-near")
+    groups = simhash.simhash_groups(spark, docs)
+    return _without(docs, work.table(groups.where("doc_id != component_id").select("doc_id").distinct(), "gone"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    work = Workspace(spark, "stage-decon")
+    found = decontaminate.contaminated(spark, docs, benchmark(spark, sf_dir))
+    return _without(docs, work.table(found.select("doc_id").distinct(), "gone"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training sequences' pieces, with their ids."""
+    return packing.pack(spark, docs, tokenizer_path(PACK_TOKENIZER))
+
+
+STAGES = [("quality", classify), ("exact_dedup", exact), ("near_dedup", near), ("decontaminate", decontaminated), ("pack", packed)]
+
+#: Classifier, fingerprints and tokens are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; each stage's result is written and read again."""
+    work, docs = Workspace(spark, "pipeline"), documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = work.table(stage(spark, docs, sf_dir), name)
+    return docs
