@@ -34,7 +34,8 @@ WORDS, TELLING = 128, 6.0
 SOURCES = 32
 HEADS = ("quality", "toxic")
 _APART = re.compile(r"[\W\d_]+")
-_PLAIN = str.maketrans("", "", " \t\r\n.,;:'\"-")
+#: Marks of ordinary prose, numbers and addresses; the others count as noise.
+_PLAIN = str.maketrans("", "", " \t\r\n.,;:'\"-()+@=/_0123456789")
 N_STYLE = 10
 
 
@@ -194,13 +195,13 @@ def fit(
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(n) for c, n in zip(metadata, ("lang", "source", "n"), strict=True)])
     known = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(*[F.max(h).alias(h) for h in HEADS])
     chosen = known.where(_share(known.count(), labelled, "doc_id"))
-    open_ = rows.select("doc_id").where("doc_id is not null").distinct().join(known.select("doc_id"), "doc_id", "left_anti")
-    open_ = open_.where(_share(rows.count(), pool, "doc_id")).select("doc_id", *[F.lit(None).cast("int").alias(h) for h in HEADS])
+    open_ = rows.select("doc_id").where(F.col("doc_id").isNotNull() & _share(rows.count(), pool, "doc_id")).distinct()
+    open_ = open_.join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", *[F.lit(None).cast("int").alias(h) for h in HEADS])
     # Broadcast: the sample has about labelled + pool rows of a few bytes, whatever the corpus.
     ids = work.table(chosen.select("doc_id", *[F.col(h).cast("int").alias(h) for h in HEADS]).unionByName(open_), "ids")
     if ids.count() > 2 * (labelled + pool) + 1000:
         raise ValueError("the sample is larger than its bound")
-    sample = work.table(rows.join(F.broadcast(ids), "doc_id"), "sample")
+    sample = work.table(rows.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]), "sample")
     model = Model({w: k for k, w in enumerate(_telling(work, sample))}, {})
 
     @F.pandas_udf(T.BinaryType())
@@ -210,8 +211,8 @@ def fit(
 
     got = sample.select("doc_id", *HEADS, features("text", "lang", "source", "n").alias("x"), F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(10)).alias("fold")).toPandas()
     got = got.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    x = np.array([np.frombuffer(b, "<f4") for b in got["x"]], dtype=np.float64).reshape(len(got), -1)
-    cut = N_STYLE + len(model.words)
+    cut, views = N_STYLE + len(model.words), model.metadata_view([], [], []).shape[1]
+    x = np.array([np.frombuffer(b, "<f4") for b in got["x"]], dtype=np.float64).reshape(len(got), cut + views)
     for h in HEADS:
         y = got[h].fillna(-1).to_numpy().astype(int)
         held = (y >= 0) & (got["fold"].to_numpy() < 3)
