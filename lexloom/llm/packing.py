@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,14 @@ ROWS, MOST_BUCKETS = 1024, 1 << 16
 SAMPLE = 32
 DIMS, DIM_BITS = 4, 10
 #: Words of a worker's memory; it starts afresh beyond.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+
+
+def _byte_letters() -> list[str]:
+    """The character by which byte-level models write each byte: printable ones for themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
 class _Words(dict):
@@ -39,7 +47,9 @@ class _Words(dict):
 
     The tokenizer drops white space and never joins tokens across it, so a text's
     ids are those of its words.  Words part at ASCII white space only; any other
-    white space stays inside a word, for the tokenizer to drop.
+    white space stays inside a word, for the tokenizer to drop.  A word of small
+    letters in composed form is what the tokenizer's normalizer and splitter would make of it,
+    so its model alone gives the ids.
     """
 
     def __init__(self, path: str):
@@ -47,9 +57,16 @@ class _Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
 
     def ids(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode()
+        if text.isalpha() and text.lower() == text and is_normalized("NFC", text):
+            found = [t.id for t in self.model.tokenize(text if text.isascii() else "".join([self.letters[b] for b in word]))]
+        else:
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(found, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         # Sentence marks after a letter or digit are tokens of their own; most new words are known without them.
