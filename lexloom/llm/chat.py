@@ -18,12 +18,15 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TOKENIZER = "byte_bpe_50k.json"
+#: Conversations whose records are held as Python objects at a time.
+SLICE = 64
 
 
 def escape(text: str) -> str:
@@ -109,14 +112,15 @@ def format_chats(chats: DataFrame, tokenizer: str, conv_id: str = "conv_id", tur
     id_type = whole.schema["conv_id"].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("token", pa.int32()), ("from", pa.int32()), ("to", pa.int32())]))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 made = [format_turns(list(zip(r, t, strict=True)), tokenizer) for r, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-                loss = [[{"token": k, "from": a, "to": b} for k, a, b in x["mask"]] for x in made]
+                ends = np.cumsum([0, *(len(x["mask"]) for x in made)]).astype(np.int32)
+                flat = np.array([m for x in made for m in x["mask"]], np.int32).reshape(-1, 3)
+                loss = pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], names=["token", "from", "to"])
                 yield pa.record_batch(
-                    [part.column(0), pa.array([x["formatted"] for x in made], pa.string()), pa.array([x["input_ids"] for x in made], pa.list_(pa.int32())), pa.array(loss, kind)],
+                    [part.column(0), pa.array([x["formatted"] for x in made], pa.string()), pa.array([x["input_ids"] for x in made], pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(ends), loss)],
                     names=["conv_id", "formatted", "input_ids", "loss"],
                 )
 
@@ -127,10 +131,11 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     for batch in batches:
         rows = []
-        for conv, formatted, loss in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for conv, formatted, loss in zip(*batch.columns, strict=True):  # a conversation's mask at a time is made Python's
+            formatted, mask = formatted.as_py(), loss.values
             turns = parse(formatted)
-            under = masked_text(formatted, [(x["token"], x["from"], x["to"]) for x in loss])
-            rows.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(under), sha(under), len(formatted)))
+            under = masked_text(formatted, list(zip(*(mask.field(k).to_pylist() for k in range(3)), strict=True)))
+            rows.append((conv.as_py(), len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(under), sha(under), len(formatted)))
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
