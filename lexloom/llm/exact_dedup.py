@@ -14,6 +14,7 @@ group holds one text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -64,17 +65,23 @@ def polynomial(data: bytes, prime: int, base: int) -> int:
     return value
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1).to_pylist()
-        sums = [pa.array([polynomial(t, *field) for t in texts], pa.int64()) for field in FIELDS]
-        yield pa.record_batch([*batch.columns[:-1], *sums], names=[*batch.schema.names[:-1], "f0", "f1"])
+def _whole(huge: int):
+    """Rows (doc_id, bytes) to the digest, the length and, unless the text is huge, the fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.lower() for x in batch.column(1).to_pylist()]  # of bytes: A-Z only
+            columns = [pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(map(len, texts), pa.int64())]
+            columns += [pa.array([polynomial(t, *field) if len(t) < huge else None for t in texts], pa.int64()) for field in FIELDS]
+            yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "text_key", "n_bytes", "f0", "f1"])
+
+    return run
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each chunk's hash, shifted by the bytes that follow it."""
     for batch in batches:
-        rest, parts = batch.column(1).to_pylist(), [np.frombuffer(x, np.uint8) for x in batch.column(2).to_pylist()]
+        rest, parts = batch.column(1).to_pylist(), [np.frombuffer(x.lower(), np.uint8) for x in batch.column(2).to_pylist()]
         sums = [pa.array([chunk_hash(x, p, b) * pow(b, n, p) % p for x, n in zip(parts, rest, strict=True)], pa.int64()) for p, b in FIELDS]
         yield pa.record_batch([batch.column(0), *sums], names=["row", "f0", "f1"])
 
@@ -93,26 +100,41 @@ def _chunks(size: int) -> Column:
     )
 
 
-def fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
-    """docs has key columns and ``bytes``; the result has the keys, n_bytes, f0 and f1."""
-    spark, keys = docs.sparkSession, [c for c in docs.columns if c != "bytes"]
-    sized = docs.withColumn("n_bytes", F.octet_length("bytes").cast("long"))
-    small = sized.where(F.col("n_bytes") < huge).select(*keys, "n_bytes", "bytes")
-    schema = small.drop("bytes").withColumn("f0", F.lit(0).cast("long")).withColumn("f1", F.lit(0).cast("long")).schema
-    large = sized.where(F.col("n_bytes") >= huge).select(F.struct(*keys, "n_bytes").alias("row"), F.explode(_chunks(CHUNK)).alias("c"))
+def fingerprints(rows: DataFrame, huge: int = HUGE) -> DataFrame:
+    """(doc_id, text_key, n_bytes, f0, f1) of rows (doc_id, bytes); text_key is the SHA-256 of the lower-cased text."""
+    spark, id_type = rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
+    whole = rows.mapInArrow(_whole(huge), f"doc_id {id_type}, text_key string, n_bytes long, f0 long, f1 long")
+    # Chunks of huge documents go to all executors; each row has a number, since ids may repeat.
+    large = rows.where(F.octet_length("bytes") >= huge).select(F.struct(F.col("doc_id"), F.octet_length("bytes").alias("n"), F.sha2(_lower("bytes"), 256).alias("text_key")).alias("row"), "bytes")
+    large = large.dropDuplicates(["row"]).select("row", F.explode(_chunks(CHUNK)).alias("c"))
     dealt = large.select("row", "c.rest", "c.piece").repartition(partitions(spark))
     part = dealt.mapInArrow(_parts, f"row {large.schema['row'].dataType.simpleString()}, f0 long, f1 long")
-    sums = part.groupBy("row").agg(*[F.pmod(F.sum(f"f{k}"), F.lit(p).cast("long")).alias(f"f{k}") for k, (p, _) in enumerate(FIELDS)])
-    return small.mapInArrow(_whole, schema).unionByName(sums.select("row.*", "f0", "f1"))
+    sums = part.groupBy("row").agg(*[F.pmod(F.sum(f"f{k}"), F.lit(p).cast("long")).alias(f"g{k}") for k, (p, _) in enumerate(FIELDS)])
+    sums = sums.select(F.col("row.text_key").alias("of"), "g0", "g1").distinct()
+    filled = whole.join(sums, whole.text_key == sums.of, "left")
+    return filled.select("doc_id", "text_key", "n_bytes", F.coalesce("f0", "g0").alias("f0"), F.coalesce("f1", "g1").alias("f1"))
 
 
-def _differing(members: DataFrame) -> DataFrame:
-    """(rep, text_key) of members whose text is not that of their group's representative.
+def _lower(column: str) -> Column:
+    return ascii_lower(F.col(column).cast("string"))
+
 
-    members has text_key, rep and bytes; text_key names a text, and rep is the text_key of the representative.
+def _unequal(members: DataFrame) -> DataFrame:
+    """The representatives (rep) of groups that hold more than one text.
+
+    members has text_key, rep and bytes.  A group's texts are equal if, chunk by chunk, the
+    least is the greatest; both are aggregated before the shuffle, however many copies there are.
     """
+    pieces = members.select("rep", F.octet_length("bytes").alias("n"), F.explode(_chunks(CHUNK)).alias("c")).select("rep", "n", "c.part", "c.piece")
+    bounds = [f(c).alias(f"{k}_{c}") for c in ("n", "piece") for k, f in (("least", F.min), ("most", F.max))]
+    spread = pieces.groupBy("rep", "part").agg(*bounds)
+    return spread.where("least_n != most_n or least_piece != most_piece").select("rep").distinct()
+
+
+def _differing(members: DataFrame) -> DataFrame:
+    """text_key of members whose text is not that of their group's representative."""
     pieces = members.select("text_key", "rep", F.octet_length("bytes").alias("n"), F.explode(_chunks(CHUNK)).alias("c"))
-    pieces = pieces.select("text_key", "rep", "n", "c.part", "c.piece")
+    pieces = pieces.select("text_key", "rep", "n", "c.part", "c.piece").distinct()
     model = pieces.where(F.col("text_key") == F.col("rep")).select("rep", "part", F.col("n").alias("n2"), F.col("piece").alias("piece2"))
     held = pieces.where(F.col("text_key") != F.col("rep")).join(model, ["rep", "part"], "left")
     unlike = ~(F.col("piece").eqNullSafe(F.col("piece2")) & F.col("n").eqNullSafe(F.col("n2")))
@@ -130,27 +152,31 @@ def exact_groups(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", t
     values of the fingerprint, to force collisions.
     """
     work = Workspace(spark, "exact")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), ascii_lower(whole_text(text)).alias("norm"))
-    rows = rows.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.col("norm").cast("binary").alias("bytes"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).cast("binary").alias("bytes"))
     prints = fingerprints(rows, huge)
     if weaken:
         prints = prints.withColumn("f0", F.pmod("f0", F.lit(weaken))).withColumn("f1", F.lit(0).cast("long")).withColumn("n_bytes", F.lit(0).cast("long"))
-    # A text is named by its digest, so that the verification below names it without a row number.
-    prints = work.table(prints.withColumnRenamed("text_sha256", "text_key").withColumn("round", F.lit(0)), "prints")
+    # A text is named by its digest, so that the comparison below names it without a row number.
+    prints = work.table(prints.withColumn("round", F.lit(0)), "prints")
     key = ["n_bytes", "f0", "f1", "round"]
     turn = 0
     while True:
         texts = prints.groupBy(*key, "text_key").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
-        groups = texts.groupBy(*key).agg(
-            F.sum("n").alias("group_size"), F.max("top").alias("keep_id"), F.min("text_key").alias("rep"), F.count("*").alias("n_texts")
-        )
+        groups = texts.groupBy(*key).agg(F.sum("n").alias("group_size"), F.max("top").alias("keep_id"), F.min("text_key").alias("rep"))
         groups = work.table(groups, f"groups-{turn}")
-        members = prints.join(groups.where("group_size > 1").select(*key, "rep"), key).select("doc_id", "text_key", "rep")
-        # The compared texts are fetched from the documents by id and digest; rows that repeat both are one.
-        fetched = rows.join(members.select("doc_id", F.col("text_key").alias("text_sha256"), "rep").distinct(), ["doc_id", "text_sha256"])
-        unlike = work.table(_differing(fetched.select(F.col("text_sha256").alias("text_key"), "rep", "bytes")), f"unlike-{turn}")
-        if unlike.isEmpty():
+        members = prints.join(groups.where("group_size > 1").select(*key, "rep"), key)
+        members = work.table(members.select("doc_id", "text_key", "rep").distinct(), f"members-{turn}")
+        ids = work.table(members.where("doc_id is not null").select("doc_id").distinct(), f"ids-{turn}")
+        # The texts to compare are fetched by id, then told apart by digest where an id has several.
+        fetched = rows.join(ids, "doc_id", "left_semi").withColumn("bytes", _lower("bytes").cast("binary"))
+        fetched = fetched.withColumn("text_key", F.sha2("bytes", 256)).join(members, ["doc_id", "text_key"])
+        # A row without an id cannot be fetched; its digest tells whether its text is another.
+        nameless = members.where("doc_id is null and text_key != rep").select("rep", F.col("text_key").alias("other"))
+        unequal = work.table(_unequal(fetched).withColumn("other", F.lit(None).cast("string")).unionByName(nameless), f"unequal-{turn}")
+        if unequal.isEmpty():
             break
+        named = _differing(fetched.join(unequal.where("other is null"), "rep", "left_semi"))
+        unlike = work.table(named.unionByName(unequal.where("other is not null").select(F.col("other").alias("text_key"))).distinct(), f"unlike-{turn}")
         turn += 1
         later = F.when(F.col("text_key") == F.col("odd"), F.lit(turn)).otherwise(F.col("round"))
         prints = prints.join(unlike.select(F.col("text_key").alias("odd")), F.col("text_key") == F.col("odd"), "left").withColumn("round", later).drop("odd")
