@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import columns as C
@@ -263,8 +264,6 @@ def quote_depth(spark, sf_dir):
     FROM n GROUP BY ALL
 """)
 def outline_successor(spark, sf_dir):
-    from pyspark.sql import Window
-
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
     items = Tables(spark, sf_dir).lineitem.withColumn("before", F.lag("l_linenumber").over(by))
     mark = F.when(F.col("before").isNull() & (F.col("l_linenumber") == 1), "OPENING").when(F.col("l_linenumber") == F.col("before") + 1, "SUCCESSOR").otherwise("CONTINUATION")
@@ -392,8 +391,6 @@ def locate_exact(spark, sf_dir):
     SELECT l_orderkey, l_linenumber, count(*) AS units, bool_or(l_linenumber = 1 OR n = 1) AS counts_as_first FROM n GROUP BY 1, 2
 """)
 def locate_single_rule(spark, sf_dir):
-    from pyspark.sql import Window
-
     items = Tables(spark, sf_dir).lineitem.withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey")))
     return items.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("units"), F.some((F.col("l_linenumber") == 1) | (F.col("n") == 1)).alias("counts_as_first"))
 
@@ -422,8 +419,6 @@ def sentence_count(spark, sf_dir):
     FROM lineitem JOIN part ON l_partkey = p_partkey
 """)
 def natural_label_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     t = Tables(spark, sf_dir)
     label = F.regexp_extract("p_brand", "([0-9]+[a-z]?)$", 1)
     by = Window.partitionBy("l_orderkey").orderBy(C.label_order(label), "p_partkey", "l_linenumber", "l_suppkey", "l_shipdate")
@@ -647,3 +642,110 @@ def baseline_regression(spark, sf_dir):
     events = Tables(spark, sf_dir).events
     half = lambda k: events.where(F.col("event_id") % 2 == k).groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("applied"), F.count_if(F.col("event_type") == "error").alias("manual"))
     return R.regressions(half(0), half(1), "user_id", ["applied"], ["manual"])
+
+
+# ------------------------------------------------------------- the engine itself
+
+#: An act over documents read as laws of one norm, whose lines are its paragraphs.
+_ACT = """Gesetz zur Änderung des Dokumentgesetzes
+Artikel 1
+Das Dokumentgesetz wird wie folgt geändert:
+1. In § 1 wird das Wort „the“ durch das Wort „these“ ersetzt.
+2. Absatz 9 wird um ein Haar verbogen.
+3. In § 2 wird das Wort „a“ gestrichen.
+"""
+
+
+def _jobs(docs: DataFrame) -> DataFrame:
+    """Each document as a job: a law of one norm, and the act."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    numbered = F.transform(lines, lambda x, k: F.concat(F.lit("("), (k + 1).cast("string"), F.lit(") "), x))
+    base = F.concat(F.lit("Dokumentgesetz\n(Dokumentgesetz – DokG)\n§ 1  Text\n"), F.array_join(numbered, "\n"))
+    null = F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("string").alias("job"), base.alias("base"), F.array(F.lit(_ACT)).alias("docs"), null.alias("article"), F.lit(None).cast("date").alias("as_of"), null.alias("official"))
+
+
+@query(f"""
+    WITH l AS (SELECT doc_id, line AS text FROM {_LINES} WHERE trim(line) <> ''), c AS (SELECT doc_id, {_COUNT} AS n FROM l),
+    d AS (SELECT doc_id, sum((n = 1)::INT) AS one, sum((n > 1)::INT) AS more FROM c GROUP BY doc_id)
+    SELECT doc_id::VARCHAR AS job, 0 AS ord, CASE WHEN one = 1 THEN 'APPLIED' ELSE 'MANUAL' END AS status, CASE WHEN one = 1 THEN NULL WHEN one > 1 OR more > 0 THEN 'AMBIGUOUS' ELSE 'TARGET_MISSING' END AS reason FROM d
+    UNION ALL SELECT doc_id::VARCHAR, 1, 'MANUAL', 'NOT_RECOGNISED' FROM d UNION ALL SELECT doc_id::VARCHAR, 2, 'MANUAL', 'STATE_CONFLICT' FROM d
+""")
+def amend_documents(spark, sf_dir):
+    from lexloom.plans import engine
+
+    return engine.protocol(engine.amend(_jobs(Tables(spark, sf_dir).documents))).select("job", "ord", "status", "reason")
+
+
+@query(f"""
+    WITH l AS (SELECT doc_id, line AS text FROM {_LINES} WHERE trim(line) <> ''), c AS (SELECT doc_id, {_COUNT} AS n FROM l),
+    d AS (SELECT doc_id, sum((n = 1)::INT) AS one, sum((n > 1)::INT) AS more FROM c GROUP BY doc_id)
+    SELECT doc_id::VARCHAR AS job, 3::BIGINT AS commands, (one = 1)::BIGINT AS applied, 3 - (one = 1)::BIGINT AS manual, 0::BIGINT AS deferred,
+        'Befehl nicht erkannt:1; ' || CASE WHEN one = 1 THEN '' WHEN one > 1 OR more > 0 THEN 'Fundstelle mehrdeutig:1; ' ELSE 'Zieltext nicht vorhanden:1; ' END || 'Bestand widerspricht dem Befehl:1' AS reasons FROM d
+""")
+def amend_report(spark, sf_dir):
+    from lexloom.plans import engine
+
+    return engine.report(engine.amend(_jobs(Tables(spark, sf_dir).documents))).select("job", "commands", "applied", "manual", "deferred", "reasons")
+
+
+@query("""
+    SELECT * FROM (VALUES (0, 'renumber § 1 Absatz 2'), (1, 'renumber § 1 Absatz 1'), (2, 'renumber § 7 Nummer 15'), (3, 'renumber § 7 Nummer 14'), (4, 'renumber § 7 Nummer 13'), (5, 'insert_unit § 7 Nummer 12'), (6, 'repeal § 9')) t(place, step)
+""")
+def apply_order(spark, sf_dir):
+    from lexloom.plans.order import steps_in_order
+    from lexloom.plans.recognise import recognise
+
+    texts = ["§ 1 Absatz 1 wird Absatz 2.", "§ 1 Absatz 2 wird Absatz 3.", "§ 7 Nummer 15 wird Nummer 16.", "In § 7 wird nach Nummer 12 folgende Nummer 13 eingefügt: „13. neu,“", "§ 7 Nummer 13 und 14 wird Nummer 14 und 15.", "§ 9 wird aufgehoben."]
+    steps = steps_in_order([recognise(x) for x in texts])
+    return spark.createDataFrame([(k, str(s.command)) for k, s in enumerate(steps)], "place int, step string")
+
+
+@query("""
+    SELECT conv_id, string_agg('(' || place || ') ' || trim(regexp_replace(text, '[ \\t\\n]+', ' ', 'g')), chr(10) ORDER BY place) AS folded, count(*)::INT AS paragraphs
+    FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations) GROUP BY conv_id
+""")
+def chain_fold(spark, sf_dir):
+    from lexloom.plans.fold import append_in_order
+
+    chats = Tables(spark, sf_dir).conversations
+    return append_in_order(chats, "conv_id", "turn", "text")
+
+
+@query()
+def word_diff(spark, sf_dir):
+    from lexloom.plans import synopsis as S
+
+    @F.pandas_udf("old string, new string")
+    def diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([S.word_diff(a or "", b or "") for a, b in zip(old, new, strict=True)], columns=["old", "new"])
+
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = Tables(spark, sf_dir).conversations.withColumn("next", F.lead("text").over(by)).where("next is not null")
+    return pairs.select("conv_id", "turn", diff("text", "next").alias("d")).select("conv_id", "turn", "d.old", "d.new")
+
+
+@query()
+def sentence_split(spark, sf_dir):
+    from lexloom.functions.sentences import sentences
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(sentences(t or "")))
+
+    return Tables(spark, sf_dir).documents.select("doc_id", count("text").alias("sentences"))
+
+
+@query()
+def clean_documents(spark, sf_dir):
+    from lexloom.operators.clean import clean
+
+    cleaned = clean(Tables(spark, sf_dir).documents.select("doc_id", "text"))
+    return cleaned.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), F.size("warnings").alias("n_warnings"))
+
+
+@query()
+def amended_synopsis(spark, sf_dir):
+    from lexloom.plans import engine
+
+    return engine.synopsis(engine.amend(_jobs(Tables(spark, sf_dir).documents))).select("job", "label", "kind", F.length("new_text").alias("n_chars"))
