@@ -146,3 +146,45 @@ def bands(rows: DataFrame, key: str, order: list[str], separator: Column) -> Dat
     """rows with ``band``: how many separators have been seen."""
     by = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("band", F.sum(separator.cast("int")).over(by))
+
+
+def without_small_print(runs: DataFrame, sizes: DataFrame, page: str = "page", size: str = "size", baseline: str = "baseline", much: float = 3.0) -> DataFrame:
+    """runs without footnotes: smaller than the page's body and below its last body line, or smaller by more than ``much`` points."""
+    placed = runs.join(sizes.select(page, "body"), page, "left")
+    last = F.max(F.when(F.col(size) >= F.col("body"), F.col(baseline))).over(Window.partitionBy(page))
+    small = F.col(size) < F.col("body")
+    drop = small & ((F.col("__last").isNotNull() & (F.col(baseline) > F.col("__last"))) | (F.col("body") - F.col(size) > much))
+    return placed.withColumn("__last", last).where(~F.coalesce(drop, F.lit(False))).drop("__last", "body")
+
+
+def raised_digits(runs: DataFrame, page: str = "page", seq: str = "seq", size: str = "size", baseline: str = "baseline", text: str = "text") -> DataFrame:
+    """runs with smaller digits that stand 2 to 6 points above the text before them as superscripts."""
+    from lexloom.functions.columns import to_superscript
+
+    by = Window.partitionBy(page).orderBy(seq)
+    rise = F.lag(baseline).over(by) - F.col(baseline)
+    raised = F.col(text).rlike("^[0-9]+$") & (F.col(size) < F.lag(size).over(by)) & rise.between(2, 6)
+    return runs.withColumn(text, F.when(raised, to_superscript(text)).otherwise(F.col(text)))
+
+
+def paired_columns(lines: DataFrame, page: str = "page", baseline: str = "baseline", x0: str = "x0", text: str = "text", middle: float = 0.0, within: float = 1.0) -> DataFrame:
+    """(page, row, left_text, right_text): lines of two columns whose baselines differ by at most ``within`` are one row."""
+    by = Window.partitionBy(page).orderBy(baseline, x0)
+    starts = F.coalesce(F.col(baseline) - F.lag(baseline).over(by) > within, F.lit(True))
+    rows = lines.withColumn("__new", starts.cast("int")).withColumn("row", F.sum("__new").over(by))
+    side = lambda k: F.array_join(F.array_sort(F.collect_list(F.when((F.col(x0) >= middle) == bool(k), F.struct(x0, text)))).getField(text), " ")
+    return rows.groupBy(page, "row").agg(side(0).alias("left_text"), side(1).alias("right_text"))
+
+
+def resolved_rows(rows: DataFrame, key: str, order: list[str], left: str = "left_text", right: str = "right_text") -> DataFrame:
+    """rows of (draft, resolution) with ``resolved``: "unverändert" takes the left, "entfällt" nothing, other text the right;
+    an empty right keeps the left while the last word on it was that it stays."""
+    r = F.trim(right)
+    unchanged, dropped = r.rlike("unverändert[.]?$"), r.rlike("entfällt[.]?$")
+    flag = F.when(r == "", None).when(unchanged, True).otherwise(False)
+    valid = F.coalesce(F.last(flag, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(True))
+    bare = F.regexp_replace(F.trim(left), r"^([0-9]+[a-z]?\.|[a-z]+\)|\([0-9]+\))[ ]*", "")
+    mark = F.regexp_extract(r, r"^([0-9]+[a-z]?\.|[a-z]+\)|\([0-9]+\))", 1)
+    kept = F.when(mark == "", F.trim(left)).otherwise(F.concat_ws(" ", mark, bare))
+    text = F.when((r == "") & F.col("__v"), F.trim(left)).when(r == "", "").when(unchanged, kept).when(dropped, "").otherwise(r)
+    return rows.withColumn("__v", valid).withColumn("resolved", text).drop("__v")

@@ -255,6 +255,51 @@ def quote_depth(spark, sf_dir):
     return L.quote_depth(L.lines_of(Tables(spark, sf_dir).documents))
 
 
+@query("""
+    WITH b AS (SELECT l_suppkey AS page, max(l_linenumber) - 1 AS body FROM lineitem GROUP BY 1),
+    p AS (SELECT l_suppkey AS page, l_linenumber AS size, l_quantity AS baseline, body, max(CASE WHEN l_linenumber >= body THEN l_quantity END) OVER (PARTITION BY l_suppkey) AS last FROM lineitem JOIN b ON l_suppkey = page)
+    SELECT page, count(*) AS kept FROM p WHERE NOT (size < body AND (coalesce(baseline > last, false) OR body - size > 3)) GROUP BY page
+""")
+def small_print(spark, sf_dir):
+    runs = Tables(spark, sf_dir).lineitem.select(F.col("l_suppkey").alias("page"), F.col("l_linenumber").alias("size"), F.col("l_quantity").alias("baseline"))
+    sizes = runs.groupBy("page").agg((F.max("size") - 1).alias("body"))
+    return L.without_small_print(runs, sizes).groupBy("page").agg(F.count("*").alias("kept"))
+
+
+@query("""
+    WITH r AS (SELECT *, coalesce(l_extendedprice - lag(l_extendedprice) OVER w > 40, true)::INT AS fresh FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_partkey)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_partkey) AS row FROM r)
+    SELECT l_suppkey AS page, row::BIGINT AS row, coalesce(string_agg(l_returnflag, ' ' ORDER BY l_partkey, l_returnflag) FILTER (WHERE l_partkey < 1000), '') AS left_text,
+        coalesce(string_agg(l_returnflag, ' ' ORDER BY l_partkey, l_returnflag) FILTER (WHERE l_partkey >= 1000), '') AS right_text FROM s GROUP BY 1, 2
+""")
+def column_pairs(spark, sf_dir):
+    lines = Tables(spark, sf_dir).lineitem.select(F.col("l_suppkey").alias("page"), F.col("l_extendedprice").alias("baseline"), F.col("l_partkey").alias("x0"), F.col("l_returnflag").alias("text"))
+    return L.paired_columns(lines, middle=1000, within=40)
+
+
+@query("""
+    WITH t AS (SELECT user_id, event_id, event_id || '. ' || event_type AS l, CASE event_type WHEN 'view' THEN 'unverändert' WHEN 'error' THEN 'entfällt' WHEN 'signup' THEN 'neu ' || event_id ELSE '' END AS r FROM events),
+    v AS (SELECT *, coalesce(last_value(CASE r WHEN '' THEN NULL WHEN 'unverändert' THEN true ELSE false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), true) AS valid FROM t)
+    SELECT event_id, CASE WHEN r = '' AND valid THEN l WHEN r = '' THEN '' WHEN r = 'unverändert' THEN l WHEN r = 'entfällt' THEN '' ELSE r END AS resolved FROM v
+""")
+def committee_resolution(spark, sf_dir):
+    event, number = F.col("event_type"), F.col("event_id").cast("string")
+    right = F.when(event == "view", "unverändert").when(event == "error", "entfällt").when(event == "signup", F.concat(F.lit("neu "), number)).otherwise("")
+    rows = Tables(spark, sf_dir).events.select("user_id", "event_id", F.concat(number, F.lit(". "), event).alias("left_text"), right.alias("right_text"))
+    return L.resolved_rows(rows, "user_id", ["event_id"]).select("event_id", "resolved")
+
+
+@query("""
+    WITH w AS (SELECT event_id, event_type, value, lag(value) OVER b AS v, lag(length(event_type)) OVER b AS s FROM events WINDOW b AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT event_id, CASE WHEN length(event_type) < s AND v - value BETWEEN 2 AND 6 THEN translate(event_id::VARCHAR, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') ELSE event_id::VARCHAR END AS text FROM w
+""")
+def superscript_recovery(spark, sf_dir):
+    runs = Tables(spark, sf_dir).events.select(
+        F.col("user_id").alias("page"), "event_id", F.length("event_type").alias("size"), F.col("value").alias("baseline"), F.col("event_id").cast("string").alias("text")
+    )
+    return L.raised_digits(runs, seq="event_id").select("event_id", "text")
+
+
 # --------------------------------------------------- classification, routing
 
 

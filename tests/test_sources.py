@@ -98,3 +98,20 @@ def test_command_line(tmp_path, capsys):
     assert main([str(base)]) == 1
     act.write_text(ACT.replace("Probe“", "Fehlt“").replace("Absatz 2 wird auf", "Absatz 9 wird auf").replace("Nach § 2", "Nach § 9"))
     assert main([str(base), str(act)]) == 2
+
+
+def test_references(tmp_path, monkeypatch):
+    from lexloom.sources import locate
+
+    monkeypatch.setenv("XDG_CACHE_HOME", str(tmp_path / "cache"))
+    (tmp_path / "law.txt").write_text("x")
+    assert locate.fetch(str(tmp_path / "law.txt")) == b"x"
+    asked = []
+    get = lambda url: asked.append(url) or b"data"
+    assert locate.fetch("gii:BGB Test", "https://portal.example/", get) == locate.fetch("gii:BGB Test", "https://portal.example/", get) == b"data"
+    assert asked == ["https://portal.example/bgb_test/xml.zip"]  # the second time from the cache
+    with pytest.raises(FileNotFoundError):
+        locate.fetch("fehlt.txt")
+    assert locate.pick(["bgb_2", "zpo"], "bgb") == "bgb_2"
+    with pytest.raises(LookupError, match="2 entries"):
+        locate.pick(["bgb", "bgb_2"], "bgb")
