@@ -91,7 +91,7 @@ _SKIP = re.compile(
     r"dieses Gesetzes|dieser Verordnung|des Gesetzes|der Verordnung|des Rahmens|Angaben? zu[rm]?|Wortlaut(?:s|es)?|In|Im|An|Am|Der|Die|Das|Dem|Den|Des|Zu|Nach|nach|vor|Vor)(?![\wäöüß])"
 )
 _CHAPEAU = re.compile(
-    r"(?:,? ?(?:im |in dem |dem |der |den |die )?(?:Satzteil|Einleitungssatz|Einleitung|einleitende[nr]? Satzteil|Teilsatz|Wortlaut) ?(?:vor (?:der )?(?:Nummer|Nr\.|Buchstabe) ?(?:\w+)?)?)"
+    r"(?:,? ?(?:im |in dem |dem |der |den |die )?(?:Satzteil|Einleitungssatz|Einleitung|einleitende[nr]? Satzteil|Teilsatz|Wortlaut|Angabe) ?(?:vor (?:der )?(?:Nummer|Nr\.|Buchstabe) ?(?:\w+)?)?)"
 )
 _TOKEN = re.compile(r"\s+")
 
@@ -195,6 +195,8 @@ def parse_many(phrase: str) -> list[Locator]:
             elif current is None:
                 current = [token]
                 out.append(current)
+            elif token.kind == current[-1].kind and token.kind in (NORM, PARA, SENTENCE, HALF, NUMBER):
+                return []  # "Absatz 3 Absatz 4" names nothing
             else:
                 current.append(token)
             fresh = False
@@ -216,6 +218,11 @@ def parse_many(phrase: str) -> list[Locator]:
     return [tuple(x) for x in out]
 
 
+def names_nothing(phrase: str) -> bool:
+    """Whether a phrase is understood but has no unit of its own, like "im Satzteil vor Nummer 1" or "dem Wortlaut"."""
+    return _tokens(phrase) == []
+
+
 def parse(phrase: str) -> Locator | None:
     """The one unit that a phrase names; None if it names several, or is not understood."""
     found = parse_many(phrase)

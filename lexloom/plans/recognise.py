@@ -51,7 +51,7 @@ class Clause:
 
     def at(self, phrase: str | None) -> list[L.Locator]:
         """The locators of a phrase within the context; the context alone without a phrase."""
-        if phrase is None or not phrase.strip():
+        if phrase is None or not phrase.strip() or self.context and L.names_nothing(phrase):
             return [self.context]
         return [L.within(self.context, x) for x in L.parse_many(phrase)]
 
@@ -97,10 +97,18 @@ def _reference(c, m):
     return Command("refer", (L.Part(L.TOC),))
 
 
+@rule("reference to a point", r"^Die Inhaltsübersicht wird entsprechend der (?:vorstehenden |vorgenannten )?(Nummer.+?|Nr\..+?) geändert$")
+def _reference_to_point(c, m):
+    return Command("refer", (L.Part(L.TOC),), text=L.point_path(m[1]))
+
+
+@rule("toc replaced", rf"^Die Inhaltsübersicht {_BE} durch (?:die )?folgende Inhaltsübersicht ersetzt: {_Q}$")
+def _toc_replaced(c, m):
+    return Command("redraft", (L.Part(L.TOC),), text=c.quote(m[1]))
+
+
 @rule("toc insert", rf"^(?:In der Inhaltsübersicht {_BE} )?([Nn]ach|[Vv]or) (?:der|den) Angaben? zu[rm]? (.+?) {_BE}? ?(?:die )?folgende(?:n)? Angaben? (?:zu .+? )?eingefügt: {_Q}$")
 def _toc_insert(c, m):
-    if "Inhaltsübersicht" not in m[0] and not L.has(c.context, L.TOC):
-        return None
     found = L.parse_many(m[2])
     at = (L.Part(L.TOC), *found[-1]) if found else None
     return at and Command("insert_unit", at, before=m[1].lower() == "vor", text=c.quote(m[3]), level=L.NORM)
@@ -113,8 +121,6 @@ def _toc_append(c, m):
 
 @rule("toc entry", rf"^(?:In der Inhaltsübersicht {_BE} )?[Dd]ie Angaben? zu[rm]? (.+?) (?:{_BE} )?(?:wie folgt gefasst|durch (?:die )?folgenden? Angaben?(?: zu .+?)? ersetzt|erhält folgende Fassung|durch die Angabe): {_Q}$")
 def _toc_entry(c, m):
-    if "Inhaltsübersicht" not in m[0] and not L.has(c.context, L.TOC):
-        return None
     found = [(L.Part(L.TOC), *x) for x in L.parse_many(m[1])]
     if not found:
         return None
@@ -123,23 +129,21 @@ def _toc_entry(c, m):
 
 @rule("toc repeal", rf"^(?:In der Inhaltsübersicht {_BE} )?[Dd]ie Angaben? zu[rm]? ([^«]+?) (?:{_BE} )?(?:gestrichen|aufgehoben)$")
 def _toc_repeal(c, m):
-    if "Inhaltsübersicht" not in m[0] and not L.has(c.context, L.TOC):
-        return None
     return joined([Command("repeal", (L.Part(L.TOC), *x)) for x in L.parse_many(m[1])])
 
 
 # ------------------------------------------------------------------- redrafts
 
 
-@rule("norms redrafted", rf"^(?:Die )?§§ ([^«]+?) werden wie folgt gefasst: {_Q}$")
+@rule("norms redrafted", rf"^(?:Die )?(?:bisherigen )?§§ ([^«]+?) (?:werden wie folgt (?:neu )?gefasst|erhalten (?:die )?folgende Fassung): ?{_Q}$")
 def _norms_redraft(c, m):
     found = c.at("§§ " + m[1])
     if len(found) < 2:
         return None
-    return Command("replace_units", found[0], to=found[-1], level=L.NORM, text=c.quote(m[2]))
+    return Command("replace_units", found[0], to=found[-1], level=L.NORM, text=c.quote(m[2]), labels=tuple(str(x[-1]) for x in found))
 
 
-@rule("redraft", rf"^(.*?) ?(?:{_BE} (?:jeweils )?wie folgt (?:neu )?gefasst|{_BE} neu gefasst|erh(?:ält|alten) (?:jeweils )?(?:die )?folgende Fassung|lautet(?: nun| künftig)? wie folgt|{_BE} wie folgt ersetzt): ?{_Q}$")
+@rule("redraft", rf"^(.*?) ?(?:(?:{_BE} )?(?:jeweils )?[Ww]ie folgt (?:neu )?gefasst|{_BE} neu gefasst|erh(?:ält|alten) (?:jeweils )?(?:die )?folgende Fassung|lautet(?: nun| künftig)? wie folgt|{_BE} wie folgt ersetzt): ?{_Q}$")
 def _redraft(c, m):
     found = c.at(m[1])
     if not found:
@@ -156,7 +160,7 @@ def _text_becomes(c, m):
     return Command("text_to_para" if m[3].startswith("Abs") else "text_to_sentence", at[0], label=m[4]) if len(at) == 1 and at[0] else None
 
 
-@rule("footnote", r"^(?:In (.+?) (?:wird|werden) )?[Dd]ie Fußnoten? ([\d⁰¹²³⁴⁵⁶⁷⁸⁹]+(?:(?:, | und )[\d⁰¹²³⁴⁵⁶⁷⁸⁹]+)*)\)?(?: zu (.+?))? (?:wird |werden )?(?:aufgehoben|gestrichen)$")
+@rule("footnote", r"^(?:In (.+?) (?:wird|werden) )?(?:[Dd]ie )?Fußnoten? ([\d⁰¹²³⁴⁵⁶⁷⁸⁹]+(?:(?:, | und )[\d⁰¹²³⁴⁵⁶⁷⁸⁹]+)*)\)?(?: zu (.+?))? (?:wird |werden )?(?:aufgehoben|gestrichen)$")
 def _footnote(c, m):
     from lexloom.functions.sentences import to_number
 
@@ -178,6 +182,11 @@ def _heading(c, m):
     return _each(c, m[1], lambda x: Command("redraft", x, text=c.quote(m[2])))
 
 
+@rule("heading replaced in", rf"^(?:In|Im) (.+?) {_BE} die Überschrift (?:durch (?:die )?folgende Überschrift ersetzt|wie folgt gefasst): {_Q}$")
+def _heading_in(c, m):
+    return _each(c, m[1], lambda x: Command("redraft", (*x, L.Part(L.HEADING)), text=c.quote(m[2])))
+
+
 @rule("division headings inserted", rf"^(Nach|Vor) (.+?) (?:wird|werden) (?:die |der )?folgende[nr]? (?:Überschrift(?:en)?|(?:Teil|Kapitel|Abschnitts?|Unterabschnitts?)(?:s?überschrift(?:en)?)?)(?: \w+)? eingefügt: {_Q}$")
 def _division_insert(c, m):
     at = c.at(m[2])
@@ -224,13 +233,13 @@ def _mark_replaced(c, m):
     return _each(c, m[1] or m[4], lambda x: Command("replace", x, MARKS[m[2]], new, at_end=at_end) if x else None) if c.at(m[1] or m[4])[:1] not in ([], [()]) else None
 
 
-@rule("words replaced", rf"^(?:In|Im|An|Am Ende)(?: (?:der|dem|den))? ?(.*?) {_BE} (jeweils )?(?:am Ende )?(?:nach (?:{_WORD} )?{_Q} )?(?:{_WORD} )?{_Q} (jeweils )?durch (.+?) (?:jeweils )?ersetzt$")
+@rule("words replaced", rf"^(?:In|Im|An|Am Ende)(?: (?:der|dem|den))? ?(.*?) {_BE} (jeweils )?(?:am Ende )?(?:nach (?:{_WORD} )?{_Q} )?(?:{_WORD} )?{_Q} (am Ende )?(jeweils )?durch (.+?) (?:jeweils )?ersetzt$")
 def _replaced(c, m):
-    new = _new_of(c, m[6])
+    new = _new_of(c, m[7])
     if new is None:
         return None
-    each = bool(m[2] or m[5])
-    return _each(c, m[1], lambda x: Command("replace", x, c.words(m[4]), new, each=each))
+    each = bool(m[2] or m[6])
+    return _each(c, m[1], lambda x: Command("replace", x, c.words(m[4]), new, each=each, at_end=bool(m[5])))
 
 
 @rule("words replaced without place", rf"^(Jeweils )?(?:(?:[Dd]as|[Dd]ie|[Dd]er|[Dd]en) )?(?:{_WORD} )?{_Q} {_BE} (jeweils )?durch (.+?) (jeweils )?ersetzt$")
@@ -264,7 +273,12 @@ def _inserted_here(c, m):
     return Command("insert_words", c.context, anchor=("before" if m[1].lower() == "vor" else "after", c.words(m[2])), text=new)
 
 
-@rule("words and mark before the full stop", rf"^(?:In|Im|Dem|Der) ?(.*?) {_BE} vor dem (?:abschließenden )?Punkt(?: am Ende)? (ein Komma und )?(?:{_WORD} )?{_Q} eingefügt$")
+@rule("words prepended", rf"^(?:(?:In|Im) (.+?) {_BE} )?[Dd]e[mnr] {_WORD[_WORD.index(')?(?:Worte') + 2:]} {_Q} (?:{_BE} )?(?:{_WORD} )?{_Q} vorangestellt$")
+def _words_prepended(c, m):
+    return _each(c, m[1], lambda x: Command("insert_words", x, anchor=("before", c.words(m[2])), text=c.words(m[3])) if x else None) if c.at(m[1])[:1] not in ([], [()]) else None
+
+
+@rule("words and mark before the full stop", rf"^(?:In|Im|Dem|Der) ?(.*?) {_BE} vor dem (?:abschließenden )?Punkt(?: am Ende)? (ein Komma und (?:werden |wird )?)?(?:{_WORD} )?{_Q} eingefügt$")
 def _before_stop(c, m):
     new = f", {c.words(m[3])}." if m[2] else f" {c.words(m[3])}."
     return _each(c, m[1], lambda x: Command("replace", x, ".", new, at_end=True))
@@ -310,7 +324,18 @@ def _unit(c, m):
 def _prepended(c, m):
     labels = _block_labels(m[3])
     at = c.at(m[1])
-    return Command("prepend", at[0], level=level_of(m[2]), label=labels[0] if len(labels) == 1 else None, text=c.quote(m[4])) if len(at) == 1 and at[0] else None
+    if len(at) != 1 or not at[0]:
+        return None
+    level, label = level_of(m[2]), labels[0] if len(labels) == 1 else None
+    if at[0][-1].kind == level:
+        return Command("insert_unit", at[0], level=level, label=label, before=True, text=c.quote(m[4]))
+    return Command("prepend", at[0], level=level, label=label, text=c.quote(m[4]))
+
+
+@rule("prepended here", rf"^(?:Es {_BE} )?(?:[Dd]ie )?[Ff]olgende[rns]? {_LEVEL}{_LABELS} (?:{_BE} )?vorangestellt: ?{_Q}$")
+def _prepended_here(c, m):
+    labels = _block_labels(m[2])
+    return Command("prepend", c.context, level=level_of(m[1]), label=labels[0] if len(labels) == 1 else None, text=c.quote(m[3])) if c.context else None
 
 
 @rule("inserted without anchor", rf"^(?:(?:In|Im) (.+?) {_BE}|Es {_BE})? ?(?:[Ff]olgende[rns]?|{_NEXT}) {_LEVEL}{_LABELS} (?:{_BE} )?eingefügt: ?{_Q}$")
@@ -410,8 +435,8 @@ def _renumbered(c, m):
     if len(old) != len(new):
         return Command("renumber_range", old[0], labels=tuple(x[-1].value for x in old), new_labels=tuple(x[-1].value for x in new))
     pairs = list(zip(old, new, strict=True))
-    if len(pairs) > 1 and natural(pairs[0][1][-1].value) > natural(pairs[0][0][-1].value):
-        pairs.reverse()
+    if old[0][-1].kind != L.NORM:
+        pairs.reverse()  # from the end, so that labels do not collide; norms are put in order by what depends on what
     return joined([Command("renumber", a, to=(*a[:-1], b[-1])) for a, b in pairs])
 
 
@@ -447,8 +472,18 @@ def mask(text: str) -> tuple[str, list[str]]:
     return "".join(out), quotes
 
 
+def _outside_mark(text: str, quotes: list[str]) -> tuple[str, list[str]]:
+    """A mark that is printed before the quote that it belongs to is put into it."""
+    m = re.search(r": ((?:\d+[a-z]?\.|[a-z]{1,3}\)|\(\d+[a-z]?\))) «(\d+)»[.,;]?$", text)
+    if not m:
+        return text, quotes
+    k = int(m[2])
+    return f"{text[: m.start()]}: «{k}»", [f"{m[1]} {q.lstrip()}" if j == k else q for j, q in enumerate(quotes)]
+
+
 def _tidy(text: str) -> str:
     text = re.sub(r"\s+", " ", text).strip()
+    text = re.sub(rf"durch (?:die )?folgenden?s? (?:Wörter|Wort) ersetzt: («\d+»)", r"durch die Wörter \1 ersetzt", text)
     text = re.sub(r"(«\d+»)[.,;]?$", r"\1", text)
     return re.sub(r"[.;,]$", "", text).strip()
 
@@ -488,6 +523,8 @@ _VERB = re.compile(r"(?:aufgehoben|gestrichen|ersetzt|eingefügt|angefügt|gefas
 
 def _subject(found: Command) -> L.Locator:
     last = found.parts[-1] if found.kind == "compound" else found
+    if last.kind == "text_to_para":
+        return (*last.at, L.Part(L.PARA, last.label or "1"))
     return last.to if last.kind == "renumber" else last.at
 
 
@@ -513,13 +550,22 @@ def _right(c: Clause, first: Command, left: str) -> Command | None:
     subject = _subject(first)
     text = c.text[:1].upper() + c.text[1:]
     loose = re.match(r"(?:Der|Das|Den) (?:Punkt|Komma|Semikolon)", text)
-    renumbered = first.kind == "renumber" or first.kind == "compound" and first.parts[-1].kind == "renumber"
+    last = first.parts[-1] if first.kind == "compound" else first
+    renumbered = last.kind in ("renumber", "text_to_para")
     candidates = [(text, subject if renumbered and loose else c.context)]
+    place = re.match(rf"((?:In|Im) .+? {_BE}) ", left)
+    if place and re.match(r"(?:[Ff]olgende|[Dd]ie folgenden)", text):
+        candidates.insert(0, (f"{place[1]} {c.text}", c.context))
+    if renumbered and subject[-1].kind in (L.PARA, L.NORM) and (m := re.match(rf"(?:In|Im) (.+?) {_BE} ", text)):
+        own = L.parse_many(m[1])
+        if own and L.RANK[own[0][0].kind] > L.RANK[subject[-1].kind]:
+            candidates.insert(0, (text, subject))  # a finer place lies in the unit just renumbered
     if m := re.match(r"[Ii]n (?:ihr|ihm|diese[rm]) ((?:wird|werden) .*)", text):
         candidates.insert(0, (f"In {L.show(subject[-1:])} {m[1]}", subject[:-1]))
     if m := re.match(r"(?:wird|werden) (.*)", c.text):
         candidates.append((m[1][:1].upper() + m[1][1:], subject))
-    place = re.match(rf"((?:In|Im) .+? {_BE}) ", left)
+        if place:
+            candidates.append((f"{place[1]} {m[1]}", c.context))
     if place and not re.match(r"(?:In|Im|Nach|Vor) ", text) or place and re.match(r"(?:Nach|Vor) (?:dem|der|den) W", text):
         candidates.append((f"{place[1]} {c.text}", c.context))
     if renumbered or not re.match(r"(?:In|Im) ", text):
@@ -535,8 +581,14 @@ def _right(c: Clause, first: Command, left: str) -> Command | None:
 def recognise_masked(text: str, quotes: list[str], context: L.Locator = L.EMPTY) -> Command | None:
     if len(text) > LONGEST:
         return None
+    text, quotes = _outside_mark(re.sub(r"\s+", " ", text).strip(), quotes)
     clause = Clause(_tidy(text), quotes, context)
     found = _single(clause)
+    if found is None and (m := re.match(r"^(.+?) (?:und|sowie) (?:wird |werden )?wie folgt geändert: (.+)$", clause.text)):
+        first = _single(Clause(m[1], quotes, context))
+        second = first and recognise_masked(m[2][:1].upper() + m[2][1:], quotes, _subject(first))
+        if second is not None:
+            return joined([p for x in (first, second) for p in (x.parts if x.kind == "compound" else (x,))])
     if found is None and (m := re.match(rf"^(.+?) {_BE} wie folgt geändert: (.+)$", clause.text)):
         inner = L.parse_many(m[1])
         if len(inner) == 1:

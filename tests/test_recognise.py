@@ -56,7 +56,7 @@ COMPOUNDS = [
     ("In § 1 wird nach dem Wort „x“ das Wort „y“ eingefügt und das Wort „z“ gestrichen.", "", [("insert_words", "§ 1"), ("strike", "§ 1")]),
     ("§ 3 Absatz 2 und 3 wird aufgehoben.", "", [("repeal", "§ 3 Absatz 3"), ("repeal", "§ 3 Absatz 2")]),
     ("In Nummer 5 wird der Punkt am Ende durch ein Komma ersetzt und folgende Nummer 6 angefügt: „6. neu.“", "§ 4 Absatz 2", [("replace", "§ 4 Absatz 2 Nummer 5"), ("append", "§ 4 Absatz 2")]),
-    ("Die §§ 4 bis 6 werden die §§ 5 bis 7.", "", [("renumber", "§ 6"), ("renumber", "§ 5"), ("renumber", "§ 4")]),
+    ("Die §§ 4 bis 6 werden die §§ 5 bis 7.", "", [("renumber", "§ 4"), ("renumber", "§ 5"), ("renumber", "§ 6")]),
 ]
 
 
@@ -78,3 +78,41 @@ def test_a_quote_is_never_read_as_a_command():
 
 def test_frames():
     assert frame("§ 8 Absatz 1 wird wie folgt geändert:") == L.parse("§ 8 Absatz 1") and frame("Absatz 3 wird aufgehoben.") is None
+
+
+MORE = [
+    ("Nummer 3 wird durch die folgende Nummer 3 ersetzt: 3. „ die Regeln gelten.“", "§ 1", "redraft", {"text": "3. die Regeln gelten."}),
+    ("In Absatz 2 wird Satz 1 wie folgt gefasst: „Neu.“", "§ 5", "redraft", {"at": L.parse("§ 5 Absatz 2 Satz 1")}),
+    ("In der Angabe vor Nummer 1 wird die Angabe „1“ durch die Angabe „2“ ersetzt.", "§ 4 Absatz 1", "replace", {"at": L.parse("§ 4 Absatz 1")}),
+    ("In Nummer 7 wird das Wort „oder“ am Ende durch ein Komma ersetzt.", "§ 1", "replace", {"at_end": True, "new": ","}),
+    ("In Absatz 3 wird vor dem Punkt am Ende ein Komma und werden die Wörter „oder mehr“ eingefügt.", "§ 8", "replace", {"old": ".", "new": ", oder mehr.", "at_end": True}),
+    ("Der Nummer 1 wird folgende Nummer 1 vorangestellt: „1. neu,“.", "§ 6", "insert_unit", {"before": True}),
+    ("Dem Wortlaut werden die folgenden Absätze 1 und 2 vorangestellt: „(1) A. (2) B.“", "§ 6", "prepend", {"level": L.PARA}),
+    ("Die Inhaltsübersicht wird durch die folgende Inhaltsübersicht ersetzt: „Inhaltsübersicht § 1 Neu“.", "", "redraft", {"at": L.parse("Inhaltsübersicht")}),
+    ("Die Angaben zu den §§ 3 bis 5 werden durch die folgenden Angaben ersetzt: „§ 3 A“.", "Inhaltsübersicht", "replace_units", {"to": L.parse("Inhaltsübersicht § 5")}),
+    ("Die §§ 3 bis 5 werden wie folgt gefasst: „§ 3 A § 4 B § 5 C“", "", "replace_units", {"labels": ("§ 3", "§ 4", "§ 5")}),
+    ("Die bisherigen §§ 9 bis 12 werden die §§ 8 bis 10.", "", "renumber_range", {"new_labels": ("8", "9", "10")}),
+]
+
+
+@pytest.mark.parametrize(("text", "context", "kind", "fields"), MORE)
+def test_more_forms(text, context, kind, fields):
+    c = read(text, context)
+    assert c is not None and c.kind == kind and {k: getattr(c, k) for k in fields} == fields
+
+
+@pytest.mark.parametrize(
+    ("text", "last"),
+    [
+        ("Der bisherige Absatz 8 wird Absatz 9 und in Satz 3 wird die Angabe „a“ durch die Angabe „b“ ersetzt.", "§ 5 Absatz 9 Satz 3"),
+        ("Der bisherige Wortlaut wird Absatz 1 und in Satz 2 wird das Wort „a“ gestrichen.", "§ 5 Absatz 1 Satz 2"),
+        ("Die bisherige Nummer 1 wird Nummer 2 und in ihr wird das Wort „a“ gestrichen.", "§ 5 Nummer 2"),
+        ("Die bisherige Nummer 6 wird Nummer 5 und wird wie folgt geändert: Die Angabe „a“ wird durch die Angabe „b“ ersetzt.", "§ 5 Nummer 5"),
+        ("Die bisherige Nummer 3 wird Nummer 4 und wird wie folgt gefasst: 4. „ neu.“", "§ 5 Nummer 4"),
+        ("In Satz 2 wird der Punkt durch einen Strichpunkt ersetzt und folgender Halbsatz angefügt: „neu.“", "§ 5 Satz 2"),
+        ("In Buchstabe a wird das Wort „a“ durch das Wort „b“ ersetzt, wird dem Wort „c“ das Wort „d“ vorangestellt und wird das Wort „e“ gestrichen.", "§ 5 Buchstabe a"),
+    ],
+)
+def test_a_clause_inherits_its_place(text, last):
+    c = read(text, "§ 5")
+    assert c is not None and c.kind == "compound" and L.show(c.parts[-1].at) == last
