@@ -79,6 +79,11 @@ def steps_of(commands: list[Command]) -> list[Step]:
     return out
 
 
+def _last(step: Step) -> bool:
+    """A reference to what other commands did comes after them."""
+    return step.command.kind == "refer"
+
+
 def _flat(c: Command) -> list[Command]:
     return [x for p in c.parts for x in _flat(p)] if c.kind == "compound" else [c]
 
@@ -105,4 +110,4 @@ def steps_in_order(commands: list[Command]) -> list[Step]:
             seen.add(k)
             stack.append((k, True))
             stack += [(j, False) for j in sorted({j for x in held[k] for j in by_label.get(x, ())}, reverse=True) if j not in seen]
-    return out
+    return sorted(out, key=_last)

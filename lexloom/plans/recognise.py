@@ -187,13 +187,13 @@ def _heading_in(c, m):
     return _each(c, m[1], lambda x: Command("redraft", (*x, L.Part(L.HEADING)), text=c.quote(m[2])))
 
 
-@rule("division headings inserted", rf"^(Nach|Vor) (.+?) (?:wird|werden) (?:die |der )?folgende[nr]? (?:Überschrift(?:en)?|(?:Teil|Kapitel|Abschnitts?|Unterabschnitts?)(?:s?überschrift(?:en)?)?)(?: \w+)? eingefügt: {_Q}$")
+@rule("division headings inserted", rf"^(Nach|Vor) (.+?) (?:wird|werden) (?:die |der )?folgende[nr]? (?:Überschrift(?:en)?(?: zu .+?)?|(?:Teil|Kapitel|Abschnitts?|Unterabschnitts?)(?:s?überschrift(?:en)?)?)(?: \w+)? eingefügt: {_Q}$")
 def _division_insert(c, m):
     at = c.at(m[2])
     return Command("division_headings", at[0], before=m[1] == "Vor", text=c.quote(m[3])) if len(at) == 1 and L.has(at[0], L.NORM) else None
 
 
-@rule("division headings replaced", rf"^Die Überschrift(?:en)? (?:des|der|von) (.+?) (?:wird|werden) durch (?:die )?folgenden (?:Überschriften|Gliederungsüberschriften) ersetzt: {_Q}$")
+@rule("division headings replaced", rf"^Die (?:bisherigen )?Überschrift(?:en)? (?:des|der|von|zu|zum) (.+?) (?:wird|werden) durch (?:die )?folgenden? (?:Überschrift(?:en)?|Gliederungsüberschriften)(?: zu .+?)? ersetzt: {_Q}$")
 def _division_replace(c, m):
     at = c.at(m[1])
     return Command("division_headings", at[0], text=c.quote(m[2])) if len(at) == 1 and at[0][-1].kind == L.DIVISION else None

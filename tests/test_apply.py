@@ -176,3 +176,64 @@ def test_official_sentence_numbers():
 def test_locators_without_a_norm_fail():
     _, entries = apply_all(read_law(LAW), [recognise("Absatz 3 wird aufgehoben.")])
     assert entries[0].reason == "PLACE_NOT_FOUND" and L.show(entries[0].command.at) == "Absatz 3"
+
+
+def test_a_reference_follows_the_cited_point_and_says_what_it_cannot():
+    from lexloom.plans.compile import compile_act
+
+    act = "Artikel 1\nDas Probegesetz wird wie folgt geändert:\n1. Die Inhaltsübersicht wird entsprechend der {} geändert.\n2. Die Überschrift des § 1 wird wie folgt gefasst: „§ 1 Ziel“.\n3. In § 2 Satz 2 wird das Wort „sorgfältig“ gestrichen.\n"
+    law = read_law(LAW)
+    new, entries = apply_all(law, compile_act(act.format("Nummer 2"), law).commands)
+    assert [e.status for e in entries] == [APPLIED] * 3, [e.prose for e in entries]
+    assert para(new, "Inhaltsübersicht", 0).startswith("§ 1 | Ziel\n")
+    for point, reason in (("Nummer 3", "UNSUPPORTED"), ("Nummer 9", "PLACE_NOT_FOUND")):
+        assert apply_all(law, compile_act(act.format(point), law).commands)[1][0].reason == reason
+
+
+def test_division_headings_are_inserted_and_replaced():
+    new, entries = run("Nach § 2 werden die folgenden Überschriften zu Teil 3 und zu Teil 3 Abschnitt 1 eingefügt: „Teil 3 Neues Abschnitt 1 Grundsätze“.")
+    assert entries[0].status == APPLIED, entries
+    assert [d.label for d in new.divisions] == ["Abschnitt 1", "Teil 3", "Abschnitt 1", "Abschnitt 2"]
+    new, entries = run("Die bisherigen Überschriften zu Abschnitt 2 werden durch die folgende Überschrift zu Teil 2 ersetzt: „Teil 2 Schluss jetzt“.")
+    assert entries[0].status == APPLIED and new.divisions[1].label == "Teil 2" and new.divisions[new.norm("§ 3").division].title == "Schluss jetzt"
+
+
+def test_a_companion_stays_in_its_place_when_its_renumbering_moves_ahead():
+    law = "Gesetz\n§ 1  A\n(1) Es umfasst\n  1. die rasche Anmeldung,\n  2. die Prüfung und\n  3. die rasche Bestätigung."
+    new, entries = run(
+        "§ 1 Absatz 1 Nummer 2 wird Nummer 3.",
+        "In § 1 Absatz 1 werden die Wörter „die rasche Anmeldung“ durch die Wörter „die Anmeldung“ ersetzt.",
+        "Die bisherige § 1 Absatz 1 Nummer 3 wird Nummer 4 und das Wort „rasche“ wird gestrichen.",
+        law=law,
+    )
+    assert [e.status for e in entries] == [APPLIED] * 3, [e.prose for e in entries]
+    assert para(new, "§ 1", 0) == "Es umfasst\n  1. die Anmeldung,\n  3. die Prüfung und\n  4. die Bestätigung."
+
+
+def test_a_whole_list_goes_without_placeholders_and_ranges_skip_what_is_repealed():
+    new, _ = run("§ 1 Absatz 2 Nummer 1 bis 3 wird aufgehoben.")
+    assert para(new, "§ 1", 1) == "Die Probe umfasst"
+    law = "Gesetz\n§ 1  A\nEins.\n§ 2  B\nZwei.\n§ 3  (weggefallen)\n§ 4  C\nVier."
+    new, entries = run("Die bisherigen §§ 2 bis 4 werden die §§ 2 und 3.", law=law)
+    assert entries[0].status == APPLIED, entries
+    assert [(n.label, n.title) for n in new.norms] == [("§ 1", "A"), ("§ 2", "B"), ("§ 3", "C")]
+    assert run("Die bisherigen §§ 1 bis 4 werden die §§ 1 und 2.", law=law)[1][0].reason == "BAD_RANGE"
+
+
+def test_footnotes_and_sentence_numbers():
+    law = "Gesetz\nArt. 1  A\n(1) ¹Die Probe⁶) ist Zweck. ²Sie ist kurz.\n⁶) Anmerkung\n(2) ¹Eins ist. ²Zwei ist.\nArt. 2  B\nOhne Nummer; sie endet."
+    new, entries = run("In Art. 1 wird die Fußnote 6 aufgehoben.", "In Art. 1 Abs. 2 Satz 1 wird die Satznummerierung „1“ gestrichen.", "Dem Art. 2 werden die folgenden Abs. 1 und 2 vorangestellt: „(1) A. (2) B.“", law=law)
+    assert [e.status for e in entries] == [APPLIED] * 3, [e.prose for e in entries]
+    assert para(new, "Art. 1", 0) == "¹Die Probe ist Zweck. ²Sie ist kurz." and para(new, "Art. 1", 1).startswith("Eins ist.")
+    assert [p.number for p in new.norm("Art. 2").paragraphs] == ["1", "2", None]
+    assert run("In Art. 1 wird die Fußnote 7 aufgehoben.", law=law)[1][0].reason == "TARGET_MISSING"
+    new, entries = run("In Art. 2 Halbsatz 2 wird das Wort „endet“ durch das Wort „schließt“ ersetzt.", "Art. 1 Abs. 2 Satz 2 wird Satz 3.", law=law)
+    assert para(new, "Art. 2", 0) == "Ohne Nummer; sie schließt." and para(new, "Art. 1", 1) == "¹Eins ist. ³Zwei ist."
+
+
+def test_headings_of_items_and_placeholders_that_give_way():
+    law = "Gesetz\n§ 1  A\n(1) Es gilt\n  1. Kopf der Dinge\n    a) Kopf und Fuß,\n  2. anderes,\n  3. (weggefallen)\n  4. Ende."
+    new, entries = run("In der Überschrift des § 1 Absatz 1 Nummer 1 wird das Wort „Kopf“ durch das Wort „Haupt“ ersetzt.", "In § 1 Absatz 1 wird nach Nummer 2 folgende Nummer 3 eingefügt: „3. neu,“", law=law)
+    assert [e.status for e in entries] == [APPLIED] * 2, [e.prose for e in entries]
+    assert para(new, "§ 1", 0) == "Es gilt\n  1. Haupt der Dinge\n    a) Kopf und Fuß,\n  2. anderes,\n  3. neu,\n  4. Ende."
+    assert run("In der Überschrift des § 1 Absatz 1 Nummer 2 wird das Wort „anderes“ gestrichen.", law=law)[1][0].reason == "PLACE_NOT_FOUND"
