@@ -116,7 +116,7 @@ def reflow(lines: list[str], ends: list[str] | None = None) -> list[str]:
 def clean_text(text: str | None) -> tuple[str, list[str]]:
     """The cleaned text and warnings.  Composed characters stay what they are; superscripts are kept."""
     text = unicodedata.normalize("NFC", text or "")
-    text = _CONTROLS.sub("", _BLANKS.sub(" ", re.sub(r"\r\n?", "\n", text)))
+    text = _CONTROLS.sub("", _BLANKS.sub(" ", re.sub(r"\r\n?|\f", "\n", text)))
     text, warnings = normal_quotes(text)
     text = re.sub(r"(?<=[\w.,;:])„(?=\w)", " „", re.sub(r"“(?=[\w„])", "“ ", text))
     text = re.sub(r"(?<!\w)u n v e r ä n d e r t(?!\w)", "unverändert", _INLINE.sub("", text))

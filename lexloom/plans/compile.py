@@ -67,9 +67,27 @@ def _leaf(text: str, quotes: list[str], context: L.Locator, origin: Origin) -> C
     return (found or Command("unknown", context, text=restore_quotes(text, quotes))).with_origin(origin)
 
 
+_VERB_FRAME = re.compile(r"^(?:Es |Im Übrigen )?(wird|werden) (?:jeweils )?(ersetzt|gestrichen|aufgehoben|eingefügt|angefügt)\s*:$")
+
+
+def _completed(text: str, be: str, verb: str) -> str:
+    """A point under "Es werden ersetzt:" names only the place and the objects."""
+    text = re.sub(r"(?:[,;.]| und| sowie)+$", "", text).strip()
+    m = re.match(r"^[Ii]n (.+?) ((?:jeweils )?(?:die |das |der |den |dem |nach |vor |hinter ).*)$", text)
+    if m:
+        return f"In {m[1]} {be} {m[2]} {verb}."
+    return f"{text[:1].upper()}{text[1:]} {be} {verb}."
+
+
 def _walk(point: Point, quotes: list[str], context: L.Locator, article: str) -> list[Command]:
     text = re.sub(r"\s+", " ", point.text).strip()
-    origin = Origin(article, " ".join(point.path), restore_quotes(text, quotes))
+    if point.children and (m := _VERB_FRAME.match(text)):
+        for child in point.children:
+            if not child.children:
+                child.wording = re.sub(r"\s+", " ", child.text).strip()
+                child.text = _completed(child.wording, m[1], m[2])
+        return [c for p in point.children for c in _walk(p, quotes, context, article)]
+    origin = Origin(article, " ".join(point.path), restore_quotes(point.wording or text, quotes))
     if not point.children:
         return [_leaf(text, quotes, context, origin)]
     out: list[Command] = []

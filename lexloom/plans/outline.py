@@ -137,6 +137,7 @@ class Point:
     path: tuple[str, ...]
     text: str
     children: list[Point] = field(default_factory=list)
+    wording: str = ""  # as printed, where the text has been completed
 
 
 def _shown(level: int, label: str) -> str:

@@ -164,3 +164,10 @@ def test_line_breaks():
     assert join_breaks(lines)[1] == "die Verwaltungsangelegenheiten der Länder sind "
     assert reflow(["Das ist", "ein Satz", "1. neu"], ["SOFT", "SOFT", "UNKNOWN"]) == ["Das ist ein Satz", "1. neu"]
     assert typical_length([10, 20, 0, 30], 1) == 30
+
+
+def test_verb_frames_and_pages():
+    act = "Artikel 1\nDas Probegesetz wird wie folgt geändert:\n1. Es werden ersetzt:\na) in § 1 Absatz 1 die Angabe „Probe“ durch die Angabe „Übung“,\nb) in § 2 die Angabe „endet“ jeweils durch die Angabe „schließt“.\n\f2. In § 1 Absatz 2 wird das Wort „kurz“ durch das Wort „lang“ ersetzt."
+    r = run_job(BASE, [act])
+    assert [(e.status, L.show(e.command.at), e.command.origin.page) for e in r.entries] == [("APPLIED", "§ 1 Absatz 1", 1), ("APPLIED", "§ 2", 1), ("APPLIED", "§ 1 Absatz 2", 2)], r.entries
+    assert str(r.entries[2].command.origin) == "Artikel 1 2. (S. 2)"
