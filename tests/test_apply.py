@@ -237,3 +237,9 @@ def test_headings_of_items_and_placeholders_that_give_way():
     assert [e.status for e in entries] == [APPLIED] * 2, [e.prose for e in entries]
     assert para(new, "§ 1", 0) == "Es gilt\n  1. Haupt der Dinge\n    a) Kopf und Fuß,\n  2. anderes,\n  3. neu,\n  4. Ende."
     assert run("In der Überschrift des § 1 Absatz 1 Nummer 2 wird das Wort „anderes“ gestrichen.", law=law)[1][0].reason == "PLACE_NOT_FOUND"
+
+
+def test_an_item_is_appended_to_its_list_and_not_behind_what_follows():
+    law = "Gesetz\n§ 1  A\n(1) Aufgaben sind\n1. a,\n2. b.\nDies gilt auch sonst."
+    new, entries = run("In § 1 Absatz 1 Nummer 2 wird der Punkt am Ende durch ein Semikolon ersetzt.", "Dem § 1 Absatz 1 wird folgende Nummer 3 angefügt: „3. c.“", law=law)
+    assert [e.status for e in entries] == [APPLIED] * 2 and para(new, "§ 1", 0) == "Aufgaben sind\n  1. a,\n  2. b;\n  3. c.\nDies gilt auch sonst."
