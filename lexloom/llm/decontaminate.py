@@ -38,8 +38,9 @@ def words(text: Column) -> Column:
 
 def _runs(units: DataFrame, width: int, run) -> DataFrame:
     """A row for each run of ``width`` elements of the array ``w``; run makes it from the elements."""
-    at = F.explode(F.sequence(F.lit(0), F.size("w") - width)).alias("at")
-    exploded = units.where(F.size("w") >= width).select("*", at)
+    # Fewer words give null, which explodes to no row; a filter would split the text a second time.
+    at = F.explode(F.when(F.size("w") >= width, F.sequence(F.lit(0), F.size("w") - width))).alias("at")
+    exploded = units.select("*", at)
     elements = [F.get("w", F.col("at") + k) for k in range(width)]
     return exploded.select(*[c for c in units.columns if c != "w"], run(*elements))
 
@@ -49,8 +50,7 @@ def _shingles(units: DataFrame, width: int) -> DataFrame:
 
 
 def _hashes(units: DataFrame, width: int) -> DataFrame:
-    hashed = units.withColumn("w", F.transform("w", lambda x: F.xxhash64(x)))
-    return _runs(hashed, width, lambda *w: F.xxhash64(*w).alias("h"))
+    return _runs(units, width, lambda *w: F.xxhash64(*w).alias("h"))
 
 
 def _sketches(items: DataFrame, share: float) -> DataFrame:
@@ -96,14 +96,16 @@ def contaminated(
     sets = every(_hashes, tests, True).groupBy("width", "item_id").agg(F.collect_set("h").alias("hashes"))
     sketches = work.table(_sketches(sets.withColumn("n", F.size("hashes")), share), "sketches")
     hits = every(_hashes, units, False).join(sketches, ["width", "h"])
-    nominated = hits.groupBy("doc_id", "item_id", "width").agg(F.countDistinct("h").alias("hits"), F.first("need").alias("need"))
+    nominated = hits.groupBy("doc_id", "item_id", "width").agg(F.size(F.collect_set("h")).alias("hits"), F.first("need").alias("need"))
     nominated = work.table(nominated.where("hits >= need").select("doc_id", "item_id", "width"), "nominated")
 
     # Exact: the words themselves, of nominated documents only.
     held = docs.join(nominated.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
     known = work.table(every(_shingles, tests, True).distinct(), "known")
     sizes = known.groupBy("item_id").agg(F.count("*").cast("int").alias("n_shingles"))
-    found = every(_shingles, held, False).join(known, ["width", "shingle"]).groupBy("doc_id", "item_id").agg(F.countDistinct("shingle").alias("n_found"))
+    found = every(_shingles, held, False).join(known, ["width", "shingle"]).groupBy("doc_id", "item_id")
+    # A set, at most the item's shingles, is gathered in parts; a distinct count would keep a frequent shingle's rows in one task.
+    found = found.agg(F.size(F.collect_set("shingle")).cast("long").alias("n_found"))
     found = found.join(nominated.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_semi").join(sizes, "item_id")
     part = F.col("n_found") / F.col("n_shingles")
     return found.where(F.col("n_found") >= F.ceil(F.col("n_shingles") * share - 1e-9)).select("doc_id", "item_id", "n_shingles", "n_found", part.alias("containment"))
