@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 #: Folders for sessions that name none (tests on one machine), by application id.
 _OWN: dict[str, str] = {}
 
+#: Folders of this process's operator calls, for release().
+_ROOTS: list[str] = []
+
 #: ASCII letters only, as the contracts ask; other letters keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lexloom-")
+        folder = tempfile.mkdtemp(prefix="lexloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN[app] = f"file://{folder}"
     return _OWN[app]
 
 
@@ -35,6 +42,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lexloom-{name}-{uuid.uuid4().hex[:12]}"
+        _ROOTS.append(self.root)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df as Parquet and reads it back, so that nothing upstream runs twice."""
@@ -44,8 +52,18 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Removes a table that no pending plan reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.root}/{name}")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes what operator calls of this process have written; their results must have been used by then."""
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
 
 
 def partitions(spark: SparkSession) -> int:

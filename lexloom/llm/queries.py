@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, packing, quality, sharding, simhash, substring_dedup
-from lexloom.llm.common import benchmark, documents
+from lexloom.llm.common import benchmark, documents, release
+
+__all__ = ["ORACLE_SQL", "QUERIES", "release", "tokenizer_path"]
 
 SHARDS = 16
 PACK_TOKENIZER = "word_bpe_49k.json"

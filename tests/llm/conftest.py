@@ -40,6 +40,6 @@ def labels(spark):
     return spark.createDataFrame([(1, 1, 0), (1, 0, 0), (9, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture
 def rng():
     return random.Random(11)

@@ -264,7 +264,7 @@ def test_passages(spark, rng, monkeypatch, block):
     monkeypatch.setattr(substring_dedup, "BLOCK", block)
     passage = [prose(rng, 40) + "." for _ in range(3)]
     edited = " ".join(["Changed", *passage[0].split()[1:]])
-    docs = [prose(rng, 30) + ".\n" + prose(rng, 50) + ". " + rng.choice((passage[k % 3], edited if k % 2 else passage[0])) + " " + prose(rng, 25) for k in range(30)]
+    docs = [prose(rng, 30) + ".\n" + prose(rng, 50) + ". " + (passage[k % 3] if k % 4 else edited) + " " + prose(rng, 25) for k in range(30)]
     docs += [prose(rng, 60) for _ in range(20)]
     got = substring_dedup.repeated_passages(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).toPandas()
     assert set(got.doc_id) == set(range(30))

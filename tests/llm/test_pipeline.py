@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version of its stages."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -13,7 +14,8 @@ from tests.llm.test_operators import brute_words, closure
 
 
 @pytest.fixture(scope="module")
-def folder(spark, rng, tmp_path_factory):
+def folder(spark, tmp_path_factory):
+    rng = random.Random(3)
     item = prose(rng, 30)
     rows = []
     for k in range(160):
