@@ -33,7 +33,7 @@ LEAST, RUN = 8, 24
 #: Recall at the threshold that bands are tuned for, and hashes in a band.
 RECALL, ROWS = 0.99, 2
 #: Paragraphs of a band that are compared together.
-BLOCK = 2048
+BLOCK = 512
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"\w+")
 _REMEMBERED = 500_000
