@@ -21,17 +21,18 @@ def _one(a: argparse.Namespace) -> int:
     from lexloom.plans import synopsis as S
     from lexloom.plans.job import run_job
     from lexloom.sources.canonical import write_law
-    from lexloom.sources.inputs import read_law_file
+    from lexloom.sources.inputs import read_law_file, read_text_file
+    from lexloom.sources.locate import fetch
 
-    texts = [Path(x).read_text(encoding="utf-8") for x in a.files[1:]]
+    texts = [read_text_file(fetch(x)) for x in a.files[1:]]
     if a.extract_only:
         for x in texts:
             print(x if a.raw else clean_text(x)[0])
         return 0
-    base = write_law(read_law_file(Path(a.files[0]).read_bytes()))
+    base = write_law(read_law_file(fetch(a.files[0])))
     if a.dump_law:
         print(base, end="")
-    official = write_law(read_law_file(Path(a.official).read_bytes())) if a.official else None
+    official = write_law(read_law_file(fetch(a.official))) if a.official else None
     result = run_job(base, texts, a.article, dt.date.fromisoformat(a.as_of) if a.as_of else None, official)
     if a.dump_documents:
         for d in result.documents:
@@ -79,7 +80,7 @@ def _many(a: argparse.Namespace) -> int:
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lexloom", description="Applies amendment texts to laws.")
-    p.add_argument("files", nargs="*", help="the base law, then amendment documents")
+    p.add_argument("files", nargs="*", help="the base law, then amendment documents: paths, addresses, or gii:abbreviation")
     for name, text in (
         ("article", "only this article"), ("as-of", "apply what is in force on this date"), ("official", "official version to compare with"), ("synopsis", "file for the synopsis page"),
         ("law", "file for the amended law"), ("jobs", "list of jobs"), ("root", "folder of the jobs' files"), ("report", "folder for the report"), ("synopses", "folder for the synopses"), ("baseline", "earlier report"),

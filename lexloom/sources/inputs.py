@@ -171,6 +171,14 @@ def read_law_file(content: bytes, short: str | None = None) -> Law:
     return read_law(content.decode("utf-8-sig"), short)
 
 
+def read_text_file(content: bytes) -> str:
+    """An amendment document's text; kinds other than plain text are refused."""
+    kind = sniff(content)
+    if kind != "text":
+        raise ValueError("no PDF reader is available" if kind == "pdf" else f"an amendment document cannot be {kind}")
+    return content.decode("utf-8-sig")
+
+
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, kind, length) of the files of a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

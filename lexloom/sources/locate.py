@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import urllib.error
 import urllib.request
 from pathlib import Path
 
 PORTAL = "gii:"
+#: Fixed value: where the federal portal publishes its laws, and its directory.
+FEDERAL, DIRECTORY = "https://www.gesetze-im-internet.de", "gii-toc.xml"
 
 
 def portal_id(name: str) -> str:
@@ -38,19 +41,38 @@ def download(url: str, timeout: float = 60.0) -> bytes:
         return response.read()
 
 
-def fetch(reference: str, portal: str = "", get=download) -> bytes:
-    """An existing path wins, then "gii:abbreviation" on the portal, then an address; what was downloaded is kept."""
+def _kept(url: str, get) -> bytes:
+    """What an address gives, from the cache if it is there; an unwritable cache is no error."""
+    path = cache_path(url)
+    if path.exists():
+        return path.read_bytes()
+    data = get(url)
+    try:
+        path.parent.mkdir(parents=True, exist_ok=True)
+        part = path.with_suffix(".part")
+        part.write_bytes(data)
+        part.replace(path)
+    except OSError:
+        pass
+    return data
+
+
+def fetch(reference: str, portal: str = FEDERAL, get=download) -> bytes:
+    """An existing path wins, then "gii:abbreviation" on the portal, then an address; what was downloaded is kept.
+
+    An abbreviation that the portal does not have is looked up in its directory.
+    """
     if os.path.exists(reference):
         return Path(reference).read_bytes()
     if reference.startswith(PORTAL):
-        reference = f"{portal.rstrip('/')}/{portal_id(reference.removeprefix(PORTAL))}/xml.zip"
+        base, name = portal.rstrip("/"), portal_id(reference.removeprefix(PORTAL))
+        try:
+            return _kept(f"{base}/{name}/xml.zip", get)
+        except urllib.error.HTTPError as x:
+            if x.code != 404:
+                raise
+        listed = re.findall(r"/([a-z0-9_-]+)/xml\.zip", get(f"{base}/{DIRECTORY}").decode("utf-8", "replace"))
+        return _kept(f"{base}/{pick(list(dict.fromkeys(listed)), name)}/xml.zip", get)
     if not re.match("https?://", reference):
         raise FileNotFoundError(reference)
-    path = cache_path(reference)
-    if not path.exists():
-        data = get(reference)
-        path.parent.mkdir(parents=True, exist_ok=True)
-        part = path.with_suffix(".part")
-        part.write_bytes(data)
-        part.replace(path)
-    return path.read_bytes()
+    return _kept(reference, get)

@@ -115,3 +115,23 @@ def test_references(tmp_path, monkeypatch):
     assert locate.pick(["bgb_2", "zpo"], "bgb") == "bgb_2"
     with pytest.raises(LookupError, match="2 entries"):
         locate.pick(["bgb", "bgb_2"], "bgb")
+
+
+def test_an_abbreviation_is_looked_up_in_the_directory(tmp_path, monkeypatch):
+    import urllib.error
+
+    from lexloom.sources import locate
+
+    monkeypatch.setenv("XDG_CACHE_HOME", str(tmp_path))
+    pages = {"https://p/gii-toc.xml": b"<link>http://p/uwg_2004/xml.zip</link><link>http://p/bgb/xml.zip</link>", "https://p/uwg_2004/xml.zip": b"zip"}
+
+    def get(url):
+        if url not in pages:
+            raise urllib.error.HTTPError(url, 404, "not found", None, None)
+        return pages[url]
+
+    assert locate.fetch("gii:UWG", "https://p", get) == b"zip"
+    with pytest.raises(LookupError):
+        locate.fetch("gii:zpo", "https://p", get)
+    with pytest.raises(ValueError, match="PDF"):
+        inputs.read_text_file(b"%PDF-1.4")
