@@ -43,7 +43,7 @@ def _one(a: argparse.Namespace) -> int:
     for w in result.warnings:
         print(w, file=sys.stderr)
     if a.synopsis:
-        page = S.render(result.old, result.new, result.entries, result.warnings, result.draft, result.reconciliation, [d.name for d in result.documents], a.full)
+        page = S.render(result.old, result.new, result.entries, result.warnings, result.draft, result.reconciliation, [d.name for d in result.documents], a.full, result.official)
         Path(a.synopsis).write_text(page, encoding="utf-8")
     if a.law:
         Path(a.law).write_text(write_law(result.new), encoding="utf-8")
@@ -71,7 +71,7 @@ def _many(a: argparse.Namespace) -> int:
         engine.pages(results).write.partitionBy("job").text(a.synopses)
     engine.totals(report).show(truncate=False)
     if a.baseline:
-        worse = regressions(inputs.read_baseline(spark, a.baseline), report.where("error is null"), "job", ["applied", "equal"], ["manual", "missing", "extra", "deviating"])
+        worse = regressions(inputs.read_baseline(spark, a.baseline), report.where("error is null"), "job", ["commands", "applied", "equal"], ["manual", "missing", "extra", "deviating"])
         if not worse.isEmpty():
             worse.show(truncate=False)
             return 3

@@ -51,7 +51,7 @@ def _rows(base: str, docs, article: str | None, as_of, official: str | None, htm
         yield {"part": "reconciliation", "kind": "EQUAL", "ord": r.equal, "doc": r.checked}
     yield {"part": "law", "new_text": write_law(result.new), "old_text": write_law(result.old)}
     if html:
-        page = S.render(result.old, result.new, result.entries, result.warnings, result.draft, result.reconciliation, [d.name for d in result.documents])
+        page = S.render(result.old, result.new, result.entries, result.warnings, result.draft, result.reconciliation, [d.name for d in result.documents], official=result.official)
         yield {"part": "html", "new_text": page}
 
 

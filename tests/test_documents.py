@@ -96,7 +96,9 @@ def test_synopsis_and_reconciliation():
     assert {x.label: x.kind for x in synopsis.rows(r.old, r.new, r.entries)} == {"§ 1": "CHANGED", "§ 3": "NEW"}
     assert (r.reconciliation.checked, r.reconciliation.equal, r.reconciliation.extra) == (2, 2, ["§ 3"]) and not r.reconciliation.holds
     assert synopsis.word_diff("a b <c>", "a x <c>") == ("a <del>b</del> &lt;c&gt;", "a <ins>x</ins> &lt;c&gt;")
-    page = synopsis.render(r.old, r.new, r.entries, r.warnings, True, r.reconciliation)
+    r.reconciliation.deviating.append("§ 1")
+    page = synopsis.render(r.old, r.new, r.entries, r.warnings, True, r.reconciliation, official=r.official)
+    assert "Amtlich" in page
     assert "nicht geltendes Recht" in page and "Befehl nicht erkannt (1)" in page and "<ins>" in page
     assert toc.probe(r.old, r.new) == []
 
@@ -171,3 +173,9 @@ def test_verb_frames_and_pages():
     r = run_job(BASE, [act])
     assert [(e.status, L.show(e.command.at), e.command.origin.page) for e in r.entries] == [("APPLIED", "§ 1 Absatz 1", 1), ("APPLIED", "§ 2", 1), ("APPLIED", "§ 1 Absatz 2", 2)], r.entries
     assert str(r.entries[2].command.origin) == "Artikel 1 2. (S. 2)"
+
+
+def test_the_table_of_contents_is_probed_for_what_changed():
+    base = BASE.replace("§ 1  Zweck", "Inhaltsübersicht\n§ 1 | Zweck\n§ 2 | Ende\n§ 1  Zweck")
+    r = run_job(base, [ACT + ""])
+    assert r.toc_problems == [("§ 3", "NO_ENTRY")] and "§ 3 fehlt in der Inhaltsübersicht." in r.warnings
