@@ -42,8 +42,10 @@ def _ends_sentence(text: str, m: re.Match) -> bool:
     line = before[before.rfind("\n") + 1 :]
     if re.fullmatch(r"\s*(?:\d+[a-z]?(?:\.\d+)*|[a-z]{1,3}|[ivx]+)", line):
         return False  # the mark of an item
-    if token in ABBREVIATIONS or re.fullmatch(r"[A-Za-z]", token) and not re.search(r"\d\s*$", before[: word.start()]) and len(token) == 1 and token.islower():
+    if token in ABBREVIATIONS:
         return False
+    if re.fullmatch("[a-z]", token) and not re.search(r"\d\s*$", before[: word.start()]):
+        return False  # "z. B.", but "§ 3 Nr. 4 a." ends
     if token.isdigit() and re.match(rf"(?:{'|'.join(MONTHS)})\b|(?:{_UNITS})", after):
         return False
     return True

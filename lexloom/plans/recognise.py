@@ -21,7 +21,8 @@ LONGEST = 4000
 MARKS = {"Punkt": ".", "Komma": ",", "Semikolon": ";", "Strichpunkt": ";", "Doppelpunkt": ":", "Beistrich": ","}
 
 _Q = r"«(\d+)»"
-_WORD = r"(?:das |die |der |den |dem |den |ein |eine )?(?:Worte?n?|Wort(?:es|s)?|Wörtern?|Angaben?|Zahlen?|Ziffern?|Textstellen?|Satzteile?s?|Klammerzusätze?n?|Klammerzusatz(?:es)?|Bezeichnung(?:en)?|Abkürzung(?:en)?|Wortfolgen?|Datum(?:s)?|Verweisung(?:en)?|Paragrafenangaben?|Betr[aä]ge?n?|Betrag(?:es|s)?|Passagen?|Formulierung(?:en)?|Halbsatz|Fundstellen?|Begriffe?n?|Begriffs?)"
+_NOUN = r"(?:Worte?n?|Wort(?:es|s)?|Wörtern?|Angaben?|Zahlen?|Ziffern?|Textstellen?|Satzteile?s?|Klammerzusätze?n?|Klammerzusatz(?:es)?|Bezeichnung(?:en)?|Abkürzung(?:en)?|Wortfolgen?|Datum(?:s)?|Verweisung(?:en)?|Paragrafenangaben?|Betr[aä]ge?n?|Betrag(?:es|s)?|Passagen?|Formulierung(?:en)?|Halbsatz|Fundstellen?|Begriffe?n?|Begriffs?)"
+_WORD = rf"(?:das |die |der |den |dem |ein |eine )?{_NOUN}"
 _MARK = r"(?:der|das|den|dem|ein|einen|eines|einem) (Punkt|Komma|Semikolon|Strichpunkt|Doppelpunkt|Beistrich)(?:s|es)?"
 _BE = r"(?:wird|werden)"
 _LEVEL = r"(Paragrafen?|Paragraphen?|§§?|Art(?:ikel|\.)|Abs(?:atz|ätze|ätzen|\.)|Satz|Sätze|Sätzen|Halbsatz|Halbsätze|Nummern?|Nrn?\.|(?:Doppel)?[Bb]uchstaben?)"
@@ -273,7 +274,7 @@ def _inserted_here(c, m):
     return Command("insert_words", c.context, anchor=("before" if m[1].lower() == "vor" else "after", c.words(m[2])), text=new)
 
 
-@rule("words prepended", rf"^(?:(?:In|Im) (.+?) {_BE} )?[Dd]e[mnr] {_WORD[_WORD.index(')?(?:Worte') + 2:]} {_Q} (?:{_BE} )?(?:{_WORD} )?{_Q} vorangestellt$")
+@rule("words prepended", rf"^(?:(?:In|Im) (.+?) {_BE} )?[Dd]e[mnr] {_NOUN} {_Q} (?:{_BE} )?(?:{_WORD} )?{_Q} vorangestellt$")
 def _words_prepended(c, m):
     return _each(c, m[1], lambda x: Command("insert_words", x, anchor=("before", c.words(m[2])), text=c.words(m[3])) if x else None) if c.at(m[1])[:1] not in ([], [()]) else None
 
