@@ -14,8 +14,6 @@ beyond.  Everything is SQL functions.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 

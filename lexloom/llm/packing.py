@@ -241,9 +241,10 @@ def pack(
     bounds = []
     if buckets > 1:  # A sample of about SAMPLE * buckets rows places the borders between buckets, and decides nothing else.
         sample = rows.where(F.pmod(F.xxhash64("tie"), F.lit(max(1, n // (SAMPLE * buckets)))) == 0)
-        places = sample.mapInArrow(_encoded(tokenizer, None), f"doc_id {id_type}, tie long, place long").select("place", "tie").collect()
-        ranked = sorted(tuple(x) for x in places)
-        bounds = [ranked[len(ranked) * k // buckets] for k in range(1, buckets)] if ranked else []
+        places = sample.mapInArrow(_encoded(tokenizer, None), f"doc_id {id_type}, tie long, place long").select("place", "tie").toArrow()
+        ranked = np.stack([places.column(k).to_numpy() for k in range(2)], 1)  # 16 bytes a row, 32 MB at the most buckets
+        ranked = ranked[np.lexsort((ranked[:, 1], ranked[:, 0]))]
+        bounds = [tuple(ranked[len(ranked) * k // buckets].tolist()) for k in range(1, buckets)] if len(ranked) else []
     kind = _kind(tokenizer)
     coded = rows.mapInArrow(_encoded(tokenizer, bounds, kind), f"doc_id {id_type}, tie long, place long, bucket int, ids binary")
     ordered = coded.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "place", "tie").select("doc_id", "bucket", "ids")
