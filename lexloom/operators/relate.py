@@ -98,5 +98,11 @@ def classify_heads(lines: DataFrame, key: str, rules: list[tuple[str, str]], hea
 
 
 def route(articles: DataFrame, preamble: str, laws: DataFrame, name: str) -> DataFrame:
-    """articles with each law whose name their preamble contains; laws are few, and held by every task."""
-    return articles.join(F.broadcast(laws), F.lower(preamble).contains(F.col(name)))
+    """articles with each law whose name their preamble contains.
+
+    The first word of a name finds the preambles that may contain it, so that neither side need be held by every
+    task; the whole name is then looked for.
+    """
+    words = F.array_distinct(F.split(F.lower(preamble), " "))
+    found = articles.withColumn("__word", F.explode(words)).join(laws.withColumn("__word", F.element_at(F.split(F.lower(name), " "), 1)), "__word")
+    return found.where(F.lower(preamble).contains(F.lower(name))).drop("__word")

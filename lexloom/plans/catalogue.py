@@ -446,7 +446,7 @@ def locate_single_rule(spark, sf_dir):
 """)
 def division_path(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    joined = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.groupBy(
         F.concat_ws(" / ", "r_name", "n_name", "c_mktsegment").alias("path"), F.format_string("%03d.%03d", "r_regionkey", "n_nationkey").alias("code")
     ).agg(F.count("*").alias("customers"))
