@@ -13,24 +13,26 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lexloom.functions.columns import SUPERSCRIPTS
 from lexloom.plans.outline import mark_of, normal_quotes
 
 #: (name, "line" or "inline", pattern): whole lines that are dropped, and parts that are cut out of lines.
 FURNITURE = [
     ("page number", "line", r"[-–|]? ?\d{1,4} ?[-–|]?"),
     ("page of", "line", r"Seite \d+(?: von \d+)?"),
-    ("federal gazette head", "line", r"(?:\d+\s+)?Bundesgesetzblatt (?:Jahrgang )?\d{4},? Teil I+,? Nr\. \d+.*|Bundesgesetzblatt.*ausgegeben zu Bonn.*"),
+    ("federal gazette head", "line", r"(?:Seite \d+ von \d+\s+)?(?:\d+\s+)?Bundesgesetzblatt (?:Jahrgang )?\d{4},? Teil I+,? Nr\. \d+.*|Bundesgesetzblatt.*ausgegeben zu Bonn.*"),
     ("federal gazette foot", "line", r"Das Bundesgesetzblatt im Internet:.*|Ein Service des Bundesanzeiger Verlag.*|(?:www\.)?bundesanzeiger-verlag\.de.*"),
     ("draft mark", "line", r"[-–] ?\d+ ?[-–]\s+Bearbeitungsstand:.*|Bearbeitungsstand: .*"),
     ("upper house head", "line", r"Bundesrat\s+[-–] ?\d+ ?[-–]\s+Drucksache \d+/\d+.*"),
     ("lower house head", "line", r"Deutscher Bundestag\s+[-–] ?\d+\.? Wahlperiode.*"),
     ("paper number", "line", r"Drucksache\s+\d+/\d+(?:\s+[-–] ?\d+ ?[-–].*)?|[-–] ?\d+ ?[-–]\s+Drucksache \d+/\d+.*"),
     ("column heads", "line", r"Entwurf\s+Beschlüsse des \d+\. Ausschusses"),
-    ("state gazette head", "line", r"(?:Bayerisches |Hessisches |Niedersächsisches |Thüringer |Sächsisches )?Gesetz[- ]und Verordnungsblatt.*\d{4}.*|(?:Nds\.|Hess\.)? ?GVBl\.? (?:Nr\. ?\d+/|Nr\. )?\d+.*ausgegeben am.*"),
-    ("state parliament head", "line", r"(?:Bayerischer |Hessischer |Sächsischer )?Landtag\s+\d+\. Wahlperiode.*"),
+    ("state gazette head", "line", r"(?:Bayerisches |Hessisches |Niedersächsisches |Thüringer |Sächsisches )?Gesetz- ?und Verordnungsblatt(?: für \S+|.*\d{4}.*)|\d{4}/\d+ vom \d+\. \w+|für das Land Hessen|\d{4} Wiesbaden,\s+den .*Nr\. \d+|(?:Nds\.|Hess\.)? ?GVBl\.? (?:Nr\. ?\d+/|Nr\. )?\d+.*ausgegeben am.*"),
+    ("state parliament head", "line", r"(?:(?:Bayerischer|Hessischer|Sächsischer|Thüringer|Niedersächsischer) )?Landtag(?:\s+\d+\. Wahlperiode.*)?|\d+\. Wahlperiode(?:\s+[\d.]+)?\s+Drucksache \d+/\d+|Drucksache \d+/\d+\s+.*Landtag\s+\d+\. Wahlperiode.*"),
     ("publisher", "line", r"Herausgegeben von der .*(?:Staatskanzlei|Landesregierung).*"),
     ("portal foot", "line", r"https?://\S+\s+(?:Seite \d+ von \d+|Stand vom \d+\.\d+\.\d{4}.*)"),
     ("preliminary", "inline", r"V ?o ?r ?a ?b ?f ?a ?s ?s ?u ?n ?g(?: ?[-–] ?w ?i ?r ?d ?d ?u ?r ?c ?h.*?e ?r ?s ?e ?t ?z ?t ?\.?)?"),
+    ("Berlin head", "inline", r"\d*\s*Gesetz- und Verordnungsblatt für Berlin\s+\d+\. Jahrgang\s+Nr\. \d+\s+\d+\. \w+ \d{4}(?:\s+\d+$)?[ \t]*"),
     ("spaced word", "inline", r"(?<!\w)u n v e r ä n d e r t(?!\w)"),
 ]
 _LINE = re.compile(r"\s*(?:" + "|".join(f"(?:{p})" for _, mode, p in FURNITURE if mode == "line") + r")\s*")
@@ -39,6 +41,8 @@ _BLANKS = re.compile("[  -   　]")
 _CONTROLS = re.compile("[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f­​﻿]")
 #: Words that are printed as one by mistake, and what they stand for.
 _GLUED = [("durchdie", "durch die"), ("durchden", "durch den"), ("durchdas", "durch das"), ("ein gefügt", "eingefügt"), ("an gefügt", "angefügt"), ("ge strichen", "gestrichen"), ("er setzt", "ersetzt"), ("auf gehoben", "aufgehoben")]
+#: Private characters by which a layout reader marks line ends.
+HARD, SOFT = "\ue000", "\ue001"
 _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _CONJUNCTION = re.compile(r"(?:und|oder|sowie|bis|bzw\.|als)\b")
 
@@ -53,45 +57,44 @@ def typical_length(lengths: list[int], at: int, reach: int = 20) -> int:
     return near[min(int(len(near) * 0.9), len(near) - 1)] if near else 0
 
 
-def join_breaks(lines: list[str]) -> list[str]:
-    """Joins words that a line break has divided; the document's own vocabulary decides.
+def join_breaks(lines: list[str], ends: list[str] | None = None) -> list[tuple[str, str]]:
+    """(line, end) with words joined that a line break has divided; the document's own vocabulary decides.
 
     "Be-" and "hörde" are one word.  A hyphen before a capital divides a word only if the joined form
     occurs elsewhere, and stays before a conjunction ("Vor- und").  Where lines end in a space by custom, a long line
-    that does not is divided without a hyphen - unless its last word occurs within a line elsewhere and the joined one nowhere.
+    that does not is divided without a hyphen - unless its last word occurs within a line elsewhere and the joined one
+    nowhere.  A line end that is known to be hard divides no word, but for a hyphen right at it.
     """
+    ends = ends or ["UNKNOWN"] * len(lines)
     text = "\n".join(lines)
     words = set(_TOKEN.findall(text))
     inner = {w for x in lines for w in _TOKEN.findall(x)[1:-1]}
     filled = [x for x in lines if x.strip()]
     trailing = bool(filled) and sum(x.endswith((" ", "\t")) for x in filled) * 4 >= len(filled)
     lengths = [len(x.rstrip()) for x in lines]
-    out: list[str] = []
+    out: list[tuple[str, str]] = []
     k = 0
     while k < len(lines):
         line = lines[k]
-        while True:
-            nxt = next((j for j in range(k + 1, min(k + 3, len(lines))) if lines[j].strip()), None)
-            if nxt is None:
-                break
+        while (nxt := next((j for j in range(k + 1, min(k + 4, len(lines))) if lines[j].strip()), None)) is not None:
             following = lines[nxt].lstrip()
             head = _TOKEN.match(following)
-            hyphen = re.search(r"([^\W\d_]+)-\s*$", line)
-            if hyphen and head and not _CONJUNCTION.match(following):
-                lower = following[0].islower()
+            hyphen = re.search(r"([^\W\d_]+)-(\s*)$", line)
+            if hyphen and head and not _CONJUNCTION.match(following) and not (hyphen[2] and ends[k] == "HARD"):
                 joined = hyphen[1] + head[0]
-                keep = "" if lower or joined in words or hyphen[1] + head[0].lower() in words else "-"
-                line = re.sub(r"-\s*$", keep, line) + following
+                keep = "" if following[0].islower() or joined in words or hyphen[1] + head[0].lower() in words else "-"
+                line = line[: hyphen.start(2) - 1] + keep + following
                 k = nxt
                 continue
             tail = re.search(r"([^\W\d_]+)$", line)
-            if trailing and nxt == k + 1 and tail and head and following[0].islower() and mark_of(following) is None and not _CONJUNCTION.match(following) and lengths[k] >= 0.8 * typical_length(lengths, k):
+            fits = tail and head and following[0].islower() and mark_of(following) is None and not _CONJUNCTION.match(following)
+            if trailing and nxt == k + 1 and fits and ends[k] != "HARD" and lengths[k] >= 0.8 * typical_length(lengths, k):
                 gap = len(tail[1]) >= 4 and tail[1] in inner and tail[1] + head[0] not in words
                 line = line + (" " if gap else "") + following
                 k = nxt
                 continue
             break
-        out.append(line)
+        out.append((line, ends[k]))
         k += 1
     return out
 
@@ -106,7 +109,7 @@ def reflow(lines: list[str], ends: list[str] | None = None) -> list[str]:
         return lines
     out: list[str] = []
     for k, line in enumerate(lines):
-        if out and k and ends[k - 1] == "SOFT" and line.strip() and not _structural(line):
+        if out and k and ends[k - 1] == "SOFT" and line.strip() and not _structural(line) and not re.fullmatch(r"\s*(?:Artikel|Art\.|§) \d+[a-z]?\s*", out[-1]):
             out[-1] = out[-1].rstrip() + " " + line.lstrip()
         elif not (not line.strip() and k and ends[k - 1] == "SOFT"):
             out.append(line)
@@ -120,18 +123,22 @@ def clean_text(text: str | None) -> tuple[str, list[str]]:
     text, warnings = normal_quotes(text)
     text = re.sub(r"(?<=[\w.,;:])„(?=\w)", " „", re.sub(r"“(?=[\w„])", "“ ", text))
     text = re.sub(r"(?<!\w)u n v e r ä n d e r t(?!\w)", "unverändert", _INLINE.sub("", text))
-    for wrong, right in _GLUED:
-        text = re.sub(rf"(?<!\w){wrong}(?!\w)", right, text)
-    lines = text.split("\n")
+    lines, ends = [], []
+    for line in text.split("\n"):
+        ends.append("SOFT" if SOFT in line else "HARD" if HARD in line else "UNKNOWN")
+        lines.append(line.replace(SOFT, "").replace(HARD, ""))
     kept = []
     for k, line in enumerate(lines):
         following = next((x for x in lines[k + 1 :] if x.strip()), "")
-        if is_furniture(line) or re.fullmatch(r"\s*Anlage \d+\s*", line) and is_furniture(following):
-            continue
-        kept.append(line)
-    kept = join_breaks(kept)
-    text = "\n".join(x.rstrip() for x in kept)
-    text = re.sub(r"§ (\d+) ([a-z])(?= (?:Abs|Satz|des|der|wird))", r"§ \1\2", text)
+        if not (is_furniture(line) or re.fullmatch(r"\s*Anlage \d+\s*", line) and is_furniture(following)):
+            kept.append(k)
+    joined = join_breaks([lines[k] for k in kept], [ends[k] for k in kept])
+    text = "\n".join(x.rstrip() for x in reflow([x for x, _ in joined], [e for _, e in joined]))
+    for wrong, right in _GLUED:
+        text = re.sub(rf"(?<!\w){wrong}(?!\w)", right, text)
+    text = re.sub(r"(§§?|Art\.) (\d+) ([a-z])(?![\w)])", r"\1 \2\3", text)
+    # A footnote mark at an article's heading; what follows it on the line is a line of its own.
+    text = re.sub(rf"^(Artikel \d+[a-z]?) ?[{SUPERSCRIPTS}]+\)[ \t]*(\S?)", lambda m: m[1] + ("\n" + m[2] if m[2] else ""), text, flags=re.M)
     return re.sub(r"\n{3,}", "\n\n", text), warnings
 
 

@@ -119,6 +119,7 @@ def test_motions_change_the_draft():
     assert [e.status for e in entries] == ["APPLIED"] * 2, [e.prose for e in entries]
     assert "Er ist in Textform." in text and "§ 2 wird aufgehoben" not in text and len(read_motion(MOTION)) == 2
     r = run_job(BASE, [DRAFT, MOTION])
+    assert [d.own_number for d in r.documents] == ["18/100", "18/101"]
     assert r.draft and r.new.norm("§ 1").paragraphs[0].text.endswith("Er ist in Textform.") and not r.new.norm("§ 2").repealed
     alone = run_job(BASE, [MOTION])
     assert any("zu keinem Entwurf" in w for w in alone.warnings)
@@ -151,6 +152,23 @@ def test_committee_columns_and_pages():
         ("In § 57 c Abs. 1 durchdie Wörter", "In § 57c Abs. 1 durch die Wörter"),
         ("über a²", "über a²"),
         ("Ein „x“und „y“", "Ein „x“ und „y“"),
+        ("Satz.\n2397 Bundesgesetzblatt Jahrgang 2020 Teil I Nr. 52, ausgegeben zu Bonn am 18. November 2020\n42\nEnde.", "Satz.\nEnde."),
+        ("Satz.\nSeite 2 von 5 Bundesgesetzblatt Jahrgang 2026 Teil I Nr. 43, ausgegeben zu Bonn am 19. Februar 2026\nEnde.", "Satz.\nEnde."),
+        ("kurz-\nBayerisches Gesetz- und Verordnungsblatt Nr. 6/202676\nfristig.", "kurzfristig."),
+        ("Bayerischer Landtag\n19. Wahlperiode 28.01.2026  Drucksache 19/9707\nA.\nDrucksache 19/9707 Bayerischer Landtag 19. Wahlperiode Seite 2\nB.", "A.\nB."),
+        ("A.\nDrucksache 21/61 – 2 – Deutscher Bundestag – 21. Wahlperiode\nDeutscher Bundestag – 21. Wahlperiode – 3 – Drucksache 21/61\nB.", "A.\nB."),
+        ("Betrieb\n235Gesetz- und Verordnungsblatt für Berlin      82. Jahrgang      Nr. 17     11. Juni 2026 von Dingen.", "Betrieb\nvon Dingen."),
+        ("Satz.\nGesetz- und Verordnungsblatt für Schleswig-Holstein\n2026/27 vom 30. März\nEnde.", "Satz.\nEnde."),
+        ("verhält-\n\n\nnismäßig", "verhältnismäßig"),
+        ("der Nord-\nKreis-2019", "der Nord-Kreis-2019"),
+        ("Bildung und -\nge", "Bildung und -\nge"),
+        ("Artikel 1 ¹)\nDas Gesetz", "Artikel 1\nDas Gesetz"),
+        ("Artikel 2 ²) Das Gesetz", "Artikel 2\nDas Gesetz"),
+        ("a)\u0007 wird ein ge-\nfügt:", "a) wird eingefügt:"),
+        ("Art. 28 a Abs. 1 und § 8 c) In und § 5 des", "Art. 28a Abs. 1 und § 8 c) In und § 5 des"),
+        ("angefu\u0308gt", "angefügt"),
+        ("Erste Zeile wird \ue001\nfortgesetzt. \ue000\nNächste. \ue000", "Erste Zeile wird fortgesetzt.\nNächste."),
+        ("Artikel 2\ue001\nInkrafttreten\ue000\nEnde. \ue000", "Artikel 2\nInkrafttreten\nEnde."),
         (None, ""),
         ("", ""),
     ],
@@ -163,7 +181,8 @@ def test_line_breaks():
     assert is_furniture("Drucksache 19/123") and not is_furniture("§ 3 Drucksachen")
     long = "die Verwaltungsangelegen"
     lines = ["x " * 12, long, "heiten der Länder sind ", "y " * 12, "z " * 12, "w " * 12]
-    assert join_breaks(lines)[1] == "die Verwaltungsangelegenheiten der Länder sind "
+    assert join_breaks(lines)[1][0] == "die Verwaltungsangelegenheiten der Länder sind "
+    assert join_breaks(lines, ["HARD"] * 6)[1][0] == long
     assert reflow(["Das ist", "ein Satz", "1. neu"], ["SOFT", "SOFT", "UNKNOWN"]) == ["Das ist ein Satz", "1. neu"]
     assert typical_length([10, 20, 0, 30], 1) == 30
 
