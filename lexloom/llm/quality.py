@@ -34,8 +34,9 @@ WORDS, TELLING = 128, 6.0
 SOURCES = 32
 HEADS = ("quality", "toxic")
 _APART = re.compile(r"[\W\d_]+")
-#: Marks of ordinary prose, numbers and addresses; the others count as noise.
-_PLAIN = str.maketrans("", "", " \t\r\n.,;:'\"-()+@=/_0123456789")
+#: Marks of ordinary prose, numbers and addresses; other printable ASCII marks count as noise.
+_PLAIN = b" \t\r\n.,;:'\"-()+@=/_"
+_NOT_NOISE = bytes(c for c in range(256) if not 32 < c < 127 or chr(c).isalnum() or c in _PLAIN)
 N_STYLE = 10
 
 
@@ -47,13 +48,12 @@ def style(text: str, words: list[str]) -> list[float]:
     """How a text is written, whatever its language."""
     chars, tokens = max(1, len(text)), text.split()
     n = max(1, len(tokens))
-    marks = len(_APART.sub("", text.translate(_PLAIN)))
-    other = len(text.translate(_PLAIN)) - marks
+    noise, distinct = len(text.encode().translate(None, _NOT_NOISE)), len(set(words))
     upper = sum(map(str.isupper, tokens))
     repeats = sum(map(str.__eq__, tokens, tokens[1:]))
     lines = text.split("\n")
     return [
-        other / chars, upper / n, repeats / n, len(set(words)) / max(1, len(words)), len(set(words)) / max(1.0, len(words)) ** 0.7,
+        noise / chars, upper / n, repeats / n, distinct / max(1, len(words)), distinct / max(1.0, len(words)) ** 0.7,
         sum(map(len, tokens)) / n / 10, np.log1p(n) / 10, 1 - len(set(lines)) / len(lines), text.count("|") / n, text.count("!") / n,
     ]
 
@@ -76,6 +76,8 @@ class Logistic:
             h = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + np.diag(penalty)
             step = np.linalg.solve(h, a.T @ (p - y) + penalty * w)
             w -= np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-4:
+                break
         self.weights, self.bias = w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum())
         return self
 
