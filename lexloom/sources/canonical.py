@@ -9,21 +9,25 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from lexloom.functions.labels import natural
+from lexloom.functions.columns import DIGITS, SUPERSCRIPTS
+from lexloom.functions.labels import expand, natural
 from lexloom.functions.locator import ORDINALS
 from lexloom.plans.model import REPEALED, Division, Law, Mark, Norm, Paragraph, item_mark, mark_depth
 
 TOC_LABEL = "Inhaltsübersicht"
 _UNIT = r"(?:Teil|Buch|Kapitel|Abschnitt|Unterabschnitt|Titel)"
 _DIVISIONS = [
-    re.compile(rf"^((?:\d+[a-z]?|[IVX]+)\. {_UNIT})(?:(?:  +| ?[:–-] ?)(.+))?$"),
+    re.compile(rf"^((?:\d+[a-z]?|[IVX]+)\. {_UNIT})(?:(?:  +| ?[:–-] ?| (?=[A-ZÄÖÜ]))(.+))?$"),
     re.compile(rf"^({_UNIT} (?:\d+[a-z]?|[IVX]+))(?:(?:  +| ?[:–-] ?| )(.+))?$"),
     re.compile(rf"^((?:{'|'.join(x.capitalize() for x in ORDINALS)})e[rs] {_UNIT})(?:(?:  +| ?[:–-] ?| )(.+))?$"),
-    re.compile(r"^([IVX]+\.)  +(\S.*)$"),
 ]
+#: Headings that nothing but their place tells from items: a norm or division must follow at once.
+_BARE = re.compile(r"^([IVX]+\.|\d+\.) +([A-ZÄÖÜ].*[^.,;:\s])$")
 _NORM = re.compile(r"^(§|Art\.|Artikel) (\d+[a-z]{0,2})(?:(?:  +|\t| )(\S.*))?$")
 _GONE = re.compile(r"^§§ (\d+[a-z]?) (?:u\.|und|bis|-|–) (\d+[a-z]?)\s+\(weggefallen\)$")
-_ANNEX = re.compile(r"^((?:Anlage|Anhang)(?: (?:\d+[a-z]?|[IVX]+))?)(?:  +(.*)| ?(\((?:zu|Zu) .*))?$")
+_GONE_TITLES = (REPEALED, "(aufgehoben)")
+_FOOTNOTE = re.compile(r"^(\d+)\) (?=\[)")
+_ANNEX = re.compile(r"^((?:Anlage|Anhang)(?: (?:\d+[a-z]?|[IVX]+))?(?: Nummer \d+[a-z]?)?)(?:  +(.*)| ?(\((?:zu|Zu) .*))?$")
 _PARA = re.compile(r"^\((\d+[a-z]{0,2})\) +")
 
 
@@ -37,6 +41,12 @@ def _is_head(m: re.Match, last: str | None) -> bool:
     return last is None or natural(m[2]) > natural(last)
 
 
+def _bare_heading(lines: list[str], k: int) -> tuple[str, str] | None:
+    """A heading without a word for its unit: "I. Aufgaben" or "1. Der Rat", right before a norm or another heading."""
+    m = _BARE.match(lines[k])
+    return (m[1], m[2]) if m and _head_follows(lines, k + 1) else None
+
+
 def divisions_heading(line: str) -> tuple[str, str | None] | None:
     for pattern in _DIVISIONS:
         if m := pattern.match(line):
@@ -75,6 +85,7 @@ def paragraphs_of(lines: list[str]) -> list[Paragraph]:
     for line in lines:
         if not line.strip():
             continue
+        line = _FOOTNOTE.sub(lambda m: m[1].translate(str.maketrans(DIGITS, SUPERSCRIPTS)) + ") ", line)
         m = _PARA.match(line)
         if m:
             groups.append((m[1], [line[m.end() :]]))
@@ -90,15 +101,20 @@ def read_law(text: str, short: str | None = None) -> Law:
     lines = [x.rstrip() for x in re.split(r"\r\n|\r|\n", unicodedata.normalize("NFC", text).lstrip("﻿"))]
     at = 0
     head: list[str] = []
-    while at < len(lines) and not divisions_heading(lines[at]) and not ((m := _NORM.match(lines[at])) and _is_head(m, None)) and not _ANNEX.match(lines[at]) and lines[at].strip() != TOC_LABEL:
+    while at < len(lines) and not divisions_heading(lines[at]) and not _bare_heading(lines, at) and not ((m := _NORM.match(lines[at])) and _is_head(m, None)) and not _ANNEX.match(lines[at]) and lines[at].strip() != TOC_LABEL:
         if lines[at].strip():
             head.append(lines[at].strip())
         at += 1
+    if head and (m := re.match(r"(\S+): (.+?) \(\1\) Vom ", head[0])):  # a portal's line before the title
+        k = next((j for j, x in enumerate(head) if x == m[2]), 0)
+        head = head[k:]
     law = Law(short or "", head[0] if head else "")
     rest = []
     for line in head[1:]:
-        if (m := re.fullmatch(r"\((.+?) ?[–-] ?([^()–-]+)\)", line)) and law.abbreviation is None:
+        if (m := re.fullmatch(r"\((.+?) [–-] ?([^()]+?)(?: ?[–-])?\)", line)) and law.abbreviation is None:
             law.short, law.abbreviation = m[1], m[2].strip()
+        elif (m := re.fullmatch(r"\(([^()]{1,40})\)", line)) and law.abbreviation is None and not rest:
+            law.abbreviation = m[1]
         elif m := re.fullmatch(r"Stand: (.*)", line):
             law.stand = m[1]
         elif m := re.fullmatch(r"Fortgeschrieben durch: (.*)", line):
@@ -115,9 +131,9 @@ def read_law(text: str, short: str | None = None) -> Law:
         nonlocal label, title, body
         if label is not None:
             paragraphs = [Paragraph(None, "\n".join(x.strip() for x in body if x.strip()))] if label == TOC_LABEL else paragraphs_of(body)
-            gone = title == REPEALED or [p.text for p in paragraphs] == [REPEALED]
-            if title == REPEALED:
-                title, paragraphs = None, paragraphs or [Paragraph(None, REPEALED)]
+            gone = title in _GONE_TITLES or [p.text for p in paragraphs] in ([x] for x in _GONE_TITLES)
+            if title in _GONE_TITLES:
+                title, paragraphs = None, paragraphs or [Paragraph(None, title)]
             law.norms.append(Norm(label, title, paragraphs, division, gone))
         label, title, body = None, None, []
 
@@ -137,8 +153,6 @@ def read_law(text: str, short: str | None = None) -> Law:
             label, title, last = f"{'§' if norm[1] == '§' else 'Art.'} {norm[2]}", norm[3], norm[2]
         elif not annexes and (m := _GONE.match(line)):
             close()
-            from lexloom.functions.labels import expand
-
             for x in expand(m[1], m[2]) or [m[1], m[2]]:
                 label, body = f"§ {x}", [REPEALED]
                 close()
@@ -146,10 +160,19 @@ def read_law(text: str, short: str | None = None) -> Law:
         elif m := _ANNEX.match(line):
             close()
             annexes, label, title = True, m[1], m[2] or m[3]
-        elif not annexes and (found := divisions_heading(line)) and not (in_toc and not _head_follows(lines, k + 1)):
+        elif annexes and label and (m := re.fullmatch(r"Nummer (\d+[a-z]?)", line.strip())):
+            annex = re.sub(r" Nummer \w+$", "", label)  # an annex's numbers with paragraphs of their own are norms
+            close()
+            label = f"{annex} Nummer {m[1]}"
+        elif not annexes and ((found := divisions_heading(line)) and not (in_toc and not _head_follows(lines, k + 1)) or (found := None if in_toc else _bare_heading(lines, k))):
             close()
-            counter += 1
-            law.divisions.append(Division(found[0], found[1], f"{counter:02d}0"))
+            if found[0][0].isdigit() and found[0].endswith(".") and law.divisions:
+                parent = law.divisions[division].code.split(".")[0] if division is not None else "000"
+                code = f"{parent}.{sum(d.code.startswith(parent + '.') for d in law.divisions) + 1}"
+            else:
+                counter += 1
+                code = f"{counter:03d}"
+            law.divisions.append(Division(found[0], found[1], code))
             division = len(law.divisions) - 1
         else:
             if label is None and division is not None and law.divisions[division].title is None:
@@ -165,7 +188,7 @@ def read_law(text: str, short: str | None = None) -> Law:
 def _head_follows(lines: list[str], at: int) -> bool:
     for line in lines[at:]:
         if line.strip():
-            return bool(_NORM.match(line)) or divisions_heading(line) is not None
+            return " | " not in line and (bool(_NORM.match(line)) or divisions_heading(line) is not None or bool(_BARE.match(line)))
     return False
 
 
@@ -173,7 +196,7 @@ def write_law(law: Law) -> str:
     """The text that read_law reads back as the same law."""
     out = [law.title]
     if law.abbreviation:
-        out.append(f"({law.short} – {law.abbreviation})")
+        out.append(f"({law.short} – {law.abbreviation})" if law.short not in ("", law.title) else f"({law.abbreviation})")
     if law.stand:
         out.append(f"Stand: {law.stand}")
     out += [f"Fortgeschrieben durch: {m.label}" for m in law.marks]

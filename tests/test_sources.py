@@ -135,3 +135,47 @@ def test_an_abbreviation_is_looked_up_in_the_directory(tmp_path, monkeypatch):
         locate.fetch("gii:zpo", "https://p", get)
     with pytest.raises(ValueError, match="PDF"):
         inputs.read_text_file(b"%PDF-1.4")
+
+
+def test_heads_of_state_laws():
+    law = read_law(
+        "XG: Landesgesetz (XG) Vom 1. Mai 1978 (GVBl. S. 5)\nLandesgesetz\n(XG)\nVom 1. Mai 1978\nI. Abschnitt Grundsätze\nArt. 1  Zweck\n(1) ¹Eins ist. ²Zwei ist.\n"
+        "(2) Es dient:\n1. erstens,\n2. zweitens.\nII. Abschnitt Reviere\n1. Allgemeines\nArt. 3  Namen\nDer Bestand wird\nfestgestellt.\n2. Besonderes\nArt. 8  Flächen\n"
+        "(1) Die Regeln nach\nArt. 11 Abs. 6 sind anzuwenden⁶).\n6) [Amtl. Anm.:] Fundstelle\nArt. 9  (aufgehoben)\nArt. 10 (Änderung)\n"
+    )
+    assert (law.title, law.abbreviation) == ("Landesgesetz", "XG")
+    assert [n.label for n in law.norms] == ["Art. 1", "Art. 3", "Art. 8", "Art. 9", "Art. 10"]
+    assert [(d.label, d.title, d.code) for d in law.divisions] == [("I. Abschnitt", "Grundsätze", "001"), ("II. Abschnitt", "Reviere", "002"), ("1.", "Allgemeines", "002.1"), ("2.", "Besonderes", "002.2")]
+    assert law.norm("Art. 8").division == 3 and "⁶) [Amtl. Anm.:]" in law.norm("Art. 8").paragraphs[0].text and law.norm("Art. 9").repealed and not law.norm("Art. 10").repealed
+    assert read_law(write_law(law)) == law
+
+
+@pytest.mark.parametrize(
+    ("head", "short", "abbreviation"),
+    [("(Zuständigkeitsgesetz – Z-Gesetz)", "Zuständigkeitsgesetz", "Z-Gesetz"), ("(GO)", "Titel", "GO"), ("(Gemeindeordnung – GO –)", "Gemeindeordnung", "GO"), ("Vom 3. Mai 2000", "Titel", None)],
+)
+def test_short_titles(head, short, abbreviation):
+    law = read_law(f"Titel\n{head}\n§ 1  A\n(1) Text.\n")
+    assert (law.short, law.abbreviation) == (short, abbreviation) and read_law(write_law(law)) == law
+
+
+def test_a_table_of_contents_keeps_the_headings_that_it_cites():
+    law = read_law("Gesetz\n(G)\nInhaltsübersicht\nAbschnitt 1 Allgemeines\n§ 1 | Geltung\nAbschnitt 2 Zulassung\n§ 4 | Gründe\nAbschnitt 1 Allgemeines\n§ 1  Geltung\n(1) Es gilt.\n")
+    assert law.norm("Inhaltsübersicht").paragraphs[0].text.split("\n")[2] == "Abschnitt 2 Zulassung" and len(law.divisions) == 1
+    assert read_law(write_law(law)) == law
+
+
+def test_headings_known_by_their_place_only():
+    law = read_law("Gesetz\n(G)\nI. Form und Aufgaben\n§ 1  Name\n(1) Der Rat ist eine Anstalt.\nII. Organisation\n1. Der Rat\n§ 15  Bestand\n(1) Er besteht aus Mitgliedern.\n")
+    assert [(d.label, d.title) for d in law.divisions] == [("I.", "Form und Aufgaben"), ("II.", "Organisation"), ("1.", "Der Rat")] and law.norm("§ 15").division == 2
+
+
+def test_annexes_and_their_numbers():
+    law = read_law("Gesetz\n§ 1  Zweck\n(1) Es gilt.\nAnlage\n(zu § 1 Absatz 1)\nErster Abschnitt  Aufgaben\nNummer 6\nAmt\n(1) Die erste.\n(2) Die zweite; § 1 gilt.\nNummer 23\nPolizei\n(1) Die dritte.\nAnlage 2\nMuster\n")
+    assert [n.label for n in law.norms] == ["§ 1", "Anlage", "Anlage Nummer 6", "Anlage Nummer 23", "Anlage 2"] and not law.divisions
+    assert [p.number for p in law.norm("Anlage Nummer 6").paragraphs] == [None, "1", "2"] and read_law(write_law(law)) == law
+    from lexloom.plans.apply import apply_all
+    from lexloom.plans.recognise import recognise
+
+    new, entries = apply_all(law, [recognise("In Nummer 6 Absatz 2 der Anlage wird das Wort „zweite“ durch das Wort „neue“ ersetzt.") or recognise("In Anlage Nummer 6 Absatz 2 wird das Wort „zweite“ durch das Wort „neue“ ersetzt.")])
+    assert entries[0].status == "APPLIED" and new.norm("Anlage Nummer 6").paragraphs[2].text.startswith("Die neue")
