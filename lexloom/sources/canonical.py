@@ -175,8 +175,9 @@ def read_law(text: str, short: str | None = None) -> Law:
             law.divisions.append(Division(found[0], found[1], code))
             division = len(law.divisions) - 1
         else:
-            if label is None and division is not None and law.divisions[division].title is None:
-                law.divisions[division].title = line.strip()  # a heading's title may stand on the next line
+            if label is None and division is not None:
+                own = law.divisions[division]  # a heading's title may go on on the next line
+                own.title = f"{own.title} {line.strip()}" if own.title else line.strip()
                 continue
             if label is None:
                 label, title = "", None
