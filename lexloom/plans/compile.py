@@ -11,7 +11,7 @@ from lexloom.plans.model import Command, Law, Origin
 from lexloom.plans.outline import Point, extract_quotes, normal_quotes, restore_quotes, scan_outline
 from lexloom.plans.recognise import frame, recognise_masked
 
-_HEADER = re.compile(r"^\s*((?:Artikel|Art\.) \d+[a-z]?|§ \d+[a-z]?)\s*$|^\s*((?:Artikel|Art\.) \d+[a-z]?)\s+(?=[A-ZÄÖÜ])(.*)$")
+_HEADER = re.compile(r"^\s*((?:Artikel|Art\.) \d+[a-z]?|§ \d+[a-z]?)\s*$|^\s*((?:Artikel|Art\.) \d+[a-z]?)\s+(?!Abs|Satz|Nummer|Nr\.)(?=[A-ZÄÖÜ])(.*[^.,;:])$")
 _REASONING = re.compile(r"^\s*(?:(?:A\.|I\.)?\s*)?(?:Begründung|B e g r ü n d u n g)\s*:?\s*$")
 _AMENDS = re.compile(r"(?:wird|werden)\s+wie\s+folgt\s+geändert\s*:?")
 
@@ -110,6 +110,18 @@ def _walk(point: Point, quotes: list[str], context: L.Locator, article: str) ->
     return [c for p in point.children for c in _walk(p, quotes, context, article)]
 
 
+def _embedded_target(preamble: str) -> L.Locator:
+    """"§ 2 Satz 1 des Gesetzes … wird wie folgt geändert" sets the place of all points; a citation in the middle of a sentence does not."""
+    before = ""
+    for line in preamble.split("\n"):
+        m = re.match(r"\s*((?:§|Art\.) ?\d+[a-z]?(?: (?:Abs(?:atz|\.)|Satz|Nummer|Nr\.|Halbsatz) \w+)*) (?:des|der)\b", line)
+        if m and not re.search(r"(?:,|durch|nach|von|und|gemäß|mit)\s*$", before):
+            return L.parse(m[1]) or ()
+        if line.strip():
+            before = line
+    return ()
+
+
 def _last_cited(preamble: str):
     """The date of the version that a preamble says it amends."""
     dates = [d for m in re.finditer(r"vom (\d{1,2}\. \w+ \d{4})", preamble) if (d := german_date(m[1]))]
@@ -142,8 +154,9 @@ def compile_act(text: str, law: Law, only_article: str | None = None) -> Compile
         if cited and newest and newest > cited:
             out.warnings.append(f"Das Stammgesetz hat den Stand {newest}, {label} ändert die Fassung vom {cited}.")
         flat = re.sub(r"\s+", " ", preamble).strip()
-        target = re.search(r"(?:^|\) )(§ \d+[a-z]?(?: Abs(?:atz|\.) \d+\w?)?(?: Satz \d+)?) (?:des|der) .*wie folgt geändert", flat)
-        context = (L.parse(target[1]) or ()) if target else ()
+        context = _embedded_target(preamble)
+        if points and m and (inner := frame(flat[m.end() :].strip())) is not None:
+            context = L.within(context, inner)  # "…: Art. 28 Abs. 1 wird wie folgt geändert:"
         if not points and m:
             rest = flat[m.end() :].strip()
             if rest:

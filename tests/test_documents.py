@@ -198,3 +198,14 @@ def test_the_table_of_contents_is_probed_for_what_changed():
     base = BASE.replace("§ 1  Zweck", "Inhaltsübersicht\n§ 1 | Zweck\n§ 2 | Ende\n§ 1  Zweck")
     r = run_job(base, [ACT + ""])
     assert r.toc_problems == [("§ 3", "NO_ENTRY")] and "§ 3 fehlt in der Inhaltsübersicht." in r.warnings
+
+
+def test_places_that_a_preamble_sets():
+    law = read_law("Landesgesetz\n(LG)\nArt. 7  A\n(1) ¹Eins ist. ²Zwei ist.\n(2) Ohne.\nArt. 28  B\n(1) Eins ist. Zwei ist.\n")
+    act = "§ 1\nÄnderung des Landesgesetzes\nDas Landesgesetz (LG), das zuletzt durch\n§ 10 des Gesetzes vom 1. Mai 2020 geändert worden ist, wird wie folgt geändert:\nArt. 28 Abs. 1 wird wie folgt geändert:\n1. Satz 1 wird aufgehoben.\n2. In Satz 1 wird das Wort „Zwei“ durch das Wort „Drei“ ersetzt.\n§ 2\nÄnderung des\nLandesgesetzes\nArt. 7 Abs. 2 des Landesgesetzes (LG) wird wie folgt geändert:\n1. Der Wortlaut wird Satz 1.\n§ 3\nInkrafttreten\nDieses Gesetz tritt am 1. April 2026 in Kraft.\n"
+    c = compile_act(act, law)
+    assert c.articles == ["§ 1", "§ 2"] and [L.show(x.at) for x in c.commands] == ["Art. 28 Absatz 1 Satz 1", "Art. 28 Absatz 1 Satz 1", "Art. 7 Absatz 2"]
+    assert c.rules[0].date == dt.date(2026, 4, 1)
+    assert compile_act(act, law, "3").articles == [] and compile_act(act, law, "2").articles == ["§ 2"]
+    both = "Artikel 1\nDas Landesgesetz wird wie folgt geändert:\n1. In Art. 28 wird das Wort „Eins“ durch das Wort „Null“ ersetzt.\nArtikel 2\n§ 1\nDieses Gesetz tritt morgen in Kraft.\n"
+    assert compile_act(both, law).articles == ["Artikel 1"] and len(compile_act(both, law).commands) == 1
