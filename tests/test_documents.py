@@ -209,3 +209,21 @@ def test_places_that_a_preamble_sets():
     assert compile_act(act, law, "3").articles == [] and compile_act(act, law, "2").articles == ["§ 2"]
     both = "Artikel 1\nDas Landesgesetz wird wie folgt geändert:\n1. In Art. 28 wird das Wort „Eins“ durch das Wort „Null“ ersetzt.\nArtikel 2\n§ 1\nDieses Gesetz tritt morgen in Kraft.\n"
     assert compile_act(both, law).articles == ["Artikel 1"] and len(compile_act(both, law).commands) == 1
+
+
+def test_rules_of_commencement():
+    at = lambda text, article, path: commencement.rule_for(commencement.read_rules(text), article, path).date
+    text = "(1) Dieses Gesetz tritt vorbehaltlich des Absatzes 2 am 27. September 2026 in Kraft.\n(2) Artikel 1 Nummer 2 Buchstabe c tritt am 19. Juni 2026 in Kraft.\nDie Rechte des Bundesrates sind gewahrt."
+    assert [at(text, "Artikel 1", x) for x in ("2. c)", "2. d)", "2.")] == [dt.date(2026, 6, 19), dt.date(2026, 9, 27), dt.date(2026, 9, 27)]
+    text = "(1) Dieses Gesetz tritt vorbehaltlich des Absatzes 2 am 1. Januar 2024 in Kraft.\n(2) Abweichend von Absatz 1 treten Artikel 1 Nummer 22 sowie Artikel 3 am 1. Oktober 2024 in Kraft. Die Rechte sind gewahrt."
+    assert len(commencement.read_rules(text)) == 2
+    assert [at(text, a, p) for a, p in (("Artikel 1", "22."), ("Artikel 3", "5. b)"), ("Artikel 1", "21."))] == [dt.date(2024, 10, 1), dt.date(2024, 10, 1), dt.date(2024, 1, 1)]
+    text = "(1) Dieses Gesetz tritt vorbehaltlich der Absätze 2 und 3 am Tag nach der Verkündung in Kraft.\n(2) Artikel 4a Nummer 1 tritt mit Wirkung vom\n18. November 2020 in Kraft.\n(3) Artikel 1 Nummer 11 Buchstabe a Doppelbuchstabe bb und Artikel 2 treten am 1. April 2021 in Kraft."
+    assert [at(text, a, p) for a, p in (("Artikel 4a", "1."), ("Artikel 1", "11. a) bb)"), ("Artikel 1", "11. a) aa)"), ("Artikel 2", "6. b)"))] == [dt.date(2020, 11, 18), dt.date(2021, 4, 1), None, dt.date(2021, 4, 1)]
+    assert commencement.read_rules("Diese Verordnung tritt am 31. Dezember 2027 außer Kraft.") == []
+
+
+def test_the_closing_article_of_the_own_act_counts():
+    law = read_law(BASE)
+    act = "Artikel 1\nDas Andersgesetz wird wie folgt geändert:\n1. § 1 wird aufgehoben.\nArtikel 2\nDieses Gesetz tritt am 1. März 2026 in Kraft.\nArtikel 3\nDas Probegesetz wird wie folgt geändert:\n1. § 2 wird aufgehoben.\nArtikel 4\nDieses Gesetz tritt am 1. Juli 2026 in Kraft.\n"
+    assert compile_act(act, law).rules[0].date == dt.date(2026, 7, 1)
