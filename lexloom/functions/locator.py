@@ -91,7 +91,7 @@ _SKIP = re.compile(
     r"dieses Gesetzes|dieser Verordnung|des Gesetzes|der Verordnung|des Rahmens|Angaben? zu[rm]?|Wortlaut(?:s|es)?|In|Im|An|Am|Der|Die|Das|Dem|Den|Des|Zu|Nach|nach|vor|Vor)(?![\wäöüß])"
 )
 _CHAPEAU = re.compile(
-    r"(?:,? ?(?:im |in dem |dem |der |den |die )?(?:Satzteil|Einleitungssatz|Einleitung|einleitende[nr]? Satzteil|Teilsatz|Wortlaut|Angabe) ?(?:vor (?:der )?(?:Nummer|Nr\.|Buchstabe) ?(?:\w+)?)?)"
+    r"(?:,? ?(?:im |in dem |dem |der |den |die )?(?:Satzteil|Einleitungssatz|Eingangssatz|Einleitung(?!s)|einleitende[nr]? Satzteil|Teilsatz|Wortlaut|Angabe) ?(?:(?:vor|nach) (?:der )?(?:Nummer|Nr\.|Buchstabe) ?(?:\w+)?)?)"
 )
 _TOKEN = re.compile(r"\s+")
 
@@ -125,13 +125,16 @@ def _tokens(phrase: str) -> list[tuple[str, object]] | None:
         elif m := re.match(rf"({'|'.join(ORDINALS)})e[nrsm]? ({_DIVISIONS})", rest, re.I):
             out.append(("part", Part(DIVISION, str(ORDINALS.index(m[1].lower()) + 1), _singular(m[2]))))
             at += m.end()
+        elif m := re.match(r"(?!Unterabschnitt)([A-ZÄÖÜ][a-zäöüß]+abschnitt)(?:s|es)? (\d+[a-z]?)(?![\wäöüß])", rest):
+            out.append(("part", Part(ANNEX, m[2], m[1])))  # a named unit of an annex, which is a norm
+            at += m.end()
         elif m := re.match(rf"(\d+|[IVX]+)\. ({_DIVISIONS})(?![\wäöüß])", rest):
             out.append(("part", Part(DIVISION, m[1], _singular(m[2]))))
             at += m.end()
         elif m := re.match(rf"({_DIVISIONS}) (\d+[a-z]?|[IVX]+)(?![\wäöüß])", rest):
             out.append(("part", Part(DIVISION, m[2], _singular(m[1]))))
             at += m.end()
-        elif m := re.match(r"(Anlagen?|Anhang(?:s|es)?)(?: \(?zu §§? ?\d+[a-z]?(?: Abs(?:atz|\.) \d+)?\)?)?(?: (\d+[a-z]?|[IVX]+)(?![\wäöüß]))?(?: zu §§? ?\d+[a-z]?)?", rest):
+        elif m := re.match(r"(Anlagen?|Anhang(?:s|es)?)(?: \(?zu (?:§§?|Art\.) ?\d+[a-z]?(?: (?:Abs(?:atz|\.)|Satz|Nummer|Nr\.) \d+[a-z]?)*\)?)?(?: (\d+[a-z]?|[IVX]+)(?![\wäöüß]))?(?: zu §§? ?\d+[a-z]?)?", rest):
             out.append(("part", Part(ANNEX, m[2] or "", "Anlage" if m[1].startswith("Anlage") else "Anhang")))
             at += m.end()
         elif m := re.match(r"letzte[nrsm]? Satz(?:es)?", rest):

@@ -27,6 +27,8 @@ _NORM = re.compile(r"^(§|Art\.|Artikel) (\d+[a-z]{0,2})(?:(?:  +|\t| )(\S.*))?$
 _GONE = re.compile(r"^§§ (\d+[a-z]?) (?:u\.|und|bis|-|–) (\d+[a-z]?)\s+\(weggefallen\)$")
 _GONE_TITLES = (REPEALED, "(aufgehoben)")
 _FOOTNOTE = re.compile(r"^(\d+)\) (?=\[)")
+#: Named units of annexes are norms of their own.
+_NAMED_UNIT = re.compile(r"^((?!Unterabschnitt)[A-ZÄÖÜ][a-zäöüß]+abschnitt \d+[a-z]?)(?:  +(.*))?$")
 _ANNEX = re.compile(r"^((?:Anlage|Anhang)(?: (?:\d+[a-z]?|[IVX]+))?(?: Nummer \d+[a-z]?)?)(?:  +(.*)| ?(\((?:zu|Zu) .*))?$")
 _PARA = re.compile(r"^\((\d+[a-z]{0,2})\) +")
 
@@ -160,6 +162,9 @@ def read_law(text: str, short: str | None = None) -> Law:
         elif m := _ANNEX.match(line):
             close()
             annexes, label, title = True, m[1], m[2] or m[3]
+        elif annexes and (m := _NAMED_UNIT.match(line)):
+            close()
+            label, title = m[1], m[2]
         elif annexes and label and (m := re.fullmatch(r"Nummer (\d+[a-z]?)", line.strip())):
             annex = re.sub(r" Nummer \w+$", "", label)  # an annex's numbers with paragraphs of their own are norms
             close()
@@ -201,7 +206,7 @@ def write_law(law: Law) -> str:
     if law.stand:
         out.append(f"Stand: {law.stand}")
     out += [f"Fortgeschrieben durch: {m.label}" for m in law.marks]
-    annex = [n for n in law.norms if n.label.startswith(("Anlage", "Anhang"))]
+    annex = [n for n in law.norms if n.label.startswith(("Anlage", "Anhang")) or _NAMED_UNIT.match(n.label)]
     written: set[int] = set()
     for norm in [n for n in law.norms if n not in annex] + annex:
         if norm.division is not None and norm.label != TOC_LABEL:

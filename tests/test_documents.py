@@ -227,3 +227,12 @@ def test_the_closing_article_of_the_own_act_counts():
     law = read_law(BASE)
     act = "Artikel 1\nDas Andersgesetz wird wie folgt geändert:\n1. § 1 wird aufgehoben.\nArtikel 2\nDieses Gesetz tritt am 1. März 2026 in Kraft.\nArtikel 3\nDas Probegesetz wird wie folgt geändert:\n1. § 2 wird aufgehoben.\nArtikel 4\nDieses Gesetz tritt am 1. Juli 2026 in Kraft.\n"
     assert compile_act(act, law).rules[0].date == dt.date(2026, 7, 1)
+
+
+def test_a_quote_without_an_end_ends_where_that_is_sure():
+    q = extract_quotes("Artikel 1\nbb) Vor den Wörtern „Aus dem Bereich:“ wird folgender Absatz 5 eingefügt:\n„(5) Die Kontrolle.\ncc) Absatz 5 wird Absatz 6.\nc) Nummer 31 wird wie folgt gefasst:\n„Nummer 31\nNeu.“\n")
+    assert q.quotes == ["Aus dem Bereich:", "(5) Die Kontrolle.", "Nummer 31\nNeu."] and "cc) Absatz 5 wird" in q.text and len(q.warnings) == 1
+    balanced = extract_quotes("Artikel 1\n2. § 5 wird wie folgt gefasst:\n„Die Verordnung wird wie folgt geändert:\n1. § 2 wird aufgehoben.“\n")
+    assert len(balanced.quotes) == 1 and not balanced.warnings
+    deeper = extract_quotes("Artikel 1\n2. § 5 wird wie folgt gefasst:\n„(1) Es gilt:\naa) § 7 wird aufgehoben.\n")
+    assert "aa) § 7" in deeper.quotes[0] and len(deeper.warnings) == 1

@@ -24,6 +24,10 @@ from lexloom.functions.sentences import half_sentence_span, numbered, sentence_s
         ("§ 5 Absatz 1 letzter Satz", ["§ 5 Absatz 1 Satz letzter"]),
         ("In der Inhaltsübersicht", ["Inhaltsübersicht"]),
         ("§ 3 im Satzteil vor Nummer 1", ["§ 3"]),
+        ("Die Anlage zu § 2 Absatz 4 Satz 1", ["Anlage"]),
+        ("Ausbildungsabschnitt 1 Absatz 2", ["Ausbildungsabschnitt 1 Absatz 2"]),
+        ("Unterabschnitt 4", ["Unterabschnitt 4"]),
+        ("Absatz 2 in dem Satzteil nach Nr. 3", ["Absatz 2"]),
         ("Hausnummer 3", []),
         ("§ 3 oder so ähnlich", []),
     ],
@@ -83,3 +87,8 @@ def test_sentence_places():
     assert sentence_span("A ist. B ist. C.", "letzter") == (14, 16)
     assert half_sentence_span("Dies gilt; jenes nicht.", "2") == (11, 23) and half_sentence_span("Ohne.", "1") is None
     assert numbered("A ist. B ist.") == "¹A ist. ²B ist."
+
+
+def test_phrases_without_a_unit():
+    assert all(L.names_nothing(x) for x in ("in dem Satzteil nach Nr. 3", "In der Einleitung", "Im Eingangssatz", "dem Wortlaut"))
+    assert not L.names_nothing("In der Einleitungsformel")

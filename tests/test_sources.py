@@ -173,6 +173,8 @@ def test_headings_known_by_their_place_only():
 def test_annexes_and_their_numbers():
     law = read_law("Gesetz\n§ 1  Zweck\n(1) Es gilt.\nAnlage\n(zu § 1 Absatz 1)\nErster Abschnitt  Aufgaben\nNummer 6\nAmt\n(1) Die erste.\n(2) Die zweite; § 1 gilt.\nNummer 23\nPolizei\n(1) Die dritte.\nAnlage 2\nMuster\n")
     assert [n.label for n in law.norms] == ["§ 1", "Anlage", "Anlage Nummer 6", "Anlage Nummer 23", "Anlage 2"] and not law.divisions
+    named = read_law("Gesetz\n§ 1  A\nText.\nAnlage 1  Plan\nAusbildungsabschnitt 1  Grundlagen\n(1) Eins.\nAusbildungsabschnitt 2\n(1) Zwei.\n")
+    assert [n.label for n in named.norms][2:] == ["Ausbildungsabschnitt 1", "Ausbildungsabschnitt 2"] and read_law(write_law(named)) == named
     assert [p.number for p in law.norm("Anlage Nummer 6").paragraphs] == [None, "1", "2"] and read_law(write_law(law)) == law
     from lexloom.plans.apply import apply_all
     from lexloom.plans.recognise import recognise
