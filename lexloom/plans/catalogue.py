@@ -795,3 +795,57 @@ def amended_synopsis(spark, sf_dir):
     from lexloom.plans import engine
 
     return engine.synopsis(engine.amend(_jobs(Tables(spark, sf_dir).documents))).select("job", "label", "kind", F.length("new_text").alias("n_chars"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS form, '§ ' || (o_custkey % 90 + 1) AS n, (o_orderkey % 7 + 1)::VARCHAR AS p, (o_orderkey % 7 + 2)::VARCHAR AS q, o_orderstatus, o_orderpriority FROM orders)
+    SELECT o_orderkey, 0 AS part, CASE form WHEN 0 THEN 'replace' WHEN 1 THEN 'repeal' WHEN 2 THEN 'renumber' ELSE 'unknown' END AS kind,
+        CASE WHEN form = 3 THEN '' ELSE n || ' Absatz ' || p END AS at, CASE WHEN form = 2 THEN n || ' Absatz ' || q END AS target,
+        CASE WHEN form = 0 THEN o_orderstatus END AS old, CASE WHEN form = 0 THEN o_orderpriority END AS new FROM o
+""")
+def recognise_commands(spark, sf_dir):
+    from lexloom.plans.commands import commands
+
+    key = F.col("o_orderkey")
+    norm, para, following = F.col("o_custkey") % 90 + 1, key % 7 + 1, key % 7 + 2
+    prose = (
+        F.when(key % 4 == 0, F.format_string("In § %d Absatz %d wird die Angabe „%s“ durch die Angabe „%s“ ersetzt.", norm, para, "o_orderstatus", "o_orderpriority"))
+        .when(key % 4 == 1, F.format_string("§ %d Absatz %d wird aufgehoben.", norm, para))
+        .when(key % 4 == 2, F.format_string("Der bisherige § %d Absatz %d wird Absatz %d.", norm, para, following))
+        .otherwise(F.format_string("§ %d Absatz %d bleibt, wie er ist.", norm, para))
+    )
+    texts = Tables(spark, sf_dir).orders.select("o_orderkey", prose.alias("text"))
+    return commands(texts).select("o_orderkey", "part", "kind", "at", F.col("to").alias("target"), "old", "new")
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, '§ ' || (o_custkey % 90 + 1) AS n, o_orderkey % 7 + 1 AS p, o_orderkey % 7 + 3 AS q, o_orderkey % 7 + 3 + o_orderkey % 3 AS r FROM orders)
+    SELECT o_orderkey, 0 AS place, n || ' Absatz ' || p || ' Satz 1' AS unit FROM o
+    UNION ALL SELECT o_orderkey, (k - q + 1)::INT, n || ' Absatz ' || k FROM (SELECT *, unnest(generate_series(q, r)) AS k FROM o)
+""")
+def parse_locators(spark, sf_dir):
+    from lexloom.functions import locator
+
+    @F.pandas_udf("array<string>")
+    def units(phrases: pd.Series) -> pd.Series:
+        return phrases.map(lambda p: [locator.show(x) for x in locator.parse_many(p)])
+
+    key = F.col("o_orderkey")
+    phrase = F.format_string("§ %d Absatz %d Satz 1 und Absatz %d bis %d", F.col("o_custkey") % 90 + 1, key % 7 + 1, key % 7 + 3, key % 7 + 3 + key % 3)
+    return Tables(spark, sf_dir).orders.select("o_orderkey", F.posexplode(units(phrase)).alias("place", "unit"))
+
+
+@query(r"""
+    WITH l AS (SELECT doc_id, trim(line) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM """ + _LINES + r""" WHERE trim(line) <> '')
+    SELECT doc_id, 'Dokumentgesetz' || chr(10) || '(DokG)' || chr(10) || '§ 1  Text' || chr(10) || string_agg('(' || k || ') ' || line, chr(10) ORDER BY k) || chr(10) AS written FROM l GROUP BY doc_id
+""")
+def law_round_trip(spark, sf_dir):
+    from lexloom.sources.canonical import read_law, write_law
+
+    @F.pandas_udf("string")
+    def again(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: write_law(read_law(t)))
+
+    docs = Tables(spark, sf_dir).documents
+    bases = _jobs(docs).select(F.col("job").cast("long").alias("doc_id"), F.replace("base", F.lit("(Dokumentgesetz – DokG)"), F.lit("(DokG)")).alias("base"))
+    return bases.select("doc_id", again("base").alias("written"))

@@ -116,3 +116,12 @@ def test_more_forms(text, context, kind, fields):
 def test_a_clause_inherits_its_place(text, last):
     c = read(text, "§ 5")
     assert c is not None and c.kind == "compound" and L.show(c.parts[-1].at) == last
+
+
+def test_commands_as_a_table(spark):
+    from lexloom.plans.commands import commands
+
+    rows = [(1, "In Absatz 1 wird das Wort „a“ durch das Wort „b“ und das Wort „c“ durch das Wort „d“ ersetzt.", "§ 2"), (2, "Kein Befehl.", None), (3, "Nach § 1 wird folgender § 1a eingefügt: „§ 1a Neu“", None), (4, None, None)]
+    got = commands(spark.createDataFrame(rows, "id int, text string, place string"), context="place").orderBy("id", "part").collect()
+    assert [(r["id"], r["part"], r["kind"], r["at"]) for r in got] == [(1, 0, "replace", "§ 2 Absatz 1"), (1, 1, "replace", "§ 2 Absatz 1"), (2, 0, "unknown", ""), (3, 0, "insert_unit", "§ 1"), (4, 0, "unknown", "")]
+    assert got[1]["old"] == "c" and got[3]["label"] == "1a" and got[2]["text"] == "Kein Befehl."
