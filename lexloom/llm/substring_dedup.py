@@ -241,3 +241,14 @@ def repeated_passages(
     found = found.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run"))).where(F.col("run_words") >= run)
     stays = (F.col("doc_id") == F.col("keep_doc_id")) & (F.col("no") == F.col("keep_no"))
     return found.select("doc_id", F.col("no").alias("paragraph"), "start", "length", "words", "class_id", "keep_doc_id", "keep_start", (~stays).alias("removed"))
+
+
+def without_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the removed paragraphs cut out of the text; documents without any are untouched."""
+    spans = passages.where("removed").groupBy(F.col("doc_id").alias("__of")).agg(F.sort_array(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length")))).alias("__spans"))
+    whole = F.col(text)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast("struct<at:int,out:string>")
+    step = lambda a, s: F.struct((s["start"] + s["length"]).alias("at"), F.concat(a["out"], F.substring(whole, a["at"] + 1, s["start"] - a["at"])).alias("out"))
+    cut = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole))))
+    joined = docs.join(spans, docs[doc_id] == spans["__of"], "left")
+    return joined.withColumn(text, F.when(F.col("__spans").isNull(), whole).otherwise(cut)).select(*docs.columns)

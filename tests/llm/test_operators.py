@@ -276,6 +276,11 @@ def test_passages(spark, rng, monkeypatch, block):
         x, y = (sets(substring_dedup._WORD.findall(t.lower())) for t in (a, b))
         assert (classes[a] == classes[b]) == (len(x & y) / len(x | y) >= 0.8)
     assert (got.groupby("class_id").removed.apply(lambda x: (~x).sum()) == 1).all()
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.without_passages(table, spark.createDataFrame(got)).collect()}
+    for k, text in enumerate(docs):
+        gone = [text[r.start : r.start + r.length] for r in got.itertuples() if r.doc_id == k and r.removed]
+        assert len(left[k]) == len(text) - sum(map(len, gone)) and not any(g in left[k] for g in gone)
 
 
 # ------------------------------------------------------------------- licences
