@@ -790,7 +790,11 @@ def clean_documents(spark, sf_dir):
     return cleaned.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), F.size("warnings").alias("n_warnings"))
 
 
-@query()
+@query(f"""
+    WITH l AS (SELECT doc_id, trim(line) AS text, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM {_LINES} WHERE trim(line) <> ''), c AS (SELECT *, {_COUNT} AS n FROM l)
+    SELECT doc_id::VARCHAR AS job, '§ 1' AS label, 'CHANGED' AS kind, (sum(length(text) + length(k::VARCHAR) + 3) + 2 * (count(*) - 1) + 2)::INT AS n_chars
+    FROM c GROUP BY doc_id HAVING sum((n = 1)::INT) = 1
+""")
 def amended_synopsis(spark, sf_dir):
     from lexloom.plans import engine
 
