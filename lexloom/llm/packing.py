@@ -12,6 +12,7 @@ powers of two, which need no padding, so nothing is padded at all.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from unicodedata import is_normalized
@@ -31,8 +32,10 @@ ROWS, MOST_BUCKETS = 1024, 1 << 16
 #: Documents read for the bounds, for each bucket.
 SAMPLE = 32
 DIMS, DIM_BITS = 4, 10
+#: ASCII marks that end a run of letters or digits; those of special tokens, and the apostrophe of contractions, are none.
+MARKS = b".,;:!?*#$%&()-/+=@[]{}~^`"
 #: Words of a worker's memory; it starts afresh beyond.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 
 def _byte_letters() -> list[str]:
@@ -60,22 +63,29 @@ class _Words(dict):
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
 
+    def plain(self, text: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
     def ids(self, word: bytes) -> bytes:
         text = word.decode()
-        if text.isalpha() and text.lower() == text and is_normalized("NFC", text):
-            found = [t.id for t in self.model.tokenize(text if text.isascii() else "".join([self.letters[b] for b in word]))]
-        else:
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(found, "<u4").tobytes()
+        if text.isalpha() and is_normalized("NFC", text):
+            small = text.lower()
+            # Beyond Latin letters, case rules may look at a letter's neighbours; the tokenizer's own do not.
+            if small == text or max(text) < "\u0250" and small.isalpha():
+                return self.plain("".join([self.letters[b] for b in small.encode()]))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        # Sentence marks after a letter or digit are tokens of their own; most new words are known without them.
-        stem = word.rstrip(b".,")
-        if stem and len(stem) < len(word) and stem.isalnum():
-            value = self[stem] + self[word[len(stem) :]]
+        # The methods of bytes know ASCII letters only, of which each word is one run for the tokenizer.
+        if word.isalpha():
+            value = self.plain(word.decode()) if word.islower() else self[word.lower()]
         else:
-            small = word.lower() if word.isalpha() else word
-            value = self[small] if small != word else self.ids(word)
+            # Marks after a letter or digit are a token run of their own; most new words are known without them.
+            stem = word.rstrip(MARKS)
+            if stem and len(stem) < len(word) and stem.decode()[-1].lower()[-1].isalnum():
+                value = self[stem] + self[word[len(stem) :]]
+            else:
+                value = self.ids(word)
         self[word] = value
         return value
 
