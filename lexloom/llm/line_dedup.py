@@ -56,7 +56,8 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, run: int = RUN, doc_id:
     work = Workspace(spark, "lines")
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     selected = work.table(_selected(rows, run), "selected")
-    twice = selected.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    # Written, so that the join has plain shuffles on both sides, of which adaptive execution splits a hot one.
+    twice = work.table(selected.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "twice")
     seeds = selected.join(twice, "fp")
     # Both ways: every run of lines that holds the selected one.
     starts = F.explode(F.sequence(F.lit(0), F.size("hashes") - run)).alias("k")
@@ -65,7 +66,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, run: int = RUN, doc_id:
     )
     grams = work.table(grams, "grams")
     place = F.struct("doc_id", "at", F.element_at("lines", 1).alias("line"))
-    firsts = grams.groupBy("gram").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l").select("gram", "f")
+    firsts = work.table(grams.groupBy("gram").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l").select("gram", "f"), "firsts")
     later = grams.join(firsts, "gram").where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("at") != F.col("f.at")))
     # Where a run overlaps its own first place, that place's lines stay.
     skip = F.when(F.col("doc_id") == F.col("f.doc_id"), F.greatest(F.lit(0), F.col("f.at") + run - F.col("at"))).otherwise(0)
