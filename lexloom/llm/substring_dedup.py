@@ -212,7 +212,8 @@ def repeated_passages(
     units = work.table(rows.mapInArrow(_units(bands, ROWS, WIDTH, least), fields), "units")
 
     keyed = units.select("h", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a != z").select("key")
+    # Written, so that the join has plain shuffles on both sides, of which adaptive execution splits a hot one.
+    shared = work.table(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a != z").select("key"), "shared")
     members = work.table(keyed.join(shared, "key").distinct(), "members")
     nominees = members.select("h").distinct().withColumn("nominee", F.lit(True))
     place = F.struct("doc_id", "no", "start")
