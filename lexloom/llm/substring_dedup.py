@@ -1,12 +1,17 @@
-"""Passages that repeat across documents, by MinHash banding over paragraphs.
+"""Passages that repeat across documents, by MinHash banding over paragraphs and an exact search over words.
 
-A paragraph is a sentence-like stretch of a line with at least ``LEAST`` words; line
-breaks and sentence ends part paragraphs, so a passage yields the same ones wherever it is
-pasted.  Equal paragraphs are one text from the start.  Distinct texts get MinHash
+A paragraph is a sentence-like stretch of a line with at least ``LEAST`` words, or
+consecutive shorter ones joined until they have so many; line breaks and sentence ends part paragraphs, so
+a passage yields the same ones wherever it is pasted.  Equal paragraphs are one text from the start.  Distinct texts get MinHash
 signatures over word shingles, in as few bands as the wanted recall at the threshold needs
 (``tuned``).  Paragraphs that collide in a band are verified by exact Jaccard similarity; links
 form components, and of each component only the first place stays.  A paragraph counts as
-part of a repeated passage if it lies in a run of repeated paragraphs of ``RUN`` words.
+part of a repeated passage if it lies in a run of repeated paragraphs and windows of ``RUN`` words.
+
+Windows of ``RUN`` words that repeat verbatim are found wherever they begin, so that no word is left
+out: of the word grams in a window the least is selected, the same in every copy, and all windows
+that hold a gram selected twice are looked up by their hashes.  The words of repeated windows that no found
+paragraph holds are rows of their own.
 
 A band's key is aggregated before the shuffle to its least and greatest text, so texts
 that collide with nothing cost one small row for each band.  Within a band, visits emit tree
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import Workspace, partitions
@@ -56,16 +61,39 @@ class _Hashes(dict):
 _words = _Hashes()
 
 
-def paragraphs(text: str, least: int = LEAST) -> Iterator[tuple[int, int, int, list[str]]]:
-    """(start, end, words before, words) of each paragraph; start and end are code points."""
-    start, before = 0, 0
+def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of each stretch between line breaks and sentence ends; start and end are code points."""
+    start = 0
     for cut in [*_END.finditer(text), None]:
         end = cut.start() if cut else len(text)
-        found = _WORD.findall(text[start:end].lower())
+        yield start, end, _WORD.findall(text[start:end].lower())
+        start = cut.end() if cut else end
+
+
+def paragraphs(parts: list[tuple[int, int, list[str]]], least: int = LEAST) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, words before, number of words) of each paragraph of a text's sentences."""
+    before, held = 0, None
+    for start, end, found in parts:
         if len(found) >= least:
-            yield start, end, before, found
+            held = None
+            yield start, end, before, len(found)
+        elif found:
+            held = held or (start, before)
+            n = before + len(found) - held[1]
+            if n >= least:
+                yield held[0], end, held[1], n
+                held = None
         before += len(found)
-        start = cut.end() if cut else end
+
+
+def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of the lower-cased text, as code points of the text."""
+    low = text.lower()
+    spans = np.array([m.span() for m in _WORD.finditer(low)], np.int64).reshape(-1, 2)
+    if len(low) != len(text):
+        of = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+        return of[spans[:, 0]].astype(np.int32), (of[spans[:, 1] - 1] + 1).astype(np.int32)
+    return spans[:, 0].astype(np.int32), spans[:, 1].astype(np.int32)
 
 
 def _mixed(x: np.ndarray, k: int) -> np.ndarray:
@@ -91,20 +119,49 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
-def _units(bands: int, rows: int, width: int, least: int):
-    """Rows (doc_id, text) to a row for each paragraph, with its text's hash and band keys."""
+def _gram(run: int) -> int:
+    """Words of a gram: of the windows' grams, neighbours that are selected overlap or touch."""
+    return run // 2 + 1
+
+
+def _selected(hashes: np.ndarray, counts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the grams that are the least of a window of so many words of one text."""
+    gram = _gram(run)
+    grams, held = _shingles(hashes, gram), run - gram + 1
+    n = len(hashes) - run + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), grams[:0]
+    owner = np.repeat(np.arange(len(counts)), counts)
+    whole, least = owner[:n] == owner[run - 1 :], grams[:n].copy()
+    for k in range(1, held):
+        np.minimum(least, grams[k : k + n], out=least)
+    chosen = np.zeros(len(grams), bool)
+    for k in range(held):
+        chosen[k : k + n] |= whole & (grams[k : k + n] == least)
+    at = np.flatnonzero(chosen)
+    return at, grams[at]
+
+
+_NAMES = ["doc_id", "no", "start", "length", "word", "words", "h", "bands", "at", "fps"]
+
+
+def _units(bands: int, rows: int, width: int, least: int, run_words: int):
+    """Rows (doc_id, text) to a row for each paragraph, with its text's hash and band keys, and one for each text's selected grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                owner, meta, stream, starts = [], [], [], []
+                owner, meta, stream, starts, counts = [], [], [], [], []
                 for k, text in enumerate(batch.column(1).to_pylist()):
-                    for no, (a, b, before, words) in enumerate(paragraphs(text or "", least)):
+                    parts, base = list(sentences(text or "")), len(stream)
+                    for no, (a, b, before, n) in enumerate(paragraphs(parts, least)):
                         owner.append(k)
-                        meta.append((no, a, b - a, before, len(words)))
-                        starts.append(len(stream))
+                        meta.append((no, a, b - a, before, n))
+                        starts.append(base + before)
+                    for *_, words in parts:
                         stream.extend(words)
+                    counts.append(len(stream) - base)
                 meta_ = np.array(meta, np.int64).reshape(-1, 5)
                 columns = [batch.column(0).take(pa.array(owner, pa.int64()))] + [pa.array(meta_[:, c].astype(np.int32)) for c in range(5)]
                 hashes, n = _word_hashes(stream), meta_[:, 4]
@@ -119,31 +176,148 @@ def _units(bands: int, rows: int, width: int, least: int):
                         for row in range(rows):
                             least_ = np.minimum.reduceat(_mixed(shingles, 1 + band * rows + row), cuts)[::2]
                             keys[:, band] = _mixed(keys[:, band] ^ least_, 1000 + band)
-                flat = pa.array(keys.ravel().view(np.int64))
-                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * bands), flat))
-                yield pa.record_batch(columns, names=["doc_id", "no", "start", "length", "word", "words", "h", "bands"])
+                columns.append(_lists(np.full(len(starts), bands), pa.array(keys.ravel().view(np.int64))))
+                columns += [pa.nulls(len(starts), pa.list_(pa.int32())), pa.nulls(len(starts), pa.list_(pa.int64()))]
+                yield pa.record_batch(columns, names=_NAMES)
+                sizes, (places, grams) = np.array(counts, np.int64), _selected(hashes, np.array(counts), run_words)
+                begins = np.cumsum(sizes) - sizes
+                of = np.searchsorted(begins, places, "right") - 1
+                each = np.bincount(of, minlength=len(sizes))
+                some = np.flatnonzero(each)
+                columns = [batch.column(0).take(pa.array(some))] + [pa.nulls(len(some), pa.int32()) for _ in range(5)]
+                columns += [pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.list_(pa.int64()))]
+                columns += [_lists(each[some], pa.array((places - begins[of]).astype(np.int32))), _lists(each[some], pa.array(grams.view(np.int64)))]
+                yield pa.record_batch(columns, names=_NAMES)
 
     return run
 
 
-def _sets(width: int, least: int):
-    """Rows (text, numbers of paragraphs) to (h, sorted distinct shingle hashes)."""
+def _lists(sizes: np.ndarray, flat: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
+
+
+def _looked(width: int, least: int, run_words: int):
+    """Rows (doc_id, text, numbers of paragraphs, places of grams) to (h, sorted distinct shingle hashes) and to stretches of windows.
+
+    A stretch is (doc_id, first word, hashes of its windows, starts and ends of its words).
+    """
+    back = run_words - _gram(run_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                hs, sets, owner, firsts, windows, starts, ends = [], [], [], [], [], [], []
+                for k, (text, wanted, seeds) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                    parts = list(sentences(text or ""))
+                    hashes = _word_hashes([w for *_, words in parts for w in words])
+                    if wanted:
+                        wanted = set(wanted)
+                        for no, (_, _, before, n) in enumerate(paragraphs(parts, least)):
+                            if no in wanted:
+                                own = hashes[before : before + n]
+                                hs.append(xxhash.xxh64_intdigest(own.tobytes()))
+                                sets.append(np.unique(_shingles(own, width)).tobytes())
+                    if seeds and len(hashes) >= run_words:
+                        of = np.unique(np.array(seeds)[:, None] - np.arange(back + 1)).astype(np.int64)
+                        of = of[(of >= 0) & (of <= len(hashes) - run_words)]
+                        all_, (low, high) = _shingles(hashes, run_words).view(np.int64), word_spans(text)
+                        for part in np.split(of, np.flatnonzero(np.diff(of) > 1) + 1):
+                            if len(part):
+                                a, b = int(part[0]), int(part[-1]) + 1
+                                owner.append(k)
+                                firsts.append(a)
+                                windows.append(all_[a:b])
+                                starts.append(low[a : b + run_words - 1])
+                                ends.append(high[a : b + run_words - 1])
+                n, m = len(hs), len(owner)
+                yield pa.record_batch(
+                    [
+                        pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(sets, pa.binary()), pa.nulls(n, batch.column(0).type),
+                        pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int32())),
+                    ],
+                    names=["h", "shingles", "doc_id", "at", "windows", "starts", "ends"],
+                )
+                flat = [_lists([len(x) for x in xs], pa.array(np.concatenate(xs) if xs else np.zeros(0, t))) for xs, t in ((windows, np.int64), (starts, np.int32), (ends, np.int32))]
+                yield pa.record_batch(
+                    [pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), batch.column(0).take(pa.array(owner, pa.int64())), pa.array(firsts, pa.int32()), *flat],
+                    names=["h", "shingles", "doc_id", "at", "windows", "starts", "ends"],
+                )
+
+    return run
+
+
+def _passages(least: int, run_words: int):
+    """Rows (doc_id, paragraphs, hits, stretches), one for each document, to the rows of its repeated passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, sets = [], []
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                wanted = set(wanted)
-                for no, (_, _, _, words) in enumerate(paragraphs(text or "", least)):
-                    if no in wanted:
-                        hashes = _word_hashes(words)
-                        hs.append(xxhash.xxh64_intdigest(hashes.tobytes()))
-                        sets.append(np.unique(_shingles(hashes, width)).tobytes())
-            yield pa.record_batch([pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], names=["h", "shingles"])
+            out = []
+            for k, doc in enumerate(batch.column(0).to_pylist()):
+                units = {tuple(u.values()) for u in batch.column(1)[k].as_py() or ()}
+                out.extend((doc, *row) for row in _of_document(doc, sorted(units, key=lambda u: u[:3]), batch.column(2)[k].values, batch.column(3)[k].values, least, run_words))
+            columns = list(zip(*out, strict=True)) or [()] * 9
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), batch.schema.field(0).type, pa.int32(), pa.bool_()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=_FOUND)
 
     return run
 
 
+_FOUND = ["doc_id", "paragraph", "start", "length", "words", "class_id", "keep_doc_id", "keep_start", "removed"]
+
+
+def _of_document(doc, units: list[tuple], hits: pa.StructArray | None, stretches: pa.StructArray | None, least: int, run_words: int) -> Iterator[tuple]:
+    at, skip = (hits.field(k).to_numpy() if hits is not None else np.zeros(0, np.int32) for k in (0, 1))
+    # The words of the document that matter, from the first match to the last.
+    low = min([u[3] for u in units] + ([int(at.min())] if len(at) else []))
+    size = max([u[3] + u[4] for u in units] + ([int(at.max()) + run_words] if len(at) else [])) - low
+    covered, gone = (np.zeros(size + 1, np.int64) for _ in range(2))
+    np.add.at(covered, at - low, 1)
+    np.add.at(covered, at - low + run_words, -1)
+    later = skip < run_words
+    np.add.at(gone, (at + skip)[later] - low, 1)
+    np.add.at(gone, at[later] - low + run_words, -1)
+    covered, gone = np.cumsum(covered)[:-1] > 0, np.cumsum(gone)[:-1] > 0
+    matched = covered.copy()
+    for u in units:
+        matched[u[3] - low : u[3] + u[4] - low] = True
+    places = np.flatnonzero(matched)
+    part = np.concatenate([[0], np.cumsum(np.diff(places) > least + 1)])
+    total = np.bincount(part)
+    run_of = np.zeros(size, np.int64)
+    run_of[places] = total[part]
+    state = np.where(gone, 2, np.where(covered, 1, 0))
+    for no, start, length, word, words, class_id, keep_doc, keep_no, keep_start in units:
+        a, b = word - low, word + words - low
+        if run_of[a] >= run_words:
+            stays = (doc, no) == (keep_doc, keep_no)
+            # What stays as a paragraph may hold words that stand in an earlier window.
+            state[a:b] = np.where(state[a:b] == 2, 2, 0) if stays else 0
+            yield no, start, length, words, class_id, keep_doc, keep_start, not stays
+    if not state.any():
+        return
+    starts, ends = (np.zeros(size, np.int64) for _ in range(2))
+    for s in stretches:
+        a = s["at"].as_py() - low
+        for values, known in ((starts, s["starts"].values.to_numpy()), (ends, s["ends"].values.to_numpy())):
+            left, right = max(a, 0), min(a + len(known), size)
+            if left < right:
+                values[left:right] = known[left - a : right - a]
+    order = np.argsort(at, kind="stable")
+    ranked = at[order]
+    for piece in np.split(np.arange(size), np.flatnonzero(np.diff(state)) + 1):
+        kind, a, b = state[piece[0]], int(piece[0]), int(piece[-1])
+        if not kind:
+            continue
+        # The last window from this word or before it that removes it, or that holds it.
+        k = np.searchsorted(ranked, a + low, "right") - 1
+        while kind == 2 and not (ranked[k] + skip[order[k]] <= a + low):
+            k -= 1
+        hit = hits[int(order[k])].as_py()
+        first = (hit["f"]["doc_id"], hit["f"]["start"]) if kind == 2 else (doc, int(starts[a]))
+        yield None, int(starts[a]), int(ends[b] - starts[a]), b - a + 1, hit["w"], *first, bool(kind == 2)
+
+
 def _alike(own: np.ndarray, sizes: np.ndarray, owners: np.ndarray, values: np.ndarray, similar: float) -> np.ndarray:
     """Positions whose set has Jaccard similarity of at least ``similar`` with own."""
     shared = np.bincount(owners[np.isin(values, own)], minlength=len(sizes))
@@ -194,12 +368,15 @@ def _edges(pairs: list) -> pa.RecordBatch:
 def repeated_passages(
     spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, run: int = RUN
 ) -> DataFrame:
-    """(doc_id, paragraph, start, length, words, class_id, keep_doc_id, keep_start, removed) for each paragraph of a repeated passage.
+    """(doc_id, paragraph, start, length, words, class_id, keep_doc_id, keep_start, removed) for each paragraph of a repeated passage, and its other words.
 
     start and length are code points of the text.  A class is a component of paragraphs
     linked by equality or by Jaccard similarity of at least ``similar`` over distinct
     shingles of WIDTH words; its first place (by doc_id, then paragraph) stays and
-    the others are removed.  Null and empty texts have no paragraphs; rows that
+    the others are removed.  Words that stand in a window of ``run`` words repeated verbatim, but in no such paragraph, are
+    rows with a null paragraph, classed by a window that holds their first word; the window's first place (by
+    doc_id, then word) stays, keep_start is where it begins, and the others are removed, also out of a paragraph
+    that stays.  Null and empty texts have no paragraphs; rows that
     share a doc_id count as one document's, of which equal places are one; rows with a null doc_id are
     left out.  Other columns are left out; an empty table gives no rows.
     """
@@ -208,8 +385,12 @@ def repeated_passages(
     work, bands = Workspace(spark, "passages"), tuned(similar)
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    fields = f"doc_id {id_type}, no int, start int, length int, word int, words int, h long, bands array<long>"
-    units = work.table(rows.mapInArrow(_units(bands, ROWS, WIDTH, least), fields), "units")
+    fields = f"doc_id {id_type}, no int, start int, length int, word int, words int, h long, bands array<long>, at array<int>, fps array<long>"
+    seen = work.table(rows.mapInArrow(_units(bands, ROWS, WIDTH, least, run), fields), "units")
+    units = seen.where("no is not null").drop("at", "fps")
+    grams = seen.where("no is null").select("doc_id", F.explode(F.arrays_zip("at", "fps")).alias("g")).select("doc_id", "g.at", F.col("g.fps").alias("fp"))
+    twice = work.table(grams.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "twice")
+    seeds = grams.join(twice, "fp").groupBy("doc_id").agg(F.collect_set("at").alias("seeds"))
 
     keyed = units.select("h", F.explode("bands").alias("key"))
     # Written, so that the join has plain shuffles on both sides, of which adaptive execution splits a hot one.
@@ -222,8 +403,10 @@ def repeated_passages(
 
     wanted = texts.where("nominee").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.no").alias("no"))
     wanted = wanted.groupBy("doc_id").agg(F.collect_set("no").alias("wanted"))
-    sets = rows.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_sets(WIDTH, least), "h long, shingles binary")
-    sets = work.table(sets.dropDuplicates(["h"]), "sets")
+    again = rows.join(wanted.join(seeds, "doc_id", "full_outer"), "doc_id").select("doc_id", "text", "wanted", "seeds")
+    looked = again.mapInArrow(_looked(WIDTH, least, run), f"h long, shingles binary, doc_id {id_type}, at int, windows array<long>, starts array<int>, ends array<int>")
+    looked = work.table(looked, "looked")
+    sets = work.table(looked.where("at is null").select("h", "shingles").dropDuplicates(["h"]), "sets")
     counts = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
     dealt = members.join(counts, "key").select("key", "h", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -235,13 +418,22 @@ def repeated_passages(
     classes = work.table(classes, "classes")
     keep = classes.groupBy("class_id").agg(F.min("first").alias("keep"))
     named = classes.join(keep, "class_id").select("h", "class_id", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.no").alias("keep_no"), F.col("keep.start").alias("keep_start"))
-    found = units.drop("bands").join(named, "h")
-    by = Window.partitionBy("doc_id").orderBy("word", "no")
-    reached = F.lag(F.col("word") + F.col("words")).over(by)
-    found = found.withColumn("new", F.when(F.col("word") - reached <= least, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
-    found = found.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run"))).where(F.col("run_words") >= run)
-    stays = (F.col("doc_id") == F.col("keep_doc_id")) & (F.col("no") == F.col("keep_no"))
-    return found.select("doc_id", F.col("no").alias("paragraph"), "start", "length", "words", "class_id", "keep_doc_id", "keep_start", (~stays).alias("removed"))
+    found = units.drop("bands").join(named, "h").select("doc_id", F.struct("no", "start", "length", "word", "words", "class_id", "keep_doc_id", "keep_no", "keep_start").alias("u"))
+    found = found.groupBy("doc_id").agg(F.collect_list("u").alias("units"))
+
+    stretches = looked.where("at is not null").select("doc_id", "at", "windows", "starts", "ends")
+    windows = stretches.select("doc_id", "at", F.posexplode(F.arrays_zip(F.col("windows").alias("w"), F.slice("starts", F.lit(1), F.size("windows")).alias("start"))).alias("k", "x"))
+    windows = windows.select("doc_id", (F.col("at") + F.col("k")).alias("at"), F.col("x.w").alias("w"), F.col("x.start").alias("start"))
+    spot = F.struct("doc_id", "at", "start")
+    firsts = work.table(windows.groupBy("w").agg(F.min(spot).alias("f"), F.max(spot).alias("l")).where("f != l").select("w", "f"), "firsts")
+    # Words of a window that it must leave: all of its first place, and where it overlaps that place.
+    overlap = F.least(F.lit(run), F.greatest(F.lit(0), F.col("f.at") + run - F.col("at")))
+    skip = F.when(F.col("doc_id") == F.col("f.doc_id"), overlap).otherwise(0).cast("int")
+    hits = windows.drop("start").join(firsts, "w").select("doc_id", F.struct("at", skip.alias("skip"), "w", F.struct("f.doc_id", "f.start").alias("f")).alias("x"))
+    hits = hits.groupBy("doc_id").agg(F.collect_list("x").alias("hits"))
+    spans = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("at", "starts", "ends")).alias("spans"))
+    whole = found.join(hits, "doc_id", "full_outer").join(spans, "doc_id", "left").select("doc_id", "units", "hits", "spans")
+    return whole.mapInArrow(_passages(least, run), f"doc_id {id_type}, paragraph int, start int, length int, words int, class_id long, keep_doc_id {id_type}, keep_start int, removed boolean")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -283,6 +283,30 @@ def test_passages(spark, rng, monkeypatch, block):
         assert len(left[k]) == len(text) - sum(map(len, gone)) and not any(g in left[k] for g in gone)
 
 
+def test_passages_of_short_sentences_in_mid_line(spark, rng):
+    short = " ".join(prose(rng, 4) + rng.choice(".!?") for _ in range(13))
+    docs = [f"{prose(rng, 30)} {short[:-1]} {prose(rng, 20)}. {prose(rng, 6)}." for _ in range(6)]
+    long = prose(rng, 60)
+    docs += [f"{prose(rng, 9)} {long} {prose(rng, 11)}." for _ in range(3)] + [f"İ ǅ İ {prose(rng, 12)}, {long}! {prose(rng, 5)}"]
+    docs += [prose(rng, 30) + " " + " ".join(long.split()[:23]) + " " + prose(rng, 9), ("beat " * 100).strip()]
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = substring_dedup.repeated_passages(spark, table)
+    rows = got.toPandas()
+    for k in range(10):
+        of = rows[rows.doc_id == k].sort_values("start")
+        text = docs[k]
+        marked = "".join(text[r.start : r.start + r.length] for r in of.itertuples())
+        want = short[:-1] if k < 6 else long
+        assert substring_dedup._WORD.findall(marked) == substring_dedup._WORD.findall(want) or "".join(substring_dedup._WORD.findall(marked)) == "".join(substring_dedup._WORD.findall(want))
+        assert of.removed.all() if k not in (0, 6) else not of.removed.any()
+        assert set(of.keep_doc_id) == ({0} if k < 6 else {6})
+    assert 10 not in set(rows.doc_id)
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.without_passages(table, got).collect()}
+    assert left[0] == docs[0] and left[6] == docs[6] and left[10] == docs[10] and len(left[11].split()) == 24
+    assert all(len(left[k]) <= len(docs[k]) - len(short) + 60 and short.split()[20] not in left[k] for k in range(1, 6))
+    assert long not in left[7] and left[9].startswith("İ ǅ İ")
+
+
 # ------------------------------------------------------------------- licences
 
 
