@@ -9,6 +9,7 @@ for each of its lines, since notices are often one line of a longer text.
 from __future__ import annotations
 
 import hashlib
+import pkgutil
 import re
 from collections.abc import Iterator
 
@@ -43,6 +44,25 @@ _BSD = """Redistribution and use in source and binary forms, with or without mod
 _BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
 _BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
+#: Licences whose whole text is a file of license_texts.
+WHOLE = [
+    "Apache-2.0", "CC0-1.0", "GFDL-1.2-only", "GFDL-1.3-only", "GPL-1.0-only", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.0-only", "LGPL-2.1-only",
+    "LGPL-3.0-only", "MPL-1.1", "MPL-2.0",
+]
+_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts(name: str) -> list[str]:
+    """A licence's text with and without what follows its terms, in the lines of its file and with a line for each paragraph.
+
+    Lines matter, since a line that begins with "copyright" is dropped wherever the text breaks.
+    """
+    text = pkgutil.get_data("lexloom.llm", f"license_texts/{name}.txt").decode()
+    terms, found, _ = text.partition(_TERMS)
+    texts = [text, terms + found] if found else [text]
+    return texts + ["\n".join(" ".join(x.split()) for x in re.split(r"\n\s*\n", t)) for t in texts]
+
+
 #: Licence id and a text that stands for it: whole licences, and the notices that name one.
 KNOWN = [
     ("MIT", _MIT),
@@ -81,6 +101,9 @@ def canonical(text: str) -> str:
     return " ".join(filter(None, map(canonical_line, text.split("\n"))))
 
 
+KNOWN += [(name, text) for name in WHOLE for text in {canonical(t): t for t in whole_texts(name)}.values()]
+
+
 def digest(form: str) -> bytes:
     return hashlib.sha256(form.encode()).digest()
 

@@ -1,6 +1,7 @@
 """Operators against brute-force versions, exact round trips and held-out accuracy."""
 
 import itertools
+import pkgutil
 import zlib
 
 import numpy as np
@@ -325,6 +326,15 @@ def test_licenses(spark):
     assert len(set(forms)) == len(forms)
 
 
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0"])
+def test_whole_licenses(spark, name):
+    text = pkgutil.get_data("lexloom.llm", f"license_texts/{name}.txt").decode()
+    lines = [" ".join(x.split()) for x in text.split("\n\n")]
+    texts = {1: "Copyright 2020 Somebody\n\n" + text.replace("License ", "Licence "), 2: "\n".join(lines).upper(), 3: text.replace("warrant", "guarant"), 4: text + "\nAnd more."}
+    got = licenses.scan(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {(r["doc_id"], r["license_id"]) for r in got.collect() if r["scope"] == "document"} == {(1, name), (2, name)}
+
+
 # -------------------------------------------------------------------- quality
 
 
