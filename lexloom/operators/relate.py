@@ -97,12 +97,28 @@ def classify_heads(lines: DataFrame, key: str, rules: list[tuple[str, str]], hea
     return heads.select(key, kind.alias("kind"))
 
 
+#: Lengths of the character grams by which names and preambles meet.
+_GRAMS = (8, 4, 2, 1)
+
+
+def _grams(text: Column, size: int) -> Column:
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.transform(starts, lambda k: F.substring(text, k, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
 def route(articles: DataFrame, preamble: str, laws: DataFrame, name: str) -> DataFrame:
-    """articles with each law whose name their preamble contains.
+    """articles with each law whose name their preamble contains, in whatever case and within longer words too.
 
-    The first word of a name finds the preambles that may contain it, so that neither side need be held by every
-    task; the whole name is then looked for.
+    A character gram of the name, the one with the least hash, finds the preambles that may contain it, so that
+    neither side need be held by every task; the whole name is then looked for.  Names shorter than the longest grams
+    are found by shorter ones; an empty name is contained in every preamble.
     """
-    words = F.array_distinct(F.split(F.lower(preamble), " "))
-    found = articles.withColumn("__word", F.explode(words)).join(laws.withColumn("__word", F.element_at(F.split(F.lower(name), " "), 1)), "__word")
-    return found.where(F.lower(preamble).contains(F.lower(name))).drop("__word")
+    whole, named = F.lower(preamble), F.lower(name)
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *[_grams(whole, n) for n in _GRAMS]))
+    key = F.lit("")
+    for n in reversed(_GRAMS):
+        least = F.array_min(F.transform(_grams(named, n), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+        key = F.when(F.length(named) >= n, least).otherwise(key)
+    keys = articles.withColumn("__gram", F.explode(F.when(whole.isNotNull(), grams)))
+    found = keys.join(laws.where(F.col(name).isNotNull()).withColumn("__gram", key), "__gram")
+    return found.where(whole.contains(named)).drop("__gram")
