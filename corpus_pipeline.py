@@ -1,6 +1,6 @@
 """A corpus pipeline: five stages over documents, each reading all that the one before kept.
 
-Rows are told apart by doc_id.  A row with a null doc_id cannot be named by the stages that
+Rows are told apart by doc_id and, where the stages that compare documents find one id with different texts, by text.  A row with a null doc_id cannot be named by the stages that
 compare documents: it passes them, and is only judged by the classifier.  Null texts count as empty.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import decontaminate, exact_dedup, packing, quality, simhash
-from lexloom.llm.common import Workspace, benchmark, documents
+from lexloom.llm.common import Workspace, ascii_lower, benchmark, documents, whole_text
 from lexloom.llm.queries import PACK_TOKENIZER, tokenizer_path
 
 
@@ -29,22 +29,34 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the one with the largest doc_id."""
     work = Workspace(spark, "stage-exact")
-    groups = work.table(exact_dedup.exact_groups(spark, docs).select("doc_id", "kept", "text_sha256"), "groups")
-    left = _without(docs, work.table(groups.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone"))
-    # Rows that repeat an id and a text are one document.
-    again = groups.where("kept and doc_id is not null").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id").distinct()
-    again = work.table(again, "again")
+    groups = work.table(exact_dedup.exact_groups(spark, docs).select("doc_id", "kept", "text_sha256").where("doc_id is not null"), "groups")
+    count = groups.groupBy("doc_id").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n"))
+    left = _without(docs, work.table(count.where("kept = 0").select("doc_id"), "gone"))
+    # Ids with several rows, of which some stay; rows that repeat an id and a text are one document.
+    again = work.table(count.where("kept > 0 and n > 1").select("doc_id"), "again")
     if again.isEmpty():
         return left
-    repeated = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return _without(left, again).unionByName(repeated)
+    shas = F.sha2(ascii_lower(whole_text()), 256)
+    several = left.join(again, "doc_id", "left_semi").withColumn("__sha", shas).dropDuplicates(["doc_id", "__sha"])
+    stay = groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of"))
+    several = several.join(stay, (F.col("doc_id") == F.col("__id")) & (F.col("__sha") == F.col("__of")), "left_semi")
+    return _without(left, again).unionByName(several.select(*docs.columns))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of linked fingerprints: the one with the smallest doc_id."""
     work = Workspace(spark, "stage-near")
-    groups = simhash.simhash_groups(spark, docs)
-    return _without(docs, work.table(groups.where("doc_id != component_id").select("doc_id").distinct(), "gone"))
+    groups = simhash.simhash_groups(spark, docs).where("doc_id is not null")
+    groups = work.table(groups.select("doc_id", "fp", (F.col("doc_id") == F.col("component_id")).alias("kept")), "groups")
+    count = groups.groupBy("doc_id").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n"))
+    left = _without(docs, work.table(count.where("kept = 0").select("doc_id"), "gone"))
+    mixed = work.table(count.where("kept > 0 and kept < n").select("doc_id"), "mixed")
+    if mixed.isEmpty():
+        return left
+    stay = groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__of"))
+    several = left.join(mixed, "doc_id", "left_semi").withColumn("__fp", simhash.fingerprints("text"))
+    several = several.join(stay, (F.col("doc_id") == F.col("__id")) & (F.col("__fp") == F.col("__of")), "left_semi")
+    return _without(left, mixed).unionByName(several.select(*docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

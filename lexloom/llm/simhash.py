@@ -18,10 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lexloom.llm.common import Workspace, partitions
 from lexloom.llm.components import connected_components
@@ -77,6 +79,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
 
+@F.pandas_udf(LongType())
+def fingerprints(text: pd.Series) -> pd.Series:
+    """The signed fingerprint of each text."""
+    return pd.Series(np.fromiter(map(fingerprint, text), np.uint64, len(text)).view(np.int64))
+
+
 def _neighbour_keys(n: int) -> int:
     """Links of the chain that go into the key: more when buckets would grow too large."""
     return 1 if n <= ROOMY else 2

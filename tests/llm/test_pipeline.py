@@ -63,6 +63,19 @@ def test_stages(spark, folder):
     assert np.isin(got.groupby("sequence_id").length.sum(), [1 << b for b in range(12)]).all()
 
 
+def test_an_id_with_different_texts_loses_only_what_is_repeated(spark):
+    rng = random.Random(5)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame([(5, a, "en"), (5, b, "en"), (5, b, "en"), (9, a.upper(), "en"), (7, c, "en")], schema)
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.exact(spark, docs, "").collect())
+    assert got == sorted([(5, b), (7, c), (9, a.upper())])
+    almost = next(x for x in (" ".join([*c.split()[:-1], prose(rng, 1)]) for _ in range(500)) if (simhash.fingerprint(x) ^ simhash.fingerprint(c)).bit_count() <= 4)
+    docs = spark.createDataFrame([(5, almost, "en"), (5, d, "en"), (3, c, "en"), (8, c, "en")], schema)
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, docs, "").collect())
+    assert got == sorted([(3, c), (5, d)])
+
+
 def test_each_stage_keeps_the_columns_and_takes_an_empty_table(spark, folder):
     path, *_ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
