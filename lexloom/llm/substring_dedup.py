@@ -1,47 +1,50 @@
-"""Passages that repeat across documents, by MinHash banding over paragraphs and an exact search over words.
+"""Passages that repeat across documents, by MinHash banding over paragraphs cut by content.
 
-A paragraph is a sentence-like stretch of a line with at least ``LEAST`` words, or
-consecutive shorter ones joined until they have so many; line breaks and sentence ends part paragraphs, so
-a passage yields the same ones wherever it is pasted.  Equal paragraphs are one text from the start.  Distinct texts get MinHash
+A paragraph begins where a document's words have the least hash within ``REACH`` words either way, a
+sentence's or line's first word going before all others.  That looks at the words around only, so a passage
+is cut alike wherever it is pasted, and every word lies in one paragraph.  Paragraphs get MinHash
 signatures over word shingles, in as few bands as the wanted recall at the threshold needs
-(``tuned``).  Paragraphs that collide in a band are verified by exact Jaccard similarity; links
-form components, and of each component only the first place stays.  A paragraph counts as
-part of a repeated passage if it lies in a run of repeated paragraphs and windows of ``RUN`` words.
+(``tuned``).  Those that collide in a band are verified by exact Jaccard similarity of their shingles; links
+form components, and of each component only the first place stays.
 
-Windows of ``RUN`` words that repeat verbatim are found wherever they begin, so that no word is left
-out: of the word grams in a window the least is selected, the same in every copy, and all windows
-that hold a gram selected twice are looked up by their hashes.  The words of repeated windows that no found
-paragraph holds are rows of their own.
+The ends of a passage lie inside paragraphs that differ.  Neighbouring repeated paragraphs
+are a run, and a run is extended word by word both ways, as far as the words are those next to its outer paragraph's first or last
+place.  Runs at most ``GAP`` words apart are one passage, and a passage counts if ``RUN`` of its words repeat.
 
 A band's key is aggregated before the shuffle to its least and greatest text, so texts
 that collide with nothing cost one small row for each band.  Within a band, visits emit tree
-edges only; a large one is dealt out as pairs of blocks.
+edges only; a large one is dealt out as pairs of blocks.  Extension compares with two places of a class, never with all.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import Workspace, partitions
 from lexloom.llm.components import connected_components
 
 WIDTH, SIMILAR = 5, 0.8
-#: Words of a paragraph, and of a run of repeated ones, at least.
-LEAST, RUN = 8, 24
+#: Words within which a paragraph's first has the least hash, and words after which a paragraph is cut anyway.
+REACH, MOST = 6, 64
+#: Repeated words that make a passage, words between two of its parts, and words a run is extended by.
+RUN, GAP, CONTEXT = 50, 5, 32
 #: Recall at the threshold that bands are tuned for, and hashes in a band.
 RECALL, ROWS = 0.99, 2
 #: Paragraphs of a band that are compared together.
 BLOCK = 512
-_END = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"\w+")
+_TOKEN = re.compile(r"\w+|[.!?\n]")
+_MARKS = dict.fromkeys(".!?\n", 0)
 _REMEMBERED = 500_000
+_TOP = np.uint64(2**64 - 1)
 
 
 def tuned(similar: float = SIMILAR, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -53,37 +56,14 @@ def tuned(similar: float = SIMILAR, rows: int = ROWS, recall: float = RECALL) ->
 
 
 class _Hashes(dict):
+    """Word hashes; a mark that ends sentences or lines has 0."""
+
     def __missing__(self, word: str) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word.encode())
+        value = self[word] = xxhash.xxh64_intdigest(word.encode()) or 1
         return value
 
 
-_words = _Hashes()
-
-
-def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, words) of each stretch between line breaks and sentence ends; start and end are code points."""
-    start = 0
-    for cut in [*_END.finditer(text), None]:
-        end = cut.start() if cut else len(text)
-        yield start, end, _WORD.findall(text[start:end].lower())
-        start = cut.end() if cut else end
-
-
-def paragraphs(parts: list[tuple[int, int, list[str]]], least: int = LEAST) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, words before, number of words) of each paragraph of a text's sentences."""
-    before, held = 0, None
-    for start, end, found in parts:
-        if len(found) >= least:
-            held = None
-            yield start, end, before, len(found)
-        elif found:
-            held = held or (start, before)
-            n = before + len(found) - held[1]
-            if n >= least:
-                yield held[0], end, held[1], n
-                held = None
-        before += len(found)
+_words = _Hashes(_MARKS)
 
 
 def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -105,217 +85,144 @@ def _mixed(x: np.ndarray, k: int) -> np.ndarray:
 
 def _shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of so many words."""
-    n = len(hashes) - width + 1
-    out = np.zeros(max(0, n), np.uint64)
+    n = max(0, len(hashes) - width + 1)
+    out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
             out = out * np.uint64(0x100000001B3) + (hashes[k : k + n] ^ (hashes[k : k + n] >> np.uint64(29)))
     return _mixed(out, 0)
 
 
-def _word_hashes(words: list[str]) -> np.ndarray:
-    if len(_words) > _REMEMBERED:
-        _words.clear()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-
+class _Cut(NamedTuple):
+    """Texts as one stream of word hashes, and its paragraphs of at least WIDTH words."""
 
-def _gram(run: int) -> int:
-    """Words of a gram: of the windows' grams, neighbours that are selected overlap or touch."""
-    return run // 2 + 1
+    hashes: np.ndarray
+    begins: np.ndarray  # the first word of each text
+    first: np.ndarray  # of each paragraph: its first word, words, and text
+    size: np.ndarray
+    owner: np.ndarray
 
 
-def _selected(hashes: np.ndarray, counts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that are the least of a window of so many words of one text."""
-    gram = _gram(run)
-    grams, held = _shingles(hashes, gram), run - gram + 1
-    n = len(hashes) - run + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), grams[:0]
-    owner = np.repeat(np.arange(len(counts)), counts)
-    whole, least = owner[:n] == owner[run - 1 :], grams[:n].copy()
-    for k in range(1, held):
-        np.minimum(least, grams[k : k + n], out=least)
-    chosen = np.zeros(len(grams), bool)
-    for k in range(held):
-        chosen[k : k + n] |= whole & (grams[k : k + n] == least)
-    at = np.flatnonzero(chosen)
-    return at, grams[at]
+def _starts_less(rank: np.ndarray, owner: np.ndarray, reach: int) -> np.ndarray:
+    """Whether each rank is the least within reach in its text, the first of equals going before the others."""
+    at = np.arange(len(rank)) + (owner + 1) * reach
+    padded = np.full(len(rank) + (int(owner[-1]) + 2) * reach if len(rank) else reach, _TOP)
+    padded[at] = rank
+    low = padded.copy()  # the least of the reach ranks from each on
+    held = 1
+    while held < reach:
+        step = min(held, reach - held)
+        low[: len(low) - step] = np.minimum(low[: len(low) - step], low[step:])
+        held += step
+    return (rank < low[at - reach]) & (rank <= low[at + 1])
 
 
-_NAMES = ["doc_id", "no", "start", "length", "word", "words", "h", "bands", "at", "fps"]
-
-
-def _units(bands: int, rows: int, width: int, least: int, run_words: int):
-    """Rows (doc_id, text) to a row for each paragraph, with its text's hash and band keys, and one for each text's selected grams."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                owner, meta, stream, starts, counts = [], [], [], [], []
-                for k, text in enumerate(batch.column(1).to_pylist()):
-                    parts, base = list(sentences(text or "")), len(stream)
-                    for no, (a, b, before, n) in enumerate(paragraphs(parts, least)):
-                        owner.append(k)
-                        meta.append((no, a, b - a, before, n))
-                        starts.append(base + before)
-                    for *_, words in parts:
-                        stream.extend(words)
-                    counts.append(len(stream) - base)
-                meta_ = np.array(meta, np.int64).reshape(-1, 5)
-                columns = [batch.column(0).take(pa.array(owner, pa.int64()))] + [pa.array(meta_[:, c].astype(np.int32)) for c in range(5)]
-                hashes, n = _word_hashes(stream), meta_[:, 4]
-                first = np.array(starts, np.int64)
-                texts = [xxhash.xxh64_intdigest(hashes[a : a + m].tobytes()) for a, m in zip(starts, n.tolist(), strict=True)]
-                columns.append(pa.array(np.array(texts, np.uint64).view(np.int64)))
-                keys = np.zeros((len(starts), bands), np.uint64)
-                if starts:
-                    shingles = np.append(_shingles(hashes, width), np.uint64(0))
-                    cuts = np.stack([first, first + n - width + 1], 1).ravel()
-                    for band in range(bands):
-                        for row in range(rows):
-                            least_ = np.minimum.reduceat(_mixed(shingles, 1 + band * rows + row), cuts)[::2]
-                            keys[:, band] = _mixed(keys[:, band] ^ least_, 1000 + band)
-                columns.append(_lists(np.full(len(starts), bands), pa.array(keys.ravel().view(np.int64))))
-                columns += [pa.nulls(len(starts), pa.list_(pa.int32())), pa.nulls(len(starts), pa.list_(pa.int64()))]
-                yield pa.record_batch(columns, names=_NAMES)
-                sizes, (places, grams) = np.array(counts, np.int64), _selected(hashes, np.array(counts), run_words)
-                begins = np.cumsum(sizes) - sizes
-                of = np.searchsorted(begins, places, "right") - 1
-                each = np.bincount(of, minlength=len(sizes))
-                some = np.flatnonzero(each)
-                columns = [batch.column(0).take(pa.array(some))] + [pa.nulls(len(some), pa.int32()) for _ in range(5)]
-                columns += [pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.list_(pa.int64()))]
-                columns += [_lists(each[some], pa.array((places - begins[of]).astype(np.int32))), _lists(each[some], pa.array(grams.view(np.int64)))]
-                yield pa.record_batch(columns, names=_NAMES)
-
-    return run
+def cut(texts: list[str], reach: int = REACH, most: int = MOST) -> _Cut:
+    """Cuts texts to paragraphs."""
+    if len(_words) > _REMEMBERED:
+        _words.clear()
+        _words.update(_MARKS)
+    tokens, counts = [], []
+    for text in texts:
+        found = _TOKEN.findall(text.lower())
+        tokens += found
+        counts.append(len(found))
+    values = np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
+    word, opens = values != 0, np.ones(len(values), bool)
+    opens[1:] = values[:-1] == 0
+    owner = np.repeat(np.arange(len(counts)), counts)[word]
+    hashes, opens = values[word], opens[word]
+    n = len(hashes)
+    new = np.ones(n, bool)
+    new[1:] = owner[1:] != owner[:-1]
+    following = np.zeros(n, np.uint64)
+    following[:-1] = np.where(new[1:], np.uint64(0), hashes[1:])
+    with np.errstate(over="ignore"):
+        rank = _mixed(hashes * np.uint64(3) + (following ^ (following >> np.uint64(29))), 77) >> np.uint64(1)
+    rank |= np.where(opens | new, np.uint64(0), np.uint64(1 << 63))
+    begin = new | _starts_less(rank, owner, reach)
+    if n:
+        since = np.arange(n) - np.maximum.accumulate(np.where(begin, np.arange(n), 0))
+        begin |= since % most == 0
+    first = np.flatnonzero(begin)
+    size = np.diff(np.append(first, n))
+    long = size >= WIDTH
+    texts_ = np.bincount(owner, minlength=len(texts)) if n else np.zeros(len(texts), np.int64)
+    return _Cut(hashes, np.cumsum(texts_) - texts_, first[long], size[long], owner[first[long]])
+
+
+def _names(c: _Cut) -> np.ndarray:
+    """A hash of each paragraph's words."""
+    if not len(c.first):
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        x = _mixed(c.hashes ^ ((_places(c).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), 55)
+        ends = np.stack([c.first, c.first + c.size], 1).ravel()
+        total = np.add.reduceat(np.append(x, np.uint64(0)), ends)[::2]
+        return _mixed(total ^ c.size.astype(np.uint64), 56)
+
+
+def _places(c: _Cut) -> np.ndarray:
+    """Each word's number in its paragraph; of words in none, any."""
+    last = np.zeros(len(c.hashes), np.int64)
+    last[c.first] = c.first
+    return np.arange(len(c.hashes)) - np.maximum.accumulate(last)
+
+
+def _keys(c: _Cut, bands: int, rows: int) -> np.ndarray:
+    """Band keys of each paragraph."""
+    keys = np.zeros((len(c.first), bands), np.uint64)
+    if len(c.first):
+        shingles = np.append(_shingles(c.hashes, WIDTH), np.uint64(0))
+        ends = np.stack([c.first, c.first + c.size - WIDTH + 1], 1).ravel()
+        with np.errstate(over="ignore"):
+            for band in range(bands):
+                for row in range(rows):
+                    k = 2 * (band * rows + row) + 1
+                    spread = shingles * np.uint64(k * 0x9E3779B97F4A7C15 % 2**64 | 1) ^ (shingles >> np.uint64(23 + k % 16))
+                    least = np.minimum.reduceat(spread * np.uint64(0xD6E8FEB86659FD93), ends)[::2]
+                    keys[:, band] = _mixed(keys[:, band] ^ least, 1000 + band)
+    return keys
 
 
 def _lists(sizes: np.ndarray, flat: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
 
 
-def _looked(width: int, least: int, run_words: int):
-    """Rows (doc_id, text, numbers of paragraphs, places of grams) to (h, sorted distinct shingle hashes) and to stretches of windows.
-
-    A stretch is (doc_id, first word, hashes of its windows, starts and ends of its words).
-    """
-    back = run_words - _gram(run_words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                hs, sets, owner, firsts, windows, starts, ends = [], [], [], [], [], [], []
-                for k, (text, wanted, seeds) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                    parts = list(sentences(text or ""))
-                    hashes = _word_hashes([w for *_, words in parts for w in words])
-                    if wanted:
-                        wanted = set(wanted)
-                        for no, (_, _, before, n) in enumerate(paragraphs(parts, least)):
-                            if no in wanted:
-                                own = hashes[before : before + n]
-                                hs.append(xxhash.xxh64_intdigest(own.tobytes()))
-                                sets.append(np.unique(_shingles(own, width)).tobytes())
-                    if seeds and len(hashes) >= run_words:
-                        of = np.unique(np.array(seeds)[:, None] - np.arange(back + 1)).astype(np.int64)
-                        of = of[(of >= 0) & (of <= len(hashes) - run_words)]
-                        all_, (low, high) = _shingles(hashes, run_words).view(np.int64), word_spans(text)
-                        for part in np.split(of, np.flatnonzero(np.diff(of) > 1) + 1):
-                            if len(part):
-                                a, b = int(part[0]), int(part[-1]) + 1
-                                owner.append(k)
-                                firsts.append(a)
-                                windows.append(all_[a:b])
-                                starts.append(low[a : b + run_words - 1])
-                                ends.append(high[a : b + run_words - 1])
-                n, m = len(hs), len(owner)
-                yield pa.record_batch(
-                    [
-                        pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(sets, pa.binary()), pa.nulls(n, batch.column(0).type),
-                        pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int32())),
-                    ],
-                    names=["h", "shingles", "doc_id", "at", "windows", "starts", "ends"],
-                )
-                flat = [_lists([len(x) for x in xs], pa.array(np.concatenate(xs) if xs else np.zeros(0, t))) for xs, t in ((windows, np.int64), (starts, np.int32), (ends, np.int32))]
-                yield pa.record_batch(
-                    [pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), batch.column(0).take(pa.array(owner, pa.int64())), pa.array(firsts, pa.int32()), *flat],
-                    names=["h", "shingles", "doc_id", "at", "windows", "starts", "ends"],
-                )
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
-    return run
 
-
-def _passages(least: int, run_words: int):
-    """Rows (doc_id, paragraphs, hits, stretches), one for each document, to the rows of its repeated passages."""
+def _units(bands: int, rows: int):
+    """Rows (doc_id, tid, text) to a row for each paragraph, with its words' hash and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for k, doc in enumerate(batch.column(0).to_pylist()):
-                units = {tuple(u.values()) for u in batch.column(1)[k].as_py() or ()}
-                out.extend((doc, *row) for row in _of_document(doc, sorted(units, key=lambda u: u[:3]), batch.column(2)[k].values, batch.column(3)[k].values, least, run_words))
-            columns = list(zip(*out, strict=True)) or [()] * 9
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), batch.schema.field(0).type, pa.int32(), pa.bool_()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=_FOUND)
+        for batch in _slices(batches, 512):
+            c = cut([t or "" for t in batch.column(2).to_pylist()])
+            of = pa.array(c.owner)
+            word = (c.first - c.begins[c.owner]).astype(np.int32)
+            keys = _lists(np.full(len(c.first), bands), pa.array(_keys(c, bands, rows).ravel().view(np.int64)))
+            yield pa.record_batch(
+                [batch.column(0).take(of), batch.column(1).take(of), pa.array(word), pa.array(c.size.astype(np.int32)), pa.array(_names(c).view(np.int64)), keys],
+                names=["doc_id", "tid", "word", "words", "h", "bands"],
+            )
 
     return run
 
 
-_FOUND = ["doc_id", "paragraph", "start", "length", "words", "class_id", "keep_doc_id", "keep_start", "removed"]
-
-
-def _of_document(doc, units: list[tuple], hits: pa.StructArray | None, stretches: pa.StructArray | None, least: int, run_words: int) -> Iterator[tuple]:
-    at, skip = (hits.field(k).to_numpy() if hits is not None else np.zeros(0, np.int32) for k in (0, 1))
-    # The words of the document that matter, from the first match to the last.
-    low = min([u[3] for u in units] + ([int(at.min())] if len(at) else []))
-    size = max([u[3] + u[4] for u in units] + ([int(at.max()) + run_words] if len(at) else [])) - low
-    covered, gone = (np.zeros(size + 1, np.int64) for _ in range(2))
-    np.add.at(covered, at - low, 1)
-    np.add.at(covered, at - low + run_words, -1)
-    later = skip < run_words
-    np.add.at(gone, (at + skip)[later] - low, 1)
-    np.add.at(gone, at[later] - low + run_words, -1)
-    covered, gone = np.cumsum(covered)[:-1] > 0, np.cumsum(gone)[:-1] > 0
-    matched = covered.copy()
-    for u in units:
-        matched[u[3] - low : u[3] + u[4] - low] = True
-    places = np.flatnonzero(matched)
-    part = np.concatenate([[0], np.cumsum(np.diff(places) > least + 1)])
-    total = np.bincount(part)
-    run_of = np.zeros(size, np.int64)
-    run_of[places] = total[part]
-    state = np.where(gone, 2, np.where(covered, 1, 0))
-    for no, start, length, word, words, class_id, keep_doc, keep_no, keep_start in units:
-        a, b = word - low, word + words - low
-        if run_of[a] >= run_words:
-            stays = (doc, no) == (keep_doc, keep_no)
-            # What stays as a paragraph may hold words that stand in an earlier window.
-            state[a:b] = np.where(state[a:b] == 2, 2, 0) if stays else 0
-            yield no, start, length, words, class_id, keep_doc, keep_start, not stays
-    if not state.any():
-        return
-    starts, ends = (np.zeros(size, np.int64) for _ in range(2))
-    for s in stretches:
-        a = s["at"].as_py() - low
-        for values, known in ((starts, s["starts"].values.to_numpy()), (ends, s["ends"].values.to_numpy())):
-            left, right = max(a, 0), min(a + len(known), size)
-            if left < right:
-                values[left:right] = known[left - a : right - a]
-    order = np.argsort(at, kind="stable")
-    ranked = at[order]
-    for piece in np.split(np.arange(size), np.flatnonzero(np.diff(state)) + 1):
-        kind, a, b = state[piece[0]], int(piece[0]), int(piece[-1])
-        if not kind:
-            continue
-        # The last window from this word or before it that removes it, or that holds it.
-        k = np.searchsorted(ranked, a + low, "right") - 1
-        while kind == 2 and not (ranked[k] + skip[order[k]] <= a + low):
-            k -= 1
-        hit = hits[int(order[k])].as_py()
-        first = (hit["f"]["doc_id"], hit["f"]["start"]) if kind == 2 else (doc, int(starts[a]))
-        yield None, int(starts[a]), int(ends[b] - starts[a]), b - a + 1, hit["w"], *first, bool(kind == 2)
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, words at which paragraphs begin) to (h, sorted distinct shingle hashes)."""
+    for batch in _slices(batches, 256):
+        c = cut([t or "" for t in batch.column(0).to_pylist()])
+        wanted = batch.column(1)
+        at = wanted.values.to_numpy()[wanted.offsets[0].as_py() : wanted.offsets[-1].as_py()]
+        at = at + np.repeat(c.begins, np.diff(wanted.offsets.to_numpy()))
+        chosen = np.flatnonzero(np.isin(c.first, at))
+        names, shingles = _names(c)[chosen].view(np.int64), _shingles(c.hashes, WIDTH)
+        sets = [np.unique(shingles[a : a + n - WIDTH + 1]).tobytes() for a, n in zip(c.first[chosen].tolist(), c.size[chosen].tolist(), strict=True)]
+        yield pa.record_batch([pa.array(names), pa.array(sets, pa.binary())], names=["h", "shingles"])
 
 
 def _alike(own: np.ndarray, sizes: np.ndarray, owners: np.ndarray, values: np.ndarray, similar: float) -> np.ndarray:
@@ -326,6 +233,14 @@ def _alike(own: np.ndarray, sizes: np.ndarray, owners: np.ndarray, values: np.nd
 
 def _tree_edges(members: dict[int, np.ndarray], similar: float) -> Iterator[tuple[int, int]]:
     """Edges that connect whatever similar pairs connect; each member is visited once."""
+    if len(members) <= 8:
+        sets = [(h, set(x.tolist())) for h, x in members.items()]
+        for k, (g, x) in enumerate(sets):
+            for h, y in sets[k + 1 :]:
+                shared = len(x & y)
+                if shared >= similar * (len(x) + len(y) - shared) - 1e-9:
+                    yield g, h
+        return
     rest = list(members)
     while rest:
         queue, rest = [rest[0]], rest[1:]
@@ -365,83 +280,194 @@ def _edges(pairs: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
 
-def repeated_passages(
-    spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, run: int = RUN
-) -> DataFrame:
-    """(doc_id, paragraph, start, length, words, class_id, keep_doc_id, keep_start, removed) for each paragraph of a repeated passage, and its other words.
-
-    start and length are code points of the text.  A class is a component of paragraphs
-    linked by equality or by Jaccard similarity of at least ``similar`` over distinct
-    shingles of WIDTH words; its first place (by doc_id, then paragraph) stays and
-    the others are removed.  Words that stand in a window of ``run`` words repeated verbatim, but in no such paragraph, are
-    rows with a null paragraph, classed by a window that holds their first word; the window's first place (by
-    doc_id, then word) stays, keep_start is where it begins, and the others are removed, also out of a paragraph
-    that stays.  Null and empty texts have no paragraphs; rows that
-    share a doc_id count as one document's, of which equal places are one; rows with a null doc_id are
-    left out.  Other columns are left out; an empty table gives no rows.
+#: What a document tells of its repeated paragraphs: their code points (side 0); and for the paragraph at a word the words
+#: before it (side 1) or behind it (side 2), going away from it, with the code points where each begins or ends.
+_TOLD = "doc_id {}, tid long, side int, word int, class_id long, ref boolean, hashes array<int>, chars array<int>"
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, tid, text, paragraphs (word, words), edges (word, words, class_id, side, ref)) to rows of _TOLD."""
+    names = ["doc_id", "tid", "side", "word", "class_id", "ref", "hashes", "chars"]
+    for batch in _slices(batches, 128):
+        texts = [t or "" for t in batch.column(2).to_pylist()]
+        c = cut(texts)
+        bounds = np.append(c.begins, len(c.hashes))
+        short = (c.hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        out, hashes, chars = [], [], []
+        for k, text in enumerate(texts):
+            own, (low, high) = short[bounds[k] : bounds[k + 1]], word_spans(text)
+            units = batch.column(3)[k].values
+            a, n = units.field("word").to_numpy(), units.field("words").to_numpy()
+            out.append((k, 0, None, None, None))
+            hashes.append(own[:0])
+            chars.append(np.stack([low[a], high[a + n - 1]], 1).ravel())
+            edges = batch.column(4)[k].values
+            for word, words, class_id, side, ref in zip(*(edges.field(x).to_pylist() for x in ("word", "words", "class_id", "side", "ref")), strict=True):
+                out.append((k, side, word, class_id, ref))
+                if side == 1:
+                    part = slice(max(0, word - CONTEXT), word)
+                    hashes.append(own[part][::-1])
+                    chars.append(low[part][::-1])
+                else:
+                    part = slice(word + words, word + words + CONTEXT)
+                    hashes.append(own[part])
+                    chars.append(high[part])
+                if ref:
+                    chars[-1] = low[:0]
+        of, sides, at, classes, refs = zip(*out, strict=True) if out else ((),) * 5
+        of = pa.array(of, pa.int64())
+        yield pa.record_batch(
+            [
+                batch.column(0).take(of), batch.column(1).take(of), pa.array(sides, pa.int32()), pa.array(at, pa.int32()), pa.array(classes, pa.int64()), pa.array(refs, pa.bool_()),
+                _lists([len(x) for x in hashes], pa.array(np.concatenate(hashes or [short[:0]]))), _lists([len(x) for x in chars], pa.array(np.concatenate(chars or [short[:0]]))),
+            ],
+            names=names,
+        )
+
+
+_FOUND = ["doc_id", "tid", "passage", "start", "length", "words", "class_id", "keep_doc_id", "keep_tid", "keep_word", "removed"]
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, tid, paragraphs, code points, extensions), one for each document, to the paragraphs of its passages."""
+    for batch in _slices(batches, 256):
+        out = []
+        for k, (units, chars, ends) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)):
+            out.extend((k, *row) for row in _of_document(units, chars, {(e["word"], e["side"]): e for e in ends or ()}))
+        of, *columns = zip(*out, strict=True) if out else ((),) * 10
+        of, id_type = pa.array(of, pa.int64()), batch.schema.field(0).type
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), id_type, pa.int64(), pa.int32(), pa.bool_()]
+        yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=_FOUND)
+
+
+def _of_document(units: list[dict], chars: list[int], ends: dict) -> Iterator[tuple]:
+    none = {"all": 0, "first": 0, "char": None}
+    rows, reach = [], None  # reach: the word after the last passage's last
+    for k, u in enumerate(units):
+        left, right = ends.get((u["word"], 1), none), ends.get((u["word"], 2), none)
+        stop = u["word"] + u["words"]
+        low, high = u["word"] - left["all"], stop + right["all"]
+        if reach is None or low > reach + GAP:
+            rows.append([0, []])
+        rows[-1][0] += max(0, high - max(low, reach or 0))
+        reach = max(high, reach or 0)
+        # A paragraph that goes takes the words with it that stand next to its first place too.
+        start = left["char"] if left["char"] is not None else chars[2 * k]
+        end = right["char"] if right["char"] is not None else chars[2 * k + 1]
+        rows[-1][1].append((start, end, u["words"] + left["first"] + right["first"], u))
+    at = 0
+    for no, (words, parts) in enumerate(r for r in rows if r[0] >= RUN):
+        for start, end, n, u in parts:
+            start = max(start, at)
+            if end > start:
+                at = end
+                yield no, start, end - start, n, u["class_id"], u["keep"]["doc_id"], u["keep"]["tid"], u["keep"]["word"], not u["stays"]
+
+
+def _same(a: Column, b: Column) -> Column:
+    """Elements that two arrays begin with alike."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    return F.when(a.isNull() | b.isNull(), 0).when(differs == 0, F.size(a)).otherwise(differs - 1).cast("int")
+
+
+def _at(place: str) -> Column:
+    return F.struct(f"{place}.doc_id", f"{place}.tid", f"{place}.word")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, tid, passage, start, length, words, class_id, keep_doc_id, keep_tid, keep_word, removed) for each paragraph of a passage that repeats.
+
+    passage numbers a document's passages; start and length are code points of the text, from a paragraph's first word to its last.  A class is a
+    component of paragraphs linked by equality or by Jaccard similarity of at least ``similar`` over distinct shingles of WIDTH
+    words; its first place (by doc_id, tid, then word) stays and is named, and the others are removed.  A paragraph at an end
+    of a run takes with it the words next to it that also stand next to its class's first place, up to CONTEXT of them, so that what is
+    removed stands elsewhere.  A passage has at least RUN repeated words, those next to a class's last place counted too.
+
+    Words are compared by 64-bit hashes in paragraphs and 32-bit ones next to them.  tid is a hash of the text: rows that share
+    doc_id and text are one document, rows that share a doc_id only are different ones.  Passages repeated within one document count too.  Null and empty texts
+    have no paragraphs; rows with a null doc_id are left out.  Other columns are left out; an empty table gives no rows.
     """
-    if least < WIDTH:
-        raise ValueError(f"a paragraph needs at least {WIDTH} words")
     work, bands = Workspace(spark, "passages"), tuned(similar)
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    fields = f"doc_id {id_type}, no int, start int, length int, word int, words int, h long, bands array<long>, at array<int>, fps array<long>"
-    seen = work.table(rows.mapInArrow(_units(bands, ROWS, WIDTH, least, run), fields), "units")
-    units = seen.where("no is not null").drop("at", "fps")
-    grams = seen.where("no is null").select("doc_id", F.explode(F.arrays_zip("at", "fps")).alias("g")).select("doc_id", "g.at", F.col("g.fps").alias("fp"))
-    twice = work.table(grams.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "twice")
-    seeds = grams.join(twice, "fp").groupBy("doc_id").agg(F.collect_set("at").alias("seeds"))
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("tid"), F.col(text).alias("text"))
+    id_type, own = rows.schema["doc_id"].dataType.simpleString(), ["doc_id", "tid"]
+    units = work.table(rows.mapInArrow(_units(bands, ROWS), f"doc_id {id_type}, tid long, word int, words int, h long, bands array<long>"), "units")
 
     keyed = units.select("h", F.explode("bands").alias("key"))
     # Written, so that the join has plain shuffles on both sides, of which adaptive execution splits a hot one.
     shared = work.table(keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a != z").select("key"), "shared")
     members = work.table(keyed.join(shared, "key").distinct(), "members")
     nominees = members.select("h").distinct().withColumn("nominee", F.lit(True))
-    place = F.struct("doc_id", "no", "start")
-    texts = units.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    texts = work.table(texts.join(nominees, "h", "left").where("n > 1 or nominee"), "texts")
-
-    wanted = texts.where("nominee").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.no").alias("no"))
-    wanted = wanted.groupBy("doc_id").agg(F.collect_set("no").alias("wanted"))
-    again = rows.join(wanted.join(seeds, "doc_id", "full_outer"), "doc_id").select("doc_id", "text", "wanted", "seeds")
-    looked = again.mapInArrow(_looked(WIDTH, least, run), f"h long, shingles binary, doc_id {id_type}, at int, windows array<long>, starts array<int>, ends array<int>")
-    looked = work.table(looked, "looked")
-    sets = work.table(looked.where("at is null").select("h", "shingles").dropDuplicates(["h"]), "sets")
+    place = F.struct(*own, "word", "words")
+    texts = units.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    texts = work.table(texts.join(nominees, "h", "left").where("first != last or nominee"), "texts")
+
+    wanted = texts.where("nominee").groupBy("first.doc_id", "first.tid").agg(F.collect_list("first.word").alias("wanted"))
+    sets = rows.join(wanted, own).select("text", "wanted").mapInArrow(_sets, "h long, shingles binary")
+    sets = work.table(sets.dropDuplicates(["h"]), "sets")
     counts = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
-    dealt = members.join(counts, "key").select("key", "h", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    block = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
+    dealt = members.join(counts, "key").select("key", "h", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "h").join(sets, "h")
     dealt = dealt.select("key", "x", "y", "h", "shingles").repartition(partitions(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y")
     roots = connected_components(work, dealt.mapInArrow(_verified(similar), "a long, b long"))
 
-    classes = texts.join(roots, texts.h == roots.node, "left").where("n > 1 or root is not null").select("h", "n", "first", F.coalesce("root", "h").alias("class_id"))
+    classes = texts.join(roots, texts.h == roots.node, "left").select("h", "first", "last", F.coalesce("root", "h").alias("class_id"))
     classes = work.table(classes, "classes")
-    keep = classes.groupBy("class_id").agg(F.min("first").alias("keep"))
-    named = classes.join(keep, "class_id").select("h", "class_id", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.no").alias("keep_no"), F.col("keep.start").alias("keep_start"))
-    found = units.drop("bands").join(named, "h").select("doc_id", F.struct("no", "start", "length", "word", "words", "class_id", "keep_doc_id", "keep_no", "keep_start").alias("u"))
-    found = found.groupBy("doc_id").agg(F.collect_list("u").alias("units"))
-
-    stretches = looked.where("at is not null").select("doc_id", "at", "windows", "starts", "ends")
-    windows = stretches.select("doc_id", "at", F.posexplode(F.arrays_zip(F.col("windows").alias("w"), F.slice("starts", F.lit(1), F.size("windows")).alias("start"))).alias("k", "x"))
-    windows = windows.select("doc_id", (F.col("at") + F.col("k")).alias("at"), F.col("x.w").alias("w"), F.col("x.start").alias("start"))
-    spot = F.struct("doc_id", "at", "start")
-    firsts = work.table(windows.groupBy("w").agg(F.min(spot).alias("f"), F.max(spot).alias("l")).where("f != l").select("w", "f"), "firsts")
-    # Words of a window that it must leave: all of its first place, and where it overlaps that place.
-    overlap = F.least(F.lit(run), F.greatest(F.lit(0), F.col("f.at") + run - F.col("at")))
-    skip = F.when(F.col("doc_id") == F.col("f.doc_id"), overlap).otherwise(0).cast("int")
-    hits = windows.drop("start").join(firsts, "w").select("doc_id", F.struct("at", skip.alias("skip"), "w", F.struct("f.doc_id", "f.start").alias("f")).alias("x"))
-    hits = hits.groupBy("doc_id").agg(F.collect_list("x").alias("hits"))
-    spans = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("at", "starts", "ends")).alias("spans"))
-    whole = found.join(hits, "doc_id", "full_outer").join(spans, "doc_id", "left").select("doc_id", "units", "hits", "spans")
-    return whole.mapInArrow(_passages(least, run), f"doc_id {id_type}, paragraph int, start int, length int, words int, class_id long, keep_doc_id {id_type}, keep_start int, removed boolean")
+    keep = classes.groupBy("class_id").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep.doc_id != last.doc_id or keep.tid != last.tid")
+    keep = work.table(keep, "keep")
+    named = work.table(classes.select("h", "class_id").join(keep, "class_id"), "named")
+    found = units.drop("bands").join(named, "h").select(*own, F.struct("word", "words", "class_id", "keep", "last").alias("u"))
+    found = work.table(found.groupBy(*own).agg(F.sort_array(F.collect_set("u")).alias("units")), "found")
+
+    # The outer paragraphs of runs, and their classes' first and last places.
+    stop = lambda u: u["word"] + u["words"]
+    before, after = F.get("units", F.col("k") - 1), F.get("units", F.col("k") + 1)
+    each = found.select(*own, "units", F.posexplode("units").alias("k", "u"))
+    opens, closes = F.coalesce(stop(before) != F.col("u.word"), F.lit(True)), F.coalesce(after["word"] != stop(F.col("u")), F.lit(True))
+    side = lambda at_end, k: F.when(at_end, F.lit(k))
+    ends = each.select(*own, "u", F.explode(F.array_compact(F.array(side(opens, 1), side(closes, 2)))).alias("side"))
+    outer = work.table(ends.select(*own, "u.word", "u.words", "u.class_id", "side", F.col("u.keep").alias("f"), F.col("u.last").alias("l")), "outer")
+    compared = outer.groupBy("class_id", "side").agg(F.any_value("f").alias("f"), F.any_value("l").alias("l"))
+    refs = compared.select("class_id", "side", F.explode(F.array("f", "l")).alias("p")).select("p.*", "class_id", "side", F.lit(True).alias("ref"))
+    asked = outer.select(*own, "word", "words", "class_id", "side", F.lit(False).alias("ref")).unionByName(refs)
+    asked = asked.groupBy(*own).agg(F.collect_set(F.struct("word", "words", "class_id", "side", "ref")).alias("ends"))
+    asked = found.select(*own, F.transform("units", lambda u: F.struct(u["word"].alias("word"), u["words"].alias("words"))).alias("units")).join(asked, own)
+    told = work.table(rows.join(asked, own).select(*own, "text", "units", "ends").mapInArrow(_told, _TOLD.format(id_type)), "told")
+
+    refs = told.where("ref").groupBy("class_id", "side", *own, "word").agg(F.any_value("hashes").alias("hashes"))
+    refs = refs.join(compared, ["class_id", "side"]).select("class_id", "side", "f", "l", (_at("f") == F.struct(*own, "word")).alias("is_f"), (_at("l") == F.struct(*own, "word")).alias("is_l"), "hashes")
+    pick = lambda which: F.max(F.when(F.col(which), F.col("hashes"))).alias(f"{which}_hashes")
+    refs = work.table(refs.groupBy("class_id", "side", "f", "l").agg(pick("is_f"), pick("is_l")), "refs")
+    edges = told.where("not ref").distinct().join(refs, ["class_id", "side"])
+    here = F.struct("doc_id", "tid", "word")
+    with_first = F.when(here == _at("f"), 0).otherwise(_same(F.col("hashes"), F.col("is_f_hashes")))
+    with_last = F.when(here == _at("l"), 0).otherwise(_same(F.col("hashes"), F.col("is_l_hashes")))
+    edges = edges.select(*own, "word", "side", "chars", (here == _at("f")).alias("stays"), with_first.alias("with_first"), with_last.alias("with_last"))
+    # What stays is shown with all words that repeat next to it.
+    reached = F.greatest("with_first", "with_last")
+    edges = edges.select(*own, "word", "side", "chars", reached.alias("all"), F.when(F.col("stays"), reached).otherwise(F.col("with_first")).alias("first"))
+    edges = edges.groupBy(*own).agg(F.collect_list(F.struct("word", "side", "all", "first", F.get("chars", F.col("first") - 1).alias("char"))).alias("ends"))
+
+    places = F.transform("units", lambda u: F.struct(
+        u["word"].alias("word"), u["words"].alias("words"), u["class_id"].alias("class_id"), u["keep"].alias("keep"),
+        ((u["keep"]["doc_id"] == F.col("doc_id")) & (u["keep"]["tid"] == F.col("tid")) & (u["keep"]["word"] == u["word"])).alias("stays"),
+    ))
+    chars = told.where("side = 0").groupBy(*own).agg(F.any_value("chars").alias("chars"))
+    whole = found.select(*own, places.alias("units")).join(chars, own).join(edges, own, "left").select(*own, "units", "chars", "ends")
+    schema = f"doc_id {id_type}, tid long, passage int, start int, length int, words int, class_id long, keep_doc_id {id_type}, keep_tid long, keep_word int, removed boolean"
+    return whole.mapInArrow(_passages, schema)
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the removed paragraphs cut out of the text; documents without any are untouched."""
-    spans = passages.where("removed").groupBy(F.col("doc_id").alias("__of")).agg(F.sort_array(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length")))).alias("__spans"))
+    """docs with the removed paragraphs cut out of the text; documents without any are untouched.
+
+    Rows that share doc_id and text lose the same words; null texts and ids have nothing to lose.
+    """
+    span = F.struct(F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"))
+    spans = passages.where("removed").groupBy(F.col("doc_id").alias("__of"), F.col("tid").alias("__tid")).agg(F.sort_array(F.collect_set(span)).alias("__spans"))
     whole = F.col(text)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast("struct<at:int,out:string>")
     step = lambda a, s: F.struct((s["start"] + s["length"]).alias("at"), F.concat(a["out"], F.substring(whole, a["at"] + 1, s["start"] - a["at"])).alias("out"))
-    cut = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole))))
-    joined = docs.join(spans, docs[doc_id] == spans["__of"], "left")
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), whole).otherwise(cut)).select(*docs.columns)
+    left = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole))))
+    joined = docs.join(spans, (docs[doc_id] == spans["__of"]) & (F.xxhash64(docs[text]) == spans["__tid"]), "left")
+    return joined.withColumn(text, F.when(F.col("__spans").isNull(), whole).otherwise(left)).select(*docs.columns)

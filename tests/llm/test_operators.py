@@ -260,52 +260,122 @@ def test_tuned_bands():
     assert 1 - (1 - 0.8**2) ** 5 >= 0.99
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_passages(spark, rng, monkeypatch, block):
+def sentences(rng, n, longest=25):
+    """So many words of prose in sentences."""
+    words, out = prose(rng, n).split(), []
+    while words:
+        k = rng.randrange(2, longest)
+        out.append(" ".join(words[:k]) + rng.choice(".!?"))
+        words = words[k:]
+    return " ".join(out)
+
+
+def covered(text, rows):
+    """Whether each word of a text lies in a row's span."""
+    low, high = substring_dedup.word_spans(text)
+    found = np.zeros(len(low), bool)
+    for r in rows.itertuples():
+        found |= (low >= r.start) & (high <= r.start + r.length)
+    return found
+
+
+def repeats(texts, n):
+    """Whether each window of so many words of each text stands in another text too."""
+    words = [substring_dedup._WORD.findall(t.lower()) for t in texts]
+    of = {}
+    for k, w in enumerate(words):
+        for j in range(len(w) - n + 1):
+            of.setdefault(tuple(w[j : j + n]), set()).add(k)
+    return [[len(of[tuple(w[j : j + n])]) > 1 for j in range(len(w) - n + 1)] for w in words]
+
+
+@pytest.mark.parametrize("block", [2048, 2])
+def test_every_passage_of_over_50_words_is_found(spark, rng, monkeypatch, block):
     monkeypatch.setattr(substring_dedup, "BLOCK", block)
-    passage = [prose(rng, 40) + "." for _ in range(3)]
-    edited = " ".join(["Changed", *passage[0].split()[1:]])
-    docs = [prose(rng, 30) + ".\n" + prose(rng, 50) + ". " + (passage[k % 3] if k % 4 else edited) + " " + prose(rng, 25) for k in range(30)]
-    docs += [prose(rng, 60) for _ in range(20)]
-    got = substring_dedup.repeated_passages(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).toPandas()
-    assert set(got.doc_id) == set(range(30))
-    for r in got.itertuples():
-        assert docs[r.doc_id][r.start : r.start + r.length] in [*passage, edited]
-    sets = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
-    classes = {docs[r.doc_id][r.start : r.start + r.length]: r.class_id for r in got.itertuples()}
-    for a, b in itertools.combinations(classes, 2):
-        x, y = (sets(substring_dedup._WORD.findall(t.lower())) for t in (a, b))
-        assert (classes[a] == classes[b]) == (len(x & y) / len(x | y) >= 0.8)
-    assert (got.groupby("class_id").removed.apply(lambda x: (~x).sum()) == 1).all()
-    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    left = {r["doc_id"]: r["text"] for r in substring_dedup.without_passages(table, spark.createDataFrame(got)).collect()}
-    for k, text in enumerate(docs):
-        gone = [text[r.start : r.start + r.length] for r in got.itertuples() if r.doc_id == k and r.removed]
-        assert len(left[k]) == len(text) - sum(map(len, gone)) and not any(g in left[k] for g in gone)
-
-
-def test_passages_of_short_sentences_in_mid_line(spark, rng):
-    short = " ".join(prose(rng, 4) + rng.choice(".!?") for _ in range(13))
-    docs = [f"{prose(rng, 30)} {short[:-1]} {prose(rng, 20)}. {prose(rng, 6)}." for _ in range(6)]
-    long = prose(rng, 60)
-    docs += [f"{prose(rng, 9)} {long} {prose(rng, 11)}." for _ in range(3)] + [f"İ ǅ İ {prose(rng, 12)}, {long}! {prose(rng, 5)}"]
-    docs += [prose(rng, 30) + " " + " ".join(long.split()[:23]) + " " + prose(rng, 9), ("beat " * 100).strip()]
-    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    passages = [sentences(rng, rng.randrange(60, 130), rng.choice((6, 25, 200))) for _ in range(40)]
+    common = [prose(rng, n) + "." for n in (9, 14, 30, 35)]
+    texts = []
+    for k in range(240):
+        host = [sentences(rng, rng.randrange(3, 90)) for _ in range(4)]
+        if k % 3 == 0:  # in mid-line, at a start or an end, and without its last mark
+            host.insert(rng.randrange(5), passages[k // 3 % 40][: rng.choice((None, -1))])
+        elif k % 3 == 1:
+            host.insert(rng.randrange(5), rng.choice(common))
+        texts.append(rng.choice((" ", ". ", "\n")).join(host) if k % 2 else " ".join(x[:-1] if rng.random() < 0.3 else x for x in host))
+    texts += ["İ ǅ İ " + texts[0], texts[3].upper(), sentences(rng, 400) + " " + prose(rng, 30)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = substring_dedup.repeated_passages(spark, table)
     rows = got.toPandas()
-    for k in range(10):
-        of = rows[rows.doc_id == k].sort_values("start")
-        text = docs[k]
-        marked = "".join(text[r.start : r.start + r.length] for r in of.itertuples())
-        want = short[:-1] if k < 6 else long
-        assert substring_dedup._WORD.findall(marked) == substring_dedup._WORD.findall(want) or "".join(substring_dedup._WORD.findall(marked)) == "".join(substring_dedup._WORD.findall(want))
-        assert of.removed.all() if k not in (0, 6) else not of.removed.any()
-        assert set(of.keep_doc_id) == ({0} if k < 6 else {6})
-    assert 10 not in set(rows.doc_id)
+    found, runs, missed = set(rows.doc_id), 0, 0
+    for k, (long, short) in enumerate(zip(repeats(texts, 51), repeats(texts, 40), strict=True)):
+        if any(long):
+            runs += 1
+            mark = covered(texts[k], rows[rows.doc_id == k])
+            places = {j + i for j, x in enumerate(long) if x for i in range(51)}
+            missed += np.mean([mark[j] for j in places]) < 0.9
+        elif not any(short):
+            assert k not in found
+    assert runs > 70 and missed <= 0.03 * runs
+    assert (rows.words > 0).all() and (rows.groupby(["class_id"]).removed.apply(lambda x: (~x).sum()) <= 1).all()
+    # What is removed stands elsewhere.
     left = {r["doc_id"]: r["text"] for r in substring_dedup.without_passages(table, got).collect()}
-    assert left[0] == docs[0] and left[6] == docs[6] and left[10] == docs[10] and len(left[11].split()) == 24
-    assert all(len(left[k]) <= len(docs[k]) - len(short) + 60 and short.split()[20] not in left[k] for k in range(1, 6))
-    assert long not in left[7] and left[9].startswith("İ ǅ İ")
+    whole = " | ".join(" ".join(substring_dedup._WORD.findall(t.lower())) for t in left.values())
+    for p in passages:
+        middle = substring_dedup._WORD.findall(p.lower())[20:-20]
+        assert " ".join(middle) in whole
+    assert sum(map(len, left.values())) < sum(map(len, texts)) - 40 * 200
+    assert all(left[k] == t for k, t in enumerate(texts) if k not in found)
+
+
+def test_edited_paragraphs_are_one_class(spark, rng):
+    words = prose(rng, 64).split()  # no marks: paragraphs are cut by hashes alone
+    texts = [" ".join(words)]
+    for k in range(64):
+        texts.append(" ".join([*words[:k], "edited", *words[k + 1 :]]))
+    rows = substring_dedup.repeated_passages(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    assert set(rows.doc_id) >= {0} | {k + 1 for k in range(64) if max(k, 63 - k) >= 51}
+    of = {}
+    for r in rows.itertuples():
+        of.setdefault(r.class_id, set()).add(texts[r.doc_id][r.start : r.start + r.length])
+    assert any("edited" in x and "edited" not in y for found in of.values() for x in found for y in found)
+
+
+@pytest.mark.parametrize("n", [2, 7, 40, 300])
+def test_tree_edges_connect_what_brute_force_connects(rng, n):
+    sets = {}
+    while len(sets) < n:
+        base = [rng.randrange(10**6) for _ in range(rng.randrange(1, 14))]
+        for _ in range(rng.randrange(1, 12)):
+            edited = {x if rng.random() > 0.1 else rng.randrange(10**6) for x in base}
+            sets[len(sets)] = np.array(sorted(edited), np.uint64)
+    similar = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    brute = [(a, b) for a, b in itertools.combinations(sets, 2) if similar(set(sets[a].tolist()), set(sets[b].tolist()))]
+    edges = list(substring_dedup._tree_edges(sets, 0.8))
+    assert closure(sets, edges) == closure(sets, brute) and {tuple(sorted(e)) for e in edges} <= set(brute)
+
+
+def test_paragraphs_do_not_depend_on_what_stands_around(rng):
+    text = sentences(rng, 300)
+    alone, inside = substring_dedup.cut([text]), substring_dedup.cut(["", prose(rng, 77) + " " + text + " " + prose(rng, 9), "a"])
+    own = lambda c, shift: {(a - shift, n) for a, n in zip(c.first.tolist(), c.size.tolist(), strict=True)}
+    common = own(alone, 0) & own(inside, 77)
+    assert sum(n for _, n in common) > 240
+    constant = substring_dedup.cut(["beat " * 500])
+    assert constant.size.sum() >= 495 and constant.size.max() <= substring_dedup.MOST
+
+
+def test_passages_of_rows_that_share_an_id(spark, rng):
+    a, b, c = (sentences(rng, 70) for _ in range(3))
+    rows = [(5, a, 1), (5, a, 2), (5, b, 3), (7, b, 4), (8, a, 5), (8, None, 6), (None, a, 7), (9, "", 8), (10, c + "\n" + c, 9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, start int").selectExpr("*", "'x' AS tid", "true AS removed", "1 AS length")
+    got = substring_dedup.repeated_passages(spark, table)
+    found = got.toPandas()
+    assert set(found.doc_id) == {5, 7, 8}  # 10 repeats itself only
+    left = sorted((r["start"], r["text"]) for r in substring_dedup.without_passages(table, got).collect())
+    same = lambda k: left[k - 1][1] == rows[k - 1][1]
+    assert len(left) == 9 and same(1) and same(2) and same(3) == (not same(4)) and not same(5) and all(map(same, (6, 7, 8, 9)))
+    assert substring_dedup.without_passages(table.limit(0), got).collect() == []
+    assert substring_dedup.without_passages(table, got.limit(0)).count() == 9
 
 
 # ------------------------------------------------------------------- licences
