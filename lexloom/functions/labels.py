@@ -73,9 +73,9 @@ def predecessor(label: str) -> str | None:
     return None
 
 
-def expand(low: str, high: str, most: int = 100) -> list[str] | None:
-    """The labels of a range of numbers or of single letters; others cannot be told."""
-    if low.isdigit() and high.isdigit() and int(low) <= int(high) <= int(low) + most:
+def expand(low: str, high: str) -> list[str] | None:
+    """The labels of a range of numbers (of at most six digits) or of single letters; others cannot be told."""
+    if low.isdigit() and high.isdigit() and int(low) <= int(high) < 10**6:
         return [str(n) for n in range(int(low), int(high) + 1)]
     if re.fullmatch("[a-z]", low) and re.fullmatch("[a-z]", high) and low <= high:
         return [chr(c) for c in range(ord(low), ord(high) + 1)]

@@ -10,6 +10,7 @@ from lexloom.functions.columns import DIGITS, MONTHS, SUPERSCRIPTS
 ABBREVIATIONS = [
     "Abs", "Art", "Artt", "Aufl", "Bd", "bzw", "ca", "d", "Dr", "e", "etc", "evtl", "ff", "f", "gem", "ggf", "h", "Hrsg", "i", "lit", "max", "mind", "Mio", "Mrd", "Nr", "Nrn", "o", "Prof",
     "Rn", "S", "s", "sog", "St", "Std", "str", "Tz", "u", "usw", "v", "vgl", "z", "zzgl", "BGBl", "GVBl", "GVOBl", "GBl", "GV", "Amtsbl", "ABl", "Bek", "inkl", "einschl", "Buchst", "Halbs", "Ziff",
+    "insbes", "Doppelbuchst", "RGBl", "BAnz", "BayRS", "Nds", "NRW", "NW", "entspr", "Unterabs", "Anm", "Abschn", "Kap", "Anl",
 ]
 #: Words for divisions that an ordinal number may precede.
 _UNITS = "Abschnitt|Teil|Kapitel|Buch|Titel|Unterabschnitt|Absatz|Halbsatz|Satz|Alternative|Lebensjahr|Schuljahr|Jahrgangsstufe"
@@ -46,6 +47,8 @@ def _ends_sentence(text: str, m: re.Match) -> bool:
         return False
     if re.fullmatch("[a-z]", token) and not re.search(r"\d\s*$", before[: word.start()]):
         return False  # "z. B.", but "§ 3 Nr. 4 a." ends
+    if re.fullmatch("[A-Z]", token) and re.search(r"(?<!\w)(?:z|u|i|o|s|a|d)\.\s?$", before[: word.start()]):
+        return False  # "z. B. Der": one abbreviation of several letters
     if token.isdigit() and re.match(rf"(?:{'|'.join(MONTHS)})\b|(?:{_UNITS})", after):
         return False
     return True

@@ -16,6 +16,14 @@ from pyspark.sql import DataFrame
 from lexloom.functions.columns import SUPERSCRIPTS
 from lexloom.plans.outline import mark_of, normal_quotes
 
+#: A date in words, and a letter-spaced text that line ends may run through.
+_DATE = r"\d{1,2}\. \w+ \d{4}"
+
+
+def _spaced(text: str) -> str:
+    return r"[\s\ue000\ue001]*".join("[-–]" if c == "-" else re.escape(c) for c in text if c != " ")
+
+
 #: (name, "line" or "inline", pattern): whole lines that are dropped, and parts that are cut out of lines.
 FURNITURE = [
     ("page number", "line", r"[-–|]? ?\d{1,4} ?[-–|]?"),
@@ -31,16 +39,28 @@ FURNITURE = [
     ("state parliament head", "line", r"(?:(?:Bayerischer|Hessischer|Sächsischer|Thüringer|Niedersächsischer) )?Landtag(?:\s+\d+\. Wahlperiode.*)?|\d+\. Wahlperiode(?:\s+[\d.]+)?\s+Drucksache \d+/\d+|Drucksache \d+/\d+\s+.*Landtag\s+\d+\. Wahlperiode.*"),
     ("publisher", "line", r"Herausgegeben von der .*(?:Staatskanzlei|Landesregierung).*"),
     ("portal foot", "line", r"https?://\S+\s+(?:Seite \d+ von \d+|Stand vom \d+\.\d+\.\d{4}.*)"),
+    ("preliminary mark", "inline", rf"{_spaced('Vorabfassung - wird durch die lektorierte')}[\s\ue000\ue001]*(?:{_spaced('Fassung')}|{_spaced('Version')})[\s\ue000\ue001]*{_spaced('ersetzt.')}"),
     ("preliminary", "inline", r"V ?o ?r ?a ?b ?f ?a ?s ?s ?u ?n ?g(?: ?[-–] ?w ?i ?r ?d ?d ?u ?r ?c ?h.*?e ?r ?s ?e ?t ?z ?t ?\.?)?"),
     ("Berlin head", "inline", r"\d*\s*Gesetz- und Verordnungsblatt für Berlin\s+\d+\. Jahrgang\s+Nr\. \d+\s+\d+\. \w+ \d{4}(?:\s+\d+$)?[ \t]*"),
+    ("Thuringia head", "inline", rf"[ \t]*Nr\. \d+ [-–] Tag der Ausgabe: \w+, den {_DATE}(?:[ \t]+\d{{1,4}})?[ \t]*"),
+    ("Thuringia foot", "inline", r"[ \t]*(?:\d{1,4}[ \t]+)?Gesetz- und Verordnungsblatt für den Freistaat Thüringen[ \t]*"),
+    ("Hamburg head", "inline", rf"[ \t]*(?:HmbGVBl\. Nr\. \d+[ \t]+\w+tag, den {_DATE}(?:[ \t]+\d{{1,4}})?|\w+tag, den {_DATE}[ \t]*\d{{0,4}}[ \t]*HmbGVBl\. Nr\. \d+)[ \t]*"),
+    ("Baden-Württemberg foot", "inline", rf"[ \t]*Gesetzblatt für Baden-Württemberg,\s+Jahrgang \d{{4}},\s+Nr\. ?\d+ vom {_DATE}(?:\s+Seite \d+ von \d+)?[ \t]*"),
+    ("Bremen head", "inline", rf"[ \t]*Nr\. \d+ Gesetzblatt der Freien Hansestadt Bremen vom {_DATE}(?:[ \t]+\d{{1,4}})?[ \t]*"),
+    ("Mecklenburg-Vorpommern head", "inline", rf"[ \t]*(?:Nr\. \d+[ \t]+)?Tag der Ausgabe: \w+, den {_DATE}(?:[ \t]+\d{{1,4}})?(?:[ \t]*Nr\. \d+)?[ \t]*"),
+    ("Mecklenburg-Vorpommern foot", "inline", r"[ \t]*(?:\d{1,4}[ \t]+)?Gesetz- und Verordnungsblatt für Mecklenburg-Vorpommern \d{4}[ \t]+Nr\. \d+[ \t]*"),
+    ("Saarland head", "inline", rf"[ \t]*(?:\d{{1,4}}[ \t]*)?Amtsblatt des Saarlandes Teil I+ vom {_DATE}[ \t]*\d{{0,4}}[ \t]*"),
     ("spaced word", "inline", r"(?<!\w)u n v e r ä n d e r t(?!\w)"),
 ]
 _LINE = re.compile(r"\s*(?:" + "|".join(f"(?:{p})" for _, mode, p in FURNITURE if mode == "line") + r")\s*")
 _INLINE = re.compile("|".join(f"(?:{p})" for name, mode, p in FURNITURE if mode == "inline" and name != "spaced word"))
 _BLANKS = re.compile("[  -   　]")
 _CONTROLS = re.compile("[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f­​﻿]")
-#: Words that are printed as one by mistake, and what they stand for.
-_GLUED = [("durchdie", "durch die"), ("durchden", "durch den"), ("durchdas", "durch das"), ("ein gefügt", "eingefügt"), ("an gefügt", "angefügt"), ("ge strichen", "gestrichen"), ("er setzt", "ersetzt"), ("auf gehoben", "aufgehoben")]
+#: Words that are printed as one or parted by mistake, and what they stand for; parted ones are no words of prose by themselves.
+_GLUED = [
+    ("durchdie", "durch die"), ("durchden", "durch den"), ("durchdas", "durch das"), ("ein gefügt", "eingefügt"), ("an gefügt", "angefügt"), ("ge strichen", "gestrichen"), ("auf gehoben", "aufgehoben"),
+    ("undwerden", "und werden"), ("undwird", "und wird"), ("Kommaeingefügt", "Komma eingefügt"), ("Kommaersetzt", "Komma ersetzt"),
+]
 #: Private characters by which a layout reader marks line ends.
 HARD, SOFT = "\ue000", "\ue001"
 _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
@@ -116,13 +136,34 @@ def reflow(lines: list[str], ends: list[str] | None = None) -> list[str]:
     return out
 
 
+#: Quotes whose opening mark was drawn behind the label that it stands before: "(1) „ x", "§ 19„ x", "3. „ x".
+_INVERTED = [
+    (re.compile(r"^([ \t]*)(\(\d+[a-z]?\)) „[ \t]+", re.M), r"\1„\2 "),
+    (re.compile(r"^([ \t]*)(§ ?\d+[a-z]?)„[ \t]*(?=\S)", re.M), r"\1„\2 "),
+    (re.compile(r"^([ \t]*)(§ ?\d+[a-z]?)„[ \t]*$", re.M), r"\1„\2"),
+    (re.compile(r"^([ \t]*)(\d+[a-z]?\.|[a-z]{1,3}\))[ \t]+„[ \t]+", re.M), r"\1„\2 "),
+]
+
+
+def _without_inline(text: str) -> str:
+    """Furniture cut out of lines; what stood around it on the line stays apart, unless a hyphen divides a word there."""
+
+    def seam(m: re.Match) -> str:
+        left, right = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
+        return " " if left.strip() and right.strip() and left != "-" else ""
+
+    return _INLINE.sub(seam, text)
+
+
 def clean_text(text: str | None) -> tuple[str, list[str]]:
     """The cleaned text and warnings.  Composed characters stay what they are; superscripts are kept."""
     text = unicodedata.normalize("NFC", text or "")
     text = _CONTROLS.sub("", _BLANKS.sub(" ", re.sub(r"\r\n?|\f", "\n", text)))
+    for pattern, right in _INVERTED:
+        text = pattern.sub(right, text)
     text, warnings = normal_quotes(text)
     text = re.sub(r"(?<=[\w.,;:])„(?=\w)", " „", re.sub(r"“(?=[\w„])", "“ ", text))
-    text = re.sub(r"(?<!\w)u n v e r ä n d e r t(?!\w)", "unverändert", _INLINE.sub("", text))
+    text = re.sub(r"(?<!\w)u n v e r ä n d e r t(?!\w)", "unverändert", _without_inline(text))
     lines, ends = [], []
     for line in text.split("\n"):
         ends.append("SOFT" if SOFT in line else "HARD" if HARD in line else "UNKNOWN")
@@ -136,6 +177,7 @@ def clean_text(text: str | None) -> tuple[str, list[str]]:
     text = "\n".join(x.rstrip() for x in reflow([x for x, _ in joined], [e for _, e in joined]))
     for wrong, right in _GLUED:
         text = re.sub(rf"(?<!\w){wrong}(?!\w)", right, text)
+    text = re.sub(r"(wie folgt geändert:?)[ \t]*(?=(?:[a-z]{1,3}\)|\d+[a-z]?\.)\s)", r"\1\n", text)  # a point printed right behind its frame
     text = re.sub(r"(§§?|Art\.) (\d+) ([a-z])(?![\w)])", r"\1 \2\3", text)
     # A footnote mark at an article's heading; what follows it on the line is a line of its own.
     text = re.sub(rf"^(Artikel \d+[a-z]?) ?[{SUPERSCRIPTS}]+\)[ \t]*(\S?)", lambda m: m[1] + ("\n" + m[2] if m[2] else ""), text, flags=re.M)

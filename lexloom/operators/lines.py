@@ -78,23 +78,35 @@ def line_ends(lines: DataFrame, key: str = "doc_id", end: str = "x1", reach: int
     return near.select(key, "line_no", F.when(soft, "SOFT").when(hard, "HARD").otherwise("UNKNOWN").alias("line_end"))
 
 
-def widest_gutter(lines: DataFrame, page: str, x0: str, x1: str, few: tuple[float, float] = (4.0, 0.1), many: tuple[float, float] = (3.0, 0.2)) -> DataFrame:
+def widest_gutter(
+    lines: DataFrame, page: str, x0: str, x1: str, few: tuple[float, float] = (4.0, 0.1), many: tuple[float, float] = (3.0, 0.2),
+    least: float = 12.0, off_middle: float = 0.1, column: float = 0.3,
+) -> DataFrame:
     """(page, gutter, width, crossing): the widest gap to the right of some line's end with few lines across it and many on each side (at least so many, or such a share).
 
+    It is at least ``least`` points wide, no farther from the middle of what is printed than such a share of its width, and the columns beside it are
+    no narrower than such a share: the gaps of tables are.
+
     One pass over the sorted ends and starts of a page's lines, by running counts.
     """
     ends = lines.select(page, F.col(x1).alias("x"), F.lit(1).alias("ends"), F.lit(0).alias("starts"))
     starts = lines.select(page, F.col(x0).alias("x"), F.lit(0).alias("ends"), F.lit(1).alias("starts"))
     points = ends.unionByName(starts).groupBy(page, "x").agg(F.sum("ends").alias("ends"), F.sum("starts").alias("starts"))
+    whole = Window.partitionBy(page)
+    low, high = F.min(F.when(F.col("starts") > 0, F.col("x"))).over(whole), F.max(F.when(F.col("ends") > 0, F.col("x"))).over(whole)
+    points = points.withColumn("low", low).withColumn("high", high)
     by = Window.partitionBy(page).orderBy("x")
     total = F.sum("ends").over(Window.partitionBy(page))
     left = F.sum("ends").over(by)
     before = F.coalesce(F.sum("starts").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     following = F.first(F.when(F.col("starts") > 0, F.col("x")), ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
-    found = points.select(page, F.col("x").alias("gutter"), "ends", total.alias("n"), left.alias("left"), (total - before).alias("right"), (following - F.col("x")).alias("width"))
+    found = points.select(page, F.col("x").alias("gutter"), "ends", "low", "high", total.alias("n"), left.alias("left"), (total - before).alias("right"), (following - F.col("x")).alias("width"))
     crossing = F.col("n") - F.col("left") - F.col("right")
     enough = F.greatest(F.lit(many[0]), F.col("n") * many[1])
-    fits = (F.col("ends") > 0) & (crossing <= F.greatest(F.lit(few[0]), F.col("n") * few[1])) & (F.col("left") >= enough) & (F.col("right") >= enough)
+    printed = F.col("high") - F.col("low")
+    middle = F.abs(F.col("gutter") - (F.col("low") + F.col("high")) / 2) <= off_middle * printed
+    columns = (F.col("gutter") - F.col("low") >= column * printed) & (F.col("high") - F.col("gutter") - F.col("width") >= column * printed)
+    fits = middle & columns & (F.col("width") >= least) & (F.col("ends") > 0) & (crossing <= F.greatest(F.lit(few[0]), F.col("n") * few[1])) & (F.col("left") >= enough) & (F.col("right") >= enough)
     found = found.withColumn("crossing", crossing).where(fits)
     # Aliases, since an aggregate's struct field must not shadow a column.
     best = F.max(F.struct("width", (-F.col("gutter")).alias("minus"), "crossing"))
@@ -120,15 +132,16 @@ def reading_order(lines: DataFrame, page: str = "page", seq: str = "seq", baseli
 def body_size(glyphs: DataFrame, page: str = "page", size: str = "size", n: str = "n", most: float = 0.6, least: float = 0.25) -> DataFrame:
     """(page, body): the size of at least 60 % of a page's characters, else the largest with at least 25 %, else the document's."""
 
-    def pick(counts: DataFrame, by: list[str]) -> DataFrame:
-        w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        share = F.col("k") / F.sum("k").over(w)
-        largest = [F.max(F.when(F.col("share") >= s, F.col(size))) for s in (most, least)]
-        return counts.withColumn("share", share).groupBy(*by).agg(F.coalesce(*largest).alias("body"))
+    def pick(counts: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+        share = F.col("k") / F.col("all")
+        largest = [F.max(F.when(share >= s, F.col(size))) for s in (most, least)]
+        joined = counts.join(totals, by) if by else counts.crossJoin(totals)  # one row
+        return joined.groupBy(*by).agg(F.coalesce(*largest).alias("body"))
 
     per = glyphs.groupBy(page, size).agg(F.sum(n).alias("k"))
-    whole = pick(glyphs.groupBy(size).agg(F.sum(n).alias("k")), []).select(F.col("body").alias("whole"))
-    return pick(per, [page]).crossJoin(whole).select(page, F.coalesce("body", "whole").alias("body"))
+    sizes = per.groupBy(size).agg(F.sum("k").alias("k"))
+    whole = pick(sizes, sizes.agg(F.sum("k").alias("all")), []).select(F.col("body").alias("whole"))
+    return pick(per, per.groupBy(page).agg(F.sum("k").alias("all")), [page]).crossJoin(whole).select(page, F.coalesce("body", "whole").alias("body"))
 
 
 def quote_depth(lines: DataFrame, key: str = "doc_id", opening: str = "(", closing: str = ")") -> DataFrame:

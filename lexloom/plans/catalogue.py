@@ -218,7 +218,31 @@ _POINTS = "(SELECT l_suppkey AS page, (l_partkey % 50)::DOUBLE AS x0, (l_partkey
 def gutter_candidates(spark, sf_dir):
     x0 = (F.col("l_partkey") % 50).cast("double")
     points = Tables(spark, sf_dir).lineitem.select(F.col("l_suppkey").alias("page"), x0.alias("x0"), (x0 + F.col("l_quantity")).alias("x1"))
-    return L.widest_gutter(points, "page", "x0", "x1", few=(100.0, 0.5))
+    return L.widest_gutter(points, "page", "x0", "x1", few=(100.0, 0.5), least=0, off_middle=1, column=0)
+
+
+#: Two columns with wide lines across, and a table's column beside the second on every third page.
+_TWO_COLUMNS = """(SELECT l_suppkey AS page, CASE WHEN l_partkey % 40 = 0 THEN 50 WHEN l_partkey % 2 = 0 THEN 50 ELSE 300 END::DOUBLE AS x0,
+    CASE WHEN l_partkey % 40 = 0 THEN 500 WHEN l_partkey % 2 = 0 THEN 200 ELSE CASE l_suppkey % 3 WHEN 0 THEN 320 ELSE 450 END END + l_quantity AS x1 FROM lineitem)"""
+
+
+@query(f"""
+    WITH c AS (SELECT DISTINCT page, x1 AS gutter FROM {_TWO_COLUMNS}), m AS (SELECT page, min(x0) AS low, max(x1) AS high FROM {_TWO_COLUMNS} GROUP BY 1),
+    s AS (
+        SELECT c.page, gutter, any_value(low) AS low, any_value(high) AS high, count(*) AS n, count(*) FILTER (WHERE x1 <= gutter) AS l, count(*) FILTER (WHERE x0 >= gutter) AS r,
+            min(x0) FILTER (WHERE x0 >= gutter) - gutter AS width
+        FROM c JOIN {_TWO_COLUMNS} p ON c.page = p.page JOIN m ON m.page = c.page GROUP BY 1, 2
+    ), f AS (
+        SELECT *, n - l - r AS crossing FROM s WHERE l >= greatest(3.0, n * 0.2) AND r >= greatest(3.0, n * 0.2) AND n - l - r <= greatest(4.0, n * 0.1)
+            AND width >= 12 AND abs(gutter - (low + high) / 2) <= 0.1 * (high - low) AND gutter - low >= 0.3 * (high - low) AND high - gutter - width >= 0.3 * (high - low)
+    )
+    SELECT page, gutter, width, crossing FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY width DESC, gutter) AS k FROM f) WHERE k = 1
+""")
+def column_gutters(spark, sf_dir):
+    part, wide = F.col("l_partkey"), F.col("l_partkey") % 40 == 0
+    x0 = F.when(wide | (part % 2 == 0), 50.0).otherwise(300.0)
+    x1 = F.when(wide, 500).when(part % 2 == 0, 200).when(F.col("l_suppkey") % 3 == 0, 320).otherwise(450) + F.col("l_quantity")
+    return L.widest_gutter(Tables(spark, sf_dir).lineitem.select(F.col("l_suppkey").alias("page"), x0.alias("x0"), x1.alias("x1")), "page", "x0", "x1")
 
 
 @query("""

@@ -53,12 +53,19 @@ def split_articles(text: str) -> list[tuple[str, str]]:
             out.append(((m[1] or m[2]).replace("Art. ", "Artikel "), [m[3] or ""]))
         elif out:
             out[-1][1].append(line)
-    if not out:  # an act of one part, or one divided by §§
-        for line in text.split("\n"):
-            if (m := _HEADER.match(line)) and m[1] and m[1].startswith("§"):
-                out.append((m[1], []))
-            elif out:
-                out[-1][1].append(line)
+    return [(label, "\n".join(body).strip("\n")) for label, body in out] or split_sections(text)
+
+
+def split_sections(text: str) -> list[tuple[str, str]]:
+    """(label, body) of each § of an act that is divided by §§."""
+    out: list[tuple[str, list[str]]] = []
+    for line in text.split("\n"):
+        if _REASONING.match(line) and out:
+            break
+        if (m := _HEADER.match(line)) and m[1] and m[1].startswith("§"):
+            out.append((m[1], []))
+        elif out:
+            out[-1][1].append(line)
     return [(label, "\n".join(body).strip("\n")) for label, body in out]
 
 
@@ -138,6 +145,11 @@ def compile_act(text: str, law: Law, only_article: str | None = None) -> Compile
     quoted = extract_quotes(text)
     out.warnings += quoted.warnings
     articles = split_articles(quoted.text)
+    if not only_article and not any(concerns(scan_outline(body)[0], law) for _, body in articles):
+        # No article concerns the law, but a § of the act may.
+        sections = split_sections(quoted.text)
+        if any(concerns(scan_outline(body)[0], law) for _, body in sections):
+            articles = sections
     last = -1
     for k, (label, body) in enumerate(articles):
         if only_article and label not in (f"Artikel {only_article}", f"§ {only_article}", only_article):

@@ -61,6 +61,8 @@ def _runner(html: bool):
             found = []
             for job in batch.itertuples(index=False):
                 try:
+                    if isinstance(job.problem, str):
+                        raise ValueError(job.problem)
                     rows = list(_rows(job.base or "", job.docs, job.article, None if pd.isna(job.as_of) else job.as_of, job.official, html))
                 except Exception as x:  # a failing job becomes a row, the others go on
                     rows = [{"part": "error", "prose": f"{type(x).__name__}: {x}"}]
@@ -79,12 +81,13 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 
 
 def amend(jobs: DataFrame, html: bool = False) -> DataFrame:
-    """All result rows of all jobs (schema RESULT).  jobs has the columns of JOB.
+    """All result rows of all jobs (schema RESULT).  jobs has the columns of JOB, and ``problem`` where texts could not be read: such a job fails.
 
     Jobs are dealt out evenly, since a job costs far more than moving it.  Select from a written or
     cached copy: each selection would run the jobs again.
     """
-    rows = jobs.select("job", "base", "docs", "article", F.col("as_of").cast("string").alias("as_of"), "official")
+    problem = F.col("problem") if "problem" in jobs.columns else F.lit(None).cast("string")
+    rows = jobs.select("job", "base", "docs", "article", F.col("as_of").cast("string").alias("as_of"), "official", problem.alias("problem"))
     parts = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "job").mapInPandas(_runner(html), RESULT)
 
@@ -115,7 +118,6 @@ def report(results: DataFrame) -> DataFrame:
     """One row per job: commands, applied, manual, deferred, and how it stands to the official version; a failed job has an error."""
     is_ = lambda part: F.col("part") == part
     of = lambda kind: F.count_if(is_("reconciliation") & (F.col("kind") == kind))
-    order = F.array(*[F.lit(k) for k in REASONS])
     counts = results.groupBy("job").agg(
         F.count_if(is_("protocol")).alias("commands"),
         F.count_if(is_("protocol") & (F.col("status") == APPLIED)).alias("applied"),
@@ -125,11 +127,12 @@ def report(results: DataFrame) -> DataFrame:
         F.max(F.when(is_("reconciliation") & (F.col("kind") == "EQUAL"), F.col("doc"))).alias("checked"),
         *[of(k.upper()).alias(k) for k in ("missing", "extra", "deviating")],
         F.max(F.when(is_("error"), F.col("prose"))).alias("error"),
+        *[F.count_if(is_("protocol") & (F.col("status") == MANUAL) & (F.col("reason") == k)).alias(f"n_{k}") for k in REASONS],
     )
-    names = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
-    each = reasons(results).select("job", F.array_position(order, F.col("reason")).alias("place"), F.concat(names[F.col("reason")], F.lit(":"), F.col("n").cast("string")).alias("r"))
-    listed = each.groupBy("job").agg(F.array_join(F.array_sort(F.collect_list(F.struct("place", "r"))).getField("r"), "; ").alias("reasons"))
-    return counts.join(listed, "job", "left")
+    # One pass over the results, which may not be written: reading them twice would run every job twice.
+    told = [F.when(F.col(f"n_{k}") > 0, F.concat(F.lit(f"{name}:"), F.col(f"n_{k}").cast("string"))) for k, name in REASONS.items()]
+    listed = F.array_compact(F.array(*told))
+    return counts.withColumn("reasons", F.when(F.size(listed) > 0, F.array_join(listed, "; "))).drop(*[f"n_{k}" for k in REASONS])
 
 
 def totals(reports: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 
 from lexloom.functions import locator as L
-from lexloom.functions.sentences import sentence_span
+from lexloom.functions.sentences import half_sentence_span, sentence_span
 from lexloom.plans.apply import occurrences, quote_paragraphs, replaced
 from lexloom.plans.documents import Document
-from lexloom.plans.model import MANUAL, Command, Entry, Failure, Origin
+from lexloom.plans.model import MANUAL, Command, Entry, Failure, Origin, item_mark, mark_depth
 from lexloom.plans.outline import extract_quotes, normal_quotes, restore_quotes, scan_outline
 from lexloom.plans.recognise import recognise_masked
 
@@ -94,10 +94,10 @@ def _masked(text: str) -> str:
 def point_span(draft: str, article: str, path: str) -> tuple[int, int] | None:
     """The lines of a point of the draft, up to the next mark of its level or above."""
     masked = _masked(draft)
-    m = re.search(rf"^\s*{re.escape(article)}\b", masked, re.M)
+    m = re.search(rf"^[ \t]*{re.escape(article)}\b", masked, re.M)
     if not m:
         return None
-    end = re.search(r"^\s*Artikel \d+", masked[m.end() :], re.M)
+    end = re.search(r"^[ \t]*Artikel \d+", masked[m.end() :], re.M)  # blanks of a masked quote are no part of the line
     low, high = m.end(), m.end() + end.start() if end else len(draft)
     order = [r"\d+[a-z]?\.", r"[a-z]\)", r"([a-z])\1\)"]
     for depth, mark in enumerate(path.split()):
@@ -110,6 +110,44 @@ def point_span(draft: str, article: str, path: str) -> tuple[int, int] | None:
     return low, high
 
 
+def _item_span(text: str, label: str, low: int, high: int) -> tuple[int, int] | None:
+    """The item with that label: from its mark to the next mark of its level or above, paragraph or norm."""
+    start, depth, at = None, 0, low
+    for line in text[low:high].splitlines(keepends=True):
+        mark = item_mark(line)
+        if start is None:
+            if mark and mark.rstrip(".)") == label:
+                start, depth = at + len(line) - len(line.lstrip()), mark_depth(mark)
+        elif mark and mark_depth(mark) <= depth or re.match(r"\s*(?:\(\d+[a-z]?\)|§ ?\d|Art\. ?\d)", line):
+            return start, at
+        at += len(line)
+    return None if start is None else (start, high)
+
+
+def _place(inner: str, at: L.Locator) -> tuple[int, int]:
+    """The part of a quote that a locator names; raises Failure where it names none."""
+    low, high = 0, len(inner)
+    for part in at:
+        found = None
+        if part.kind == L.NORM:
+            heads = [m.start() for m in re.finditer(r"(?:^|\n)\s*(?:§|Art\.) \d+[a-z]?\b", inner)] + [len(inner)]
+            own = [k for k in range(len(heads) - 1) if re.match(rf"\s*{re.escape(str(part))}\b", inner[heads[k] :])]
+            # A quote that shows one norm, or none, is the norm as a whole.
+            found = (heads[own[0]], heads[own[0] + 1]) if own else (low, high) if part.value == "0" or len(heads) <= 2 else None
+        elif part.kind == L.PARA:
+            if m := re.search(rf"\({part.value}\) (?:.(?!\(\d+[a-z]?\) ))*.", inner[low:high], re.S):
+                found = low + m.start(), low + m.end()
+        elif part.kind in (L.NUMBER, L.LETTER):
+            found = _item_span(inner, part.value, low, high)
+        elif part.kind in (L.SENTENCE, L.HALF):
+            if span := (sentence_span if part.kind == L.SENTENCE else half_sentence_span)(inner[low:high], part.value):
+                found = low + span[0], low + span[1]
+        if found is None:
+            raise Failure("PLACE_NOT_FOUND", f"{part} ist im Zitat nicht auffindbar.")
+        low, high = found
+    return low, high
+
+
 def apply_to_draft(draft: str, article: str, path: str, c: Command) -> str:
     """The draft with one command applied to the quote of a point; raises Failure."""
     span = point_span(draft, article, path)
@@ -126,34 +164,21 @@ def apply_to_draft(draft: str, article: str, path: str, c: Command) -> str:
         raise Failure("BAD_QUOTE", f"{article} {path} enthält kein Zitat.")
     a, b = quote.span(1)
     inner = body[a:b]
-    low, high = 0, len(inner)
-    for part in c.at:
-        if part.kind == L.NORM and part.value != "0":
-            heads = [m.start() for m in re.finditer(r"(?:^|\n)\s*(?:§|Art\.) \d+[a-z]?\b", inner)] + [len(inner)]
-            own = [k for k in range(len(heads) - 1) if re.match(rf"\s*{re.escape(str(part))}\b", inner[heads[k] :])]
-            if own:
-                low, high = heads[own[0]], heads[own[0] + 1]
-        elif part.kind == L.PARA:
-            m = re.search(rf"\({part.value}\) (?:.(?!\(\d+[a-z]?\) ))*.", inner[low:high], re.S)
-            if not m:
-                raise Failure("PLACE_NOT_FOUND", f"Absatz {part.value} ist im Zitat nicht auffindbar.")
-            low, high = low + m.start(), low + m.end()
-        elif part.kind == L.SENTENCE:
-            found = sentence_span(inner[low:high], part.value)
-            if not found:
-                raise Failure("PLACE_NOT_FOUND", f"Satz {part.value} ist im Zitat nicht auffindbar.")
-            low, high = low + found[0], low + found[1]
+    low, high = _place(inner, c.at)
     text = inner[low:high]
     if c.kind == "replace":
         # Laxer than on a law: without "jeweils" the first occurrence is meant.
         places = occurrences(text, c.old)
         if not places:
             raise Failure("TARGET_MISSING", f"„{c.old}“ kommt im Entwurf nicht vor.")
-        new = replaced(text, c.old, c.new, True) if c.each else text[: places[0]] + c.new + text[places[0] + len(c.old) :]
+        if c.at_end:
+            new = replaced(text.rstrip(), c.old, c.new, at_end=True) + text[len(text.rstrip()) :]
+        else:
+            new = replaced(text, c.old, c.new, True) if c.each else text[: places[0]] + c.new + text[places[0] + len(c.old) :]
     elif c.kind == "strike":
         if not occurrences(text, c.old):
             raise Failure("TARGET_MISSING", f"„{c.old}“ kommt im Entwurf nicht vor.")
-        new = re.sub(" {2,}", " ", replaced(text, c.old, "", True))
+        new = replaced(text, c.old, "", True)  # the seams heal, indentation stays
     elif c.kind == "redraft":
         new = c.text.strip()
         if high - low < len(inner) and c.at and c.at[-1].kind == L.PARA and not quote_paragraphs(new)[0].number:
@@ -166,14 +191,17 @@ def apply_to_draft(draft: str, article: str, path: str, c: Command) -> str:
 
 
 def apply_motion(draft: str, motion: str) -> tuple[str, list[Entry]]:
+    """The draft as the motion leaves it, and a protocol; a command of several parts is done as a whole or not at all."""
     entries = []
     for article, path, command in read_motion(motion):
         parts = command.parts if command.kind == "compound" else (command,)
         try:
+            new = draft
             for p in parts:
                 if p.kind == "unknown":
                     raise Failure("NOT_RECOGNISED", "Der Befehl wurde nicht erkannt.")
-                draft = apply_to_draft(draft, article, path, p)
+                new = apply_to_draft(new, article, path, p)
+            draft = new
             entries.append(Entry(command, "APPLIED", "", (f"{article} {path}".strip(),)))
         except Failure as x:
             entries.append(Entry(command, MANUAL, x.prose, (), x.reason))

@@ -490,14 +490,13 @@ def _tidy(text: str) -> str:
 
 
 def _single(c: Clause) -> Command | None:
+    """The command of the first rule that the clause matches; if that rule cannot make out its place or its text, none: the clause is not guessed at."""
     for _, pattern, build in RULES:
         if m := pattern.match(c.text):
             try:
-                found = build(c, m)
-            except (IndexError, StopIteration, AttributeError, TypeError):
-                found = None
-            if found is not None:
-                return found
+                return build(c, m)
+            except (IndexError, StopIteration):  # a place or a quote that the rule needs is not there
+                return None
     return None
 
 

@@ -6,7 +6,9 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,18 +32,47 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_texts(spark: SparkSession, jobs: DataFrame, root: str) -> DataFrame:
-    """A job list with the texts of its files, read by Spark from the folder ``root``: the input of ``engine.amend``."""
-    files = spark.read.text(f"{root}/*", wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), F.input_file_name().alias("path"))
+    """A job list with the texts of its files, read by Spark from the folder ``root``: the input of ``engine.amend``.
+
+    Laws as federal XML, also in an archive, become laws as text.  ``problem`` tells what a job's files cannot be read for: a kind without a
+    reader, damage, or that they are not there; such a job fails as a row.
+    """
+    named = jobs.select(F.explode(F.concat(F.array("base", "official"), F.coalesce("docs", F.array()))).alias("name")).where("name is not null")
+    named = named.select(F.regexp_replace("name", "^.*/", "").alias("name")).distinct()
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    content = content.join(named, F.regexp_extract("path", "([^/]*)$", 1) == F.col("name"), "left_semi")  # files that no job names are not read
+    files = content.select("path", "content").mapInPandas(_texts, "path string, text string, trouble string")
     name = lambda c: F.regexp_replace(c, "^\\./", "")
     base = F.regexp_replace(F.lit(root), "/+$", "")
     files = files.withColumn("file", F.regexp_replace(F.element_at(F.split("path", F.concat(F.lit("\\Q"), F.regexp_replace(base, "^file:/*", "/"), F.lit("\\E"))), -1), "^/+", ""))
     each = jobs.select("*", F.posexplode_outer("docs").alias("k", "doc"))
-    texts = each.join(files.select(F.col("file").alias("doc"), F.col("text").alias("doc_text")), "doc", "left")
-    whole = texts.groupBy("job", "base", "article", "official", "as_of").agg(F.array_sort(F.collect_list(F.struct("k", "doc_text"))).getField("doc_text").alias("docs"))
-    bases = files.select(F.col("file").alias("b"), F.col("text").alias("base_text"))
-    officials = files.select(F.col("file").alias("o"), F.col("text").alias("official_text"))
+    trouble = lambda name, text, told: F.when(name.isNotNull() & text.isNull(), F.concat(name, F.lit(": "), F.coalesce(told, F.lit("no such file"))))
+    read = lambda n: files.select(F.col("file").alias(n), F.col("text").alias(f"{n}_text"), F.col("trouble").alias(f"{n}_trouble"))
+    own = each.withColumn("doc", name(F.col("doc"))).join(read("doc"), "doc", "left").withColumn("t", trouble(F.col("doc"), F.col("doc_text"), F.col("doc_trouble")))
+    # A text that is not there stays null, so that the others keep their places.
+    docs = F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "doc_text")))).getField("doc_text")
+    whole = own.groupBy("job", "base", "article", "official", "as_of").agg(docs.alias("docs"), F.array_sort(F.collect_list("t")).alias("t"))
+    bases, officials = read("b"), read("o")
     joined = whole.join(bases, name(F.col("base")) == F.col("b"), "left").join(officials, name(F.col("official")) == F.col("o"), "left")
-    return joined.select("job", F.col("base_text").alias("base"), "docs", "article", "as_of", F.col("official_text").alias("official"))
+    of = F.array_compact(F.array(trouble(F.col("base"), F.col("b_text"), F.col("b_trouble")), trouble(F.col("official"), F.col("o_text"), F.col("o_trouble"))))
+    told = F.concat(of, "t")
+    problem = F.when(F.size(told) > 0, F.array_join(told, "; "))
+    return joined.select("job", F.col("b_text").alias("base"), "docs", "article", "as_of", F.col("o_text").alias("official"), problem.alias("problem"))
+
+
+def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files as text; a law of another kind as canonical text; null and the trouble for what cannot be read."""
+    from lexloom.sources.canonical import write_law
+
+    for batch in batches:
+        out = []
+        for path, content in zip(batch["path"], batch["content"], strict=True):
+            try:
+                kind = sniff(content)
+                out.append((path, write_law(read_law_file(content)) if kind in ("zip", "xml") else read_text_file(content), None))
+            except Exception as x:  # one file's damage is told with its job
+                out.append((path, None, f"{type(x).__name__}: {x}"))
+        yield pd.DataFrame(out, columns=["path", "text", "trouble"])
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -182,4 +213,5 @@ def read_text_file(content: bytes) -> str:
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, kind, length) of the files of a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", C.sniff_type(F.decode("content", "ISO-8859-1")).alias("kind"), "length")
+    head = F.decode(F.substring("content", 1, 1024), "ISO-8859-1")  # what tells a kind stands there
+    return files.select("path", C.sniff_type(head).alias("kind"), "length")

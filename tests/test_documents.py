@@ -236,3 +236,58 @@ def test_a_quote_without_an_end_ends_where_that_is_sure():
     assert len(balanced.quotes) == 1 and not balanced.warnings
     deeper = extract_quotes("Artikel 1\n2. § 5 wird wie folgt gefasst:\n„(1) Es gilt:\naa) § 7 wird aufgehoben.\n")
     assert "aa) § 7" in deeper.quotes[0] and len(deeper.warnings) == 1
+
+
+INNER = "Gesetzentwurf\nDrucksache 18/200\nEntwurf eines Gesetzes zur Änderung des Probegesetzes\nArtikel 1\nDas Probegesetz wird wie folgt geändert:\n1. § 1 Absatz 1 wird wie folgt gefasst:\n„(1) Vorzulegen sind\n  1. ein alter Plan,\n    a) mit altem Maß,\n    b) mit altem Rand,\n  2. ein alter Bericht.“\nArtikel 2\nInkrafttreten\nDieses Gesetz tritt in Kraft."
+
+
+def _motion(*points):
+    lines = "\n".join(f"{k}. {p}" for k, p in enumerate(points, 1))
+    return f"Änderungsantrag\nDrucksache 18/201\nzu Drucksache 18/200\nDer Landtag wolle beschließen:\n{lines}\nBegründung:\nText"
+
+
+def test_motions_change_the_item_that_they_name():
+    text, entries = apply_motion(INNER, _motion("In Artikel 1 Nummer 1 wird in § 1 Absatz 1 Nummer 2 das Wort „alter“ durch das Wort „neuer“ ersetzt."))
+    assert [e.status for e in entries] == ["APPLIED"] and "1. ein alter Plan" in text and "2. ein neuer Bericht" in text
+    text, entries = apply_motion(INNER, _motion("In Artikel 1 Nummer 1 wird in § 1 Absatz 1 Nummer 1 Buchstabe b das Wort „altem“ durch das Wort „neuem“ ersetzt."))
+    assert "a) mit altem Maß" in text and "b) mit neuem Rand" in text
+    text, entries = apply_motion(INNER, _motion("In Artikel 1 Nummer 1 wird in § 1 Absatz 1 Nummer 4 das Wort „alter“ durch das Wort „neuer“ ersetzt."))
+    assert text == INNER and [(e.status, e.reason) for e in entries] == [("MANUAL", "PLACE_NOT_FOUND")]
+
+
+def test_motions_that_strike_leave_indentation():
+    text, entries = apply_motion(INNER, _motion("In Artikel 1 Nummer 1 wird in § 1 Absatz 1 das Wort „altem“ gestrichen."))
+    assert [e.status for e in entries] == ["APPLIED"] and "    a) mit Maß,\n    b) mit Rand,\n  2. ein alter Bericht." in text
+
+
+def test_a_section_of_the_act_may_amend_the_law_where_no_article_does():
+    act = "Artikel 1\nDas Andere Gesetz wird wie folgt geändert:\n1. § 9 wird aufgehoben.\n§ 2\nDas Probegesetz wird wie folgt geändert:\n1. § 2 wird aufgehoben."
+    assert [str(e.command) for e in run_job(BASE, [act]).entries] == ["repeal § 2"]
+
+
+@pytest.mark.parametrize(
+    ("raw", "clean"),
+    [
+        ("ein Frauen-\nNr. 5 - Tag der Ausgabe: Erfurt, den 3. März 2025    12\nhaus dort", "ein Frauenhaus dort"),
+        ("Ein Satz. 14  Gesetz- und Verordnungsblatt für den Freistaat Thüringen\nNoch einer.", "Ein Satz.\nNoch einer."),
+        ("Ein Satz. Freitag, den 7. März 2025 31HmbGVBl. Nr. 4 Noch einer.", "Ein Satz. Noch einer."),
+        ("HmbGVBl. Nr. 4 Freitag, den 7. März 2025 32\nText", "\nText"),
+        ("das Wort „alt“\nGesetzblatt für Baden-Württemberg, Jahrgang 2025,\nNr. 3 vom 7. März 2025 Seite 2 von 9\ngestrichen.", "das Wort „alt“\n\ngestrichen."),
+        ("Ein Satz. Nr. 8 Gesetzblatt der Freien Hansestadt Bremen vom 7. März 2025 44\nText", "Ein Satz.\nText"),
+        ("ersetzt: Tag der Ausgabe: Schwerin, den 7. März 2025 55Nr. 6 „neu“", "ersetzt: „neu“"),
+        ("56 Gesetz- und Verordnungsblatt für Mecklenburg-Vorpommern 2025 Nr. 6\nText", "\nText"),
+        ("Amtsblatt des Saarlandes Teil I vom 7. März 202577\nText", "\nText"),
+        ("ist im Amtsblatt des Saarlandes bekannt zu machen", "ist im Amtsblatt des Saarlandes bekannt zu machen"),
+        ("Erst V\norabfassu\nng - wird durch die lekto\nrierte Version ersetzt.\ndann", "Erst\ndann"),
+        ("(2) „ Trotz des", "„(2) Trotz des"),
+        ("§ 7„\nTitel", "„§ 7\nTitel"),
+        ("§ 7„ Titel", "„§ 7 Titel"),
+        ("4. „ ohne Rand“", "„4. ohne Rand“"),
+        ("4a. „großer Rand“ heißt", "4a. „großer Rand“ heißt"),
+        ("Wenn er setzt, gilt", "Wenn er setzt, gilt"),
+        ("ein Kommaeingefügt undwerden", "ein Komma eingefügt und werden"),
+        ("§ 4 wird wie folgt geändert:a) In Absatz 1", "§ 4 wird wie folgt geändert:\na) In Absatz 1"),
+    ],
+)
+def test_furniture_and_misprints(raw, clean):
+    assert clean_text(raw)[0] == clean

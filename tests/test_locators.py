@@ -92,3 +92,17 @@ def test_sentence_places():
 def test_phrases_without_a_unit():
     assert all(L.names_nothing(x) for x in ("in dem Satzteil nach Nr. 3", "In der Einleitung", "Im Eingangssatz", "dem Wortlaut"))
     assert not L.names_nothing("In der Einleitungsformel")
+
+
+@pytest.mark.parametrize("text", ["Es gilt z. B. Der Rest", "Es gilt u. U. Der Rest", "nach § 3 insbes. Die Frist", "nach Doppelbuchst. Aa gilt", "im RGBl. I veröffentlicht"])
+def test_abbreviations_end_no_sentence(text):
+    assert len(sentences(text)) == 1
+
+
+def test_capitals_that_are_no_abbreviation_end_a_sentence():
+    assert len(sentences("Es gilt Tarif B. Der Rest folgt.")) == 2
+
+
+def test_long_ranges_keep_every_label():
+    assert expand("1", "150") == [str(k) for k in range(1, 151)] and expand("9", "3") is None
+    assert len(L.parse_many("§§ 1 bis 150")) == 150

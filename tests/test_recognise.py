@@ -125,3 +125,7 @@ def test_commands_as_a_table(spark):
     got = commands(spark.createDataFrame(rows, "id int, text string, place string"), context="place").orderBy("id", "part").collect()
     assert [(r["id"], r["part"], r["kind"], r["at"]) for r in got] == [(1, 0, "replace", "§ 2 Absatz 1"), (1, 1, "replace", "§ 2 Absatz 1"), (2, 0, "unknown", ""), (3, 0, "insert_unit", "§ 1"), (4, 0, "unknown", "")]
     assert got[1]["old"] == "c" and got[3]["label"] == "1a" and got[2]["text"] == "Kein Befehl."
+
+
+def test_a_rule_that_matches_but_cannot_make_out_its_place_ends_the_search():
+    assert recognise("Die Absätze 4 bis 2 werden durch die folgenden Absätze 2 und 3 ersetzt: „(2) A\n(3) B“") is None

@@ -63,7 +63,7 @@ def test_jobs_run_in_parallel_and_a_failing_one_is_a_row(spark, tmp_path):
     (tmp_path / "texts/act.txt").write_text(ACT)
     (tmp_path / "jobs.tsv").write_text("# job\tbase\tdocs\tarticle\tofficial\tas_of\neins\tbase.txt\tact.txt\t-\tbase.txt\t-\nzwei\tbase.txt\tact.txt\t-\t-\t2025-06-01\ndrei\tbase.txt\tfehlt.txt\t-\t-\t-\n")
     jobs = inputs.with_texts(spark, inputs.read_job_list(spark, str(tmp_path / "jobs.tsv")), str(tmp_path / "texts"))
-    broken = spark.createDataFrame([("vier", None, [], None, None, None)], jobs.schema)
+    broken = spark.createDataFrame([("vier", None, [], None, None, None, "kaputt")], jobs.schema)
     results = engine.amend(jobs.unionByName(broken), html=True).persist()
     report = {r["job"]: r for r in engine.report(results).collect()}
     assert (report["eins"]["commands"], report["eins"]["applied"], report["eins"]["manual"]) == (4, 3, 1)
@@ -181,3 +181,25 @@ def test_annexes_and_their_numbers():
 
     new, entries = apply_all(law, [recognise("In Nummer 6 Absatz 2 der Anlage wird das Wort „zweite“ durch das Wort „neue“ ersetzt.") or recognise("In Anlage Nummer 6 Absatz 2 wird das Wort „zweite“ durch das Wort „neue“ ersetzt.")])
     assert entries[0].status == "APPLIED" and new.norm("Anlage Nummer 6").paragraphs[2].text.startswith("Die neue")
+
+
+def test_jobs_over_federal_xml_and_archives(spark, tmp_path):
+    folder = tmp_path / "texts"
+    folder.mkdir()
+    (folder / "base.xml").write_bytes(XML if isinstance(XML, bytes) else XML.encode())
+    with zipfile.ZipFile(folder / "base.zip", "w") as z:
+        z.writestr("a.xml", XML)
+    (folder / "plan.pdf").write_bytes(b"%PDF-1.4")
+    title = inputs.read_law_file((folder / "base.xml").read_bytes()).title
+    label = next(n.label for n in inputs.read_law_file((folder / "base.xml").read_bytes()).norms if n.label.startswith("§"))
+    (folder / "act.txt").write_text(f"Artikel 1\nDas {title} wird wie folgt geändert:\n1. {label} wird aufgehoben.")
+    (folder / "other.txt").write_text("not named by any job")
+    lines = ["xml\tbase.xml\tact.txt\t-\t-\t-", "zip\tbase.zip\tact.txt\t-\t-\t-", "pdf\tbase.xml\tact.txt,plan.pdf\t-\t-\t-", "gone\tbase.xml\tnone.txt\t-\t-\t-"]
+    (tmp_path / "jobs.tsv").write_text("\n".join(lines) + "\n")
+    jobs = inputs.with_texts(spark, inputs.read_job_list(spark, str(tmp_path / "jobs.tsv")), str(folder))
+    results = engine.amend(jobs).persist()
+    report = {r["job"]: r for r in engine.report(results).collect()}
+    assert all((report[k]["commands"], report[k]["applied"]) == (1, 1) for k in ("xml", "zip"))
+    assert "plan.pdf" in report["pdf"]["error"] and "none.txt: no such file" in report["gone"]["error"]
+    norms = inputs.read_law_file((folder / "base.xml").read_bytes()).norms
+    assert len(engine.synopsis(results, full=True).where("job = 'xml'").collect()) >= len(norms) - 1
