@@ -1,9 +1,10 @@
 """Licence texts found by canonical digest.
 
-A text is brought to a canonical form - lower case, copyright lines dropped, punctuation
+A text is brought to a canonical form - lower case, copyright statements dropped, punctuation
 and white space folded, equivalent spellings made one - and the digest of the whole form
-is hash-joined to the digests of known licences.  That is done for each whole document and
-for each of its lines, since notices are often one line of a longer text.
+is hash-joined to the digests of known licences.  That is done for each whole document, and inside longer ones for each
+stretch of whole lines that begins with a known licence's first words and has as many words as it: digests of those only are taken.
+Where lines break makes no difference, but for lines that state a copyright.
 """
 
 from __future__ import annotations
@@ -29,7 +30,11 @@ SPELLINGS = {
     "signalling": "signaling", "sublicence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
     "noncommercial": "non commercial", "percent": "per cent", "v2": "version 2", "v3": "version 3",
 }
-_COPYRIGHT = re.compile(r"^\W*(copyright\b|\(c\)|©|all rights reserved\W*$)", re.I)
+#: Lines that state a copyright: they name its sign or a year. A licence's own lines may begin with "copyright" or a clause "(c)".
+STATEMENT = r"^[^\pL\pN]*(copyright[^\pL\pN]*(\(c\)|©|(by )?(19|20)[0-9][0-9]|[\[<{]y)|(\(c\)|©)[^\pL\pN]*(19|20)[0-9][0-9]|©|all rights reserved[^\pL\pN]*$)"
+_COPYRIGHT = re.compile(STATEMENT.replace(r"[^\pL\pN]", r"[\W_]"), re.I)
+#: Words of a licence that begin a stretch which is looked at.
+OPENING = 3
 _APART = re.compile(r"[\W_]+")
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -49,17 +54,22 @@ WHOLE = [
     "Apache-2.0", "CC0-1.0", "GFDL-1.2-only", "GFDL-1.3-only", "GPL-1.0-only", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.0-only", "LGPL-2.1-only",
     "LGPL-3.0-only", "MPL-1.1", "MPL-2.0",
 ]
-_TERMS = "END OF TERMS AND CONDITIONS"
+#: Where a licence's terms end; what follows tells how to use it.
+_TERMS = re.compile(r"(END OF TERMS AND CONDITIONS)|\n(?=ADDENDUM: How to use)", re.I)
 
 
 def whole_texts(name: str) -> list[str]:
-    """A licence's text with and without what follows its terms, in the lines of its file and with a line for each paragraph.
+    """A licence's text with and without what follows its terms and what precedes them, in the lines of its file and with a line for each paragraph.
 
-    Lines matter, since a line that begins with "copyright" is dropped wherever the text breaks.
+    Lines matter where a copyright is stated; the text behind the paragraph that states one matches however it is broken.
     """
     text = pkgutil.get_data("lexloom.llm", f"license_texts/{name}.txt").decode()
-    terms, found, _ = text.partition(_TERMS)
-    texts = [text, terms + found] if found else [text]
+    end = _TERMS.search(text)
+    texts = [text, text[: end.end()]] if end else [text]
+    parts = re.split(r"\n\s*\n", texts[-1])
+    stated = [k for k, p in enumerate(parts[:8]) if any(map(_COPYRIGHT.match, p.split("\n")))]
+    if stated:
+        texts.append("\n\n".join(parts[stated[-1] + 1 :]))
     return texts + ["\n".join(" ".join(x.split()) for x in re.split(r"\n\s*\n", t)) for t in texts]
 
 
@@ -108,48 +118,78 @@ def digest(form: str) -> bytes:
     return hashlib.sha256(form.encode()).digest()
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A digest for each whole text (line null) and, where there are several, each filled line."""
-    names = ["at", "line", "digest"]
-    for batch in batches:
-        ats, lines, digests = [], [], []
-        for at, text in enumerate(batch.column(1).to_pylist()):
-            forms = [canonical_line(x) for x in (text or "").split("\n")]
-            whole = " ".join(filter(None, forms))
-            if not whole:
-                continue
-            ats.append(at)
-            lines.append(None)
-            digests.append(digest(whole))
-            for k, form in enumerate(forms):
-                if form and form != whole:
-                    ats.append(at)
-                    lines.append(k)
-                    digests.append(digest(form))
-        ids = batch.column(0).take(pa.array(ats, pa.int64()))
-        yield pa.record_batch([ids, pa.array(lines, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", *names[1:]])
-
-
-def known_licenses(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(license_id, digest); two texts of one form must name one licence."""
+def openings(known: list[tuple[str, str]]) -> dict[tuple[str, ...], dict[int, set[bytes]]]:
+    """Of the texts' canonical forms: their first words, how many words they have, and their digests."""
+    found: dict = {}
+    for _, text in known:
+        words = canonical(text).split()
+        found.setdefault(tuple(words[:OPENING]), {}).setdefault(len(words), set()).add(digest(" ".join(words)))
+    return found
+
+
+def _stretches(text: str, known: dict, shortest: int) -> list[tuple[int, int, int, int, bytes, int]]:
+    """(first word, words, first line, last line, digest, all words of the text) of the stretches that are known texts."""
+    forms = [(k, form.split()) for k, form in enumerate(map(canonical_line, text.split("\n"))) if form]
+    words = [w for _, line in forms for w in line]
+    ends, at = {}, 0
+    for k, line in forms:
+        at += len(line)
+        ends[at] = k
+    found, at = [], 0
+    for k, line in forms:
+        for size in range(shortest, OPENING + 1):
+            for n, digests in known.get(tuple(words[at : at + size]), {}).items():
+                if at + n in ends and (d := digest(" ".join(words[at : at + n]))) in digests:
+                    found.append((at, n, k, ends[at + n], d))
+        at += len(line)
+    return [(*x, len(words)) for x in found]
+
+
+def _digests(known: dict, names: dict[bytes, str]):
+    """Rows (doc_id, text) to a digest for each stretch of lines that is a known text; of a licence, only what lies in no longer stretch of its."""
+    shortest = min(map(len, known), default=OPENING)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                held: list[tuple[int, int, str]] = []
+                for at, n, line, last, d, total in sorted(_stretches(text or "", known, shortest), key=lambda x: (-x[1], x[0])):
+                    if not any(a <= at and at + n <= b and name == names[d] for a, b, name in held):
+                        held.append((at, at + n, names[d]))
+                        out.append((row, "document" if n == total else "line" if line == last else "passage", *((None, None) if n == total else (line, last)), d))
+            of, *columns = zip(*out, strict=True) if out else ((),) * 5
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.record_batch([batch.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "scope", "line", "last_line", "digest"])
+
+    return run
+
+
+def named(known: list[tuple[str, str]]) -> dict[bytes, str]:
+    """License id by digest; two texts of one form must name one licence."""
     found: dict[bytes, str] = {}
-    for name, text in KNOWN if known is None else known:
+    for name, text in known:
+        if not canonical(text):
+            raise ValueError(f"a text of {name} has no words")
         if found.setdefault(digest(canonical(text)), name) != name:
             raise ValueError(f"{name} and {found[digest(canonical(text))]} have the same canonical text")
-    return spark.createDataFrame([(name, bytearray(d)) for d, name in found.items()], "license_id string, digest binary")
+    return found
 
 
-def scan(spark: SparkSession, docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, scope, line, license_id, digest): documents ('document', line null) and lines ('line') whose whole canonical text is a known licence's.
+def scan(spark: SparkSession, docs: DataFrame, known: list[tuple[str, str]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, scope, line, last_line, license_id, digest): stretches of whole lines whose canonical text is a whole known licence's.
 
-    Null and empty texts, and those of copyright lines only, have no canonical text and
+    scope is 'document' for a whole document (line and last_line null), 'line' for one line, and 'passage' for several.  A
+    stretch within a longer one of the same licence is left out.  Null and empty texts, and those of copyright statements only, have no canonical text and
     match nothing.  Repeated rows and rows with a null id each give their own matches.  The known
-    licences are a table (license_id, digest) of any size.  Other columns are left out; an empty
+    licences are a list of (license_id, text), which every task holds by first words and digest; repeats in it do no harm.  Other columns are left out; an empty
     table gives no rows.
     """
+    known = KNOWN if known is None else known
+    names = named(known)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    units = rows.mapInArrow(_digests, f"doc_id {id_type}, line int, digest binary")
-    found = units.join(known_licenses(spark) if known is None else known, "digest")
-    scope = F.when(F.col("line").isNull(), "document").otherwise("line")
-    return found.select("doc_id", scope.alias("scope"), "line", "license_id", F.lower(F.hex("digest")).alias("digest"))
+    units = rows.mapInArrow(_digests(openings(known), names), f"doc_id {id_type}, scope string, line int, last_line int, digest binary")
+    table = spark.createDataFrame([(name, bytearray(d)) for d, name in names.items()], "license_id string, digest binary")
+    found = units.join(F.broadcast(table), "digest")  # the list given, a row of some 50 bytes for each of its texts
+    return found.select("doc_id", "scope", "line", "last_line", "license_id", F.lower(F.hex("digest")).alias("digest"))
