@@ -1,8 +1,8 @@
 """Training records from conversations, with loss masks aligned by offsets.
 
-A conversation is rendered whole and encoded once; each turn's span of characters
-is known from the rendering, each token's from the encoder.  Both lists are sorted, so
-the tokens of a turn are found by binary search, and what is trained on is the
+A conversation is rendered whole and encoded once; each turn's span of bytes
+is known from the rendering, each token's from the lengths of the tokens before it.  Both lists are sorted, so
+the tokens of all turns are found by one binary search, and what is trained on is the
 intersection of assistant spans with token spans.
 
 Template: ``<|im_start|>role<|im_sep|>text<|im_end|>`` for each turn.  Control strings
@@ -13,8 +13,8 @@ control string contains; unescaping is exact.
 
 from __future__ import annotations
 
+import base64
 import hashlib
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER = "byte_bpe_50k.tiktoken"
+#: How that vocabulary's texts are split before their bytes are merged; a fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Conversations whose records are held as Python objects at a time.
 SLICE = 64
 
@@ -44,60 +46,81 @@ def unescape(text: str) -> str:
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int, bool]]]:
-    """The formatted conversation, and the sorted spans of its texts with whether they are trained on."""
+    """The formatted conversation, and the sorted spans of its texts, in bytes, with whether they are trained on."""
     out, spans, at = [], [], 0
     for role, text in turns:
         head, body = f"{START}{escape(role)}{SEP}", escape(text)
-        spans.append((at + len(head), at + len(head) + len(body), role == "assistant"))
-        out.append(f"{head}{body}{END}")
-        at += len(out[-1])
+        start = at + _size(head)
+        at = start + _size(body)
+        spans.append((start, at, role == "assistant"))
+        out += (head, body, END)
+        at += len(END)
     return "".join(out), spans
 
 
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
     """Roles and texts of a formatted conversation."""
     turns = formatted.split(START)[1:]
     return [tuple(map(unescape, turn[: -len(END)].split(SEP, 1))) for turn in turns]
 
 
-def loss_mask(spans: list[tuple[int, int, bool]], tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(token, from, to) for each token of a trained span, cut to the span; both lists are sorted."""
-    starts, ends, out = [a for a, _ in tokens], [b for _, b in tokens], []
-    for a, b, trained in spans:
-        if trained and a < b:
-            first, last = bisect_right(ends, a), bisect_left(starts, b)
-            out.extend((k, max(a, starts[k]), min(b, ends[k])) for k in range(first, last))
-    return out
+def loss_mask(spans: list[tuple[int, int, bool]], ends: np.ndarray) -> np.ndarray:
+    """Rows (first, last, from, to), one for each trained span that is not empty: its tokens (last not included) and the bytes they cover in it.
+
+    ends are the tokens' last bytes; a token begins where the one before it ends.
+    """
+    trained = np.array([(a, b) for a, b, t in spans if t and a < b], np.int64).reshape(-1, 2)
+    first = np.searchsorted(ends, trained[:, 0], "right")
+    last = np.searchsorted(ends, trained[:, 1], "left") + 1
+    begins = np.concatenate([[0], ends])
+    return np.stack([first, last, np.maximum(trained[:, 0], begins[first]), np.minimum(trained[:, 1], begins[last])], 1).astype(np.int32)
 
 
-def masked_text(formatted: str, mask: list[tuple[int, int, int]]) -> str:
-    """What stands under the mask, each character once: tokens of one character's bytes share its offsets."""
-    out, done = [], 0
-    for _, a, b in mask:
-        if b > done:
-            out.append(formatted[max(a, done) : b])
-            done = b
-    return unescape("".join(out))
+def masked_text(formatted: str, mask) -> str:
+    """What stands under the mask, each byte once."""
+    data = formatted.encode()
+    return "".join(unescape(data[a:b].decode()) for _, _, a, b in mask)
 
 
-@lru_cache
-def _encoder(path: str):
-    from tokenizers import AddedToken, Tokenizer
+class _Encoder:
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        first = max(ranks.values()) + 2  # the id after the vocabulary's is its own end mark's
+        controls = {x: first + k for k, x in enumerate((START, SEP, END))}
+        self.coding = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=controls)
+        self.lengths = np.zeros(first + len(controls), np.int64)
+        for token, k in [*ranks.items(), *controls.items()]:
+            self.lengths[k] = len(token)
 
-    encoder = Tokenizer.from_file(path)
-    encoder.add_special_tokens([AddedToken(x, normalized=False, special=True) for x in (START, SEP, END)])
-    return encoder
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and where each token ends, in bytes."""
+        ids = self.coding.encode_to_numpy(text, allowed_special="all")
+        return ids, np.cumsum(self.lengths[ids])
+
+
+@lru_cache
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def format_turns(turns: list[tuple[str, str]], path: str) -> dict:
-    """formatted, input_ids, offsets and loss mask of one conversation."""
+    """formatted, input_ids, ends of the tokens and loss mask of one conversation."""
     formatted, spans = render(turns)
-    code = _encoder(path).encode(formatted, add_special_tokens=False)
-    return {"formatted": formatted, "input_ids": code.ids, "offsets": code.offsets, "mask": loss_mask(spans, code.offsets)}
+    ids, ends = _encoder(path)(formatted)
+    return {"formatted": formatted, "input_ids": ids, "ends": ends, "mask": loss_mask(spans, ends)}
 
 
 def format_chats(chats: DataFrame, tokenizer: str, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per conversation: conv_id, formatted, input_ids, and loss (token, from, to).
+    """One row per conversation: conv_id, formatted, input_ids, and loss (first, last, from, to), one for each trained turn with a text.
+
+    The tokens from first to last, not included, are trained on; from and to are their bytes in the formatted text.
 
     Rows of a conversation go by turn (null first), then role and text; repeated rows
     all stay.  Null roles and texts are empty, and rows with a null conv_id form one
@@ -116,26 +139,32 @@ def format_chats(chats: DataFrame, tokenizer: str, conv_id: str = "conv_id", tur
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 made = [format_turns(list(zip(r, t, strict=True)), tokenizer) for r, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-                ends = np.cumsum([0, *(len(x["mask"]) for x in made)]).astype(np.int32)
-                flat = np.array([m for x in made for m in x["mask"]], np.int32).reshape(-1, 3)
-                loss = pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], names=["token", "from", "to"])
+                flat = np.concatenate([x["mask"] for x in made]) if made else np.zeros((0, 4), np.int32)
+                loss = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in range(4)], names=["first", "last", "from", "to"])
+                ids = pa.array(np.concatenate([x["input_ids"] for x in made]).astype(np.int32)) if made else pa.array([], pa.int32())
                 yield pa.record_batch(
-                    [part.column(0), pa.array([x["formatted"] for x in made], pa.string()), pa.array([x["input_ids"] for x in made], pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(ends), loss)],
+                    [
+                        part.column(0), pa.array([x["formatted"] for x in made], pa.string()), pa.ListArray.from_arrays(_ends(x["input_ids"] for x in made), ids),
+                        pa.ListArray.from_arrays(_ends(x["mask"] for x in made), loss),
+                    ],
                     names=["conv_id", "formatted", "input_ids", "loss"],
-                )
+                )
+
+    return whole.mapInArrow(build, f"conv_id {id_type}, formatted string, input_ids array<int>, loss array<struct<first:int,last:int,from:int,to:int>>")
+
 
-    return whole.mapInArrow(build, f"conv_id {id_type}, formatted string, input_ids array<int>, loss array<struct<token:int,from:int,to:int>>")
+def _ends(parts: Iterator[np.ndarray]) -> pa.Array:
+    return pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32))
 
 
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    for batch in batches:
+    for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
         rows = []
-        for conv, formatted, loss in zip(*batch.columns, strict=True):  # a conversation's mask at a time is made Python's
-            formatted, mask = formatted.as_py(), loss.values
+        for conv, formatted, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             turns = parse(formatted)
-            under = masked_text(formatted, list(zip(*(mask.field(k).to_pylist() for k in range(3)), strict=True)))
-            rows.append((conv.as_py(), len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(under), sha(under), len(formatted)))
+            under = masked_text(formatted, [tuple(x.values()) for x in loss])
+            rows.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(under), sha(under), len(formatted)))
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
