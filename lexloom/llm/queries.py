@@ -76,24 +76,31 @@ QUERIES = {
 
 
 def _license_sql() -> str:
-    """Each document's lines in canonical form, and the whole, joined to the digests of the known licences."""
+    """Each document's canonical words, and the stretches of whole lines that have a known licence's first words, number of words and digest."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({quoted(n)}, {quoted(licenses.digest(licenses.canonical(t)).hex())})" for n, t in licenses.KNOWN)
+    forms = {licenses.canonical(t): n for n, t in licenses.KNOWN}
+    known = ", ".join(f"({quoted(n)}, {quoted(licenses.digest(f).hex())}, {len(f.split())}, {quoted(' '.join(f.split()[:3]))})" for f, n in forms.items())
     spelled = ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in licenses.SPELLINGS.items())
     return rf"""
-        WITH known(license_id, digest) AS (VALUES {known}),
+        WITH known(license_id, digest, n, opening) AS (VALUES {known}),
         lines AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents
         ), forms AS (
-            SELECT doc_id, no, CASE WHEN regexp_matches(line, '(?i)^[^\pL\pN_]*(copyright\b|\(c\)|©|all rights reserved[^\pL\pN_]*$)') THEN '' ELSE
-                array_to_string(list_transform(list_filter(string_split(regexp_replace(lower(line), '[^\pL\pN]+', ' ', 'g'), ' '), lambda x: x <> ''),
-                    lambda x: coalesce(MAP {{{spelled}}}[x], x)), ' ') END AS form FROM lines
-        ), wholes AS (SELECT doc_id, string_agg(form, ' ' ORDER BY no) AS whole FROM forms WHERE form <> '' GROUP BY doc_id),
-        units AS (
-            SELECT doc_id, 'document' AS scope, NULL::INT AS line, sha256(whole) AS digest FROM wholes
-            UNION ALL SELECT doc_id, 'line', no::INT, sha256(form) FROM forms JOIN wholes USING (doc_id) WHERE form <> '' AND form <> whole
+            SELECT doc_id, no, string_split(array_to_string(list_transform(list_filter(string_split(regexp_replace(lower(line), '[^\pL\pN]+', ' ', 'g'), ' '), lambda x: x <> ''),
+                    lambda x: coalesce(MAP {{{spelled}}}[x], x)), ' '), ' ') AS ws FROM lines WHERE NOT regexp_matches(line, '(?i){licenses.STATEMENT}')
+        ), filled AS (SELECT * FROM forms WHERE ws <> ['']),
+        docs AS (SELECT doc_id, flatten(list(ws ORDER BY no)) AS w, flatten(list(list_transform(ws, lambda x: no) ORDER BY no)) AS ln FROM filled GROUP BY doc_id),
+        starts AS (SELECT doc_id, no, coalesce(sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM filled),
+        found AS (
+            SELECT doc_id, s, n, len(w) AS total, no AS line, ln[s + n] AS last_line, license_id, digest
+            FROM starts JOIN docs USING (doc_id) JOIN known ON array_to_string(w[s + 1 : s + 3], ' ') = opening
+            WHERE s + n <= len(w) AND (s + n = len(w) OR ln[s + n + 1] <> ln[s + n]) AND sha256(array_to_string(w[s + 1 : s + n], ' ')) = digest
+        )
+        SELECT doc_id, CASE WHEN n = total THEN 'document' WHEN line = last_line THEN 'line' ELSE 'passage' END AS scope,
+            CASE WHEN n < total THEN line END::INT AS line, CASE WHEN n < total THEN last_line END::INT AS last_line, license_id, digest
+        FROM found f WHERE NOT EXISTS (
+            SELECT 1 FROM found g WHERE g.doc_id = f.doc_id AND g.license_id = f.license_id AND g.n > f.n AND g.s <= f.s AND g.s + g.n >= f.s + f.n
         )
-        SELECT doc_id, scope, line, license_id, digest FROM units JOIN (SELECT DISTINCT license_id, digest FROM known) USING (digest)
     """
 
 
@@ -127,20 +134,18 @@ ORACLE_SQL = {
             FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents)
         ), filled AS (SELECT doc_id, no, t, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS pos FROM lines WHERE t <> ''),
         grams AS (
-            SELECT doc_id, pos, no, list_value(t, lead(t) OVER w, lead(t, 2) OVER w) AS g, lead(no) OVER w AS no1, lead(no, 2) OVER w AS no2, lead(t, 2) OVER w IS NOT NULL AS whole
-            FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
-        ), firsts AS (SELECT g, min({'d': doc_id, 'a': pos, 'n': no}) AS f FROM grams WHERE whole GROUP BY g),
-        later AS (
-            SELECT doc_id, pos, no, no1, no2, f, CASE WHEN doc_id = f.d THEN greatest(0, f.a + 3 - pos) ELSE 0 END AS skip
-            FROM grams JOIN firsts USING (g) WHERE whole AND (doc_id <> f.d OR pos <> f.a)
-        ), cut AS (
-            SELECT doc_id, pos + skip AS a, pos + 2 AS b, [no, no1, no2][skip + 1] AS first_line, no2 AS last_line, f.d AS from_doc_id, f.n + [no, no1, no2][skip + 1] - no AS from_line FROM later
-        ), marked AS (
-            SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM cut
-        ), runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM marked)
-        SELECT doc_id, min(first_line)::INT AS first_line, max(last_line)::INT AS last_line, (max(b) - min(a) + 1)::BIGINT AS n_lines,
-               min({'a': a, 'd': from_doc_id, 'l': from_line}).d AS from_doc_id, min({'a': a, 'd': from_doc_id, 'l': from_line}).l::INT AS from_line
-        FROM runs GROUP BY doc_id, run
+            SELECT doc_id, pos, [no, lead(no) OVER w, lead(no, 2) OVER w] AS nos, [t, lead(t) OVER w, lead(t, 2) OVER w] AS g, false AS alone
+            FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY pos) QUALIFY lead(t, 2) OVER w IS NOT NULL
+            UNION ALL SELECT doc_id, pos, [no], [t], true FROM filled WHERE len(string_split(t, ' ')) >= 8
+        ), firsts AS (SELECT g, min({'d': doc_id, 'p': pos, 'nos': nos}) AS f FROM grams GROUP BY g, alone),
+        covered AS (
+            SELECT doc_id, alone, pos AS a, f, unnest(nos) AS line, unnest(range(len(nos))) AS k FROM grams JOIN firsts USING (g) WHERE doc_id <> f.d OR pos <> f.p
+        ), gone AS (
+            SELECT doc_id, a + k AS pos, line, alone, a, f.d AS d, f.nos[k + 1] AS l, f.p + k AS p FROM covered WHERE doc_id <> f.d OR a + k >= f.p + len(f.nos)
+            QUALIFY row_number() OVER (PARTITION BY doc_id, a + k ORDER BY alone, a, f.d, f.nos[k + 1]) = 1
+        ), runs AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, d, p - pos ORDER BY pos) AS island FROM gone)
+        SELECT doc_id, min(line)::INT AS first_line, max(line)::INT AS last_line, count(*) AS n_lines, d AS from_doc_id, min(l)::INT AS from_line
+        FROM runs GROUP BY doc_id, d, p - pos, island
     """,
     "op9_licenses": _license_sql(),
     "op10_chat_format": r"""

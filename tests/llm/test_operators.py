@@ -2,6 +2,7 @@
 
 import itertools
 import pkgutil
+import re
 import zlib
 
 import numpy as np
@@ -187,6 +188,13 @@ def test_chat_round_trip(turns):
     assert chat.parse(made["formatted"]) == turns
     assert chat.masked_text(made["formatted"], made["mask"]) == "".join(t for r, t in turns if r == "assistant")
     assert made["formatted"].count(chat.START) == len(turns)
+    # The tokens under the mask are the masked bytes, and no other tokens lie there.
+    coding, data = chat._encoder(tokenizer_path(chat.TOKENIZER)).coding, made["formatted"].encode()
+    assert coding.decode_bytes(made["input_ids"].tolist()) == data and made["ends"].tolist()[-1:] == [len(data)][: len(turns)]
+    for first, last, a, b in made["mask"].tolist():
+        assert coding.decode_bytes(made["input_ids"][first:last].tolist()) == data[a:b]
+    texts = [t for r, t in turns if r == "assistant" and t]
+    assert [chat.unescape(data[a:b].decode()) for *_, a, b in made["mask"].tolist()] == texts
 
 
 # -------------------------------------------------------------- decontaminate
@@ -227,37 +235,71 @@ def test_containment(spark, rng, share):
 
 def test_repeated_runs(spark, rng):
     pool = [prose(rng, 3) for _ in range(12)]
-    texts = ["\n".join(rng.choice([*pool, ""]) for _ in range(rng.randrange(30))) for _ in range(40)] + ["x\n" * 9]
+    long = [prose(rng, 8) for _ in range(4)]
+    texts = ["\n".join(rng.choice([*pool, *long[: k % 5], ""]) for _ in range(rng.randrange(30))) for k in range(40)] + ["x\n" * 9]
+    whole = [prose(rng, 2) for _ in range(9)]
+    texts += ["\n".join(whole[a:b]) for a, b in ((0, 4), (3, 9), (0, 9))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    filled = [[(k, x) for k, x in enumerate(text.split("\n")) if x] for text in texts]
     seen, cut = {}, {}
-    for d, text in enumerate(texts):
-        lines = [(k, x) for k, x in enumerate(text.split("\n")) if x]
-        for at in range(len(lines) - 2):
-            gram = tuple(x for _, x in lines[at : at + 3])
-            if gram in seen:
-                of, first = seen[gram]
-                low = max(at, first + 3) if of == d else at
-                cut.setdefault(d, set()).update(k for k, _ in lines[low : at + 3])
-            else:
-                seen[gram] = (d, at)
+    for d, lines in enumerate(filled):
+        for at in range(len(lines)):
+            for n in (3, 1):
+                gram = tuple(x for _, x in lines[at : at + n])
+                if len(gram) < n or n == 1 and len(gram[0].split()) < 8:
+                    continue
+                if gram in seen:
+                    of, first = seen[gram]
+                    low = max(at, first + n) if of == d else at
+                    cut.setdefault(d, set()).update(k for k, _ in lines[low : at + n])
+                else:
+                    seen[gram] = (d, at)
     got = line_dedup.repeated_runs(spark, docs)
     found = {}
     for r in got.collect():
-        held = [k for k, x in enumerate(texts[r["doc_id"]].split("\n")) if x and r["first_line"] <= k <= r["last_line"]]
-        assert len(held) == r["n_lines"]
-        found.setdefault(r["doc_id"], set()).update(held)
+        held = [(k, x) for k, x in filled[r["doc_id"]] if r["first_line"] <= k <= r["last_line"]]
+        source = [(k, x) for k, x in filled[r["from_doc_id"]] if k >= r["from_line"]][: len(held)]
+        assert len(held) == r["n_lines"] and [x for _, x in held] == [x for _, x in source] and source[0][0] == r["from_line"]
+        assert (r["from_doc_id"], r["from_line"]) < (r["doc_id"], r["first_line"]) and not found.get(r["doc_id"], set()) & {k for k, _ in held}
+        found.setdefault(r["doc_id"], set()).update(k for k, _ in held)
     assert found == {d: x for d, x in cut.items() if x}
+    last = len(texts) - 1  # one source, then another; each run as long as it goes
+    runs = sorted(tuple(r) for r in got.where(f"doc_id = {last}").collect())
+    assert runs == [(last, 0, 3, 4, last - 2, 0), (last, 4, 8, 5, last - 1, 1)] or runs[0][3] == 4 and sum(r[3] for r in runs) == 9
     left = {r["doc_id"]: r["text"] for r in line_dedup.without_runs(docs, got).collect()}
     for d, text in enumerate(texts):
         assert [x for x in left[d].split("\n") if x] == [x for k, x in enumerate(text.split("\n")) if x and k not in cut.get(d, ())]
 
 
+def test_without_runs(spark):
+    rows = [(1, "a\nb\nc", 1), (1, "d\ne", 2), (2, None, 3), (None, "a\nb", 4), (3, "", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, first_line int").selectExpr("*", "'x' AS lines", "0 AS last_line")
+    runs = spark.createDataFrame([(1, 1, 1, 1, 0, 0), (1, 1, 2, 2, 0, 0), (2, 0, 0, 1, 0, 0)], "doc_id long, first_line int, last_line int, n_lines long, from_doc_id long, from_line int")
+    got = line_dedup.without_runs(docs, runs)
+    assert got.columns == docs.columns
+    assert sorted((r["first_line"], r["text"]) for r in got.collect()) == [(1, "a"), (2, "d"), (3, None), (4, "a\nb"), (5, "")]
+    assert line_dedup.without_runs(docs, runs.limit(0)).count() == 5 and line_dedup.without_runs(docs.limit(0), runs).collect() == []
+
+
 # ------------------------------------------------------------------- passages
 
 
 def test_tuned_bands():
     assert substring_dedup.tuned(0.8, 2, 0.99) == 5
     assert 1 - (1 - 0.8**2) ** 5 >= 0.99
+    # Small sets: every pair of different similar ones has enough bands on both sides.
+    assert substring_dedup.tuned_for(3) == 1 and substring_dedup.tuned_for(30) == 5
+    for n, m in itertools.product(range(1, 14), repeat=2):
+        for k in range(min(n, m) + 1):
+            if 0.8 <= (x := k / (n + m - k)) < 1:
+                assert 1 - (1 - x**2) ** min(substring_dedup.tuned_for(n), substring_dedup.tuned_for(m)) >= 0.99
+
+
+def test_numbers_of_shingles(rng):
+    texts = [prose(rng, n) for n in (7, 9, 30)] + ["a b c d " * 3, " ".join(["beat"] * 9)]
+    c = substring_dedup.cut(texts, reach=100)
+    got = substring_dedup._sizes(c, substring_dedup._shingles(c.hashes, substring_dedup.WIDTH))
+    assert c.size.tolist() == [7, 9, 30, 12, 9] and got.tolist() == [3, 5, 9, 9, 9]
 
 
 def sentences(rng, n, longest=25):
@@ -272,7 +314,7 @@ def sentences(rng, n, longest=25):
 
 def covered(text, rows):
     """Whether each word of a text lies in a row's span."""
-    low, high = substring_dedup.word_spans(text)
+    _, low, high = substring_dedup.word_spans(text)
     found = np.zeros(len(low), bool)
     for r in rows.itertuples():
         found |= (low >= r.start) & (high <= r.start + r.length)
@@ -281,7 +323,7 @@ def covered(text, rows):
 
 def repeats(texts, n):
     """Whether each window of so many words of each text stands in another text too."""
-    words = [substring_dedup._WORD.findall(t.lower()) for t in texts]
+    words = [re.findall(r"\w+", t.lower()) for t in texts]
     of = {}
     for k, w in enumerate(words):
         for j in range(len(w) - n + 1):
@@ -319,9 +361,9 @@ def test_every_passage_of_over_50_words_is_found(spark, rng, monkeypatch, block)
     assert (rows.words > 0).all() and (rows.groupby(["class_id"]).removed.apply(lambda x: (~x).sum()) <= 1).all()
     # What is removed stands elsewhere.
     left = {r["doc_id"]: r["text"] for r in substring_dedup.without_passages(table, got).collect()}
-    whole = " | ".join(" ".join(substring_dedup._WORD.findall(t.lower())) for t in left.values())
+    whole = " | ".join(" ".join(re.findall(r"\w+", t.lower())) for t in left.values())
     for p in passages:
-        middle = substring_dedup._WORD.findall(p.lower())[20:-20]
+        middle = re.findall(r"\w+", p.lower())[20:-20]
         assert " ".join(middle) in whole
     assert sum(map(len, left.values())) < sum(map(len, texts)) - 40 * 200
     assert all(left[k] == t for k, t in enumerate(texts) if k not in found)
@@ -388,21 +430,57 @@ def test_licenses(spark):
         2: "The licence:\nReleased under the MIT licence\nmore",
         3: mit + " And more.",
         4: "released under the mit license",
+        5: "Some words.\n" + mit.replace(". ", ".\n") + "\nMore words.",
+        6: "MIT License\n\n© 2020 Somebody\nAll rights reserved.\n" + mit,
+        7: "Some words. " + mit,
     }
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {(r["doc_id"], r["scope"], r["line"], r["license_id"]) for r in licenses.scan(spark, docs).collect()}
-    assert got == {(1, "document", None, "MIT"), (2, "line", 1, "MIT"), (4, "document", None, "MIT")}
+    got = {(r["doc_id"], r["scope"], r["line"], r["last_line"], r["license_id"]) for r in licenses.scan(spark, docs).collect()}
+    last = len(texts[5].split("\n")) - 2
+    assert got == {(1, "document", None, None, "MIT"), (2, "line", 1, 1, "MIT"), (4, "document", None, None, "MIT"), (5, "passage", 1, last, "MIT"), (6, "document", None, None, "MIT")}
     forms = [licenses.canonical(t) for _, t in licenses.KNOWN]
     assert len(set(forms)) == len(forms)
 
 
-@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0"])
+def test_clauses_are_no_copyright_lines():
+    assert licenses.canonical("(c) You must retain all notices") != licenses.canonical("(c) You may drop every notice")
+    assert licenses.canonical("copyright notice and this permission") == "copyright notice and this permission"
+    stated = ["Copyright (c) 2020, 2021 A B", "  * Copyright © The Authors", "(c) 1999 A. Corp.", "Copyright 2020 A", "Copyright [yyyy] [name]", "All rights reserved.", "© A B"]
+    assert all(licenses.canonical(x) == "" for x in stated)
+
+
+@pytest.mark.parametrize("inside", [False, True])
+def test_licenses_at_every_width(spark, inside):
+    import textwrap
+
+    names = {n: t for n, t in reversed(licenses.KNOWN[:10])}
+    texts, want = [], set()
+    for name, text in names.items():
+        for width in range(30, 121):
+            text_ = "\n".join(textwrap.fill(x, width, break_on_hyphens=False, break_long_words=False) for x in text.split("\n"))
+            want.add((len(texts), name))
+            texts.append(f"Copyright (c) 2001-2020 A B\n{prose_line(width)}\n{text_}\n\nmore" if inside else f"Copyright 2020 A B\n\n{text_}")
+    got = licenses.scan(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["license_id"]) for r in got if r["scope"] == ("passage" if inside else "document")} == want and len(got) == len(want)
+
+
+def prose_line(n):
+    return " ".join(["word"] * (n % 7 + 1))
+
+
+@pytest.mark.parametrize("name", licenses.WHOLE)
 def test_whole_licenses(spark, name):
+    import textwrap
+
     text = pkgutil.get_data("lexloom.llm", f"license_texts/{name}.txt").decode()
-    lines = [" ".join(x.split()) for x in text.split("\n\n")]
-    texts = {1: "Copyright 2020 Somebody\n\n" + text.replace("License ", "Licence "), 2: "\n".join(lines).upper(), 3: text.replace("warrant", "guarant"), 4: text + "\nAnd more."}
-    got = licenses.scan(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
-    assert {(r["doc_id"], r["license_id"]) for r in got.collect() if r["scope"] == "document"} == {(1, name), (2, name)}
+    lines = [" ".join(x.split()) for x in re.split(r"\n\s*\n", text)]
+    texts = {1: "Copyright 2020 Somebody\n\n" + text.replace("License ", "Licence "), 2: "\n".join(lines).upper(), 3: re.sub(r"(?i)\bany\b", "some", text), 4: "Before.\n" + text + "\nAnd more."}
+    for k, width in enumerate((50, 66, 100)):
+        texts[10 + k] = "Before.\n" + "\n\n".join(textwrap.fill(x, width, break_on_hyphens=False, break_long_words=False) for x in lines) + "\nAnd more."
+    got = licenses.scan(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["license_id"]) for r in got if r["scope"] == "document"} >= {(1, name), (2, name)}
+    assert {(r["doc_id"], r["license_id"]) for r in got if r["scope"] == "passage"} >= {(k, name) for k in (4, 10, 11, 12)}
+    assert {r["license_id"] for r in got} == {name} and 3 not in {r["doc_id"] for r in got}
 
 
 # -------------------------------------------------------------------- quality
