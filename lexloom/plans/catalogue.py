@@ -16,6 +16,7 @@ from lexloom.functions import columns as C
 from lexloom.operators import lines as L
 from lexloom.operators import patch as P
 from lexloom.operators import relate as R
+from lexloom.plans import forms, readings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -877,3 +878,96 @@ def law_round_trip(spark, sf_dir):
     docs = Tables(spark, sf_dir).documents
     bases = _jobs(docs).select(F.col("job").cast("long").alias("doc_id"), F.replace("base", F.lit("(Dokumentgesetz – DokG)"), F.lit("(DokG)")).alias("base"))
     return bases.select("doc_id", again("base").alias("written"))
+
+
+# ------------------------------------------------------------ forms, held against what is written down
+
+_LETTERS = "npqrsab"
+
+
+def _values(table: list[tuple]) -> str:
+    """SQL for rows of text, numbers and nulls."""
+    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, bool)) else "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(cell, row)) + ")" for row in table)
+
+
+def _filled_sql(column: str) -> str:
+    """SQL for a form's column with its placeholders filled from a part."""
+    label = "(p_partkey % 5 + {})::VARCHAR"
+    for letter, value in zip(_LETTERS, ["p_size::VARCHAR", *(label.format(k) for k in range(1, 5)), "p_brand", "p_type"], strict=True):
+        column = f"replace({column}, '{{{letter}}}', {value})"
+    return column
+
+
+def _filled(column: str):
+    label = lambda k: (F.col("p_partkey") % 5 + k).cast("string")
+    out = F.col(column)
+    for letter, value in zip(_LETTERS, [F.col("p_size").cast("string"), *(label(k) for k in range(1, 5)), F.col("p_brand"), F.col("p_type")], strict=True):
+        out = F.replace(out, F.lit(f"{{{letter}}}"), value)
+    return out
+
+
+def _with_forms(spark: SparkSession, sf_dir: str, forms: list[tuple], schema: str) -> DataFrame:
+    """Each part with one of the forms, in turn; the forms are a list of this package's code."""
+    table = spark.createDataFrame([(k, *x) for k, x in enumerate(forms)], f"form int, {schema}")
+    return Tables(spark, sf_dir).part.withColumn("form", (F.col("p_partkey") % len(forms)).cast("int")).join(F.broadcast(table), "form")
+
+
+def _recognised_sql() -> str:
+    columns = [*forms.FIELDS, *forms.FLAGS]
+    rows = [(k, j, *(c.get(x) for x in forms.FIELDS), *(c.get(x, False) for x in forms.FLAGS)) for k, (*_, commands) in enumerate(forms.RECOGNISED) for j, c in enumerate(commands)]
+    quoted = lambda x: f'"{x}"'
+    filled = ", ".join(f"{_filled_sql(quoted(x))} AS {quoted(x)}" for x in forms.FIELDS)
+    flags = ", ".join(map(quoted, forms.FLAGS))
+    return f"WITH f(form, part, {', '.join(map(quoted, columns))}) AS (VALUES {_values(rows)}) SELECT p_partkey, part, {filled}, {flags} FROM part JOIN f ON form = p_partkey % {len(forms.RECOGNISED)}"
+
+
+@query(_recognised_sql())
+def recognise_forms(spark, sf_dir):
+    """Every rule of the recogniser, with all fields of its commands."""
+    from lexloom.plans.commands import commands
+
+    texts = _with_forms(spark, sf_dir, [(prose, context) for _, context, prose, _ in forms.RECOGNISED], "prose string, context string")
+    found = commands(texts.select("p_partkey", _filled("prose").alias("text"), _filled("context").alias("context")), context="context")
+    return found.select(
+        "p_partkey", "part", "kind", F.coalesce("at", F.lit("")).alias("at"), F.col("to").alias("target"), "old", "new", "text", "label", "level",
+        F.col("anchor.kind").alias("anchor"), F.col("anchor.words").alias("words"), *forms.FLAGS,
+    )
+
+
+def _applied_sql() -> str:
+    rows = [(k, forms.amended(law, changes, statuses), ", ".join(statuses)) for k, (_, law, _, changes, statuses) in enumerate(forms.APPLIED)]
+    return f"WITH f(form, law, statuses) AS (VALUES {_values(rows)}) SELECT p_partkey, {_filled_sql('law')} AS law, statuses FROM part JOIN f ON form = p_partkey % {len(forms.APPLIED)}"
+
+
+@query(_applied_sql())
+def apply_forms(spark, sf_dir):
+    """Every patch operator, from prose to the amended law and the protocol."""
+    from lexloom.plans import engine
+
+    jobs = _with_forms(spark, sf_dir, [(forms.LAWS[law], forms.act(points)) for _, law, points, _, _ in forms.APPLIED], "base string, act string")
+    null = F.lit(None).cast("string")
+    jobs = jobs.select(F.col("p_partkey").cast("string").alias("job"), _filled("base").alias("base"), F.array(_filled("act")).alias("docs"), null.alias("article"), null.cast("date").alias("as_of"), null.alias("official"))
+    # One pass: reading the results twice would run every job twice.
+    status = F.when(F.col("part") == "protocol", F.struct("ord", F.concat("status", F.coalesce(F.concat(F.lit(":"), "reason"), F.lit(""))).alias("s")))
+    found = engine.amend(jobs).groupBy("job").agg(F.max(F.when(F.col("part") == "law", F.col("new_text"))).alias("law"), F.array_sort(F.collect_list(status)).alias("s"))
+    return found.select(F.col("job").cast("long").alias("p_partkey"), "law", F.array_join("s.s", ", ").alias("statuses"))
+
+
+def _reading(name: str) -> None:
+    """Registers a reader of texts as a query."""
+    items = readings.READINGS[name]
+
+    def run(spark, sf_dir):
+        @F.pandas_udf("string")
+        def read(texts: pd.Series) -> pd.Series:
+            return texts.map(readings.READERS[name])
+
+        return _with_forms(spark, sf_dir, [(text,) for text, _ in items], "text string").select("p_partkey", read(_filled("text")).alias("read"))
+
+    run.__name__ = name
+    query(f"WITH f(form, wanted) AS (VALUES {_values([(k, wanted) for k, (_, wanted) in enumerate(items)])}) SELECT p_partkey, {_filled_sql('wanted')} AS read FROM part JOIN f ON form = p_partkey % {len(items)}")(run)
+
+
+for _name in readings.READINGS:
+    _reading(_name)

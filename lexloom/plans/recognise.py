@@ -234,6 +234,15 @@ def _mark_replaced(c, m):
     return _each(c, m[1] or m[4], lambda x: Command("replace", x, MARKS[m[2]], new, at_end=at_end) if x else None) if c.at(m[1] or m[4])[:1] not in ([], [()]) else None
 
 
+@rule("named mark repealed, wording appended", rf"^(?:In |Im )?(.+?) {_BE}(?: am (?:Text|Satz)?[Ee]nde)?(?: nach (?:{_WORD} )?{_Q})? das Satzzeichen «(\d+)» aufgehoben und folgende[nrs]? (?:Wortlaut |Wörter )?angefügt: «(\d+)»$")
+def _named_mark(c, m):
+    named = c.words(m[m.lastindex - 1])
+    mark = MARKS.get(named, named if named in MARKS.values() else None)
+    if mark is None:
+        return None
+    return _each(c, m[1], lambda x: Command("replace", x, old=mark, new=c.words(m[m.lastindex]), at_end=True))
+
+
 @rule("words replaced", rf"^(?:In|Im|An|Am Ende)(?: (?:der|dem|den))? ?(.*?) {_BE} (jeweils )?(?:am Ende )?(?:nach (?:{_WORD} )?{_Q} )?(?:{_WORD} )?{_Q} (am Ende )?(jeweils )?durch (.+?) (?:jeweils )?ersetzt$")
 def _replaced(c, m):
     new = _new_of(c, m[7])
@@ -556,7 +565,7 @@ def _right(c: Clause, first: Command, left: str) -> Command | None:
     place = re.match(rf"((?:In|Im) .+? {_BE}) ", left)
     if place and re.match(r"(?:[Ff]olgende|[Dd]ie folgenden)", text):
         candidates.insert(0, (f"{place[1]} {c.text}", c.context))
-    if renumbered and subject[-1].kind in (L.PARA, L.NORM) and (m := re.match(rf"(?:In|Im) (.+?) {_BE} ", text)):
+    if renumbered and subject[-1].kind in (L.PARA, L.NORM) and (m := re.match(rf"(?:In|Im|Nach|Vor) (?:der |dem |den )?(.+?) {_BE} ", text)):
         own = L.parse_many(m[1])
         if own and L.RANK[own[0][0].kind] > L.RANK[subject[-1].kind]:
             candidates.insert(0, (text, subject))  # a finer place lies in the unit just renumbered

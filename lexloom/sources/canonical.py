@@ -103,7 +103,7 @@ def read_law(text: str, short: str | None = None) -> Law:
     lines = [x.rstrip() for x in re.split(r"\r\n|\r|\n", unicodedata.normalize("NFC", text).lstrip("﻿"))]
     at = 0
     head: list[str] = []
-    while at < len(lines) and not divisions_heading(lines[at]) and not _bare_heading(lines, at) and not ((m := _NORM.match(lines[at])) and _is_head(m, None)) and not _ANNEX.match(lines[at]) and lines[at].strip() != TOC_LABEL:
+    while at < len(lines) and not divisions_heading(lines[at]) and not _bare_heading(lines, at) and not ((m := _NORM.match(lines[at])) and _is_head(m, None)) and not _ANNEX.match(lines[at]) and not _GONE.match(lines[at]) and lines[at].strip() != TOC_LABEL:
         if lines[at].strip():
             head.append(lines[at].strip())
         at += 1

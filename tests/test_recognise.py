@@ -51,7 +51,7 @@ COMPOUNDS = [
     ("In § 3 Absatz 1 Satz 2 und Absatz 4 wird jeweils die Angabe „x“ gestrichen.", "", [("strike", "§ 3 Absatz 1 Satz 2"), ("strike", "§ 3 Absatz 4")]),
     ("Die bisherigen Absätze 2 bis 4 werden die Absätze 3 bis 5.", "§ 5", [("renumber", "§ 5 Absatz 4"), ("renumber", "§ 5 Absatz 3"), ("renumber", "§ 5 Absatz 2")]),
     ("Die bisherige Nr. 7 wird Nr. 5 und das Komma wird durch das Wort „und“ ersetzt.", "§ 14", [("renumber", "§ 14 Nummer 7"), ("replace", "§ 14 Nummer 5")]),
-    ("Der bisherige Absatz 1 wird Absatz 2 und nach Satz 2 wird folgender Satz eingefügt: „Neu.“", "§ 1", [("renumber", "§ 1 Absatz 1"), ("insert_unit", "§ 1 Satz 2")]),
+    ("Der bisherige Absatz 1 wird Absatz 2 und nach Satz 2 wird folgender Satz eingefügt: „Neu.“", "§ 1", [("renumber", "§ 1 Absatz 1"), ("insert_unit", "§ 1 Absatz 2 Satz 2")]),
     ("In Absatz 1 werden die Wörter „a“ durch die Wörter „b“ und die Wörter „c“ durch die Wörter „d“ ersetzt.", "§ 5", [("replace", "§ 5 Absatz 1")] * 2),
     ("In § 1 wird nach dem Wort „x“ das Wort „y“ eingefügt und das Wort „z“ gestrichen.", "", [("insert_words", "§ 1"), ("strike", "§ 1")]),
     ("§ 3 Absatz 2 und 3 wird aufgehoben.", "", [("repeal", "§ 3 Absatz 3"), ("repeal", "§ 3 Absatz 2")]),
