@@ -65,25 +65,21 @@ def polynomial(data: bytes, prime: int, base: int) -> int:
     return value
 
 
-def _whole(huge: int):
-    """Rows (doc_id, bytes) to the digest, the length and, unless the text is huge, the fingerprint."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.lower() for x in batch.column(1).to_pylist()]  # of bytes: A-Z only
-            columns = [pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(map(len, texts), pa.int64())]
-            columns += [pa.array([polynomial(t, *field) if len(t) < huge else None for t in texts], pa.int64()) for field in FIELDS]
-            yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "text_key", "n_bytes", "f0", "f1"])
-
-    return run
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, bytes) to the digest, the length and the fingerprint."""
+    for batch in batches:
+        texts = [x.lower() for x in batch.column(1).to_pylist()]  # of bytes: A-Z only
+        columns = [pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(map(len, texts), pa.int64())]
+        columns += [pa.array([polynomial(t, *field) for t in texts], pa.int64()) for field in FIELDS]
+        yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "text_key", "n_bytes", "f0", "f1"])
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each chunk's hash, shifted by the bytes that follow it."""
     for batch in batches:
-        rest, parts = batch.column(1).to_pylist(), [np.frombuffer(x.lower(), np.uint8) for x in batch.column(2).to_pylist()]
+        rest, parts = batch.column(2).to_pylist(), [np.frombuffer(x.lower(), np.uint8) for x in batch.column(3).to_pylist()]
         sums = [pa.array([chunk_hash(x, p, b) * pow(b, n, p) % p for x, n in zip(parts, rest, strict=True)], pa.int64()) for p, b in FIELDS]
-        yield pa.record_batch([batch.column(0), *sums], names=["row", "f0", "f1"])
+        yield pa.record_batch([batch.column(0), batch.column(1), *sums], names=["text_key", "part", "f0", "f1"])
 
 
 def _chunks(size: int) -> Column:
@@ -103,16 +99,14 @@ def _chunks(size: int) -> Column:
 def fingerprints(rows: DataFrame, huge: int = HUGE) -> DataFrame:
     """(doc_id, text_key, n_bytes, f0, f1) of rows (doc_id, bytes); text_key is the SHA-256 of the lower-cased text."""
     spark, id_type = rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
-    whole = rows.mapInArrow(_whole(huge), f"doc_id {id_type}, text_key string, n_bytes long, f0 long, f1 long")
-    # Chunks of huge documents go to all executors; each row has a number, since ids may repeat.
-    large = rows.where(F.octet_length("bytes") >= huge).select(F.struct(F.col("doc_id"), F.octet_length("bytes").alias("n"), F.sha2(_lower("bytes"), 256).alias("text_key")).alias("row"), "bytes")
-    large = large.dropDuplicates(["row"]).select("row", F.explode(_chunks(CHUNK)).alias("c"))
-    dealt = large.select("row", "c.rest", "c.piece").repartition(partitions(spark))
-    part = dealt.mapInArrow(_parts, f"row {large.schema['row'].dataType.simpleString()}, f0 long, f1 long")
-    sums = part.groupBy("row").agg(*[F.pmod(F.sum(f"f{k}"), F.lit(p).cast("long")).alias(f"g{k}") for k, (p, _) in enumerate(FIELDS)])
-    sums = sums.select(F.col("row.text_key").alias("of"), "g0", "g1").distinct()
-    filled = whole.join(sums, whole.text_key == sums.of, "left")
-    return filled.select("doc_id", "text_key", "n_bytes", F.coalesce("f0", "g0").alias("f0"), F.coalesce("f1", "g1").alias("f1"))
+    size = F.octet_length("bytes")
+    whole = rows.where(size < huge).mapInArrow(_whole, f"doc_id {id_type}, text_key string, n_bytes long, f0 long, f1 long")
+    # A huge text never goes to Python whole: its chunks are hashed on all executors, and their shifted hashes are summed.
+    large = rows.where(size >= huge).select("doc_id", F.sha2(_lower("bytes"), 256).alias("text_key"), size.cast("long").alias("n_bytes"), "bytes")
+    chunks = large.select("text_key", F.explode(_chunks(CHUNK)).alias("c")).select("text_key", "c.part", "c.rest", "c.piece").repartition(partitions(spark))
+    hashed = chunks.mapInArrow(_parts, "text_key string, part int, f0 long, f1 long").dropDuplicates(["text_key", "part"])  # copies give equal parts
+    sums = hashed.groupBy("text_key").agg(*[F.pmod(F.sum(f"f{k}"), F.lit(p).cast("long")).alias(f"f{k}") for k, (p, _) in enumerate(FIELDS)])
+    return whole.unionByName(large.drop("bytes").join(sums, "text_key").select("doc_id", "text_key", "n_bytes", "f0", "f1"))
 
 
 def _lower(column: str) -> Column:
@@ -167,16 +161,14 @@ def exact_groups(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", t
         members = prints.join(groups.where("group_size > 1").select(*key, "rep"), key)
         members = work.table(members.select("doc_id", "text_key", "rep").distinct(), f"members-{turn}")
         ids = work.table(members.where("doc_id is not null").select("doc_id").distinct(), f"ids-{turn}")
-        # The texts to compare are fetched by id, then told apart by digest where an id has several.
-        fetched = rows.join(ids, "doc_id", "left_semi").withColumn("bytes", _lower("bytes").cast("binary"))
-        fetched = fetched.withColumn("text_key", F.sha2("bytes", 256)).join(members, ["doc_id", "text_key"])
-        # A row without an id cannot be fetched; its digest tells whether its text is another.
-        nameless = members.where("doc_id is null and text_key != rep").select("rep", F.col("text_key").alias("other"))
-        unequal = work.table(_unequal(fetched).withColumn("other", F.lit(None).cast("string")).unionByName(nameless), f"unequal-{turn}")
+        # The texts to compare are fetched by id, then told apart by digest where an id has several; those without an id by digest alone.
+        named = rows.where("doc_id is not null").join(ids, "doc_id", "left_semi").unionByName(rows.where("doc_id is null"))
+        named = named.withColumn("bytes", _lower("bytes").cast("binary")).withColumn("text_key", F.sha2("bytes", 256)).withColumnRenamed("doc_id", "id")
+        fetched = named.join(members, named.id.eqNullSafe(members.doc_id) & (named.text_key == members.text_key)).select(members.doc_id, members.text_key, "rep", "bytes")
+        unequal = work.table(_unequal(fetched), f"unequal-{turn}")
         if unequal.isEmpty():
             break
-        named = _differing(fetched.join(unequal.where("other is null"), "rep", "left_semi"))
-        unlike = work.table(named.unionByName(unequal.where("other is not null").select(F.col("other").alias("text_key"))).distinct(), f"unlike-{turn}")
+        unlike = work.table(_differing(fetched.join(unequal, "rep", "left_semi")), f"unlike-{turn}")
         turn += 1
         later = F.when(F.col("text_key") == F.col("odd"), F.lit(turn)).otherwise(F.col("round"))
         prints = prints.join(unlike.select(F.col("text_key").alias("odd")), F.col("text_key") == F.col("odd"), "left").withColumn("round", later).drop("odd")
