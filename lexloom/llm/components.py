@@ -3,8 +3,8 @@
 Each round is a few shuffles over the remaining edges; the edges of a round are
 written to the shared folder, so lineage stays one round deep.  A node's
 neighbours are never gathered in one row: a round only needs their minimum,
-which is aggregated before the shuffle, and a join back to the edges, whose hot
-nodes adaptive execution splits.
+which is aggregated before the shuffle and written.  The join back to the edges then has plain
+shuffles on both sides, so that adaptive execution can split a hub's edges.
 """
 
 from __future__ import annotations
@@ -20,15 +20,15 @@ def _digest(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = work.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """edges run from the larger node u to the smaller v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = work.table(edges.groupBy("u").agg(F.min("v").alias("m")), name)
     moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -44,10 +44,10 @@ def connected_components(work: Workspace, edges: DataFrame, name: str = "cc") ->
     now, turn = work.table(edges, f"{name}-0"), 0
     seen = _digest(now)
     while seen[0]:
-        large = work.table(_large_star(now), f"{name}-{turn}-large")
-        after = work.table(_small_star(large), f"{name}-{turn + 1}")
-        work.drop(f"{name}-{turn}")
-        work.drop(f"{name}-{turn}-large")
+        large = work.table(_large_star(work, now, f"{name}-{turn}-least"), f"{name}-{turn}-large")
+        after = work.table(_small_star(work, large, f"{name}-{turn}-lower"), f"{name}-{turn + 1}")
+        for done in ("", "-least", "-large", "-lower"):
+            work.drop(f"{name}-{turn}{done}")
         now, turn, before = after, turn + 1, seen
         seen = _digest(now)
         if seen == before:

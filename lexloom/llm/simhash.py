@@ -224,6 +224,7 @@ def simhash_groups(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id",
     roots = connected_components(work, links(each.select("fp"), chain))
     roots = each.join(roots, each.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = work.table(roots, "roots")
-    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = roots.join(named, "root").select("fp", "component_id")
+    # Written, like the rows it is joined to, so that a large component's join can be split.
+    named = work.table(roots.groupBy("root").agg(F.min("least").alias("component_id")), "named")
+    member = work.table(roots.join(named, "root").select("fp", "component_id"), "member")
     return prints.join(member, "fp").select("doc_id", "fp", "component_id")
