@@ -67,6 +67,8 @@ def _many(a: argparse.Namespace) -> int:
     report = engine.report(results)
     if a.report:
         inputs.write_report(report, a.report)
+    if a.report_page:
+        Path(a.report_page).write_text(engine.report_page(report), encoding="utf-8")
     if a.synopses:
         engine.pages(results).write.partitionBy("job").text(a.synopses)
     engine.totals(report).show(truncate=False)
@@ -83,7 +85,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("files", nargs="*", help="the base law, then amendment documents: paths, addresses, or gii:abbreviation")
     for name, text in (
         ("article", "only this article"), ("as-of", "apply what is in force on this date"), ("official", "official version to compare with"), ("synopsis", "file for the synopsis page"),
-        ("law", "file for the amended law"), ("jobs", "list of jobs"), ("root", "folder of the jobs' files"), ("report", "folder for the report"), ("synopses", "folder for the synopses"), ("baseline", "earlier report"),
+        ("law", "file for the amended law"), ("jobs", "list of jobs"), ("root", "folder of the jobs' files"), ("report", "folder for the report"), ("report-page", "file for the report as a page"), ("synopses", "folder for the synopses"), ("baseline", "earlier report"),
     ):
         p.add_argument(f"--{name}", help=text)
     for name in ("full", "extract-only", "raw", "dump-law", "dump-documents", "dump-commands"):

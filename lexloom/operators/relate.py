@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 def most_specific(rows: DataFrame, path: str, key: list[str], rules: DataFrame, prefix: str = "prefix") -> DataFrame:
     """rows with the rule whose prefix of the path is longest; the rule with an empty prefix is the general one.
 
-    rules are those of one document: few, and held by every task.
+    A path is joined by its beginnings, of the lengths that rules have: there are no more than a path is long.
     """
-    hits = rows.join(rules, F.col(path).startswith(F.col(prefix)), "left")
+    lengths = sorted(r[0] for r in rules.select(F.length(prefix)).distinct().collect() if r[0] is not None)
+    begins = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(F.col(path), 1, n)) for n in lengths])) if lengths else F.array().cast("array<string>")
+    hits = rows.withColumn("__begin", F.explode_outer(begins)).join(rules, F.col("__begin") == F.col(prefix), "left").drop("__begin")
     by = Window.partitionBy(*key).orderBy(F.length(prefix).desc_nulls_last())
     return hits.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
 

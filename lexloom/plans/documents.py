@@ -107,6 +107,17 @@ def official_columns(lines: list[tuple[str, str]]) -> list[str]:
     return out
 
 
+def committee_text(lines: list[tuple[str, str]]) -> tuple[list[str] | None, list[str]]:
+    """The resolved text of a recommendation's comparison, which begins under its heading and ends where the report begins; and warnings."""
+    opens = [k for k, pair in enumerate(lines) if any(re.match(r"\s*Zusammenstellung\b", x) for x in pair)]
+    if not opens:
+        return None, ["Die Beschlussempfehlung enthält keine Zusammenstellung."]
+    first = opens[0] + 1
+    last = next((k for k in range(first, len(lines)) if any(re.match(r"\s*Bericht (?:der|des)\b|\s*Bericht\s*$", x) for x in lines[k])), len(lines))
+    heads = re.compile(r"\s*(?:Entwurf|Beschlüsse des \d+\. Ausschusses)\s*")
+    return official_columns([(a, b) for a, b in lines[first:last] if not all(heads.fullmatch(x) or not x.strip() for x in (a, b)) or not (a + b).strip()]), []
+
+
 class Concordance:
     """Finds the page on which a wording stands, by its letters and digits alone, forward from the last find."""
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterator
+from html import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -135,6 +136,18 @@ def report(results: DataFrame) -> DataFrame:
     return counts.withColumn("reasons", F.when(F.size(listed) > 0, F.array_join(listed, "; "))).drop(*[f"n_{k}" for k in REASONS])
 
 
+def report_page(reports: DataFrame) -> str:
+    """A report as a page: a row for each job, and the sums.  It is as long as the list of jobs, which a reader is to look through."""
+    columns = ["job", "commands", "applied", "manual", "deferred", "equal", "checked", "missing", "extra", "deviating", "reasons", "error"]
+    shown = lambda x: "–" if x is None else escape(str(x))
+    row = lambda cells, tag="td": "<tr>" + "".join(f"<{tag}>{c}</{tag}>" for c in cells) + "</tr>"
+    rows = [row([shown(r[c]) for c in columns]) for r in reports.orderBy("job").toLocalIterator()]
+    t = totals(reports).first().asDict()
+    foot = row([f"{t['jobs']} Aufträge", *(shown(t.get(c)) for c in columns[1:-2]), "", f"{t['failed']} gescheitert"], "th")
+    head = row(["Auftrag", "Befehle", "angewandt", "von Hand", "noch nicht in Kraft", "gleich", "verglichen", "fehlend", "zusätzlich", "abweichend", "Gründe", "Fehler"], "th")
+    return f"<!DOCTYPE html>\n<html lang=\"de\"><head><meta charset=\"utf-8\"><title>Bericht</title></head><body><table>\n{head}\n" + "\n".join(rows) + f"\n{foot}\n</table></body></html>\n"
+
+
 def totals(reports: DataFrame) -> DataFrame:
     """Sums over the jobs; equal and checked pass over jobs without an official version."""
     sums = [F.sum(c).alias(c) for c in ("commands", "applied", "manual", "deferred", "equal", "checked", "missing", "extra", "deviating")]

@@ -8,6 +8,7 @@ last one of its level; that keeps dates and quantities from becoming points.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from lexloom.functions.labels import is_successor
@@ -74,6 +75,10 @@ def extract_quotes(text: str) -> Quoted:
     quoted = Quoted("")
     depth, start, at, k = 0, 0, 0, 0
     opened_level = 1
+    # Where marks, lines and articles stand, so that no line of a long quote looks through what follows it.
+    opening, closing = ([m.start() for m in re.finditer(x, text)] for x in "„“")
+    ends = [*(m.start() for m in re.finditer("\n", text)), len(text)]
+    articles = [m.start() for m in re.finditer(r"^[^\S\n]*(?:Artikel|Art\.) \d+", text, re.M)]
 
     def close(end: int, resume: int) -> None:
         nonlocal at, depth
@@ -99,17 +104,17 @@ def extract_quotes(text: str) -> Quoted:
             else:
                 quoted.warnings.append("Ein schließendes Anführungszeichen hat kein öffnendes.")
         elif ch == "\n" and depth:
-            rest = text[k + 1 :]
-            line = rest.split("\n", 1)[0]
-            if _ARTICLE.match(line) and rest.count("“") <= rest.count("„"):
+            line = text[k + 1 : ends[bisect_left(ends, k + 1)]]
+            left = lambda marks, low, high=len(text): bisect_left(marks, high) - bisect_left(marks, low)
+            if _ARTICLE.match(line) and left(closing, k + 1) <= left(opening, k + 1):
                 quoted.warnings.append("Ein Zitat ist nicht geschlossen; es endet vor dem nächsten Artikel.")
                 close(k, k)
             else:
-                end = re.search(r"^\s*(?:Artikel|Art\.) \d+", rest, re.M)
-                section = text[start - 1 : k + 1 + (end.start() if end else len(rest))]
+                at_article = bisect_left(articles, k + 1)
+                stop = articles[at_article] if at_article < len(articles) else len(text)
                 found = mark_of(line)
                 if (
-                    section.count("„") > section.count("“")
+                    left(opening, start - 1, stop) > left(closing, start - 1, stop)
                     and found
                     and found[0] <= opened_level
                     and re.search(r"(?:geändert|aufgehoben|ersetzt|eingefügt|angefügt|gefasst|gestrichen)[:.]?|(?:wird|werden)\b", line)

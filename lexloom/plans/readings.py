@@ -13,7 +13,7 @@ from lexloom.functions.sentences import half_sentence_span, numbered, sentence_s
 from lexloom.operators.clean import clean_text
 from lexloom.plans import commencement, synopsis
 from lexloom.plans.compile import concerns, split_articles
-from lexloom.plans.documents import Concordance, official_columns, recognise_document
+from lexloom.plans.documents import Concordance, committee_text, official_columns, recognise_document
 from lexloom.plans.job import run_job
 from lexloom.plans.motions import apply_motion
 from lexloom.plans.outline import Point, extract_quotes, normal_quotes, restore_quotes, scan_outline
@@ -115,6 +115,11 @@ def _committee(text: str) -> str:
     return "|".join(official_columns([tuple(x.split(" @ ")) if " @ " in x else (x.rstrip(" @"), "") for x in text.split("\n")]))
 
 
+def _comparison(text: str) -> str:
+    found, warnings = committee_text([tuple(x.split(" @ ")) if " @ " in x else (x, "") for x in text.split("\n")])
+    return "|".join([*(found or ["-"]), *warnings])
+
+
 def _page(text: str) -> str:
     pages, *wordings = _parts(text)
     found = Concordance(list(enumerate(pages.split("\f"), 1)))
@@ -133,7 +138,7 @@ def _articles(text: str) -> str:
 READERS: dict[str, Callable[[str], str]] = {
     "cleaned_texts": _cleaned, "sentences_of_texts": _sentences, "sentence_places": _span, "numbered_sentences": numbered, "heads_of_documents": _document, "commencements": _in_force,
     "outlines": _outline, "quotes_of_texts": _quotes, "locator_phrases": _locators, "labels_of_units": _labels, "motions_on_drafts": _motion, "laws_as_text": _law,
-    "federal_xml": _xml, "jobs_and_their_results": _job, "word_diffs": _diff, "committee_columns": _committee, "pages_of_wordings": _page, "preambles": _concerns, "articles_of_acts": _articles,
+    "federal_xml": _xml, "jobs_and_their_results": _job, "word_diffs": _diff, "committee_columns": _committee, "committee_comparisons": _comparison, "pages_of_wordings": _page, "preambles": _concerns, "articles_of_acts": _articles,
 }
 
 _PROBE = "Gesetz über die Probe\n(Probegesetz – ProbG)\n"
@@ -281,6 +286,10 @@ READINGS: dict[str, list[tuple[str, str]]] = {
         ("1. {a} links @ entfällt\n2. mehr links @ 1. unverändert", "1. mehr links"),
         ("1. {a} links @ unverändert\n{b} weiter @", "1. {a} links|{b} weiter"),
     ],
+    "committee_comparisons": [
+        ("Beschlussempfehlung\n{b} vorher\nZusammenstellung\nEntwurf @ Beschlüsse des {p}. Ausschusses\n1. {a} links @ unverändert\n2. {b} links @ 2. {a} rechts\nBericht der Abgeordneten\n{b} nachher", "1. {a} links|2. {a} rechts"),
+        ("Beschlussempfehlung\n{a} links @ unverändert", "-|Die Beschlussempfehlung enthält keine Zusammenstellung."),
+    ],
     "pages_of_wordings": [
         ("Erste Seite mit {a} und Text\fZweite Seite mit {b} und Rest\fDritte ganz andere Seite\n@\nZweite Seite mit {b}\n@\nDritte ganz andere\n@\nkommt nirgends vor\n@\nkurz", "2|3|-|-"),
     ],

@@ -72,6 +72,8 @@ def test_jobs_run_in_parallel_and_a_failing_one_is_a_row(spark, tmp_path):
     assert set(report) == {"eins", "zwei", "drei", "vier"} and engine.totals(engine.report(results)).first()["jobs"] == 4
     assert {(r["job"], r["label"], r["kind"]) for r in engine.synopsis(results).where("job = 'eins'").collect()} == {("eins", "§ 1", "CHANGED"), ("eins", "§ 3", "NEW")}
     assert engine.laws(results).count() >= 2 and "<html" in engine.pages(results).first()["html"]
+    page = engine.report_page(engine.report(results))
+    assert page.count("<tr>") == 6 and "Befehl nicht erkannt:1" in page and "kaputt" in page and "4 Aufträge" in page
     inputs.write_report(engine.report(results), str(tmp_path / "report"))
     base = inputs.read_baseline(spark, str(tmp_path / "report"))
     assert {r["job"] for r in base.collect()} == set(report)
