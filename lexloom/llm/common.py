@@ -17,6 +17,9 @@ _OWN: dict[str, str] = {}
 #: Folders of this process's operator calls, for release().
 _ROOTS: list[str] = []
 
+#: Whether a finished query's shuffle files are deleted at once.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: ASCII letters only, as the contracts ask; other letters keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,9 +51,17 @@ class Workspace:
         _ROOTS.append(self.root)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df as Parquet and reads it back, so that nothing upstream runs twice."""
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        """Writes df as Parquet and reads it back, so that nothing upstream runs twice.
+
+        Its shuffles are done with once it is written; Spark is told to delete their files then, and not at some later collection.
+        """
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -38,9 +38,12 @@ REACH, MOST = 6, 64
 RUN, GAP, CONTEXT = 50, 5, 32
 #: Recall at the threshold that bands are tuned for, and hashes in a band.
 RECALL, ROWS = 0.99, 2
+#: Shingles of a paragraph up to which its bands are tuned by their number.
+SMALL = 8
 #: Paragraphs of a band that are compared together.
 BLOCK = 512
 _WORD = re.compile(r"\w+")
+_PARTS = re.compile(r"(\w+)")
 _TOKEN = re.compile(r"\w+|[.!?\n]")
 _MARKS = dict.fromkeys(".!?\n", 0)
 _REMEMBERED = 500_000
@@ -55,6 +58,21 @@ def tuned(similar: float = SIMILAR, rows: int = ROWS, recall: float = RECALL) ->
     return bands
 
 
+def tuned_for(size: int, similar: float = SIMILAR, rows: int = ROWS, recall: float = RECALL) -> int:
+    """The bands that a set of so many shingles needs: small sets are similar to few others, and more than at the threshold.
+
+    Of two sets of n and m shingles that differ and share k, the similarity is k / (n + m - k).  The least such value that reaches
+    the threshold decides; sets that no different one is similar to need one band, for their equals.
+    """
+    found = [
+        k / (size + other - k)
+        for other in range(int(size * similar), int(size / similar) + 2)
+        for k in range(max(1, int(size * similar)), min(size, other) + 1)
+        if similar - 1e-9 <= k / (size + other - k) < 1
+    ]
+    return max(tuned(x, rows, recall) for x in found) if found else 1
+
+
 class _Hashes(dict):
     """Word hashes; a mark that ends sentences or lines has 0."""
 
@@ -66,14 +84,45 @@ class _Hashes(dict):
 _words = _Hashes(_MARKS)
 
 
-def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of the lower-cased text, as code points of the text."""
-    low = text.lower()
-    spans = np.array([m.span() for m in _WORD.finditer(low)], np.int64).reshape(-1, 2)
-    if len(low) != len(text):
-        of = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
-        return of[spans[:, 0]].astype(np.int32), (of[spans[:, 1] - 1] + 1).astype(np.int32)
-    return spans[:, 0].astype(np.int32), spans[:, 1].astype(np.int32)
+def _hashed(words: list[str]) -> np.ndarray:
+    if len(_words) > _REMEMBERED:
+        _words.clear()
+        _words.update(_MARKS)
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+
+
+class _Words(NamedTuple):
+    """Texts as one stream of words: short hashes, and where each word begins and ends, as code points of its text."""
+
+    hashes: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    begins: np.ndarray  # the first word of each text, and the number of words
+
+
+def spans_of(texts: list[str]) -> _Words:
+    parts, counts, odd = [], [], []
+    for k, text in enumerate(texts):
+        low = text.lower()
+        if len(low) != len(text):
+            odd.append(k)
+        found = _PARTS.split(low)  # what stands between words, and words, by turns
+        parts += found
+        counts.append(len(found))
+    counts = np.array(counts, np.int64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    first = np.cumsum(counts) - counts
+    before = np.append(0, ends)[first]  # code points of the texts before
+    at = np.flatnonzero((np.arange(len(parts)) - np.repeat(first, counts)) % 2 == 1)
+    base = np.repeat(before, counts // 2)
+    low, high = (ends[at - 1] - base).astype(np.int32), (ends[at] - base).astype(np.int32)
+    begins = np.append(0, np.cumsum(counts // 2))
+    for k in odd:  # code points whose small letters are more than one
+        of = np.repeat(np.arange(len(texts[k])), [len(c.lower()) for c in texts[k]])
+        own = slice(begins[k], begins[k + 1])
+        low[own], high[own] = of[low[own]], of[high[own] - 1] + 1
+    short = (_hashed([parts[k] for k in at.tolist()]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return _Words(short, low, high, begins)
 
 
 def _mixed(x: np.ndarray, k: int) -> np.ndarray:
@@ -119,15 +168,12 @@ def _starts_less(rank: np.ndarray, owner: np.ndarray, reach: int) -> np.ndarray:
 
 def cut(texts: list[str], reach: int = REACH, most: int = MOST) -> _Cut:
     """Cuts texts to paragraphs."""
-    if len(_words) > _REMEMBERED:
-        _words.clear()
-        _words.update(_MARKS)
     tokens, counts = [], []
     for text in texts:
         found = _TOKEN.findall(text.lower())
         tokens += found
         counts.append(len(found))
-    values = np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
+    values = _hashed(tokens)
     word, opens = values != 0, np.ones(len(values), bool)
     opens[1:] = values[:-1] == 0
     owner = np.repeat(np.arange(len(counts)), counts)[word]
@@ -169,11 +215,27 @@ def _places(c: _Cut) -> np.ndarray:
     return np.arange(len(c.hashes)) - np.maximum.accumulate(last)
 
 
-def _keys(c: _Cut, bands: int, rows: int) -> np.ndarray:
-    """Band keys of each paragraph."""
+def _sizes(c: _Cut, shingles: np.ndarray) -> np.ndarray:
+    """How many distinct shingles each paragraph has, up to SMALL; SMALL + 1 for more, and for those that repeat one."""
+    n = c.size - WIDTH + 1
+    repeats = np.zeros(len(shingles) + 1, np.int64)
+    for back in range(1, SMALL):
+        again = np.flatnonzero(shingles[back:] == shingles[:-back]) + back
+        if len(again):
+            repeats[again] |= np.searchsorted(c.first, again, "right") == np.searchsorted(c.first, again - back, "right")
+    many = np.add.reduceat(repeats, np.stack([c.first, c.first + n], 1).ravel())[::2] > 0
+    return np.where((n > SMALL) | many, SMALL + 1, n)
+
+
+def _keys(c: _Cut, needed: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many band keys each paragraph has, and the keys laid end to end; needed are the bands for each number of shingles."""
+    bands = int(needed.max())
     keys = np.zeros((len(c.first), bands), np.uint64)
+    counts = np.zeros(0, np.int64)
     if len(c.first):
-        shingles = np.append(_shingles(c.hashes, WIDTH), np.uint64(0))
+        shingles = _shingles(c.hashes, WIDTH)
+        counts = needed[_sizes(c, shingles)]
+        shingles = np.append(shingles, np.uint64(0))
         ends = np.stack([c.first, c.first + c.size - WIDTH + 1], 1).ravel()
         with np.errstate(over="ignore"):
             for band in range(bands):
@@ -182,7 +244,7 @@ def _keys(c: _Cut, bands: int, rows: int) -> np.ndarray:
                     spread = shingles * np.uint64(k * 0x9E3779B97F4A7C15 % 2**64 | 1) ^ (shingles >> np.uint64(23 + k % 16))
                     least = np.minimum.reduceat(spread * np.uint64(0xD6E8FEB86659FD93), ends)[::2]
                     keys[:, band] = _mixed(keys[:, band] ^ least, 1000 + band)
-    return keys
+    return counts, keys[np.arange(bands) < counts[:, None]]
 
 
 def _lists(sizes: np.ndarray, flat: pa.Array) -> pa.ListArray:
@@ -195,7 +257,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
             yield batch.slice(at, rows)
 
 
-def _units(bands: int, rows: int):
+def _units(needed: np.ndarray, rows: int):
     """Rows (doc_id, tid, text) to a row for each paragraph, with its words' hash and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +265,8 @@ def _units(bands: int, rows: int):
             c = cut([t or "" for t in batch.column(2).to_pylist()])
             of = pa.array(c.owner)
             word = (c.first - c.begins[c.owner]).astype(np.int32)
-            keys = _lists(np.full(len(c.first), bands), pa.array(_keys(c, bands, rows).ravel().view(np.int64)))
+            counts, keys = _keys(c, needed, rows)
+            keys = _lists(counts, pa.array(keys.view(np.int64)))
             yield pa.record_batch(
                 [batch.column(0).take(of), batch.column(1).take(of), pa.array(word), pa.array(c.size.astype(np.int32)), pa.array(_names(c).view(np.int64)), keys],
                 names=["doc_id", "tid", "word", "words", "h", "bands"],
@@ -213,16 +276,18 @@ def _units(bands: int, rows: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, words at which paragraphs begin) to (h, sorted distinct shingle hashes)."""
+    """Rows (text, paragraphs (word, words, h)) to (h, sorted distinct shingle hashes)."""
     for batch in _slices(batches, 256):
-        c = cut([t or "" for t in batch.column(0).to_pylist()])
+        words, begins = [], [0]
+        for text in batch.column(0).to_pylist():
+            words += _WORD.findall((text or "").lower())
+            begins.append(len(words))
         wanted = batch.column(1)
-        at = wanted.values.to_numpy()[wanted.offsets[0].as_py() : wanted.offsets[-1].as_py()]
-        at = at + np.repeat(c.begins, np.diff(wanted.offsets.to_numpy()))
-        chosen = np.flatnonzero(np.isin(c.first, at))
-        names, shingles = _names(c)[chosen].view(np.int64), _shingles(c.hashes, WIDTH)
-        sets = [np.unique(shingles[a : a + n - WIDTH + 1]).tobytes() for a, n in zip(c.first[chosen].tolist(), c.size[chosen].tolist(), strict=True)]
-        yield pa.record_batch([pa.array(names), pa.array(sets, pa.binary())], names=["h", "shingles"])
+        flat = wanted.values.slice(wanted.offsets[0].as_py(), wanted.offsets[-1].as_py() - wanted.offsets[0].as_py())
+        first = flat.field("word").to_numpy() + np.repeat(begins[:-1], np.diff(wanted.offsets.to_numpy()))
+        shingles = _shingles(_hashed(words), WIDTH)
+        sets = [np.unique(shingles[a : a + n - WIDTH + 1]).tobytes() for a, n in zip(first.tolist(), flat.field("words").to_pylist(), strict=True)]
+        yield pa.record_batch([flat.field("h"), pa.array(sets, pa.binary())], names=["h", "shingles"])
 
 
 def _alike(own: np.ndarray, sizes: np.ndarray, owners: np.ndarray, values: np.ndarray, similar: float) -> np.ndarray:
@@ -285,41 +350,41 @@ def _edges(pairs: list) -> pa.RecordBatch:
 _TOLD = "doc_id {}, tid long, side int, word int, class_id long, ref boolean, hashes array<int>, chars array<int>"
 
 
+def _flat(column: pa.ListArray) -> tuple[pa.StructArray, np.ndarray]:
+    """The structs of a list column laid end to end, and each one's row."""
+    bounds = column.offsets.to_numpy()
+    return column.values.slice(bounds[0], bounds[-1] - bounds[0]), np.repeat(np.arange(len(column)), np.diff(bounds))
+
+
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, tid, text, paragraphs (word, words), edges (word, words, class_id, side, ref)) to rows of _TOLD."""
     names = ["doc_id", "tid", "side", "word", "class_id", "ref", "hashes", "chars"]
-    for batch in _slices(batches, 128):
-        texts = [t or "" for t in batch.column(2).to_pylist()]
-        c = cut(texts)
-        bounds = np.append(c.begins, len(c.hashes))
-        short = (c.hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        out, hashes, chars = [], [], []
-        for k, text in enumerate(texts):
-            own, (low, high) = short[bounds[k] : bounds[k + 1]], word_spans(text)
-            units = batch.column(3)[k].values
-            a, n = units.field("word").to_numpy(), units.field("words").to_numpy()
-            out.append((k, 0, None, None, None))
-            hashes.append(own[:0])
-            chars.append(np.stack([low[a], high[a + n - 1]], 1).ravel())
-            edges = batch.column(4)[k].values
-            for word, words, class_id, side, ref in zip(*(edges.field(x).to_pylist() for x in ("word", "words", "class_id", "side", "ref")), strict=True):
-                out.append((k, side, word, class_id, ref))
-                if side == 1:
-                    part = slice(max(0, word - CONTEXT), word)
-                    hashes.append(own[part][::-1])
-                    chars.append(low[part][::-1])
-                else:
-                    part = slice(word + words, word + words + CONTEXT)
-                    hashes.append(own[part])
-                    chars.append(high[part])
-                if ref:
-                    chars[-1] = low[:0]
-        of, sides, at, classes, refs = zip(*out, strict=True) if out else ((),) * 5
-        of = pa.array(of, pa.int64())
+    for batch in _slices(batches, 256):
+        w = spans_of([t or "" for t in batch.column(2).to_pylist()])
+        units, of = _flat(batch.column(3))
+        first = units.field("word").to_numpy() + w.begins[of]
+        spans = np.stack([w.low[first], w.high[first + units.field("words").to_numpy() - 1]], 1).ravel()
+        n = batch.num_rows
         yield pa.record_batch(
             [
-                batch.column(0).take(of), batch.column(1).take(of), pa.array(sides, pa.int32()), pa.array(at, pa.int32()), pa.array(classes, pa.int64()), pa.array(refs, pa.bool_()),
-                _lists([len(x) for x in hashes], pa.array(np.concatenate(hashes or [short[:0]]))), _lists([len(x) for x in chars], pa.array(np.concatenate(chars or [short[:0]]))),
+                batch.column(0), batch.column(1), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()),
+                _lists(np.zeros(n, np.int64), pa.array(w.hashes[:0])), _lists(2 * np.bincount(of, minlength=n), pa.array(spans)),
+            ],
+            names=names,
+        )
+        edges, of = _flat(batch.column(4))
+        side, word, ref = edges.field("side").to_numpy(), edges.field("word").to_numpy(), edges.field("ref").to_numpy(zero_copy_only=False)
+        after = word + edges.field("words").to_numpy()
+        left = side == 1
+        count = np.minimum(CONTEXT, np.where(left, word, np.diff(w.begins)[of] - after))
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(w.begins[of] + np.where(left, word - 1, after), count) + np.where(np.repeat(left, count), -step, step)
+        chars = np.where(np.repeat(left, count), w.low[at], w.high[at])[np.repeat(~ref, count)]
+        rows = pa.array(of)
+        yield pa.record_batch(
+            [
+                batch.column(0).take(rows), batch.column(1).take(rows), edges.field("side"), edges.field("word"), edges.field("class_id"), edges.field("ref"),
+                _lists(count, pa.array(w.hashes[at])), _lists(np.where(ref, 0, count), pa.array(chars)),
             ],
             names=names,
         )
@@ -330,38 +395,54 @@ _FOUND = ["doc_id", "tid", "passage", "start", "length", "words", "class_id", "k
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, tid, paragraphs, code points, extensions), one for each document, to the paragraphs of its passages."""
-    for batch in _slices(batches, 256):
-        out = []
-        for k, (units, chars, ends) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)):
-            out.extend((k, *row) for row in _of_document(units, chars, {(e["word"], e["side"]): e for e in ends or ()}))
-        of, *columns = zip(*out, strict=True) if out else ((),) * 10
-        of, id_type = pa.array(of, pa.int64()), batch.schema.field(0).type
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), id_type, pa.int64(), pa.int32(), pa.bool_()]
-        yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=_FOUND)
-
-
-def _of_document(units: list[dict], chars: list[int], ends: dict) -> Iterator[tuple]:
-    none = {"all": 0, "first": 0, "char": None}
-    rows, reach = [], None  # reach: the word after the last passage's last
-    for k, u in enumerate(units):
-        left, right = ends.get((u["word"], 1), none), ends.get((u["word"], 2), none)
-        stop = u["word"] + u["words"]
-        low, high = u["word"] - left["all"], stop + right["all"]
-        if reach is None or low > reach + GAP:
-            rows.append([0, []])
-        rows[-1][0] += max(0, high - max(low, reach or 0))
-        reach = max(high, reach or 0)
+    for batch in _slices(batches, 1024):
+        units, of = _flat(batch.column(2))
+        if not len(of):
+            continue
+        word, words, stays = units.field("word").to_numpy().astype(np.int64), units.field("words").to_numpy().astype(np.int64), units.field("stays").to_numpy(zero_copy_only=False)
+        chars, bounds = batch.column(3).values.to_numpy(), batch.column(3).offsets.to_numpy()
+        start, end = chars[bounds[0] : bounds[-1]].reshape(-1, 2).T.astype(np.int64)
+        far = 1 << 40  # farther than any word or code point; documents are laid out so far apart
+        ends, whose = _flat(batch.column(4))
+        key = (of * far + word) * 4
+        known = (whose * far + ends.field("word").to_numpy()) * 4 + ends.field("side").to_numpy()
+        order = np.argsort(known)
+        reach, taken, char = (ends.field(x).fill_null(-1).to_numpy()[order].astype(np.int64) for x in ("all", "first", "char"))
+        sides = []
+        for side in (1, 2):
+            at = np.searchsorted(known[order], key + side)
+            hit = at < len(known)
+            hit[hit] = known[order][at[hit]] == (key + side)[hit]
+            at = np.where(hit, at, 0)
+            sides.append([np.where(hit, x[at], none) if len(x) else np.full(len(of), none) for x, none in ((reach, 0), (taken, 0), (char, -1))])
+        (left, left_taken, left_char), (right, right_taken, right_char) = sides
+        low, high = of * far + word - left, of * far + word + words + right
+        before = np.append(-far, np.maximum.accumulate(high)[:-1])
+        before = np.where(before < of * far, low - GAP - 1, before)  # the last word reached in the same document
+        group = np.cumsum((low > before + GAP) | (np.diff(of, prepend=-1) > 0)) - 1
+        repeated = np.bincount(group, np.maximum(0, high - np.maximum(low, np.where(low > before + GAP, low, before))))
+        keep = repeated[group] >= RUN
         # A paragraph that goes takes the words with it that stand next to its first place too.
-        start = left["char"] if left["char"] is not None else chars[2 * k]
-        end = right["char"] if right["char"] is not None else chars[2 * k + 1]
-        rows[-1][1].append((start, end, u["words"] + left["first"] + right["first"], u))
-    at = 0
-    for no, (words, parts) in enumerate(r for r in rows if r[0] >= RUN):
-        for start, end, n, u in parts:
-            start = max(start, at)
-            if end > start:
-                at = end
-                yield no, start, end - start, n, u["class_id"], u["keep"]["doc_id"], u["keep"]["tid"], u["keep"]["word"], not u["stays"]
+        start, end = np.where(left_char >= 0, left_char, start), np.where(right_char >= 0, right_char, end)
+        done = np.maximum.accumulate(np.where(keep, of * far + end, -1))
+        start = np.maximum(start, np.maximum(0, np.append(-1, done[:-1]) - of * far))
+        keep &= end > start
+        # Passages are numbered from 0 in each document.
+        found = np.flatnonzero(keep)
+        new = np.diff(group[found], prepend=-1) > 0
+        number = np.cumsum(new)
+        opens = np.diff(of[found], prepend=-1) > 0
+        number = number - np.maximum.accumulate(np.where(opens, number, 0))
+        chosen, rows = units.take(pa.array(found)), pa.array(of[found])
+        place = chosen.field("keep")
+        int32 = lambda x: pa.array(x[found].astype(np.int32))  # noqa: B023, E731
+        yield pa.record_batch(
+            [
+                batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number.astype(np.int32)), int32(start), int32(end - start), int32(words + left_taken + right_taken),
+                chosen.field("class_id"), place.field("doc_id"), place.field("tid"), place.field("word"), pa.array(~stays[found]),
+            ],
+            names=_FOUND,
+        )
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -387,10 +468,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, similar: float = SIM
     doc_id and text are one document, rows that share a doc_id only are different ones.  Passages repeated within one document count too.  Null and empty texts
     have no paragraphs; rows with a null doc_id are left out.  Other columns are left out; an empty table gives no rows.
     """
-    work, bands = Workspace(spark, "passages"), tuned(similar)
+    work = Workspace(spark, "passages")
+    needed = np.array([1, *(tuned_for(n, similar) for n in range(1, SMALL + 1)), tuned(similar)])
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("tid"), F.col(text).alias("text"))
     id_type, own = rows.schema["doc_id"].dataType.simpleString(), ["doc_id", "tid"]
-    units = work.table(rows.mapInArrow(_units(bands, ROWS), f"doc_id {id_type}, tid long, word int, words int, h long, bands array<long>"), "units")
+    units = work.table(rows.mapInArrow(_units(needed, ROWS), f"doc_id {id_type}, tid long, word int, words int, h long, bands array<long>"), "units")
 
     keyed = units.select("h", F.explode("bands").alias("key"))
     # Written, so that the join has plain shuffles on both sides, of which adaptive execution splits a hot one.
@@ -401,7 +483,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, similar: float = SIM
     texts = units.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     texts = work.table(texts.join(nominees, "h", "left").where("first != last or nominee"), "texts")
 
-    wanted = texts.where("nominee").groupBy("first.doc_id", "first.tid").agg(F.collect_list("first.word").alias("wanted"))
+    wanted = texts.where("nominee").groupBy("first.doc_id", "first.tid").agg(F.collect_list(F.struct("first.word", "first.words", "h")).alias("wanted"))
     sets = rows.join(wanted, own).select("text", "wanted").mapInArrow(_sets, "h long, shingles binary")
     sets = work.table(sets.dropDuplicates(["h"]), "sets")
     counts = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -418,15 +500,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, similar: float = SIM
     named = work.table(classes.select("h", "class_id").join(keep, "class_id"), "named")
     found = units.drop("bands").join(named, "h").select(*own, F.struct("word", "words", "class_id", "keep", "last").alias("u"))
     found = work.table(found.groupBy(*own).agg(F.sort_array(F.collect_set("u")).alias("units")), "found")
+    for name in ("units", "shared", "members", "texts", "sets", "classes", "keep", "named"):
+        work.drop(name)
 
     # The outer paragraphs of runs, and their classes' first and last places.
     stop = lambda u: u["word"] + u["words"]
-    before, after = F.get("units", F.col("k") - 1), F.get("units", F.col("k") + 1)
-    each = found.select(*own, "units", F.posexplode("units").alias("k", "u"))
-    opens, closes = F.coalesce(stop(before) != F.col("u.word"), F.lit(True)), F.coalesce(after["word"] != stop(F.col("u")), F.lit(True))
-    side = lambda at_end, k: F.when(at_end, F.lit(k))
-    ends = each.select(*own, "u", F.explode(F.array_compact(F.array(side(opens, 1), side(closes, 2)))).alias("side"))
-    outer = work.table(ends.select(*own, "u.word", "u.words", "u.class_id", "side", F.col("u.keep").alias("f"), F.col("u.last").alias("l")), "outer")
+    opens = lambda u, k: F.coalesce(stop(F.get("units", k - 1)) != u["word"], F.lit(True))
+    closes = lambda u, k: F.coalesce(F.get("units", k + 1)["word"] != stop(u), F.lit(True))
+    ends = lambda u, k: F.array_compact(F.array(F.when(opens(u, k), 1), F.when(closes(u, k), 2)))
+    marked = F.filter(F.transform("units", lambda u, k: F.struct(u.alias("u"), ends(u, k).alias("sides"))), lambda x: F.size(x["sides"]) > 0)
+    each = found.select(*own, F.explode(marked).alias("e")).select(*own, "e.u", F.explode("e.sides").alias("side"))
+    outer = work.table(each.select(*own, "u.word", "u.words", "u.class_id", "side", F.col("u.keep").alias("f"), F.col("u.last").alias("l")), "outer")
     compared = outer.groupBy("class_id", "side").agg(F.any_value("f").alias("f"), F.any_value("l").alias("l"))
     refs = compared.select("class_id", "side", F.explode(F.array("f", "l")).alias("p")).select("p.*", "class_id", "side", F.lit(True).alias("ref"))
     asked = outer.select(*own, "word", "words", "class_id", "side", F.lit(False).alias("ref")).unionByName(refs)
@@ -438,7 +522,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, similar: float = SIM
     refs = refs.join(compared, ["class_id", "side"]).select("class_id", "side", "f", "l", (_at("f") == F.struct(*own, "word")).alias("is_f"), (_at("l") == F.struct(*own, "word")).alias("is_l"), "hashes")
     pick = lambda which: F.max(F.when(F.col(which), F.col("hashes"))).alias(f"{which}_hashes")
     refs = work.table(refs.groupBy("class_id", "side", "f", "l").agg(pick("is_f"), pick("is_l")), "refs")
-    edges = told.where("not ref").distinct().join(refs, ["class_id", "side"])
+    edges = told.where("not ref").join(refs, ["class_id", "side"])
     here = F.struct("doc_id", "tid", "word")
     with_first = F.when(here == _at("f"), 0).otherwise(_same(F.col("hashes"), F.col("is_f_hashes")))
     with_last = F.when(here == _at("l"), 0).otherwise(_same(F.col("hashes"), F.col("is_l_hashes")))
@@ -446,14 +530,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, similar: float = SIM
     # What stays is shown with all words that repeat next to it.
     reached = F.greatest("with_first", "with_last")
     edges = edges.select(*own, "word", "side", "chars", reached.alias("all"), F.when(F.col("stays"), reached).otherwise(F.col("with_first")).alias("first"))
-    edges = edges.groupBy(*own).agg(F.collect_list(F.struct("word", "side", "all", "first", F.get("chars", F.col("first") - 1).alias("char"))).alias("ends"))
+    edges = edges.groupBy(*own).agg(F.collect_set(F.struct("word", "side", "all", "first", F.get("chars", F.col("first") - 1).alias("char"))).alias("ends"))
 
     places = F.transform("units", lambda u: F.struct(
         u["word"].alias("word"), u["words"].alias("words"), u["class_id"].alias("class_id"), u["keep"].alias("keep"),
         ((u["keep"]["doc_id"] == F.col("doc_id")) & (u["keep"]["tid"] == F.col("tid")) & (u["keep"]["word"] == u["word"])).alias("stays"),
     ))
     chars = told.where("side = 0").groupBy(*own).agg(F.any_value("chars").alias("chars"))
-    whole = found.select(*own, places.alias("units")).join(chars, own).join(edges, own, "left").select(*own, "units", "chars", "ends")
+    whole = found.select(*own, places.alias("units")).join(chars, own).join(edges, own).select(*own, "units", "chars", "ends")
     schema = f"doc_id {id_type}, tid long, passage int, start int, length int, words int, class_id long, keep_doc_id {id_type}, keep_tid long, keep_word int, removed boolean"
     return whole.mapInArrow(_passages, schema)
 
