@@ -1,7 +1,7 @@
 """A corpus pipeline: five stages over documents, each reading all that the one before kept.
 
-Rows are told apart by doc_id and, where the stages that compare documents find one id with different texts, by text.  A row with a null doc_id cannot be named by the stages that
-compare documents: it passes them, and is only judged by the classifier.  Null texts count as empty.
+Rows are told apart by doc_id and, where one id has different texts, by text.  A row with a null doc_id cannot be named by the stages that
+compare documents with one another: it passes them, and is judged by the classifier and held against the benchmark.  Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -60,10 +60,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; a row is named by its id and a hash of its text."""
     work = Workspace(spark, "stage-decon")
-    found = decontaminate.contaminated(spark, docs, benchmark(spark, sf_dir))
-    return _without(docs, work.table(found.select("doc_id").distinct(), "gone"))
+    keyed = docs.withColumn("__key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("text")))
+    found = decontaminate.contaminated(spark, keyed, benchmark(spark, sf_dir), doc_id="__key")
+    gone = work.table(found.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return keyed.join(gone, F.col("__key").eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

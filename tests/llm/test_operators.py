@@ -43,6 +43,25 @@ def test_components(spark, edges):
     assert got == closure({n for e in edges for n in e}, edges)
 
 
+@pytest.mark.parametrize("star", ["_large_star", "_small_star"])
+def test_a_hub_is_split(spark, star):
+    """The join of a round with a hot node has a skew that adaptive execution sees."""
+    options = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        hub = F.lit(0) if star == "_large_star" else F.lit(10**7)
+        edges = spark.range(1, 120_000).select(F.greatest("id", hub).alias("u"), F.least("id", hub).alias("v"))
+        work = Workspace(spark, "t")
+        found = getattr(components, star)(work, work.table(edges, "edges"), "least")
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 # --------------------------------------------------------------- exact dedup
 
 
@@ -76,6 +95,14 @@ def test_exact_groups_survive_collisions(spark, rng, weaken):
         assert got[k] == (max(same), len(same), k == max(same))
 
 
+@pytest.mark.parametrize("weaken", [0, 1])
+def test_rows_without_an_id_are_compared_too(spark, rng, weaken):
+    a, b = prose(rng, 50), prose(rng, 50)
+    rows = [(None, a), (None, b), (None, a.upper()), (3, a), (4, b + "."), (None, ""), (None, None)]
+    got = exact_dedup.exact_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"), weaken=weaken).collect()
+    assert sorted((r["doc_id"] or -1, r["keep_id"] or -1, r["group_size"]) for r in got) == [(-1, -1, 1), (-1, -1, 2), (-1, -1, 2), (-1, 3, 3), (-1, 3, 3), (3, 3, 3), (4, 4, 1)]
+
+
 # -------------------------------------------------------------------- simhash
 
 
@@ -137,6 +164,38 @@ def test_shards_do_not_depend_on_partitions(spark, rng):
     assert a == b and [r[3] for r in a] == list(range(500))
 
 
+def scalar_place(row, n, key=0):
+    """The permutation in plain integers."""
+    mask64 = (1 << 64) - 1
+    bits = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+
+    def mixed(half, turn):
+        x = (half + key * 0x2545F4914F6CDD1D + turn * 0xD1342543DE82EF95 + 0x9E3779B97F4A7C15) & mask64
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask64
+        return (x ^ (x >> 31)) & ((1 << bits) - 1)
+
+    while True:
+        left, right = row >> bits, row & ((1 << bits) - 1)
+        for turn in range(6):
+            left, right = right, left ^ mixed(right, turn)
+        row = (left << bits) | right
+        if row < n:
+            return row
+
+
+def test_shards_against_brute_force(spark, rng):
+    texts = [rng.choice((None, "", "é ü", prose(rng, rng.randrange(1, 40)))) for _ in range(300)]
+    rows = [(rng.randrange(10**6) if k % 9 else None, t) for k, t in enumerate(texts)]
+    got = sharding.shard_rows(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 16).collect()
+    data = [(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows]
+    ordered = sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, *x[1:]))
+    placed = {(p % 16, p // 16): x for k, x in enumerate(ordered) for p in [scalar_place(k, len(rows))]}
+    assert {(r["shard"], r["slot"]): (r["doc_id"], r["size"], r["text_crc32"]) for r in got} == placed and len(placed) == len(got)
+    sizes = [sum(s == k for s, _ in placed) for k in range(16)]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(j for s, j in placed if s == k) == list(range(n)) for k, n in enumerate(sizes))
+
+
 # -------------------------------------------------------------------- packing
 
 
@@ -314,7 +373,7 @@ def sentences(rng, n, longest=25):
 
 def covered(text, rows):
     """Whether each word of a text lies in a row's span."""
-    _, low, high = substring_dedup.word_spans(text)
+    _, low, high, _ = substring_dedup.spans_of([text])
     found = np.zeros(len(low), bool)
     for r in rows.itertuples():
         found |= (low >= r.start) & (high <= r.start + r.length)
@@ -505,12 +564,56 @@ def test_co_training_on_held_out_labels(spark, rng):
     assert np.mean([(got[k]["p_toxic"] >= 0.5) == t for k, _, t in held]) > 0.95
 
 
-def test_views_exchange_labels():
+def two_views(n=1500):
     rng = np.random.default_rng(5)
-    y = (rng.random(1500) < 0.5).astype(int)
-    text, meta = y[:, None] * 4 + rng.normal(size=(1500, 2)), y[:, None] * 5 + rng.normal(size=(1500, 1))
-    known = np.where(np.arange(1500) < 300, y, -1)
-    head = quality.co_train(text, meta, known, (np.arange(1500) < 300) & (np.arange(1500) % 3 == 0))
-    assert sum(head["exchanged"]) > 100
+    y = (rng.random(n) < 0.5).astype(int)
+    return y, y[:, None] * 4 + rng.normal(size=(n, 2)), y[:, None] * 5 + rng.normal(size=(n, 1))
+
+
+def test_views_exchange_labels():
+    y, text, meta = two_views()
+    own, held = np.arange(1500) < 300, np.arange(300) % 3 == 0
+    views = {"text": text[~own], "metadata": meta[~own]}
+    head = quality.co_train(text[own], meta[own], y[own], held, lambda teachers: quality.taught(views, teachers))
+    assert min(head["exchanged"]) > 1000  # all that a view is sure of, not a share of it
     both = head["both"].logit(np.column_stack([head["text"].logit(text), head["metadata"].logit(meta)]))
     assert ((both > 0) == y)[300:].mean() > 0.99
+
+
+def test_guesses_change_the_other_view():
+    y, text, meta = two_views()
+    rare = np.hstack([meta, (np.arange(1500) % 2 * y)[:, None] * 1.0])  # a column that the labelled rows never show
+    rare[:300, 1] = np.random.default_rng(1).normal(size=300) * 1e-3
+    own, held = np.arange(1500) < 300, np.arange(300) % 3 == 0
+    views = {"text": text[~own], "metadata": rare[~own]}
+    with_pool = quality.co_train(text[own], rare[own], y[own], held, lambda teachers: quality.taught(views, teachers))
+    without = quality.co_train(text[own], rare[own], y[own], held, lambda teachers: {})
+    assert abs(with_pool["metadata"].w[1] - without["metadata"].w[1]) > 1e-3
+
+
+def test_pool_sums_over_a_table_are_those_of_an_array(spark, rng):
+    model = quality.Model({"vile": 0, "kind": 1, "sun": 2}, {})
+    texts = [prose(rng, rng.randrange(1, 30)) + rng.choice(("", " vile", " kind!")) for _ in range(200)] + [None, ""]
+    columns = [texts, [rng.choice(("en", "de", None)) for _ in texts], [rng.choice("abc") for _ in texts], [rng.choice((1, 10**6, None)) for _ in texts]]
+    packed = model.packed(*columns)
+    views = model.views(packed)
+    assert np.allclose(views["text"], model.text_view(texts), atol=1e-6) and np.allclose(views["metadata"], model.metadata_view(*columns[1:]), rtol=1e-5, atol=1e-4)
+    y = np.array([k % 2 for k in range(len(texts))])
+    fitted = {k: quality.Logistic().fit(x, y) for k, x in views.items()}
+    teachers = {k: quality.Teacher(m, quality.Logistic().fit(m.logit(views[k])[:, None] * 9, y, ridge=0.01), (1, 0)) for k, m in fitted.items()}
+    for t in teachers.values():
+        t.calibration.w = np.array([30.0, 0.0])  # sure of most
+    want = quality.taught(views, teachers)
+    table = spark.createDataFrame([(bytearray(x),) for x in packed], "x binary").repartition(5)
+    got = quality._pool_sums(table, model)(teachers)
+    assert want.keys() == got.keys() and len(want) >= 2
+    for k, (n, g, h) in want.items():
+        assert got[k][0] == n and np.allclose(got[k][1], g) and np.allclose(got[k][2], h)
+
+
+def test_scores_do_not_depend_on_the_order_of_rows(spark, rng):
+    rows = [(k // 2, prose(rng, 12) + (" ### $$$" if k % 4 < 2 else ""), "en", rng.choice("ab"), k) for k in range(400)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(150)], "doc_id long, quality int, toxic int")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    scores = [quality.score_documents(spark, spark.createDataFrame(r, schema).repartition(n), labels).toPandas().sort_values(["doc_id", "p_quality"]) for r, n in ((rows, 3), (rows[::-1], 5))]
+    assert np.allclose(scores[0].p_quality, scores[1].p_quality, atol=1e-9)

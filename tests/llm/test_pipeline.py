@@ -76,6 +76,16 @@ def test_an_id_with_different_texts_loses_only_what_is_repeated(spark):
     assert got == sorted([(3, c), (5, d)])
 
 
+def test_decontamination_tells_rows_of_one_id_apart(spark, folder):
+    path, _, item = folder
+    rng = random.Random(6)
+    a, b = prose(rng, 40), f"{prose(rng, 40)}. {item}."
+    rows = [(5, a, "en"), (5, b, "en"), (7, b, "de"), (None, b, "en"), (None, a, "en"), (8, None, "en"), (9, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' AS item_id", "1 AS h")
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in corpus_pipeline.decontaminated(spark, docs, path).collect())
+    assert got == sorted([(5, a), (-1, a), (8, ""), (9, "")])
+
+
 def test_each_stage_keeps_the_columns_and_takes_an_empty_table(spark, folder):
     path, *_ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
