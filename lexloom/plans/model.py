@@ -43,7 +43,8 @@ class Paragraph:
     text: str
 
     def whole(self) -> str:
-        return f"({self.number}) {self.text}" if self.number else self.text
+        """With its number; an item that opens a numbered paragraph stands right behind it, without its indentation."""
+        return f"({self.number}) {self.text.lstrip(' ')}" if self.number else self.text
 
 
 @dataclass

@@ -291,3 +291,14 @@ def test_a_section_of_the_act_may_amend_the_law_where_no_article_does():
 )
 def test_furniture_and_misprints(raw, clean):
     assert clean_text(raw)[0] == clean
+
+
+def test_synopsis_shows_an_item_that_opens_a_paragraph_right_behind_its_number():
+    from lexloom.plans.apply import apply_all
+    from lexloom.plans.recognise import recognise
+    from lexloom.sources.canonical import read_law
+
+    old = read_law("Gesetz\n(G)\n§ 1  Text\n(1) 94.182.225.142 ist the Wort\n(2) 1. eins\n2. zwei")
+    new, entries = apply_all(old, [recognise("In § 1 wird das Wort „the“ durch das Wort „ein“ ersetzt.")])
+    (row,) = synopsis.rows(old, new, entries)
+    assert row.new_text == "(1) 94.182.225.142 ist ein Wort\n\n(2) 1. eins\n  2. zwei"
