@@ -18,13 +18,12 @@ edges only; a large one is dealt out as pairs of blocks.  Extension compares wit
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +41,7 @@ RECALL, ROWS = 0.99, 2
 SMALL = 8
 #: Paragraphs of a band that are compared together.
 BLOCK = 512
-_WORD = re.compile(r"\w+")
-_PARTS = re.compile(r"(\w+)")
-_TOKEN = re.compile(r"\w+|[.!?\n]")
-_MARKS = dict.fromkeys(".!?\n", 0)
-_REMEMBERED = 500_000
+_MARKS = ".!?\n"
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -73,22 +68,49 @@ def tuned_for(size: int, similar: float = SIMILAR, rows: int = ROWS, recall: flo
     return max(tuned(x, rows, recall) for x in found) if found else 1
 
 
-class _Hashes(dict):
-    """Word hashes; a mark that ends sentences or lines has 0."""
+def _mixed(x: np.ndarray, k: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, word: str) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word.encode()) or 1
-        return value
 
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point whether it is of a word, as for the pattern \\w, or a mark that ends sentences or lines (2); and a number for word hashes."""
+    kinds = np.fromiter(map(str.isalnum, map(chr, range(0x110000))), np.uint8, 0x110000)
+    kinds[ord("_")] = 1
+    kinds[[ord(x) for x in _MARKS]] = 2
+    return kinds, _mixed(np.arange(0x110000, dtype=np.uint64), 33)
 
-_words = _Hashes(_MARKS)
 
+class _Stream(NamedTuple):
+    """Small-letter texts as one stream of words: 64-bit hashes, and where words begin and end in the stream of code points."""
 
-def _hashed(words: list[str]) -> np.ndarray:
-    if len(_words) > _REMEMBERED:
-        _words.clear()
-        _words.update(_MARKS)
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    hashes: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    begins: np.ndarray  # the first word of each text, and the number of words
+    at: np.ndarray  # the first code point of each text, and one behind the last
+    marks: np.ndarray  # the code points that end sentences or lines
+
+
+def _stream(texts: list[str]) -> _Stream:
+    """A word's hash is the sum of its letters' numbers, each multiplied by one for its place in the word."""
+    kinds, numbers = _letters()
+    codes = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le"), np.uint32)
+    at = np.cumsum([1, *(len(x) + 1 for x in texts)])
+    kinds = kinds[codes]
+    inside = kinds == 1
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    low, high = edges[::2], edges[1::2]
+    sizes = high - low
+    first = np.cumsum(sizes) - sizes
+    places = _mixed(np.arange(sizes.max(initial=0), dtype=np.uint64), 34) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        parts = numbers[codes[inside]] * places[np.arange(sizes.sum()) - np.repeat(first, sizes)]
+        hashes = _mixed(np.add.reduceat(parts, first) if len(first) else parts, 35)
+    return _Stream(hashes, low, high, np.searchsorted(low, at), at, np.flatnonzero(kinds == 2))
 
 
 class _Words(NamedTuple):
@@ -101,35 +123,15 @@ class _Words(NamedTuple):
 
 
 def spans_of(texts: list[str]) -> _Words:
-    parts, counts, odd = [], [], []
-    for k, text in enumerate(texts):
-        low = text.lower()
-        if len(low) != len(text):
-            odd.append(k)
-        found = _PARTS.split(low)  # what stands between words, and words, by turns
-        parts += found
-        counts.append(len(found))
-    counts = np.array(counts, np.int64)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-    first = np.cumsum(counts) - counts
-    before = np.append(0, ends)[first]  # code points of the texts before
-    at = np.flatnonzero((np.arange(len(parts)) - np.repeat(first, counts)) % 2 == 1)
-    base = np.repeat(before, counts // 2)
-    low, high = (ends[at - 1] - base).astype(np.int32), (ends[at] - base).astype(np.int32)
-    begins = np.append(0, np.cumsum(counts // 2))
-    for k in odd:  # code points whose small letters are more than one
+    lower = [x.lower() for x in texts]
+    w = _stream(lower)
+    base = np.repeat(w.at[:-1], np.diff(w.begins))
+    low, high = (w.low - base).astype(np.int32), (w.high - base).astype(np.int32)
+    for k in [k for k, x in enumerate(lower) if len(x) != len(texts[k])]:  # code points whose small letters are more than one
         of = np.repeat(np.arange(len(texts[k])), [len(c.lower()) for c in texts[k]])
-        own = slice(begins[k], begins[k + 1])
+        own = slice(w.begins[k], w.begins[k + 1])
         low[own], high[own] = of[low[own]], of[high[own] - 1] + 1
-    short = (_hashed([parts[k] for k in at.tolist()]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return _Words(short, low, high, begins)
-
-
-def _mixed(x: np.ndarray, k: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+    return _Words((w.hashes >> np.uint64(32)).astype(np.uint32).view(np.int32), low, high, w.begins)
 
 
 def _shingles(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -168,16 +170,9 @@ def _starts_less(rank: np.ndarray, owner: np.ndarray, reach: int) -> np.ndarray:
 
 def cut(texts: list[str], reach: int = REACH, most: int = MOST) -> _Cut:
     """Cuts texts to paragraphs."""
-    tokens, counts = [], []
-    for text in texts:
-        found = _TOKEN.findall(text.lower())
-        tokens += found
-        counts.append(len(found))
-    values = _hashed(tokens)
-    word, opens = values != 0, np.ones(len(values), bool)
-    opens[1:] = values[:-1] == 0
-    owner = np.repeat(np.arange(len(counts)), counts)[word]
-    hashes, opens = values[word], opens[word]
+    w = _stream([x.lower() for x in texts])
+    hashes, owner = w.hashes, np.repeat(np.arange(len(texts)), np.diff(w.begins))
+    opens = np.diff(np.searchsorted(w.marks, w.low), prepend=0) > 0
     n = len(hashes)
     new = np.ones(n, bool)
     new[1:] = owner[1:] != owner[:-1]
@@ -193,8 +188,7 @@ def cut(texts: list[str], reach: int = REACH, most: int = MOST) -> _Cut:
     first = np.flatnonzero(begin)
     size = np.diff(np.append(first, n))
     long = size >= WIDTH
-    texts_ = np.bincount(owner, minlength=len(texts)) if n else np.zeros(len(texts), np.int64)
-    return _Cut(hashes, np.cumsum(texts_) - texts_, first[long], size[long], owner[first[long]])
+    return _Cut(hashes, w.begins[:-1], first[long], size[long], owner[first[long]])
 
 
 def _names(c: _Cut) -> np.ndarray:
@@ -278,14 +272,11 @@ def _units(needed: np.ndarray, rows: int):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text, paragraphs (word, words, h)) to (h, sorted distinct shingle hashes)."""
     for batch in _slices(batches, 256):
-        words, begins = [], [0]
-        for text in batch.column(0).to_pylist():
-            words += _WORD.findall((text or "").lower())
-            begins.append(len(words))
+        w = _stream([(t or "").lower() for t in batch.column(0).to_pylist()])
         wanted = batch.column(1)
         flat = wanted.values.slice(wanted.offsets[0].as_py(), wanted.offsets[-1].as_py() - wanted.offsets[0].as_py())
-        first = flat.field("word").to_numpy() + np.repeat(begins[:-1], np.diff(wanted.offsets.to_numpy()))
-        shingles = _shingles(_hashed(words), WIDTH)
+        first = flat.field("word").to_numpy() + np.repeat(w.begins[:-1], np.diff(wanted.offsets.to_numpy()))
+        shingles = _shingles(w.hashes, WIDTH)
         sets = [np.unique(shingles[a : a + n - WIDTH + 1]).tobytes() for a, n in zip(first.tolist(), flat.field("words").to_pylist(), strict=True)]
         yield pa.record_batch([flat.field("h"), pa.array(sets, pa.binary())], names=["h", "shingles"])
 
