@@ -2,6 +2,8 @@
 
 Rows are told apart by doc_id and, where one id has different texts, by text.  A row with a null doc_id cannot be named by the stages that
 compare documents with one another: it passes them, and is judged by the classifier and held against the benchmark.  Null texts count as empty.
+
+Stages of one session share its executors and their Python workers.  Those that send texts to Python bound the session's batches, and keep them bounded.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import decontaminate, exact_dedup, packing, quality, simhash
-from lexloom.llm.common import Workspace, ascii_lower, benchmark, documents, whole_text
+from lexloom.llm.common import Workspace, ascii_lower, benchmark, documents, small_batches, whole_text
 from lexloom.llm.queries import PACK_TOKENIZER, tokenizer_path
 
 
@@ -21,6 +23,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts: good quality, not toxic."""
+    small_batches(spark)
     model = quality.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = docs.withColumn("__score", quality.scorer(model)("text", "lang", "source", "n_chars"))
     return scored.where(quality.accepted(F.col("__score"))).select(*docs.columns)
@@ -28,6 +31,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the one with the largest doc_id."""
+    small_batches(spark)
     work = Workspace(spark, "stage-exact")
     groups = work.table(exact_dedup.exact_groups(spark, docs).select("doc_id", "kept", "text_sha256").where("doc_id is not null"), "groups")
     count = groups.groupBy("doc_id").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n"))
@@ -45,6 +49,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of linked fingerprints: the one with the smallest doc_id."""
+    small_batches(spark)
     work = Workspace(spark, "stage-near")
     groups = simhash.simhash_groups(spark, docs).where("doc_id is not null")
     groups = work.table(groups.select("doc_id", "fp", (F.col("doc_id") == F.col("component_id")).alias("kept")), "groups")
@@ -70,6 +75,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training sequences' pieces, with their ids."""
+    small_batches(spark)
     return packing.pack(spark, docs, tokenizer_path(PACK_TOKENIZER))
 
 

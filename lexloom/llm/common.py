@@ -20,6 +20,10 @@ _ROOTS: list[str] = []
 #: Whether a finished query's shuffle files are deleted at once.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes of a batch of rows on its way to Python, and Spark's setting for it.
+BATCH_BYTES = 1 << 21
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: ASCII letters only, as the contracts ask; other letters keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,6 +46,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session sends rows to Python in batches of about BATCH_BYTES, a longer row alone; a lower bound stays.
+
+    A batch is held whole, several times over, by the executor's JVM outside its heap and by the worker; Spark's own bound is far above
+    what a task of ordinary size reads.  The bound is the session's, since Spark reads it when a plan runs, which may be the caller's doing.
+    """
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 class Workspace:
     """Tables that one operator call writes to cut lineage; they outlive lost executors."""
 

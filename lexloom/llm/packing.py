@@ -209,6 +209,7 @@ def _pieces(doc_type: pa.DataType, kind: str, width: int, with_ids: bool):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _words.cache_clear()  # all ids are made by now; a worker outlives this stage, and its words would stay beside whatever runs next
         now, sequence, held, filled = None, 0, [], 0
         record = lambda out: pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * len(kinds), kinds, strict=True)], names=names)
         for whole in batches:

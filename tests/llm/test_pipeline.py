@@ -4,10 +4,12 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from lexloom.llm import packing, quality, simhash
+from lexloom.llm.common import BATCH_BYTES
 from lexloom.llm.queries import PACK_TOKENIZER, tokenizer_path
 from tests.llm.conftest import prose
 from tests.llm.test_operators import brute_words, closure
@@ -95,6 +97,37 @@ def test_each_stage_keeps_the_columns_and_takes_an_empty_table(spark, folder):
         assert stage(spark, docs.limit(0), path).count() == 0, name
 
 
+def test_texts_go_to_python_in_small_batches(spark, folder):
+    path, rows, _ = folder
+    conf, key = spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(k, "ale bar " * 2500, "en", "a", 20_000) for k in range(600)] + [(600, "cot " * (1 << 20), "en", "a", 1 << 22)], "doc_id long, text string, lang string, source string, n_chars long")
+    sizes = lambda batches: (pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"]) for b in batches)
+    before = conf.get(key)
+    try:
+        for stage in (corpus_pipeline.classify, corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.packed):
+            conf.set(key, before)
+            stage(spark, docs.limit(0), path)
+            sent = docs.coalesce(1).mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r["n"] for r in sent) == 601 and len(sent) >= 6
+            # At most twice the bound, unless a row is longer by itself.
+            assert all(r["size"] <= 2 * BATCH_BYTES for r in sent if r["size"] < 1 << 22), stage
+        conf.set(key, "64k")
+        corpus_pipeline.packed(spark, docs.limit(0), path)
+        assert conf.get(key) == "64k"
+    finally:
+        conf.set(key, before)
+
+
+def test_a_worker_forgets_words_once_pieces_are_laid():
+    path = tokenizer_path(PACK_TOKENIZER)
+    ids = packing.encode("ale bar", path)
+    assert packing._words.cache_info().currsize == 1
+    rows = pa.record_batch([pa.array([7]), pa.array([0], pa.int32()), pa.array([ids])], names=["doc_id", "bucket", "ids"])
+    out = [r for b in packing._pieces(pa.int64(), "<u4", 2048, True)(iter([rows])) for r in b.to_pylist()]
+    assert packing._words.cache_info().currsize == 0
+    assert b"".join(r["ids"] for r in out) == ids
+
+
 def test_every_operator_is_registered():
     import __spark_entry__
 
